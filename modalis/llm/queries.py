@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from .langid import op3_language_id
+from .packing import op4_best_fit_packing
 from .sharding import op8_sharding
 from .templates import op2_chat_template
 from .transport import op1_transport_streams
 
-QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_chat_template, op3_language_id, op8_sharding)}
+QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_chat_template, op3_language_id, op4_best_fit_packing, op8_sharding)}
 
 #: No DuckDB statement expresses these operators; tests hold them against brute force instead.
 ORACLE_SQL: dict[str, str] = {}
