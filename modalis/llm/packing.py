@@ -15,13 +15,16 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from .common import cut, map_rows, table
 
@@ -30,17 +33,18 @@ CAPACITY, VOCABULARY = 2048, "word_bpe_49k.json"
 #: may fail in a row before the search ends.
 PIECES_A_TASK, UNDERFULL, FAILURES = 8192, 0.97, 24
 #: Words whose ids a worker keeps at a time: a bound on memory, not on what is tokenised.
-CACHE = 400_000
+CACHE = 300_000
 
 
 class Words(dict):
-    """Ids of single words as little-endian unsigned 32-bit bytes, made on first use."""
+    """Ids of single words as little-endian unsigned 32-bit bytes, made on first use by the vocabulary's merges."""
 
-    def __init__(self, encode: Callable) -> None:
-        self.encode = encode
+    def __init__(self, tokenizer: Tokenizer) -> None:
+        self.model = tokenizer.model
+        self.bytes = {k: tokenizer.pre_tokenizer.pre_tokenize_str(chr(k))[0][0] for k in range(256) if tokenizer.pre_tokenizer.pre_tokenize_str(chr(k))}
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = np.array([t.id for t in self.model.tokenize(word.translate(self.bytes))], "<u4").tobytes()
         if len(self) >= CACHE:
             self.clear()
         self[word] = ids
@@ -59,11 +63,8 @@ class Encoder:
     """
 
     def __init__(self, vocabulary: str = VOCABULARY) -> None:
-        import public_tokenizers
-        from tokenizers import Tokenizer
-
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        self.words = Words(self.tokenizer.encode) if vocabulary == VOCABULARY else None
+        self.words = Words(self.tokenizer) if vocabulary == VOCABULARY else None
 
     def __call__(self, text: str) -> bytes:
         if self.words is not None and "<|" not in text:
@@ -77,6 +78,12 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+@lru_cache(4)
+def encoder(vocabulary: str) -> Encoder:
+    """One encoder a worker process: its tasks share the words."""
+    return Encoder(vocabulary)
+
+
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Bins of item numbers: largest first, each into the open bin that it leaves least room in."""
     bins: list[list[int]] = []
@@ -181,7 +188,7 @@ def pieces_of(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAP
     """Pieces of every row. Full ones have a sequence already, a negative number; others have null."""
 
     def make():
-        encode = Encoder(vocabulary)
+        encode = encoder(vocabulary)
         first = -1 - (TaskContext.get().partitionId() << 40)
         full = 0
 
