@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .edits import op7_edit_fingerprints
 from .langid import op3_language_id
 from .mixing import op5_source_mixing
 from .packing import op4_best_fit_packing
@@ -10,7 +11,7 @@ from .sharding import op8_sharding
 from .templates import op2_chat_template
 from .transport import op1_transport_streams
 
-QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_chat_template, op3_language_id, op4_best_fit_packing, op5_source_mixing, op8_sharding, op10_disclosure_sanitisation)}
+QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_chat_template, op3_language_id, op4_best_fit_packing, op5_source_mixing, op7_edit_fingerprints, op8_sharding, op10_disclosure_sanitisation)}
 
 #: No DuckDB statement expresses these operators; tests hold them against brute force instead.
 ORACLE_SQL: dict[str, str] = {}
