@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .edits import op7_edit_fingerprints
+from .jaccard import op6_jaccard_join
 from .langid import op3_language_id
 from .licenses import op9_license_scan
 from .mixing import op5_source_mixing
@@ -12,7 +13,7 @@ from .sharding import op8_sharding
 from .templates import op2_chat_template
 from .transport import op1_transport_streams
 
-QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_chat_template, op3_language_id, op4_best_fit_packing, op5_source_mixing, op7_edit_fingerprints, op8_sharding, op9_license_scan, op10_disclosure_sanitisation)}
+QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_chat_template, op3_language_id, op4_best_fit_packing, op5_source_mixing, op6_jaccard_join, op7_edit_fingerprints, op8_sharding, op9_license_scan, op10_disclosure_sanitisation)}
 
 #: No DuckDB statement expresses these operators; tests hold them against brute force instead.
 ORACLE_SQL: dict[str, str] = {}
