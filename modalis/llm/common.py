@@ -115,5 +115,5 @@ def running_total(df: DataFrame, group: list[str], order: list[Column], value: C
     )
 
 
-def buckets_for(rows: int, each: int = 20_000) -> int:
+def buckets_for(rows: int, each: int = 2_000) -> int:
     return max(8, -(-rows // each))

@@ -28,6 +28,8 @@ from .common import buckets_for, cut, running_total, table
 
 #: Words of a block, slots of an output shard, and times that a word may be taken.
 BLOCK, SLOTS, MOST = 64, 4096, 3
+#: Slots that a task makes, about.
+SLOTS_A_TASK = 100_000
 SPACE = r"[\x20\x09-\x0D]+"
 SEED = 20_240_229
 
@@ -97,7 +99,10 @@ def slots_of(sources: DataFrame, slots: int = SLOTS, block: int = BLOCK, most: i
     draw = lambda j: F.pmod(F.xxhash64(F.col("shard"), j, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     drawn = F.when(F.col("__rest") > 0, F.size(F.filter(F.sequence(F.lit(1).cast("long"), F.col("__rest")), lambda j: (draw(j) >= lo) & ((draw(j) < hi) | F.col("__last"))))).otherwise(0)
     s = s.withColumn("count", F.col("__base") + drawn).filter("count > 0").select("shard", "sid", "blocks", "count")
-    s = running_total(s, ["sid"], [F.col("shard")], F.col("count"), "__start", 64)
+    s = cut(running_total(s, ["sid"], [F.col("shard")], F.col("count"), "__start", 64))
+    # A few rows become very many: they are dealt out first, by a number of tasks that follows the slots.
+    n = s.agg(F.sum("count")).first()[0] or 0
+    s = s.repartition(max(1, n // SLOTS_A_TASK), "sid", "shard")
     s = s.withColumn("slot", F.explode(F.sequence(F.col("__start"), F.col("__start") + F.col("count") - 1))).filter(F.col("slot") < most * F.col("blocks"))
     s = s.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
     return s.select("shard", "sid", "slot", "pass", permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.col("sid"), F.col("pass"), F.lit(seed)).alias("block"))
@@ -123,7 +128,8 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MOS
     with_source = d.join(F.broadcast(sources), d["source"].eqNullSafe(sources["source"])).select(d["doc_id"], d["source"], d["key"], d["size"], "sid", "source_size", "target")
     placed = running_total(with_source, ["sid"], [F.col("key")], F.col("size"), "offset", buckets_for(rows))
     taken = slots_of(sources, slots, block, most).groupBy("sid", "block").agg(F.count("*").alias("times"))
-    return with_source, fragments(placed, block).join(taken, ["sid", "block"])
+    # Sizes of exploded tables are not known to the planner: neither side is to be broadcast.
+    return with_source, fragments(placed, block).hint("merge").join(taken, ["sid", "block"])
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
