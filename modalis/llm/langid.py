@@ -110,6 +110,19 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
+def kept(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
+    """The rows of ``docs`` (columns of documents) whose language is not rejected, as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+    names = docs.columns
+    at = names.index("text")
+
+    def make():
+        c = Classifier(shared.value)
+        return lambda *row: [] if c.predict(row[at])[2] else [row]
+
+    return map_rows(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")))
 
