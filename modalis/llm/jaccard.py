@@ -19,6 +19,8 @@ different texts is lost. Four things keep it from growing with the square of a g
 
 Everything is joins and aggregates by key; only bounded things are collected or broadcast: the order's frequent
 shingles (at most ``FREQUENT``; which they are changes the work, not the result) and, up to ``FEW`` rows, ids.
+Texts are read once: each row keeps the least hashes of its set, twice its prefix, and only rows of which too
+many of those are frequent are read again.
 
 Defined cases: null texts and texts without words have empty sets, link with nothing and are their own
 component; rows with equal doc_id count as documents of their own that carry one id; null doc_ids sort first
@@ -28,19 +30,23 @@ ignored; texts are read whole.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from .common import cut, map_rows, table
+from .common import OUT_ROWS, cut, ddl, map_rows, table
 from .components import components
 
 #: Shingle words and least similarity of the query's contract; HASHES min-hashes; a hub is at least half alike.
 WORDS, NUM, DEN, HASHES = 4, 85, 100, 4
-#: Documents from which a shingle is frequent, shingles in the order at most, share of hashes that are counted.
-OFTEN, FREQUENT, COUNTED = 32, 500_000, 0.3
+#: Rows from which a shingle is frequent, and frequent shingles at most. Tasks count what they see twice.
+OFTEN, FREQUENT, TWICE = 32, 500_000, 4_000_000
 #: Ids up to which a semi-join broadcasts them, entries of a list from which it is dealt into blocks of BLOCK.
 FEW, BLOCK = 1_000_000, 512
 CACHE = 300_000
@@ -72,7 +78,8 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     for i in range(k):
         h = (h ^ a[i : i + n]) * MIX[i % len(MIX)]
         h ^= h >> TURN
-    return np.unique(h)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def least_overlap(n: Column | int, m: Column | int, num: int, den: int) -> Column:
@@ -87,20 +94,58 @@ def signed(h: np.ndarray) -> list[int]:
 # --- 1: sets -------------------------------------------------------------------------------------------
 
 
-def set_rows(docs: DataFrame, words: int) -> DataFrame:
-    """rid, n, digest, mins of every row of ``docs`` (rid, text)."""
+def prefix_size(n: int | np.ndarray, num: int, den: int) -> int | np.ndarray:
+    return n - -(-n * num // den) + 1
 
-    def make():
-        def each(rid, text):
-            h = shingles(text, words)
-            if len(h):
-                yield rid, len(h), xxhash.xxh3_128_digest(h.tobytes()), [int((h * (c | np.uint64(1))).min().view(np.int64)) for c in MIX[:HASHES]]
-            else:
-                yield rid, 0, None, []
 
-        return each
+def lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    values = np.concatenate(parts).view(np.int64) if parts else np.empty(0, np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+
+def repeated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that occur twice or more in ``parts``, and how often."""
+    h, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
+    return h[n > 1], n[n > 1].astype(np.int64)
+
+
+SETS = "rid long, n long, digest binary, mins array<long>, low array<long>, counts array<long>"
 
-    return map_rows(docs, make, "rid long, n long, digest binary, mins array<long>")
+
+def set_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """rid, n, digest, mins, low (the least hashes) of every row of ``docs`` (rid, text); and rows with n null,
+    the hashes in ``low`` that a task keeps more than once and their ``counts``."""
+    arrow = to_arrow_schema(ddl(SETS))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        rid, n, digest, mins, low, counts = zip(*rows, strict=True)
+        columns = [pa.array(rid, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists(mins), lists(low), lists(counts)]
+        return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none, seen, held = np.empty(0, np.uint64), [], 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, OUT_ROWS):
+                part, out = whole.slice(at, OUT_ROWS), []
+                for rid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    h = shingles(text, words)
+                    if not len(h):
+                        out.append((rid, 0, None, none, none, none))
+                        continue
+                    low = h[: 2 * prefix_size(len(h), num, den) + 16]
+                    mins = np.array([(h * (c | np.uint64(1))).min() for c in MIX[:HASHES]], np.uint64)
+                    out.append((rid, len(h), xxhash.xxh3_128_digest(h.tobytes()), mins, low, none))
+                    seen.append(low)
+                    held += len(low)
+                    if held >= TWICE:
+                        out.append((None, None, None, none, *repeated(seen)))
+                        seen, held = [], 0
+                yield batch(out)
+        if seen:
+            yield batch([(None, None, None, none, *repeated(seen))])
+
+    return docs.select("rid", "text").mapInArrow(run, ddl(SETS))
 
 
 # --- 2: hubs ---------------------------------------------------------------------------------------------
@@ -177,44 +222,71 @@ def hub_links(members: DataFrame, num: int, den: int) -> DataFrame:
 # --- 3 and 4: index lists --------------------------------------------------------------------------------
 
 
-def frequent(docs: DataFrame, words: int) -> np.ndarray:
-    """Sorted hashes of shingles in OFTEN rows or more, the most frequent FREQUENT of those with small hashes
-    (prefixes reach little further): the end of the order of the index."""
-    top = np.uint64(int(COUNTED * 2**64))
-
-    def make():
-        def each(rid, text):
-            h = shingles(text, words)
-            yield (signed(h[: np.searchsorted(h, top)]),)
-
-        return each
-
-    counts = map_rows(docs, make, "low array<long>").select(F.explode("low").alias("t")).groupBy("t").agg(F.count("*").alias("f")).filter(F.col("f") >= OFTEN)
-    return np.sort(np.array([r["t"] for r in counts.orderBy(F.desc("f"), "t").limit(FREQUENT).select("t").collect()], np.int64).view(np.uint64))
-
-
-def prefixes(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """rid, size, keys: the shingles of each set by which it meets every set that it may link with."""
-    late = docs.sparkSession.sparkContext.broadcast(frequent(docs, words))
-
-    def make():
-        last = late.value
-
-        def each(rid, text):
-            h = shingles(text, words)
-            n = len(h)
-            if not n:
-                return
-            p = n - -(-n * num // den) + 1
-            if len(last):
-                at = np.minimum(np.searchsorted(last, h), len(last) - 1)
-                is_late = last[at] == h
-                h = np.concatenate([h[~is_late], h[is_late]])
-            yield rid, n, signed(h[:p])
-
-        return each
-
-    return map_rows(docs, make, "rid long, size long, keys array<long>")
+def frequent(sets: DataFrame) -> np.ndarray:
+    """Sorted hashes of shingles that tasks keep OFTEN times or more, the FREQUENT most frequent: the end of
+    the order of the index."""
+    counts = sets.filter("n is null").select(F.explode(F.arrays_zip("low", "counts")).alias("x")).groupBy(F.col("x.low").alias("t")).agg(F.sum("x.counts").alias("f")).filter(F.col("f") >= OFTEN)
+    top = counts.orderBy(F.desc("f"), "t").limit(FREQUENT).select("t").toArrow()
+    return np.sort(top.column(0).to_numpy().view(np.uint64))
+
+
+def is_in(sorted_: np.ndarray, h: np.ndarray) -> np.ndarray:
+    if not len(sorted_):
+        return np.zeros(len(h), bool)
+    return sorted_[np.minimum(np.searchsorted(sorted_, h), len(sorted_) - 1)] == h
+
+
+POSTINGS = "key long, rid long, size int, rest int"
+
+
+def postings_of(sets: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """key, rid, size, rest: the shingles by which each set meets every set that it may link with, and how
+    many of the set stand from there on, in the order of hashes with frequent shingles last."""
+    late = docs.sparkSession.sparkContext.broadcast(frequent(sets))
+    arrow = to_arrow_schema(ddl(POSTINGS))
+
+    def batch(key: np.ndarray, rid: np.ndarray, size: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(rid), pa.array(size.astype(np.int32)), pa.array(rest.astype(np.int32))], schema=arrow)
+
+    def whole(rid: int, h: np.ndarray) -> pa.RecordBatch:
+        end = is_in(late.value, h)
+        n = len(h)
+        p = prefix_size(n, num, den)
+        return batch(np.concatenate([h[~end], h[end]])[:p], np.full(p, rid), np.full(p, n), n - np.arange(p))
+
+    def from_low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rid, n, low = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False), b.column(2)
+            starts = low.offsets.to_numpy()
+            h = low.values.to_numpy(zero_copy_only=False).view(np.uint64)[starts[0] : starts[-1]]
+            starts = starts - starts[0]
+            held = np.diff(starts)
+            early = ~is_in(late.value, h)
+            upto = np.concatenate([[0], np.cumsum(early)])
+            p = prefix_size(n, num, den)
+            plain = upto[starts[1:]] - upto[starts[:-1]] >= p
+            owner = np.repeat(np.arange(len(n)), held)
+            place = upto[1:] - 1 - upto[starts[:-1]][owner]
+            kept = early & plain[owner] & (place < p[owner])
+            of = owner[kept]
+            yield batch(h[kept], rid[of], n[of], n[of] - place[kept])
+            for k in np.flatnonzero(~plain & (held == n)):
+                yield whole(rid[k], h[starts[k] : starts[k + 1]])
+
+    def unfinished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = [k for k, (n, low) in enumerate(zip(b.column(1).to_pylist(), b.column(2), strict=True)) if len(low) < n and (~is_in(late.value, low.values.to_numpy().view(np.uint64))).sum() < prefix_size(n, num, den)]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(keep, pa.int64()))], names=["rid"])
+
+    def from_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rid, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                yield whole(rid, shingles(text, words))
+
+    some = sets.filter("n > 0").select("rid", "n", "low")
+    again = cut(some.mapInArrow(unfinished, ddl("rid long")).distinct())
+    texts = docs.join(F.broadcast(again) if again.count() <= FEW else again, "rid", "left_semi").select("rid", "text")
+    return some.mapInArrow(from_low, ddl(POSTINGS)).unionByName(texts.mapInArrow(from_text, ddl(POSTINGS)))
 
 
 def enough(n1: Column, r1: Column, n2: Column, r2: Column, num: int, den: int) -> Column:
@@ -223,10 +295,12 @@ def enough(n1: Column, r1: Column, n2: Column, r2: Column, num: int, den: int) -
     return (den * n1 >= num * n2) & (den * n2 >= num * n1) & (F.least(r1, r2) >= least_overlap(n1, n2, num, den))
 
 
-def list_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: pairs of sets of different hubs that share a list and pass its tests. ``postings``: key, rid,
-    hub, size, rest (shingles from the key on)."""
-    p = postings.repartition("key")
+def list_pairs(postings: DataFrame, hubs: DataFrame, num: int, den: int) -> DataFrame:
+    """a, b: pairs of sets of different hubs that share a list and pass its tests. ``hubs``: rid, hub of every
+    set that stands for its equals."""
+    p = postings.repartition("key").withColumn("rows", F.count("*").over(Window.partitionBy("key"))).filter("rows > 1").drop("rows")
+    p = cut(p.join(hubs, "rid"))
+    p = p.repartition("key")
     blocks = p.groupBy("key", "hub").agg(F.min("size").alias("n0"), F.max("size").alias("n1"), F.max("rest").alias("r"))
     blocks = blocks.withColumn("long", F.count("*").over(Window.partitionBy("key"))).filter("long > 1")
     # A list of more than BLOCK entries is dealt into blocks; each entry goes to every pair of its block.
@@ -245,18 +319,6 @@ def list_pairs(postings: DataFrame, num: int, den: int) -> DataFrame:
     return two.filter(enough(F.col("na"), F.col("ra"), F.col("nb"), F.col("rb"), num, den)).select("a", "b").distinct()
 
 
-def differing(pairs: DataFrame, keys: DataFrame, num: int, den: int) -> DataFrame:
-    """``pairs`` whose prefixes alone don't show too large a difference: of the shingles up to the lesser of
-    the prefixes' ends, each that only one prefix has is one that only one set has."""
-    k = keys.select("rid", "size", "keys")
-    both = pairs.join(k.select(F.col("rid").alias("a"), F.col("size").alias("na"), F.col("keys").alias("ka")), "a")
-    both = both.join(k.select(F.col("rid").alias("b"), F.col("size").alias("nb"), F.col("keys").alias("kb")), "b")
-    shared = F.size(F.array_intersect("ka", "kb"))
-    # One of the prefixes ends first; all of it that is not shared differs.
-    differ = F.least(F.size("ka"), F.size("kb")) - shared
-    return both.filter(differ <= F.col("na") + F.col("nb") - 2 * least_overlap(F.col("na"), F.col("nb"), num, den)).select("a", "b")
-
-
 # --- the operator ----------------------------------------------------------------------------------------
 
 
@@ -267,7 +329,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
     unique = ids["n"] == ids["d"]
     rid = F.col("doc_id") if unique else F.xxhash64("doc_id", "text")
     d = rows.select(rid.alias("rid"), "text")
-    sets = cut(set_rows(d, words))
+    sets = cut(set_rows(d, words, num, den))
     reps = sets.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     reps = cut(reps)
     keyed = reps.select("rep", F.posexplode("mins").alias("j", "m"))
@@ -286,15 +348,12 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
     own = own.join(reps.select(F.col("rep").alias("a"), "n"), "a").withColumn("delta", F.array().cast("array<long>"))
     members = cut(chosen.select("a", "hub", "n", "delta").unionByName(own.select("a", "hub", "n", "delta")))
     links = links.unionByName(hub_links(members, num, den))
-    keys = cut(prefixes(d, words, num, den).join(reps.select(F.col("rep").alias("rid")), "rid", "left_semi"))
-    hubs = members.select(F.col("a").alias("rid"), "hub")
-    postings = keys.join(hubs, "rid", "left").select("rid", F.coalesce("hub", "rid").alias("hub"), "size", F.posexplode("keys").alias("pos", "key"))
-    pairs = cut(list_pairs(postings.select("key", "rid", "hub", "size", (F.col("size") - F.col("pos")).alias("rest")), num, den))
-    pairs = cut(differing(pairs, keys, num, den))
+    hubs = reps.select(F.col("rep").alias("rid")).join(members.select(F.col("a").alias("rid"), "hub"), "rid", "left").select("rid", F.coalesce("hub", "rid").alias("hub"))
+    pairs = cut(list_pairs(postings_of(sets, d, words, num, den), hubs, num, den))
     links = links.unionByName(compared(pairs, d, words, num, den, False).select("a", "b"))
     labels = components(links)
     named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
-    out = sets.select("rid", "n", "digest").join(named, "digest", "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("label", "rid").alias("label"))
+    out = sets.filter("n is not null").select("rid", "n", "digest").join(named, "digest", "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("label", "rid").alias("label"))
     if unique:
         return out.select(F.col("rid").alias("doc_id"), "rid", "n_shingles", F.col("label").alias("component_id"), (F.col("rid") == F.col("label")).alias("first"))
     out = out.distinct().join(rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid")), "rid")
