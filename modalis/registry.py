@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .plans import algebra, data, decompositions, geometry, models, signals, statistics, storage
+from .plans.base import ORACLE_SQL, QUERIES
+
+flagship = decompositions.pod_modes
+
+__all__ = ["ORACLE_SQL", "QUERIES", "algebra", "data", "decompositions", "flagship", "geometry", "models", "signals", "statistics", "storage"]
