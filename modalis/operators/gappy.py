@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
 from . import linalg as L
 from .modal import Modes, pod, truncate
 
@@ -80,18 +81,17 @@ def observed_mean_fill(rows: DataFrame) -> DataFrame:
     return rows.select("row_id", F.transform("x", lambda v: F.when(v == 0, F.coalesce(mean, F.lit(float("nan")))).otherwise(v)).alias("x"))
 
 
-def reconstruct_full_set(rows: DataFrame, iterations: int, truncation: float = -0.99, ridge: float | None = None, cut=None) -> tuple[DataFrame, np.ndarray]:
+def reconstruct_full_set(rows: DataFrame, iterations: int, truncation: float = -0.99, ridge: float | None = None) -> tuple[DataFrame, np.ndarray]:
     """Refill the gaps of a whole set: start from means, then fit on the filled set and replace the gaps, again
-    and again. Observed entries never change. ``cut`` materialises each iteration. Also the spectrum S after
-    each."""
+    and again. Observed entries never change. Each iteration
+    is materialised. Also the spectrum S after each."""
     filled, spectra = observed_mean_fill(rows), []
     for _ in range(iterations):
         model = GappyPOD(truncation=truncation, ridge=ridge).fit(filled)
         spectra.append(model.modes.s)
         guess = model.predict(rows).withColumnRenamed("x", "g")
         filled = rows.join(guess, "row_id").select("row_id", F.zip_with("x", "g", lambda x, g: F.when(x == 0, g).otherwise(x)).alias("x"))
-        if cut is not None:
-            filled = cut(filled)
+        filled = cut(filled)
     return filled, spectra
 
 

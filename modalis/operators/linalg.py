@@ -261,4 +261,4 @@ def as_table(df: DataFrame, a: np.ndarray, names: tuple[str, ...] = ("i", "j", "
     a = np.atleast_2d(a)
     i, j = np.indices(a.shape).reshape(2, -1)
     frame = pd.DataFrame({names[0]: i.astype(np.int64), names[1]: j.astype(np.int32), names[2]: a.ravel()})
-    return df.sparkSession.createDataFrame(frame)
+    return df.sparkSession.createDataFrame(frame, f"{names[0]} bigint, {names[1]} int, {names[2]} double")

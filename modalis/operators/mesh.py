@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..functions.lineage import cut
 
 # Element types, what solvers and result formats call them, and kinds of mesh.
 QUAD, HEXAHEDRON = 3, 5
@@ -154,29 +155,42 @@ def wall_normals(points: DataFrame, cells: DataFrame) -> DataFrame:
     return n.select("cell_id", F.col("k").cast("int"), *((sign * x / size).alias(a) for a, x in zip(("nx", "ny", "nz"), raw, strict=True)))
 
 
-def coherent_normals(cells: DataFrame, area: DataFrame, cut=None) -> DataFrame:
-    """cell_id, nx, ny, nz with signs that agree across shared edges, from the least border cell on; then the
-    border is turned if it stands against the inside. A frontier of cells joins its neighbours each round, so
-    rounds grow with the mesh's width."""
-    pairs = cell_adjacency(cells)
-    if cut:
-        pairs = cut(pairs)
-    border = border_cells(cells)
-    start = border.agg(F.min("cell_id").alias("c")).first()["c"]
-    done = area.filter(F.col("cell_id") == start).withColumn("turn", F.lit(1.0))
-    front = done
+def agreeing_signs(cells: DataFrame, area: DataFrame) -> DataFrame:
+    """cell_id, root, sign: signs that make normals agree with those of the root of their connected part.
+
+    Each part hooks on to the neighbouring part with the least root, and chains of hooks are shortened by
+    doubling: rounds grow with the logarithm of the mesh, not with its width.
+    """
+    n = area.select("cell_id", "nx", "ny", "nz")
+    pairs = cell_adjacency(cells).join(n, "cell_id").join(n.toDF("neighbour", "mx", "my", "mz"), "neighbour")
+    inner = C.dot((F.col("nx"), F.col("ny"), F.col("nz")), (F.col("mx"), F.col("my"), F.col("mz")))
+    pairs = cut(pairs.select("cell_id", "neighbour", F.when(inner < 0, -1).otherwise(1).alias("s")))
+    state = cells.select("cell_id", F.col("cell_id").alias("root"), F.lit(1).alias("sign"))
     while True:
-        reach = pairs.join(front.select("cell_id", *(F.col(a).alias(f"f{a}") for a in ("nx", "ny", "nz")), F.col("turn").alias("t")), "cell_id").join(done.select(F.col("cell_id").alias("neighbour")), "neighbour", "left_anti")
-        first = reach.groupBy("neighbour").agg(F.min_by(F.struct("fnx", "fny", "fnz", "t"), "cell_id").alias("f"))
-        new = first.join(area.withColumnRenamed("cell_id", "neighbour"), "neighbour")
-        inner = C.dot((F.col("f.fnx"), F.col("f.fny"), F.col("f.fnz")), (F.col("nx"), F.col("ny"), F.col("nz"))) * F.col("f.t")
-        front = new.select(F.col("neighbour").alias("cell_id"), "nx", "ny", "nz", F.when(inner < 0, -1.0).otherwise(1.0).alias("turn"))
-        front = cut(front) if cut else front.cache()
-        if not front.take(1):
-            break
-        done = done.unionByName(front)
-        done = cut(done) if cut else done.cache()
-    n = done.select("cell_id", *((F.col(a) * F.col("turn")).alias(a) for a in ("nx", "ny", "nz"))).join(border.withColumn("b", F.lit(True)), "cell_id", "left").withColumn("b", F.coalesce("b", F.lit(False)))
+        a, b = state.toDF("cell_id", "ra", "sa"), state.toDF("neighbour", "rb", "sb")
+        e = pairs.join(a, "cell_id").join(b, "neighbour").filter("rb < ra")
+        hook = cut(e.groupBy("ra").agg(F.min(F.struct("rb", (F.col("s") * F.col("sa") * F.col("sb")).alias("s"))).alias("m")).select("ra", "m.rb", "m.s"))
+        if hook.isEmpty():
+            return state
+        while True:
+            on = hook.toDF("rb", "up", "t")
+            longer = hook.join(on, "rb", "left")
+            if longer.filter("up is not null").isEmpty():
+                break
+            hook = cut(longer.select("ra", F.coalesce("up", "rb").alias("rb"), (F.col("s") * F.coalesce("t", F.lit(1))).alias("s")))
+        moved = state.join(hook.withColumnRenamed("ra", "root"), "root", "left")
+        state = cut(moved.select("cell_id", F.coalesce("rb", "root").alias("root"), (F.col("sign") * F.coalesce("s", F.lit(1))).alias("sign")))
+
+
+def coherent_normals(cells: DataFrame, area: DataFrame) -> DataFrame:
+    """cell_id, nx, ny, nz with signs that agree across shared edges with the least border cell's; parts that
+    it doesn't reach stay. Then the border is turned if it stands against the inside."""
+    border = border_cells(cells)
+    signs = agreeing_signs(cells, area)
+    start = signs.join(border, "cell_id").agg(F.min(F.struct("cell_id", "root", "sign")).alias("m")).first()["m"]
+    turn = F.when(F.col("root") == start["root"], F.col("sign") * start["sign"]).otherwise(1)
+    n = area.join(signs.select("cell_id", turn.alias("turn")), "cell_id").select("cell_id", *((F.col(a) * F.col("turn")).alias(a) for a in ("nx", "ny", "nz")))
+    n = n.join(border.withColumn("b", F.lit(True)), "cell_id", "left").withColumn("b", F.coalesce("b", F.lit(False)))
     m = {r["b"]: np.array([r["x"], r["y"], r["z"]]) for r in n.groupBy("b").agg(F.avg("nx").alias("x"), F.avg("ny").alias("y"), F.avg("nz").alias("z")).collect()}
     against = len(m) == 2 and float(m[True] @ m[False]) < 0
     sign = F.when(F.col("b"), -1.0 if against else 1.0).otherwise(1.0)

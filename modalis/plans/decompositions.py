@@ -1,5 +1,232 @@
-"""Queries."""
+"""Modal decompositions. Results that a factorisation fixes only up to sign are compared by invariants."""
 
+from __future__ import annotations
 
-def pod_modes(spark, d):
-    return spark.range(1)
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import linalg as L
+from ..operators import manifold, modal
+from ..operators import gappy as P
+from .base import EMB, MONTH, MONTHS, month_rows, query, r, rows_of
+
+
+def numbered(spark: SparkSession, names: list[str], *columns: np.ndarray) -> DataFrame:
+    rows = [(k, *(float(c[k]) for c in columns)) for k in range(len(columns[0]))]
+    return spark.createDataFrame(rows, "mode int, " + ", ".join(f"{n} double" for n in names))
+
+
+@query()
+def pod_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Singular values, energies and residuals of the part x month matrix: the flagship."""
+    m = modal.pod(month_rows(spark, d))
+    e = m.s**2 / (m.s**2).sum()
+    out = numbered(spark, ["s", "energy", "cumulative", "residual"], m.s, e, np.cumsum(e), modal.residuals(m.s))
+    return out.select("mode", r("s", "s", 4), r("energy", "energy"), r("cumulative", "cumulative"), r("residual", "residual"))
+
+
+@query(f"WITH {MONTH} SELECT round(sum((v - m) * (v - m)), 3) + 0.0 AS total FROM (SELECT v, avg(v) OVER (PARTITION BY i) AS m FROM x)")
+def pod_total_energy(spark: SparkSession, d: str) -> DataFrame:
+    """Squared singular values add up to the energy of the fluctuations."""
+    m = modal.pod(month_rows(spark, d))
+    return spark.createDataFrame([(float((m.s**2).sum()),)], "t double").select(r("t", "total", 3))
+
+
+@query(f"WITH {EMB} SELECT i, j, round(v, 6) + 0.0 AS v FROM emb")
+def pod_reconstruct_full(spark: SparkSession, d: str) -> DataFrame:
+    """All modes give the matrix back."""
+    m = modal.pod(rows_of(spark, d), remove_mean=False)
+    return modal.reconstruct(m).select(F.col("row_id").alias("i"), F.posexplode("x").alias("j", "v")).select("i", "j", r("v", "v"))
+
+
+@query(f"WITH {EMB} SELECT i, j, round(v - avg(v) OVER (PARTITION BY i), 6) + 0.0 AS v FROM emb")
+def pod_reconstruct_centred(spark: SparkSession, d: str) -> DataFrame:
+    """Means are not added back."""
+    m = modal.pod(rows_of(spark, d))
+    return modal.reconstruct(m).select(F.col("row_id").alias("i"), F.posexplode("x").alias("j", "v")).select("i", "j", r("v", "v"))
+
+
+@query("SELECT true AS agrees")
+def pod_residual(spark: SparkSession, d: str) -> DataFrame:
+    """The error of a truncated reconstruction is the residual that its singular values tell."""
+    y = modal.centred(rows_of(spark, d))
+    m = modal.truncate(modal.pod(rows_of(spark, d)), 20)
+    full = modal.pod(rows_of(spark, d)).s
+    both = y.join(modal.reconstruct(m).withColumnRenamed("x", "y"), "row_id")
+    pairs = both.select(F.explode(F.arrays_zip(F.col("x").alias("a"), F.col("y").alias("b"))).alias("p")).select("p.a", "p.b")
+    got = F.sqrt(F.sum((F.col("a") - F.col("b")) ** 2) / F.sum(F.col("a") ** 2))
+    return pairs.agg((F.abs(got - F.lit(float(modal.residuals(full)[20]))) < 1e-9).alias("agrees"))
+
+
+@query("SELECT * FROM (VALUES (CAST(-0.81 AS DOUBLE), 3), (-0.75, 2), (2.0, 2), (0.3, 2), (0.6, 1)) t(r, n)")
+def pod_truncation(spark: SparkSession, d: str) -> DataFrame:
+    """Modes kept of S = 8, 4, 2, 1."""
+    s = np.array([8.0, 4.0, 2.0, 1.0])
+    return spark.createDataFrame([(c, modal.truncation(s, c)) for c in (-0.81, -0.75, 2.0, 0.3, 0.6)], "r double, n int")
+
+
+@query()
+def pod_randomized(spark: SparkSession, d: str) -> DataFrame:
+    """Leading singular values by sketching."""
+    m = modal.pod(month_rows(spark, d), randomized=True, r=8, q=3, seed=25)
+    return numbered(spark, ["s"], m.s[:6]).select("mode", r("s", "s", 3))
+
+
+@query(f"WITH {EMB} SELECT CAST(i // 2 AS BIGINT) AS point, round(max(CASE WHEN j = 2 THEN v END), 9) + 0.0 AS a, round(max(CASE WHEN j = 0 THEN v END), 9) + 0.0 AS b FROM emb WHERE i % 2 = 1 GROUP BY 1")
+def extract_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Second of two interleaved fields, modes 3 and 1."""
+    e = modal.extract_modes(rows_of(spark, d), 2, 2, [3, 1])
+    return e.select("point", r(F.element_at("x", 1), "a", 9), r(F.element_at("x", 2), "b", 9))
+
+
+@query(f"""
+    WITH {EMB}, y AS (SELECT i, j, (v - avg(v) OVER w) / var_pop(v) OVER w AS v FROM emb WINDOW w AS (PARTITION BY i))
+    SELECT j AS t, round(sqrt(sum(v * v)), 4) + 0.0 AS norm FROM y GROUP BY j
+""")
+def pca_scores_norm(spark: SparkSession, d: str) -> DataFrame:
+    """Scores keep the norms of the scaled snapshots."""
+    _, scores = modal.pca(rows_of(spark, d))
+    n = np.sqrt((scores**2).sum(axis=1))
+    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(n)], "t int, n double").select("t", r("n", "norm", 4))
+
+
+@query()
+def pca_t2(spark: SparkSession, d: str) -> DataFrame:
+    """Scores of snapshots and the limit at 80 %."""
+    _, scores = modal.pca(rows_of(spark, d))
+    t2, limit = modal.t2_score(scores)
+    return spark.createDataFrame([(k, float(v), float(limit)) for k, v in enumerate(t2)], "t int, t2 double, l double").select("t", r("t2", "t2", 4), r("l", "limit", 4))
+
+
+@query()
+def coherent_modes(spark: SparkSession, d: str) -> DataFrame:
+    m = modal.pod(month_rows(spark, d))
+    scores, limit, _, _ = modal.coherent_modes(m.vt, np.arange(MONTHS, dtype=float))
+    return numbered(spark, ["t2"], scores).select("mode", r("t2", "t2", 4), (F.col("t2") > float(limit)).alias("coherent"))
+
+
+@query(f"""
+    WITH {EMB}, w AS (SELECT i, max(CASE WHEN j = 0 THEN v END) AS a, max(CASE WHEN j = 1 THEN v END) AS b, max(CASE WHEN j = 2 THEN v END) AS c FROM emb GROUP BY i),
+         g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * c) AS ac, sum(b * c) AS bc FROM w)
+    SELECT round((bb * ab - ab * bb + aa * bc - ab * ac) / (aa * bb - ab * ab), 6) + 0.0 AS trace FROM g
+""")
+def dmd_trace(spark: SparkSession, d: str) -> DataFrame:
+    """Eigenvalues of three snapshots add up to the trace of the projected operator."""
+    m = modal.dmd(rows_of(spark, d).select("row_id", F.slice("x", 1, 3).alias("x")), 2, remove_mean=False)
+    return spark.createDataFrame([(float(m.mu.sum().real),)], "t double").select(r("t", "trace"))
+
+
+@query()
+def dmd_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """Damping, frequency and amplitude of the ten strongest dynamic modes of the part x month matrix."""
+    m = modal.dmd(month_rows(spark, d), 12)
+    damping, frequency = modal.frequency_damping(m.mu, 1.0)
+    return numbered(spark, ["damping", "frequency", "amplitude"], damping[:10], frequency[:10], np.abs(m.amplitude)[:10]).select("mode", r("damping", "damping", 4), r("frequency", "frequency", 4), r("amplitude", "amplitude", 2))
+
+
+@query("SELECT true AS agrees")
+def dmd_oscillation(spark: SparkSession, d: str) -> DataFrame:
+    """A decaying oscillation is found again, and reconstructed."""
+    t = np.arange(24.0)
+    data = [(k, [float(np.exp(-0.05 * x) * np.cos(0.6 * x + k)) for x in t]) for k in range(40)]
+    rows = spark.createDataFrame(data, "row_id bigint, x array<double>")
+    m = modal.dmd(rows, 2, remove_mean=False)
+    damping, frequency = modal.frequency_damping(m.mu, 1.0)
+    back = modal.dmd_reconstruct(m, t[:-1]).join(rows.withColumnRenamed("x", "y"), "row_id")
+    worst = F.max(F.array_max(F.zip_with("x", F.slice("y", 1, 23), lambda a, b: F.abs(a - b))))
+    fits = bool(np.allclose(damping, -0.05) and np.allclose(np.abs(frequency), 0.6))
+    return back.agg(((worst < 1e-6) & F.lit(fits)).alias("agrees"))
+
+
+@query()
+def spod_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """Energy by frequency and block of the part x month matrix."""
+    m = modal.spod(month_rows(spark, d), np.arange(MONTHS, dtype=float), 16, 8)
+    return numbered(spark, ["frequency", "first", "second"], m.frequency, m.energy[:, 0], m.energy[:, 1]).select("mode", r("frequency", "frequency"), r("first", "first", 1), r("second", "second", 1))
+
+
+@query(f"""
+    WITH {EMB}, y AS (SELECT i, j, v - avg(v) OVER (PARTITION BY i) AS v FROM emb), b AS (SELECT CAST(unnest(range(7)) AS INTEGER) AS block),
+         w AS (SELECT CAST(unnest(range(16)) AS INTEGER) AS pos), k AS (SELECT CAST(unnest(range(9)) AS INTEGER) AS f),
+         x AS (SELECT i, block, f, sum(v * (0.54 - 0.46 * cos(2 * pi() * pos / 15)) * cos(2 * pi() * f * pos / 16)) AS re,
+                      sum(v * (0.54 - 0.46 * cos(2 * pi() * pos / 15)) * sin(2 * pi() * f * pos / 16)) AS im
+               FROM y JOIN (SELECT block, pos FROM b CROSS JOIN w) p ON y.j = p.block * 8 + p.pos CROSS JOIN k GROUP BY ALL)
+    SELECT f, round(sum(re * re + im * im) * CASE WHEN f IN (0, 8) THEN 1 ELSE 4 END / 7 / 256 / (0.54 - 0.46 / 16) ** 2, 4) + 0.0 AS energy FROM x GROUP BY f
+""")
+def spod_parseval(spark: SparkSession, d: str) -> DataFrame:
+    """Energies of a frequency add up to that of its windowed transforms."""
+    m = modal.spod(rows_of(spark, d), np.arange(64.0), 16, 8)
+    f = np.round(m.frequency * 16).astype(int)
+    return spark.createDataFrame([(int(k), float(e)) for k, e in zip(f, m.energy.sum(axis=1), strict=True)], "f int, e double").select("f", r("e", "energy", 4))
+
+
+GAPS = f"{EMB}, g AS (SELECT i, j, CASE WHEN (i * 31 + j * 17) % 7 = 0 THEN 0.0 ELSE v END AS v FROM emb)"
+
+
+def gappy_rows(spark: SparkSession, d: str) -> DataFrame:
+    gap = lambda v, j: F.when((F.col("row_id") * 31 + j * 17) % 7 == 0, 0.0).otherwise(v)
+    return rows_of(spark, d).select("row_id", F.transform("x", gap).alias("x"))
+
+
+@query(f"WITH {GAPS} SELECT i, j, round(v, 6) + 0.0 AS v FROM g WHERE v <> 0")
+def gpod_known_entries(spark: SparkSession, d: str) -> DataFrame:
+    """Refilling never changes an observed entry."""
+    rows = gappy_rows(spark, d)
+    filled, _ = P.reconstruct_full_set(rows, 1, truncation=6)
+    both = rows.withColumnRenamed("x", "seen").join(filled, "row_id")
+    e = both.select(F.col("row_id").alias("i"), F.posexplode(F.arrays_zip("seen", "x")).alias("j", "p")).filter("p.seen <> 0")
+    return e.select("i", "j", r("p.x", "v"))
+
+
+@query(f"WITH {GAPS}, m AS (SELECT i, j, v, sum(v) OVER (PARTITION BY i) / count(CASE WHEN v <> 0 THEN 1 END) OVER (PARTITION BY i) AS m FROM g) SELECT i, j, round(CASE WHEN v = 0 THEN m ELSE v END, 6) + 0.0 AS v FROM m")
+def gpod_mean_fill(spark: SparkSession, d: str) -> DataFrame:
+    """The first guess: means of the observed entries."""
+    return P.observed_mean_fill(gappy_rows(spark, d)).select(F.col("row_id").alias("i"), F.posexplode("x").alias("j", "v")).select("i", "j", r("v", "v"))
+
+
+@query()
+def gpod_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of the entries that were taken out of low-rank snapshots and predicted again."""
+    low = modal.reconstruct(modal.truncate(modal.pod(rows_of(spark, d), remove_mean=False), 5))
+    gap = lambda v, j: F.when((F.col("row_id") * 31 + j * 17) % 7 == 0, 0.0).otherwise(v)
+    model = P.GappyPOD(truncation=5, ridge=None).fit(low)
+    out = model.predict(low.select("row_id", F.transform("x", gap).alias("x"))).withColumnRenamed("x", "y").join(low, "row_id")
+    worst = F.max(F.array_max(F.zip_with("x", "y", lambda a, b: F.abs(a - b))))
+    return out.agg(r(worst, "worst"))
+
+
+@query(f"""
+    WITH {EMB}, g AS (SELECT a.j AS j1, b.j AS j2, sqrt(sum((a.v - b.v) ** 2)) AS d FROM emb a JOIN emb b USING (i) WHERE a.j < b.j GROUP BY ALL)
+    SELECT j1, j2, round(d, 5) + 0.0 AS d FROM g
+""")
+def mds_distances(spark: SparkSession, d: str) -> DataFrame:
+    """With all dimensions the embedding keeps every distance."""
+    y = manifold.mds(rows_of(spark, d), 64)
+    n = y.shape[1]
+    rows = [(a, b, float(np.sqrt(((y[:, a] - y[:, b]) ** 2).sum()))) for a in range(n) for b in range(a + 1, n)]
+    return spark.createDataFrame(rows, "j1 int, j2 int, d double").select("j1", "j2", r("d", "d", 5))
+
+
+@query()
+def isomap_embed(spark: SparkSession, d: str) -> DataFrame:
+    """Two coordinates of each month, and the residual variance."""
+    y, residual, _ = manifold.isomap(month_rows(spark, d), 2, 12)
+    rows = [(k, float(abs(y[0, k])), float(abs(y[1, k])), float(residual)) for k in range(y.shape[1])]
+    return spark.createDataFrame(rows, "t int, a double, b double, v double").select("t", r("a", "a", 3), r("b", "b", 3), r("v", "residual"))
+
+
+@query(f"WITH {EMB}, p AS (SELECT a.j AS j1, b.j AS j2, sqrt(sum((a.v - b.v) ** 2)) AS d FROM emb a JOIN emb b USING (i) GROUP BY ALL), n AS (SELECT j1, j2, d, row_number() OVER (PARTITION BY j1 ORDER BY d, j2) AS k FROM p) SELECT j1, j2, round(d, 5) + 0.0 AS d FROM n WHERE k <= 7")
+def nearest_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The six nearest snapshots and the snapshot itself."""
+    m = L.column_distances(rows_of(spark, d))
+    near = np.argsort(m, axis=1, kind="stable")[:, :7]
+    rows = [(a, int(b), float(m[a, b])) for a in range(len(m)) for b in near[a]]
+    return spark.createDataFrame(rows, "j1 int, j2 int, d double").select("j1", "j2", r("d", "d", 5))
+
+
+@query(f"WITH {EMB} SELECT count(*) AS n, CAST(floor(500 * 0.15) AS BIGINT) AS zeros FROM emb WHERE j = 0")
+def zero_fraction(spark: SparkSession, d: str) -> DataFrame:
+    """An exact share of entries is set to 0."""
+    v = rows_of(spark, d).select(F.col("row_id").alias("i"), F.element_at("x", 1).alias("v"))
+    return P.zero_fraction(v, 15).agg(F.count("*").alias("n"), F.count(F.when(F.col("v") == 0, 1)).alias("zeros"))

@@ -1 +1,177 @@
-"""Queries."""
+"""Meshes: structured points and cells, centres, normals, adjacency, sensors."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import mesh as G
+from .base import query, r
+
+NX, NY = 31, 17
+N3 = (9, 7, 5)
+SPANS = ((0.0, 8.0), (-1.0, 2.0), (0.0, 1.0))
+
+P2 = f"p2 AS (SELECT p AS point_id, 9.0 / {NX - 1} * (p // {NY}) - 1.0 AS x, 4.0 / {NY - 1} * (p % {NY}) - 2.0 AS y, 0.0 AS z FROM (SELECT unnest(range({NX * NY})) AS p))"
+C2 = f"""c2 AS (SELECT c AS cell_id, unnest([0, 1, 2, 3]) AS k, unnest([i * {NY} + j, i * {NY} + j + 1, (i + 1) * {NY} + j + 1, (i + 1) * {NY} + j]) AS node
+        FROM (SELECT c, c // {NY - 1} AS i, c % {NY - 1} AS j FROM (SELECT unnest(range({(NX - 1) * (NY - 1)})) AS c)))"""
+E2 = f"{C2}, e2 AS (SELECT a.cell_id, a.k, a.node AS a, b.node AS b, least(a.node, b.node) AS v1, greatest(a.node, b.node) AS v2 FROM c2 a JOIN c2 b ON a.cell_id = b.cell_id AND b.k = (a.k + 1) % 4)"
+
+
+def points2(spark: SparkSession) -> DataFrame:
+    return G.struct2d_points(spark, NX, NY, (-1.0, 8.0), (-2.0, 2.0))
+
+
+def cells2(spark: SparkSession) -> DataFrame:
+    return G.struct2d_cells(spark, NX, NY)
+
+
+def warped(spark: SparkSession) -> DataFrame:
+    """The flat mesh bent out of its plane, and every other cell turned round: for normals."""
+    p = points2(spark)
+    return p.withColumn("z", 0.1 * F.col("x") * F.col("y"))
+
+
+@query(f"WITH {P2} SELECT point_id, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y, CAST(z AS DOUBLE) AS z FROM p2")
+def struct2d_points(spark: SparkSession, d: str) -> DataFrame:
+    return points2(spark).select("point_id", r("x", "x", 9), r("y", "y", 9), "z")
+
+
+@query(f"WITH {C2} SELECT cell_id, 3 AS eltype, CAST(k AS INTEGER) AS k, CAST(node AS INTEGER) AS node FROM c2")
+def struct2d_cells(spark: SparkSession, d: str) -> DataFrame:
+    return cells2(spark).select("cell_id", "eltype", F.posexplode("nodes").alias("k", "node"))
+
+
+P3 = f"p3 AS (SELECT p AS point_id, p // {N3[1] * N3[2]} AS i, p // {N3[2]} % {N3[1]} AS j, p % {N3[2]} AS k FROM (SELECT unnest(range({N3[0] * N3[1] * N3[2]})) AS p))"
+
+
+@query(f"WITH {P3} SELECT point_id, round(8.0 / {N3[0] - 1} * i, 9) + 0.0 AS x, round(3.0 / {N3[1] - 1} * j - 1.0, 9) + 0.0 AS y, round(1.0 / {N3[2] - 1} * k, 9) + 0.0 AS z FROM p3")
+def struct3d_points(spark: SparkSession, d: str) -> DataFrame:
+    return G.struct3d_points(spark, N3, SPANS).select("point_id", r("x", "x", 9), r("y", "y", 9), r("z", "z", 9))
+
+
+C3 = f"""c3 AS (SELECT c AS cell_id, c // {(N3[1] - 1) * (N3[2] - 1)} AS i, c // {N3[2] - 1} % {N3[1] - 1} AS j, c % {N3[2] - 1} AS k FROM (SELECT unnest(range({(N3[0] - 1) * (N3[1] - 1) * (N3[2] - 1)})) AS c)),
+    n3 AS (SELECT cell_id, o.k AS k, ((i + o.a) * {N3[1]} + j + o.b) * {N3[2]} + c3.k + o.c AS node FROM c3 CROSS JOIN (VALUES (0, 0, 0, 0), (1, 0, 0, 1), (2, 0, 1, 1), (3, 0, 1, 0), (4, 1, 0, 0), (5, 1, 0, 1), (6, 1, 1, 1), (7, 1, 1, 0)) o(k, a, b, c))"""
+
+
+@query(f"WITH {C3} SELECT cell_id, 5 AS eltype, CAST(k AS INTEGER) AS k, CAST(node AS INTEGER) AS node FROM n3")
+def struct3d_cells(spark: SparkSession, d: str) -> DataFrame:
+    return G.struct3d_cells(spark, N3).select("cell_id", "eltype", F.posexplode("nodes").alias("k", "node"))
+
+
+@query(f"WITH {P2}, {C2} SELECT cell_id, round(avg(x), 9) + 0.0 AS x, round(avg(y), 9) + 0.0 AS y FROM c2 JOIN p2 ON node = point_id GROUP BY cell_id")
+def cell_centers(spark: SparkSession, d: str) -> DataFrame:
+    return G.cell_centres(points2(spark), cells2(spark)).select("cell_id", r("x", "x", 9), r("y", "y", 9))
+
+
+@query(f"""
+    WITH {P2}, x AS (SELECT x, lead(x) OVER (ORDER BY x) AS n, row_number() OVER (ORDER BY x) - 1 AS k FROM (SELECT DISTINCT x FROM p2)),
+         y AS (SELECT y, lead(y) OVER (ORDER BY y) AS n, row_number() OVER (ORDER BY y) - 1 AS k FROM (SELECT DISTINCT y FROM p2))
+    SELECT x.k * {NY - 1} + y.k AS cell_id, round((x + x.n) / 2, 9) + 0.0 AS x, round((y + y.n) / 2, 9) + 0.0 AS y FROM x CROSS JOIN y WHERE x.n IS NOT NULL AND y.n IS NOT NULL
+""")
+def structured_centers(spark: SparkSession, d: str) -> DataFrame:
+    """From distinct coordinates alone."""
+    c = G.structured_centres(points2(spark))
+    return c.select((F.col("kx") * (NY - 1) + F.col("ky")).cast("bigint").alias("cell_id"), r("x", "x", 9), r("y", "y", 9))
+
+
+@query(f"""
+    WITH {P2}, {C2}, q AS (SELECT cell_id, k, x, y, 0.1 * x * y AS z FROM c2 JOIN p2 ON node = point_id),
+         m AS (SELECT cell_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM q GROUP BY cell_id),
+         u AS (SELECT q.cell_id, k, q.x - m.x AS x, q.y - m.y AS y, q.z - m.z AS z FROM q JOIN m USING (cell_id))
+    SELECT a.cell_id, round(sum(a.y * b.z - a.z * b.y) / 2, 9) + 0.0 AS nx, round(sum(a.z * b.x - a.x * b.z) / 2, 9) + 0.0 AS ny, round(sum(a.x * b.y - a.y * b.x) / 2, 9) + 0.0 AS nz
+    FROM u a JOIN u b ON a.cell_id = b.cell_id AND b.k = (a.k + 3) % 4 GROUP BY a.cell_id
+""")
+def cell_normals(spark: SparkSession, d: str) -> DataFrame:
+    n = G.normals(warped(spark), cells2(spark))
+    return n.select("cell_id", r("nx", "nx", 9), r("ny", "ny", 9), r("nz", "nz", 9))
+
+
+@query(f"WITH {E2} SELECT CAST(v1 AS INTEGER) AS v1, CAST(v2 AS INTEGER) AS v2, cell_id FROM e2 UNION ALL SELECT CAST(v2 AS INTEGER), CAST(v1 AS INTEGER), cell_id FROM e2")
+def edge_to_cells(spark: SparkSession, d: str) -> DataFrame:
+    return G.edge_to_cells(cells2(spark))
+
+
+@query(f"WITH {E2} SELECT DISTINCT a.cell_id, b.cell_id AS neighbour FROM e2 a JOIN e2 b USING (v1, v2) WHERE a.cell_id <> b.cell_id")
+def cell_adjacency(spark: SparkSession, d: str) -> DataFrame:
+    return G.cell_adjacency(cells2(spark))
+
+
+@query(f"WITH {E2}, n AS (SELECT DISTINCT a.cell_id, b.cell_id AS n FROM e2 a JOIN e2 b USING (v1, v2) WHERE a.cell_id <> b.cell_id) SELECT cell_id, array_to_string(list_resize(list_sort(list(n)), 4, -1), ',') AS neighbours FROM n GROUP BY cell_id")
+def cell_connectivity(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours padded with -1."""
+    return G.padded_neighbours(cells2(spark)).select("cell_id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
+
+
+@query(f"WITH {E2} SELECT DISTINCT min(cell_id) AS cell_id FROM e2 GROUP BY v1, v2 HAVING count(*) = 1")
+def border_cells(spark: SparkSession, d: str) -> DataFrame:
+    return G.border_cells(cells2(spark))
+
+
+@query(f"""
+    WITH {P2}, {E2}, q AS (SELECT e2.cell_id, e2.k, p.x AS x1, p.y AS y1, s.x AS x2, s.y AS y2 FROM e2 JOIN p2 p ON a = p.point_id JOIN p2 s ON b = s.point_id),
+         m AS (SELECT cell_id, avg(x1) AS x, avg(y1) AS y FROM q GROUP BY cell_id)
+    SELECT cell_id, CAST(k AS INTEGER) AS k, round(CASE WHEN ((x1 + x2) / 2 - m.x) * (y2 - y1) - ((y1 + y2) / 2 - m.y) * (x2 - x1) < 0 THEN -1 ELSE 1 END * (y2 - y1) / sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2), 6) + 0.0 AS nx,
+           round(CASE WHEN ((x1 + x2) / 2 - m.x) * (y2 - y1) - ((y1 + y2) / 2 - m.y) * (x2 - x1) < 0 THEN 1 ELSE -1 END * (x2 - x1) / sqrt((x2 - x1) ** 2 + (y2 - y1) ** 2), 6) + 0.0 AS ny
+    FROM q JOIN m USING (cell_id)
+""")
+def wall_normals(spark: SparkSession, d: str) -> DataFrame:
+    n = G.wall_normals(points2(spark), cells2(spark))
+    return n.select("cell_id", "k", r("nx", "nx"), r("ny", "ny"))
+
+
+@query(f"WITH {C2} SELECT DISTINCT cell_id, 1 AS sign FROM c2")
+def coherent_normals(spark: SparkSession, d: str) -> DataFrame:
+    """Normals of a mesh whose every third cell is turned round agree again."""
+    c = cells2(spark).filter(F.col("cell_id") >= 0)
+    turned = c.withColumn("nodes", F.when(F.col("cell_id") % 3 == 1, F.reverse("nodes")).otherwise(F.col("nodes")))
+    n = G.coherent_normals(turned, G.normals(points2(spark), turned))
+    first = n.filter("cell_id = 0").select(F.signum("nz").alias("s0"))
+    return n.crossJoin(F.broadcast(first)).select("cell_id", (F.signum("nz") * F.col("s0")).cast("int").alias("sign"))
+
+
+@query(f"WITH {P2} SELECT point_id FROM p2 WHERE x = -1 AND y = 2 AND z = 0")
+def find_point(spark: SparkSession, d: str) -> DataFrame:
+    return G.find_point(points2(spark), -1.0, 2.0, 0.0)
+
+
+@query(f"WITH {C2} SELECT DISTINCT cell_id FROM c2")
+def find_cell(spark: SparkSession, d: str) -> DataFrame:
+    return G.find_cells(cells2(spark), G.QUAD)
+
+
+@query(f"WITH {C2} SELECT DISTINCT cell_id FROM c2 WHERE node = 40")
+def find_point_in_cell(spark: SparkSession, d: str) -> DataFrame:
+    return G.cells_of_node(cells2(spark), 40)
+
+
+@query("SELECT * FROM (VALUES (-1, 0, 0), (3, 1, 3), (10, 2, 5), (12, 3, 9), (30, 4, 10), (37, 5, 12), (34, 6, 13), (32, 7, 14)) t(solver, eltype, vtk)")
+def element_types(spark: SparkSession, d: str) -> DataFrame:
+    """Solvers' element numbers, ours and the result format's; a line has none of its own."""
+    t = spark.createDataFrame([(k,) for k in (-1, 3, 10, 12, 30, 37, 34, 32)], "solver int")
+    own = G.mapped(G.SOLVER_TYPES, F.col("solver"))
+    return t.select("solver", own.alias("eltype"), F.coalesce(G.mapped(G.VTK_TYPES, own), F.lit(3)).alias("vtk"))
+
+
+SENSORS = [(0.03, 0.11, 0.0), (5.5, -1.2, 0.0), (7.9, 1.9, 0.0)]
+
+
+@query(f"""
+    WITH {P2}, s(sensor, sx, sy) AS (VALUES (0, 0.03, 0.11), (1, 5.5, -1.2), (2, 7.9, 1.9)),
+         n AS (SELECT sensor, point_id, (x - sx) ** 2 + (y - sy) ** 2 AS d2 FROM p2 CROSS JOIN s)
+    SELECT sensor, point_id, round(d2, 9) + 0.0 AS d2 FROM n QUALIFY row_number() OVER (PARTITION BY sensor ORDER BY d2, point_id) = 1
+""")
+def nearest_sensor(spark: SparkSession, d: str) -> DataFrame:
+    return G.nearest_points(points2(spark), SENSORS).select("sensor", "point_id", r("d2", "d2", 9))
+
+
+@query()
+def random_sensors(spark: SparkSession, d: str) -> DataFrame:
+    return G.random_sensors(points2(spark), [0.0, 5.0, -1.0, 1.0], 6, 3).select("sensor", "point_id", r("d2", "d2", 9))
+
+
+@query(f"WITH {P2} SELECT point_id, round(x, 9) + 0.0 AS a, round(y, 9) + 0.0 AS b, CAST(0 AS DOUBLE) AS c FROM p2")
+def reshape_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Two components padded to three."""
+    v = G.pad_vectors(points2(spark), ("x", "y"))
+    return v.select("point_id", *(r(F.element_at("vector", k + 1), n, 9) for k, n in enumerate("abc")))
