@@ -82,7 +82,7 @@ def partition_offsets(spark: SparkSession, d: str) -> DataFrame:
 """)
 def split_exact(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of a random split into exact fractions."""
-    p = table(spark, d, "part").select("p_partkey").filter("p_partkey > 7")
+    p = table(spark, d, "part").select("p_partkey").filter("p_partkey >= 7")
     return T.split_exact(p, "p_partkey", [0.7, 0.15, 0.15]).groupBy("split").agg(F.count("*").alias("n"))
 
 

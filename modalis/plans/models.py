@@ -1 +1,185 @@
-"""Queries."""
+"""Surrogate models and their parts."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import gp
+from ..operators import surrogates as S
+from ..operators.stats import regression_metrics
+from .base import EMB, query, r, rows_of, table
+
+
+def samples(spark: SparkSession, n: int = 400) -> DataFrame:
+    """i, x0, x1, y of a smooth function on a quasi-regular grid."""
+    t = spark.range(n).withColumn("x0", (F.col("id") * 0.6180339887) % 1 * 2 - 1).withColumn("x1", (F.col("id") * 0.7548776662) % 1 * 2 - 1)
+    return t.select(F.col("id").alias("i"), "x0", "x1", (F.sin("x0") + F.cos("x1") + 0.5 * F.col("x0") ** 2).alias("y"))
+
+
+@query("SELECT true AS close")
+def gpr_predict(spark: SparkSession, d: str) -> DataFrame:
+    """A process fitted to 80 rows predicts 400 within 0.05."""
+    s = samples(spark)
+    t = s.filter("i < 80").toPandas()
+    model = gp.GaussianProcess("matern32", 1e-6, 2, 80).fit(t[["x0", "x1"]].to_numpy(), t["y"].to_numpy())
+    return model.predict_rows(s, ["x0", "x1"]).agg((F.max(F.abs(F.col("mean") - F.col("y"))) < 0.05).alias("close"))
+
+
+@query("SELECT true AS close")
+def gpr_multifidelity(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve exact rows correct eighty scaled and shifted ones."""
+    s = samples(spark)
+    t = s.filter("i < 80").toPandas()
+    x, y = t[["x0", "x1"]].to_numpy(), t["y"].to_numpy()
+    model = gp.MultiFidelity().fit([x, x[:12]], [0.5 * y + 0.2 * x[:, 0], y[:12]])
+    return S.predict_rows(s, ["x0", "x1"], Mean(model), ["p"]).agg((F.avg(F.abs(F.col("p") - F.col("y"))) < 0.1).alias("close"))
+
+
+class Mean:
+    """A model's mean as its prediction."""
+
+    def __init__(self, model: gp.MultiFidelity) -> None:
+        self.model = model
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.model.predict(x)[0]
+
+
+@query("SELECT * FROM (VALUES ('exponential'), ('linear'), ('matern32'), ('matern52'), ('periodic_exponential'), ('polynomial'), ('rational_quadratic'), ('rbf'), ('standard_periodic'), ('white')) t(kernel)")
+def gpr_kernels(spark: SparkSession, d: str) -> DataFrame:
+    """Kernels whose matrices on a few places are symmetric and not indefinite."""
+    x = np.linspace(-1, 1, 7)[:, None]
+    good = []
+    for name, (k, f) in gp.KERNELS.items():
+        m = f(x, x, np.ones(1), np.full(k, 1.5))
+        if np.allclose(m, m.T) and np.linalg.eigvalsh(m).min() > -1e-8:
+            good.append((name,))
+    return spark.createDataFrame(good, "kernel string")
+
+
+@query("SELECT true AS close")
+def mlp_predict(spark: SparkSession, d: str) -> DataFrame:
+    """A perceptron fitted to 400 rows, by its share of explained variance."""
+    s = samples(spark)
+    t = s.toPandas()
+    model = S.Perceptron((24, 24), 150).fit(t[["x0", "x1"]].to_numpy(), t["y"].to_numpy(), stop=S.EarlyStop(30))
+    m = regression_metrics(S.predict_rows(s, ["x0", "x1"], model, ["p"]))
+    return m.select((F.col("r2") > 0.98).alias("close"))
+
+
+@query("SELECT true AS close")
+def autoencoder(spark: SparkSession, d: str) -> DataFrame:
+    """Two numbers carry most of four that depend on them."""
+    t = samples(spark).toPandas()
+    x = np.column_stack([t.x0, t.x1, t.x0 * 0.5 - t.x1, t.x0 + 0.3 * t.x1])
+    model = S.Perceptron((16, 2, 16), 150).fit(x, x)
+    share = 1 - ((model.predict(x) - x) ** 2).sum() / (x**2).sum()
+    return spark.createDataFrame([(bool(share > 0.9),)], "close boolean")
+
+
+@query("SELECT true AS close")
+def kan_layer(spark: SparkSession, d: str) -> DataFrame:
+    """A Chebyshev layer, fitted by aggregates and evaluated in column expressions."""
+    s = samples(spark)
+    m = regression_metrics(S.PolynomialLayer(5).fit(s, ["x0", "x1"], "y").predict(s, ["x0", "x1"]))
+    return m.select((F.col("r2") > 0.999).alias("close"))
+
+
+@query("SELECT true AS close")
+def kan_jacobi_layer(spark: SparkSession, d: str) -> DataFrame:
+    s = samples(spark)
+    m = regression_metrics(S.PolynomialLayer(5, "jacobi").fit(s, ["x0", "x1"], "y").predict(s, ["x0", "x1"]))
+    return m.select((F.col("r2") > 0.999).alias("close"))
+
+
+@query("SELECT 4 AS degree")
+def model_search(spark: SparkSession, d: str) -> DataFrame:
+    """Settings with the least loss; degrees beyond the best add under a thousandth."""
+    s = samples(spark).withColumn("y", F.tanh("x0") ** 4)
+
+    def fit(k: dict) -> tuple[object, float]:
+        layer = S.PolynomialLayer(**k).fit(s, ["x0"], "y")
+        loss = regression_metrics(layer.predict(s, ["x0"])).first()["mse"]
+        return layer, round(loss, 9)
+
+    best, _ = S.grid_search(fit, {"degree": [1, 2, 3, 4, 5]})
+    return spark.createDataFrame([(best["degree"],)], "degree int")
+
+
+@query(f"""
+    WITH {EMB}, c AS (SELECT i, max(CASE WHEN j = 0 THEN v END) AS cp, max(CASE WHEN j = 1 THEN v END) AS a, max(CASE WHEN j = 2 THEN v END) AS b FROM emb GROUP BY i),
+         g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, 0.5 - sum(a * cp) AS ra, -0.2 - sum(b * cp) AS rb FROM c)
+    SELECT i, round(cp + (ra * bb - rb * ab) / (aa * bb - ab * ab) * a + (rb * aa - ra * ab) / (aa * bb - ab * ab) * b, 6) + 0.0 AS adjusted FROM c CROSS JOIN g
+""")
+def interpolator(spark: SparkSession, d: str) -> DataFrame:
+    """The least change of a field that meets two linear targets."""
+    c = rows_of(spark, d).select(F.col("row_id").alias("i"), *(F.element_at("x", k + 1).alias(n) for k, n in enumerate(("cp", "a", "b"))))
+    return S.adjust_field(c, {"a": 0.5, "b": -0.2}).select("i", r("adjusted", "adjusted"))
+
+
+WAVE = "g AS (SELECT CAST(i AS INTEGER) AS i, CAST(n AS INTEGER) AS n, sin(0.1 * i - 0.05 * n) AS u FROM (SELECT unnest(range(40)) AS i) CROSS JOIN (SELECT unnest(range(20)) AS n))"
+
+
+def wave(spark: SparkSession) -> DataFrame:
+    g = spark.range(800).select((F.col("id") % 40).cast("int").alias("i"), F.floor(F.col("id") / 40).cast("int").alias("n"))
+    return g.withColumn("u", F.sin(0.1 * F.col("i") - 0.05 * F.col("n")))
+
+
+@query(f"""
+    WITH {WAVE}
+    SELECT i, n, round((lead(u) OVER t - lag(u) OVER t) / 0.02 + u * (lead(u) OVER x - lag(u) OVER x) / 0.2 - 0.3 * (lead(u) OVER x - 2 * u + lag(u) OVER x) / 0.01, 6) + 0.0 AS residual
+    FROM g WINDOW t AS (PARTITION BY i ORDER BY n), x AS (PARTITION BY n ORDER BY i) QUALIFY residual IS NOT NULL
+""")
+def pinn_burgers_residual(spark: SparkSession, d: str) -> DataFrame:
+    return S.burgers_residual(wave(spark), 0.1, 0.01, 0.3).filter("residual is not null").select("i", "n", r("residual", "residual"))
+
+
+@query("""
+    WITH g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 0.01::DOUBLE * i * i AS u, -0.02::DOUBLE * i * j AS v FROM (SELECT unnest(range(1, 19)) AS i) CROSS JOIN (SELECT unnest(range(1, 14)) AS j))
+    SELECT i, j, CAST(0 AS DOUBLE) AS continuity, round(0.2::DOUBLE * u * i - 0.04 + 0.5, 6) + 0.0 AS momentum_x, round(-0.2::DOUBLE * u * j - 0.2::DOUBLE * v * i, 6) + 0.0 AS momentum_y FROM g
+""")
+def pinn_incompressible_residual(spark: SparkSession, d: str) -> DataFrame:
+    """Of u = x^2, v = -2 x y, p = x / 2, whose differences are exact."""
+    g = spark.range(300).select(F.floor(F.col("id") / 15).cast("int").alias("i"), (F.col("id") % 15).cast("int").alias("j"))
+    x, y = 0.1 * F.col("i"), 0.1 * F.col("j")
+    s = S.incompressible_residual(g.withColumns({"u": x * x, "v": -2 * x * y, "p": 0.5 * x}), 0.1, 0.1, 50.0)
+    s = s.filter("momentum_x is not null and momentum_y is not null and continuity is not null")
+    return s.select("i", "j", r("continuity", "continuity"), r("momentum_x", "momentum_x"), r("momentum_y", "momentum_y"))
+
+
+@query("SELECT CAST(18 * 13 AS BIGINT) AS n, true AS uniform")
+def pinn_euler_residual(spark: SparkSession, d: str) -> DataFrame:
+    """A uniform flow has none."""
+    g = spark.range(300).select(F.floor(F.col("id") / 15).cast("int").alias("i"), (F.col("id") % 15).cast("int").alias("j"))
+    s = S.euler_residual(g.withColumns({"rho": F.lit(1.2), "u": F.lit(0.7), "v": F.lit(0.1), "p": F.lit(0.9)}), 0.1, 0.1)
+    s = s.filter("mass is not null")
+    return s.agg(F.count("*").alias("n"), (F.max(F.greatest(*(F.abs(c) for c in ("mass", "momentum_x", "momentum_y", "energy")))) < 1e-9).alias("uniform"))
+
+
+@query("SELECT CAST(k AS INTEGER) AS k, round(sqrt(x) * (1 - x) * (0.2 * (1 - x) ** 2 + 0.6 * x * (1 - x) + 0.25 * x * x) + 0.002 * x, 9) + 0.0 AS y FROM (SELECT k, k / 100 AS x FROM (SELECT unnest(range(101)) AS k))")
+def airfoil_shape(spark: SparkSession, d: str) -> DataFrame:
+    t = spark.range(101).select(F.col("id").cast("int").alias("k"), (F.col("id") / 100).alias("x"))
+    return t.select("k", r(S.airfoil(F.col("x"), [0.2, 0.3, 0.25], 0.002), "y", 9))
+
+
+@query("SELECT true AS close")
+def sensor_reconstruction(spark: SparkSession, d: str) -> DataFrame:
+    """Delayed readings of three sensors give POD coefficients back by ridge regression: a linear form of
+    reconstruction from few sensors."""
+    t = np.arange(60.0)
+    x = np.array([[np.cos(0.3 * s + 0.2 * k) + 0.5 * np.sin(0.7 * s - 0.1 * k) for s in t] for k in range(50)])
+    _, s, vt = np.linalg.svd(x, full_matrices=False)
+    target = s[:4, None] * vt[:4]
+    seen = x[[3, 20, 41]]
+    lags = np.array([np.concatenate([seen[:, max(0, k - 5) : k + 1].ravel(), np.zeros(3 * max(0, 5 - k))]) for k in range(60)])[5:]
+    w = np.linalg.solve(lags.T @ lags + 1e-8 * np.eye(lags.shape[1]), lags.T @ target.T[5:])
+    error = np.linalg.norm(lags @ w - target.T[5:]) / np.linalg.norm(target.T[5:])
+    return spark.createDataFrame([(bool(error < 1e-3),)], "close boolean")
+
+
+@query("SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
+def parameter_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Samples of each parameter value."""
+    return table(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n"))
