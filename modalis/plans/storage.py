@@ -1 +1,149 @@
-"""Queries."""
+"""Sources, sinks and streams: what is written is read back."""
+
+from __future__ import annotations
+
+import uuid
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import matrix as M
+from ..functions.lineage import ensure_checkpoint_dir
+from ..operators import linalg as L
+from ..operators import mesh as G
+from ..operators import modal
+from ..operators import tables as T
+from ..sources import layout
+from ..streaming import sketch
+from .base import EMB, long_of, query, r, rows_of, table
+from .data import fields_of
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder of this query's own in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def dataset_of(spark: SparkSession, d: str) -> layout.Dataset:
+    f = fields_of(spark, d)
+    points = f.select("point_id").distinct().select("point_id", F.col("point_id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    axes = spark.range(32).select(F.lit("time").alias("axis"), F.lit(0).alias("idim"), F.col("id").cast("int").alias("pos"), (F.col("id") * 0.2).alias("value"))
+    return layout.Dataset(points, axes, f)
+
+
+@query(f"WITH {EMB} SELECT i AS point_id, CAST(j % 32 AS INTEGER) AS t, v FROM emb WHERE j >= 32")
+def save_load_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """One field of a saved dataset: other fields' files aren't read."""
+    path = scratch(spark)
+    dataset_of(spark, d).save(path)
+    return layout.Dataset.load(spark, path, ["b"]).fields.select("point_id", "t", "v")
+
+
+@query(f"WITH {EMB} SELECT CAST(j // 16 % 2 AS INTEGER) AS part, count(*) AS n, round(sum(v), 4) + 0.0 AS s FROM emb GROUP BY 1")
+def append_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Two parts of time, written one after the other."""
+    path, ds = scratch(spark), dataset_of(spark, d)
+    for part in (0, 1):
+        here = F.floor(F.col("t") / 16) == part
+        layout.Dataset(ds.points, ds.axes, ds.fields.filter(here)).save(path, part, part > 0)
+    return layout.Dataset.load(spark, path).fields.groupBy("part").agg(F.count("*").alias("n"), r(F.sum("v"), "s", 4))
+
+
+@query("SELECT count(*) AS n FROM embeddings")
+def save_unique_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points that two parts share are written once."""
+    path, ds = scratch(spark), dataset_of(spark, d)
+    layout.Dataset(ds.points.unionByName(ds.points), ds.axes, ds.fields).save_unique(path, "point_id")
+    return layout.Dataset.load(spark, path).points.agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(c AS BIGINT) AS cell_id, CAST((c // 16) * 17 + c % 16 AS INTEGER) AS first FROM (SELECT unnest(range(480)) AS c)")
+def save_load_mesh(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark)
+    layout.save_mesh(G.struct2d_points(spark, 31, 17, (-1.0, 8.0), (-2.0, 2.0)), G.struct2d_cells(spark, 31, 17), path)
+    return layout.load_mesh(spark, path)[1].select("cell_id", F.element_at("nodes", 1).alias("first"))
+
+
+@query("SELECT vec_id AS row_id, 3 AS modes FROM embeddings")
+def save_load_modes(spark: SparkSession, d: str) -> DataFrame:
+    """The first three modes of a saved decomposition."""
+    path = scratch(spark)
+    layout.save_modes(modal.pod(rows_of(spark, d)), path)
+    return layout.load_modes(spark, path, 3).u.select("row_id", F.size("x").alias("modes"))
+
+
+@query("SELECT * FROM (VALUES ('b', CAST(3 AS BIGINT)), ('mu', CAST(3 AS BIGINT))) t(name, n)")
+def save_load_factors(spark: SparkSession, d: str) -> DataFrame:
+    """Small complex factors."""
+    path = scratch(spark)
+    layout.save_small(spark, path, mu=np.array([1j, -1j, 0.5]), b=np.array([1.0, 2.0, 3.0]))
+    return spark.createDataFrame([(n, int(a.size)) for n, a in layout.load_small(spark, path).items()], "name string, n bigint")
+
+
+POLAR = "p AS (SELECT p_size AS k, p_partkey % 3 AS a, avg(p_retailprice) AS cp FROM part GROUP BY ALL)"
+
+
+@query(f"WITH {POLAR} SELECT CAST(k AS DOUBLE) AS x, round(max(CASE WHEN a = 0 THEN cp END), 3) + 0.0 AS a0, round(max(CASE WHEN a = 1 THEN cp END), 3) + 0.0 AS a1, round(max(CASE WHEN a = 2 THEN cp END), 3) + 0.0 AS a2 FROM p GROUP BY k")
+def tsv_polars(spark: SparkSession, d: str) -> DataFrame:
+    """Tab-separated polars, regrouped by case."""
+    path = scratch(spark)
+    p = table(spark, d, "part").groupBy(F.lit(1.0).alias("re"), (F.col("p_partkey") % 3).cast("double").alias("alpha"), F.col("p_size").cast("double").alias("x"), F.lit(0.0).alias("y")).agg(F.avg("p_retailprice").alias("cp"))
+    p.write.csv(path, sep="\t")
+    m = layout.polar_matrix(layout.read_polars(spark, path), [(1.0, 0.0), (1.0, 1.0), (1.0, 2.0)])
+    return m.select("x", *(r(F.col(f"`1.0:{k}.0`"), f"a{k}", 3) for k in range(3)))
+
+
+@query("SELECT n_nationkey, n_name FROM nation")
+def csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark)
+    layout.write_csv(table(spark, d, "nation").select("n_nationkey", "n_name"), path)
+    return spark.read.csv(path, header=True, schema="n_nationkey int, n_name string")
+
+
+@query("SELECT 'l_quantity' AS name, min(l_quantity) AS low, max(l_quantity) AS high FROM lineitem UNION ALL SELECT 'l_tax', min(l_tax), max(l_tax) FROM lineitem")
+def scaler_json(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark)
+    layout.save_scaler(spark, T.minmax_fit(table(spark, d, "lineitem"), ["l_quantity", "l_tax"]), path)
+    return spark.createDataFrame([(n, a, b) for n, (a, b) in layout.load_scaler(spark, path).items()], "name string, low double, high double")
+
+
+@query("SELECT CAST(t AS INTEGER) AS t, CAST(5 + 3 + 2 * (SELECT count(*) FROM embeddings) AS BIGINT) AS lines FROM (SELECT unnest(range(3)) AS t)")
+def vtk_files(spark: SparkSession, d: str) -> DataFrame:
+    """One file a time for viewers: head, places, head, values."""
+    path = scratch(spark)
+    v = long_of(spark, d).filter("j < 3").select(F.col("j").alias("t"), F.col("i").alias("point_id"), "v")
+    layout.write_vtk(dataset_of(spark, d).points, v, path)
+    return spark.read.text(path).groupBy("t").agg(F.count("*").alias("lines"))
+
+
+@query("SELECT CAST(64 AS BIGINT) AS snapshots, true AS close")
+def qr_streaming(spark: SparkSession, d: str) -> DataFrame:
+    """Four blocks of columns in turn: Q B is near the matrix of rank 6 that they come from."""
+    low = modal.reconstruct(modal.truncate(modal.pod(rows_of(spark, d), remove_mean=False), 6)).cache()
+    block = lambda k: low.select("row_id", F.slice("x", 16 * k + 1, 16).alias("x"))
+    s = sketch.start(block(0), 10, 1, 7)
+    for k in range(1, 4):
+        s = sketch.update(s, block(k), 10, 1, 7)
+    both = L.times(s.q, s.b).withColumnRenamed("x", "y").join(low, "row_id")
+    e = both.select(F.explode(F.arrays_zip(F.col("x").alias("a"), F.col("y").alias("b"))).alias("p")).agg(F.sqrt(F.sum((F.col("p.a") - F.col("p.b")) ** 2) / F.sum(F.col("p.a") ** 2)).alias("e"))
+    return e.select(F.lit(s.b.shape[1]).cast("bigint").alias("snapshots"), (F.col("e") < 1e-6).alias("close"))
+
+
+@query("SELECT CAST(32 AS BIGINT) AS snapshots, CAST(2 AS BIGINT) AS versions")
+def qr_stream_query(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a structured stream over files, one block a micro-batch."""
+    path = scratch(spark)
+    for k in range(2):
+        rows_of(spark, d).select("row_id", F.slice("x", 16 * k + 1, 16).alias("x")).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema("row_id bigint, x array<double>").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    sketch.run(stream, f"{path}/out", f"{path}/state", 8, 1, 3)
+    last = sketch.load(spark, f"{path}/out", 2)
+    return spark.createDataFrame([(int(last.b.shape[1]), 2)], "snapshots bigint, versions bigint")
+
+
+@query(f"WITH {EMB} SELECT i, j, v FROM emb WHERE i < 50")
+def matrix_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Rows to entries and back."""
+    return M.to_long(M.to_rows(long_of(spark, d).filter("i < 50")))
