@@ -1,12 +1,7 @@
-"""Helpers that the training-data operators share.
-
-Everything that is written between jobs goes to the folder in ``spark.checkpoint.dir``; only a local
-session without that setting gets a folder of its own.
-"""
+"""Helpers that the training-data operators share."""
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -16,30 +11,23 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-#: Rows of one Arrow batch that goes back to the JVM.
-OUT_ROWS = 2048
+from ..functions.lineage import cut
 
+__all__ = ["as_batch", "buckets_for", "cut", "ddl", "map_rows", "running_total", "stream_rows", "table", "text_batches"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Rows of one Arrow batch that goes back to the JVM, and of one that comes from it.
+OUT_ROWS, TEXT_ROWS = 2048, 1024
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="modalis-checkpoint-")
-    sc.setCheckpointDir(shared)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def text_batches(spark: SparkSession) -> None:
+    """Have Arrow batches hold few rows: a row may be a long text, and a batch is held by both sides."""
+    if int(spark.conf.get(BATCH)) > TEXT_ROWS:
+        spark.conf.set(BATCH, str(TEXT_ROWS))
 
 
 def ddl(schema: str) -> StructType:
@@ -49,19 +37,18 @@ def ddl(schema: str) -> StructType:
 def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: str) -> DataFrame:
     """Map rows to rows in Arrow batches. ``make()`` runs once a task and returns a function from one
     row's values (in ``df``'s column order) to an iterable of output tuples."""
+    text_batches(df.sparkSession)
     arrow = to_arrow_schema(ddl(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
         out: list[tuple] = []
         for batch in batches:
-            for at in range(0, batch.num_rows, OUT_ROWS):
-                part = batch.slice(at, OUT_ROWS)
-                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    out.extend(each(*row))
-                    if len(out) >= OUT_ROWS:
-                        yield as_batch(out, arrow)
-                        out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out.extend(each(*row))
+                if len(out) >= OUT_ROWS:
+                    yield as_batch(out, arrow)
+                    out = []
         if out:
             yield as_batch(out, arrow)
 
@@ -75,12 +62,12 @@ def as_batch(rows: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
 
 def stream_rows(df: DataFrame, run: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
     """Like :func:`map_rows` for functions that read a task's rows as one stream, in order."""
+    text_batches(df.sparkSession)
     arrow = to_arrow_schema(ddl(schema))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
-            for at in range(0, batch.num_rows, OUT_ROWS):
-                yield from zip(*(c.to_pylist() for c in batch.slice(at, OUT_ROWS).columns), strict=True)
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []

@@ -40,16 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from .common import OUT_ROWS, cut, ddl, map_rows, table
+from .common import cut, ddl, map_rows, table, text_batches
 from .components import components
 
 #: Shingle words and least similarity of the query's contract; HASHES min-hashes; a hub is at least half alike.
 WORDS, NUM, DEN, HASHES = 4, 85, 100, 4
 #: Rows from which a shingle is frequent, and frequent shingles at most. Tasks count what they see twice.
-OFTEN, FREQUENT, TWICE = 32, 500_000, 4_000_000
+OFTEN, FREQUENT, TWICE = 32, 500_000, 2_000_000
 #: Ids up to which a semi-join broadcasts them, entries of a list from which it is dealt into blocks of BLOCK.
 FEW, BLOCK = 1_000_000, 512
-CACHE = 300_000
+CACHE = 200_000
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 TURN = np.uint64(29)
@@ -125,26 +125,26 @@ def set_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none, seen, held = np.empty(0, np.uint64), [], 0
-        for whole in batches:
-            for at in range(0, whole.num_rows, OUT_ROWS):
-                part, out = whole.slice(at, OUT_ROWS), []
-                for rid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    h = shingles(text, words)
-                    if not len(h):
-                        out.append((rid, 0, None, none, none, none))
-                        continue
-                    low = h[: 2 * prefix_size(len(h), num, den) + 16]
-                    mins = np.array([(h * (c | np.uint64(1))).min() for c in MIX[:HASHES]], np.uint64)
-                    out.append((rid, len(h), xxhash.xxh3_128_digest(h.tobytes()), mins, low, none))
-                    seen.append(low)
-                    held += len(low)
-                    if held >= TWICE:
-                        out.append((None, None, None, none, *repeated(seen)))
-                        seen, held = [], 0
-                yield batch(out)
+        for part in batches:
+            out = []
+            for rid, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                h = shingles(text, words)
+                if not len(h):
+                    out.append((rid, 0, None, none, none, none))
+                    continue
+                low = h[: 2 * prefix_size(len(h), num, den) + 16].copy()
+                mins = np.array([(h * (c | np.uint64(1))).min() for c in MIX[:HASHES]], np.uint64)
+                out.append((rid, len(h), xxhash.xxh3_128_digest(h.tobytes()), mins, low, none))
+                seen.append(low)
+                held += len(low)
+                if held >= TWICE:
+                    out.append((None, None, None, none, *repeated(seen)))
+                    seen, held = [], 0
+            yield batch(out)
         if seen:
             yield batch([(None, None, None, none, *repeated(seen))])
 
+    text_batches(docs.sparkSession)
     return docs.select("rid", "text").mapInArrow(run, ddl(SETS))
 
 

@@ -33,7 +33,7 @@ CAPACITY, VOCABULARY = 2048, "word_bpe_49k.json"
 #: may fail in a row before the search ends.
 PIECES_A_TASK, UNDERFULL, FAILURES = 8192, 0.97, 24
 #: Words whose ids a worker keeps at a time: a bound on memory, not on what is tokenised.
-CACHE = 300_000
+CACHE = 200_000
 
 
 class Words(dict):
