@@ -64,22 +64,25 @@ def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
     return s.select("sid", "source", "source_size", "weight", F.coalesce("target", F.lit(0.0)).alias("target"))
 
 
-def permuted(x: Column, n: Column, *key: Column) -> Column:
-    """A pseudorandom permutation of 0 .. n-1: a Feistel network on an a x b rectangle of at least n cells,
-    walked on from the fewer than a cells beyond n."""
+def sides(n: Column) -> tuple[Column, Column]:
+    """A rectangle of at least n cells, of which fewer than a are too many."""
     a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    b = F.ceil(n / a).cast("long")
+    return a, F.ceil(n / a).cast("long")
+
+
+def permuted(x: Column, n: Column, a: Column, b: Column, *key: Column) -> Column:
+    """A pseudorandom permutation of 0 .. n-1: a Feistel network on the a x b rectangle of :func:`sides`, walked
+    on from the cells beyond n. Each round's halves are kept in a struct, so that they are computed once."""
+
+    def turn(s: Column, k: Column) -> Column:
+        left = F.pmod(s["l"] + F.pmod(F.xxhash64(s["r"], k, *key), a), a)
+        return F.struct(left.alias("l"), F.pmod(s["r"] + F.pmod(F.xxhash64(left, k + 1, *key), b), b).alias("r"))
 
     def shuffled(v: Column) -> Column:
-        left, right = F.floor(v / b).cast("long"), F.pmod(v, b)
-        for k in range(3):
-            left = F.pmod(left + F.pmod(F.xxhash64(right, F.lit(2 * k), *key), a), a)
-            right = F.pmod(right + F.pmod(F.xxhash64(left, F.lit(2 * k + 1), *key), b), b)
-        return left * b + right
+        start = F.struct(F.floor(v / b).cast("long").alias("l"), F.pmod(v, b).alias("r"))
+        return F.aggregate(F.array(F.lit(0), F.lit(2), F.lit(4)), start, turn, lambda s: s["l"] * b + s["r"])
 
-    once = F.transform(F.array(x), shuffled)[0]
-    walk = F.aggregate(F.sequence(F.lit(1), F.lit(16)), once, lambda y, _: F.when(y < n, y).otherwise(shuffled(y)))
-    return F.when(a * b == n, once).otherwise(walk)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(16)), shuffled(x), lambda y, _: F.when(y < n, y).otherwise(shuffled(y)))
 
 
 def slots_of(sources: DataFrame, slots: int = SLOTS, block: int = BLOCK, most: int = MOST, seed: int = SEED) -> DataFrame:
@@ -99,13 +102,16 @@ def slots_of(sources: DataFrame, slots: int = SLOTS, block: int = BLOCK, most: i
     draw = lambda j: F.pmod(F.xxhash64(F.col("shard"), j, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
     drawn = F.when(F.col("__rest") > 0, F.size(F.filter(F.sequence(F.lit(1).cast("long"), F.col("__rest")), lambda j: (draw(j) >= lo) & ((draw(j) < hi) | F.col("__last"))))).otherwise(0)
     s = s.withColumn("count", F.col("__base") + drawn).filter("count > 0").select("shard", "sid", "blocks", "count")
+    a, b = sides(F.col("blocks"))
+    s = s.withColumns({"__rows": a, "__cols": b})
     s = cut(running_total(s, ["sid"], [F.col("shard")], F.col("count"), "__start", 64))
     # A few rows become very many: they are dealt out first, by a number of tasks that follows the slots.
     n = s.agg(F.sum("count")).first()[0] or 0
     s = s.repartition(max(1, n // SLOTS_A_TASK), "sid", "shard")
     s = s.withColumn("slot", F.explode(F.sequence(F.col("__start"), F.col("__start") + F.col("count") - 1))).filter(F.col("slot") < most * F.col("blocks"))
     s = s.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
-    return s.select("shard", "sid", "slot", "pass", permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.col("sid"), F.col("pass"), F.lit(seed)).alias("block"))
+    block_ = permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.col("__rows"), F.col("__cols"), F.col("sid"), F.col("pass"), F.lit(seed))
+    return s.select("shard", "sid", "slot", "pass", block_.alias("block"))
 
 
 def fragments(rows: DataFrame, block: int = BLOCK) -> DataFrame:
