@@ -46,7 +46,7 @@ from .components import components
 #: Shingle words and least similarity of the query's contract; HASHES min-hashes; a hub is at least half alike.
 WORDS, NUM, DEN, HASHES = 4, 85, 100, 4
 #: Rows from which a shingle is frequent, and frequent shingles at most. Tasks count what they see twice.
-OFTEN, FREQUENT, TWICE = 32, 500_000, 2_000_000
+OFTEN, FREQUENT, TWICE = 8, 500_000, 2_000_000
 #: Ids up to which a semi-join broadcasts them, entries of a list from which it is dealt into blocks of BLOCK.
 FEW, BLOCK = 1_000_000, 512
 CACHE = 200_000
@@ -106,8 +106,8 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 def repeated(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes that occur twice or more in ``parts``, and how often."""
-    h, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.int64))
-    return h[n > 1], n[n > 1].astype(np.int64)
+    h, n = np.unique(np.concatenate(parts), return_counts=True) if parts else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+    return h[n > 1], n[n > 1].astype(np.uint64)
 
 
 SETS = "rid long, n long, digest binary, mins array<long>, low array<long>, counts array<long>"
