@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Columns up to which n x n factors are solved on the driver.
-DRIVER_COLUMNS = 4096
+#: Columns up to which n x n factors are solved on the driver, and factors that are stacked at a time.
+DRIVER_COLUMNS, MERGED = 4096, 16
 
 
 def block(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
@@ -172,10 +172,13 @@ def tsqr(rows: DataFrame) -> np.ndarray:
 
     level = rows.select("x").mapInArrow(run, "x array<double>")
     tasks = rows.rdd.getNumPartitions()
-    while tasks > 64:
-        tasks = -(-tasks // 16)
-        level = level.coalesce(tasks).mapInArrow(run, "x array<double>")
-    parts = [np.array(r["x"]) for r in level.toLocalIterator()]
+    # Any share of the rows of all factors may be factored together: small rows are dealt to ever fewer tasks.
+    while tasks > MERGED:
+        tasks = -(-tasks // MERGED)
+        level = level.repartition(tasks).mapInArrow(run, "x array<double>")
+    parts = [np.array(r["x"]) for r in level.collect()]  # at most MERGED n x n factors
+    if not parts:
+        return np.zeros((0, 0))
     r = np.linalg.qr(np.vstack(parts), mode="r")
     return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
 

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import gp
+from ..operators import episodes, gp
 from ..operators import surrogates as S
 from ..operators.stats import regression_metrics
 from .base import EMB, query, r, rows_of, table
@@ -183,3 +183,11 @@ def sensor_reconstruction(spark: SparkSession, d: str) -> DataFrame:
 def parameter_groups(spark: SparkSession, d: str) -> DataFrame:
     """Samples of each parameter value."""
     return table(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n"))
+
+
+@query("SELECT CAST(50 AS BIGINT) AS n, true AS close")
+def rl_evaluation(spark: SparkSession, d: str) -> DataFrame:
+    """Fifty episodes, each a task of its own, reach the best reward."""
+    cases = spark.range(50).select(F.col("id").alias("case"), (F.col("id") / 25 - 1).alias("x"))
+    e = episodes.run_episodes(cases, "quadratic", 40)
+    return e.agg(F.count(F.when(F.col("converged"), 1)).alias("n"), (F.min("best") > -1e-6).alias("close"))

@@ -176,3 +176,29 @@ def test_adjusted_field_meets_targets(spark):
     c = spark.createDataFrame([(0.1, 1.0, 0.0), (0.4, 1.0, 1.0), (-0.2, 1.0, 2.0)], "cp double, a double, b double")
     r = surrogates.adjust_field(c, {"a": 1.0, "b": 0.5}).agg(F.sum(F.col("adjusted") * F.col("a")), F.sum(F.col("adjusted") * F.col("b"))).first()
     assert np.allclose(list(r), [1.0, 0.5])
+
+
+def test_channels_and_counters(spark):
+    from modalis.functions.profile import Channels, counted
+
+    c = Channels()
+
+    @c.timed("work")
+    def work(n):
+        with c.span("inner"):
+            return sum(range(n))
+
+    assert work(10) == 45 and work(100) == 4950
+    r = {x.name: x for x in c.report(spark).collect()}
+    assert r["work"].calls == 2 and r["work"].total >= r["inner"].total >= 0
+    df, seen = counted(spark.range(7), "seen", F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
+    assert df.count() == 7 and seen.get == {"n": 7, "m": 6}
+    c.reset()
+    assert not c.spans
+
+
+def test_many_partitions_merge_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(linalg, "MERGED", 2)
+    a = np.random.default_rng(9).normal(size=(60, 3))
+    r = linalg.tsqr(rows(spark, a, 9))
+    assert np.allclose(r.T @ r, a.T @ a)
