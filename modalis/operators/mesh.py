@@ -141,6 +141,16 @@ def border_cells(cells: DataFrame) -> DataFrame:
     return edges(cells).groupBy("v1", "v2").agg(F.min("cell_id").alias("cell_id"), F.countDistinct("cell_id").alias("n")).filter("n = 1").select("cell_id").distinct()
 
 
+def interior_cells(cells: DataFrame) -> DataFrame:
+    return cells.select("cell_id").join(border_cells(cells), "cell_id", "left_anti")
+
+
+def at_sensors(fields: DataFrame, sensors: DataFrame) -> DataFrame:
+    """Scalar fields (one component) at the sensors' points; sensors are few."""
+    scalar = fields.groupBy("field").agg(F.max("comp").alias("c")).filter("c = 0").select("field")
+    return fields.join(F.broadcast(scalar), "field", "left_semi").join(F.broadcast(sensors.select("sensor", "point_id")), "point_id").select("sensor", "field", "t", "v")
+
+
 def wall_normals(points: DataFrame, cells: DataFrame) -> DataFrame:
     """cell_id, k, nx, ny, nz: unit normals of each cell's edges, in its plane and outwards."""
     c = with_cell(points, cells)

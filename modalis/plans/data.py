@@ -259,3 +259,37 @@ def cumulative_energy(spark: SparkSession, d: str) -> DataFrame:
     e = rows_of(spark, d).filter("row_id < 300").select(F.col("row_id").alias("i"), (C.vector_norm("x") ** 2).alias("e"))
     w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     return e.select("i", r(F.sum("e").over(w) / F.sum("e").over(Window.partitionBy()), "share"))
+
+
+@query("SELECT n_nationkey AS id, n_name AS label, CAST(n_regionkey * 2 AS INTEGER) AS twice FROM nation")
+def edit_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A field renamed, one deleted, one added."""
+    t = table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    return t.withColumnsRenamed({"n_nationkey": "id", "n_name": "label"}).withColumn("twice", (F.col("n_regionkey") * 2).cast("int")).drop("n_regionkey")
+
+
+@query("""
+    WITH v AS (SELECT event_id, event_type AS g, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS v FROM events)
+    SELECT g, round(sum(v), 4) + 0.0 AS total, min(v) AS low, max(v) AS high, arg_min(event_id, (v, event_id)) FILTER (WHERE v IS NOT NULL) AS at_low, count(v) AS n FROM v GROUP BY g
+""")
+def reductions(spark: SparkSession, d: str) -> DataFrame:
+    """Sum, least, most and the place of the least by group; NaN is left out, ties go to the first."""
+    e = table(spark, d, "events").select("event_id", F.col("event_type").alias("g"), F.when(F.col("event_id") % 10 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("v"))
+    v = F.when(~F.isnan("v"), F.col("v"))
+    low = F.min(F.when(v.isNotNull(), F.struct(v.alias("v"), "event_id")))
+    return e.groupBy("g").agg(r(F.sum(v), "total", 4), F.min(v).alias("low"), F.max(v).alias("high"), low["event_id"].alias("at_low"), F.count(v).alias("n"))
+
+
+@query("SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS best FROM events")
+def running_best(spark: SparkSession, d: str) -> DataFrame:
+    """The least value so far, by series."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return table(spark, d, "events").select("event_id", F.min("value").over(w).alias("best"))
+
+
+@query(f"WITH {EMB}, s AS (SELECT j, sum(v * v) AS e FROM emb WHERE i = 0 GROUP BY j) SELECT j, round(sqrt(sum(e) OVER (ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / sum(e) OVER ()), 6) + 0.0 AS residual FROM s")
+def residual_curve(spark: SparkSession, d: str) -> DataFrame:
+    """What is left out after each entry: a running sum from the end, over one row a mode."""
+    e = long_of(spark, d).filter("i = 0").select("j", (F.col("v") * F.col("v")).alias("e"))
+    w = Window.orderBy("j").rowsBetween(0, Window.unboundedFollowing)
+    return e.select("j", r(F.sqrt(F.sum("e").over(w) / F.sum("e").over(Window.partitionBy())), "residual"))

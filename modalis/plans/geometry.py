@@ -175,3 +175,21 @@ def reshape_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Two components padded to three."""
     v = G.pad_vectors(points2(spark), ("x", "y"))
     return v.select("point_id", *(r(F.element_at("vector", k + 1), n, 9) for k, n in enumerate("abc")))
+
+
+@query(f"WITH {E2}, b AS (SELECT min(cell_id) AS cell_id FROM e2 GROUP BY v1, v2 HAVING count(*) = 1) SELECT DISTINCT cell_id FROM c2 WHERE cell_id NOT IN (SELECT cell_id FROM b)")
+def interior_cells(spark: SparkSession, d: str) -> DataFrame:
+    return G.interior_cells(cells2(spark))
+
+
+@query(f"""
+    WITH {P2}, s(sensor, sx, sy) AS (VALUES (0, 0.03, 0.11), (1, 5.5, -1.2), (2, 7.9, 1.9)),
+         n AS (SELECT sensor, point_id, (x - sx) ** 2 + (y - sy) ** 2 AS d2 FROM p2 CROSS JOIN s), k AS (SELECT sensor, point_id FROM n QUALIFY row_number() OVER (PARTITION BY sensor ORDER BY d2, point_id) = 1)
+    SELECT sensor, 'p' AS field, 0 AS t, CAST(point_id * 2 AS DOUBLE) AS v FROM k
+""")
+def sensor_fields(spark: SparkSession, d: str) -> DataFrame:
+    """What three sensors read: fields of vectors are left out."""
+    p = points2(spark)
+    f = lambda name, comp, v: p.select("point_id", F.lit(name).alias("field"), F.lit(comp).alias("comp"), F.lit(0).alias("t"), v.cast("double").alias("v"))
+    fields = f("p", 0, F.col("point_id") * 2).unionByName(f("u", 0, F.col("x"))).unionByName(f("u", 1, F.col("y")))
+    return G.at_sensors(fields, G.nearest_points(p, SENSORS))

@@ -12,7 +12,7 @@ from ..functions import matrix as M
 from ..functions.lineage import ensure_checkpoint_dir
 from ..operators import linalg as L
 from ..operators import mesh as G
-from ..operators import modal
+from ..operators import modal, surrogates
 from ..operators import tables as T
 from ..sources import layout
 from ..streaming import sketch
@@ -147,3 +147,15 @@ def qr_stream_query(spark: SparkSession, d: str) -> DataFrame:
 def matrix_forms(spark: SparkSession, d: str) -> DataFrame:
     """Rows to entries and back."""
     return M.to_long(M.to_rows(long_of(spark, d).filter("i < 50")))
+
+
+@query("SELECT true AS same, CAST(2 AS BIGINT) AS settings")
+def model_checkpoint(spark: SparkSession, d: str) -> DataFrame:
+    """A perceptron that is read back predicts the same."""
+    x = np.linspace(-1, 1, 60)[:, None]
+    m = surrogates.Perceptron((6,), 20).fit(x, x**2)
+    path = scratch(spark)
+    layout.save_model(spark, path, m.weights, {"rate": m.rate, "epochs": m.epochs})
+    weights, settings = layout.load_model(spark, path)
+    back = surrogates.Perceptron((6,), 20, weights=weights)
+    return spark.createDataFrame([(bool(np.allclose(back.predict(x), m.predict(x))), len(settings))], "same boolean, settings bigint")

@@ -85,6 +85,18 @@ def load_small(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     return out
 
 
+def save_model(spark: SparkSession, path: str, weights: list[tuple[np.ndarray, np.ndarray]], settings: dict[str, float]) -> None:
+    """A perceptron's layers and its settings."""
+    save_small(spark, f"{path}/weights", **{f"{kind}{k}": a for k, pair in enumerate(weights) for kind, a in zip("wb", pair, strict=True)})
+    spark.createDataFrame([(n, float(v)) for n, v in settings.items()], "name string, value double").coalesce(1).write.mode("overwrite").json(f"{path}/settings")
+
+
+def load_model(spark: SparkSession, path: str) -> tuple[list[tuple[np.ndarray, np.ndarray]], dict[str, float]]:
+    f = load_small(spark, f"{path}/weights")
+    settings = {r["name"]: r["value"] for r in spark.read.json(f"{path}/settings", schema="name string, value double").collect()}
+    return [(f[f"w{k}"], f[f"b{k}"][0]) for k in range(len(f) // 2)], settings
+
+
 def read_polars(spark: SparkSession, path: str) -> DataFrame:
     """Tab-separated polars (re, alpha, x, y, cp) with a fixed schema: nothing is inferred."""
     return spark.read.csv(path, sep="\t", schema="re double, alpha double, x double, y double, cp double")
