@@ -30,6 +30,8 @@ from .common import buckets_for, cut, running_total, table
 BLOCK, SLOTS, MOST = 64, 4096, 3
 #: Slots that a task makes, about.
 SLOTS_A_TASK = 100_000
+#: Sources up to which their table (one row each) is broadcast.
+FEW_SOURCES = 100_000
 SPACE = r"[\x20\x09-\x0D]+"
 SEED = 20_240_229
 
@@ -130,8 +132,8 @@ def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MOS
     d = cut(with_key(d.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.col("text").cast("binary")).alias("text"))))
     sources = cut(targets(d, most))
     rows = d.count()
-    # One row a source.
-    with_source = d.join(F.broadcast(sources), d["source"].eqNullSafe(sources["source"])).select(d["doc_id"], d["source"], d["key"], d["size"], "sid", "source_size", "target")
+    few = sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    with_source = d.join(F.broadcast(sources) if few else sources, d["source"].eqNullSafe(sources["source"])).select(d["doc_id"], d["source"], d["key"], d["size"], "sid", "source_size", "target")
     placed = running_total(with_source, ["sid"], [F.col("key")], F.col("size"), "offset", buckets_for(rows))
     taken = slots_of(sources, slots, block, most).groupBy("sid", "block").agg(F.count("*").alias("times"))
     # Sizes of exploded tables are not known to the planner: neither side is to be broadcast.
