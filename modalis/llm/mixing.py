@@ -42,12 +42,20 @@ def word_count(text: Column) -> Column:
     return F.greatest(F.lit(0), F.size(parts) - empty).cast("long")
 
 
-def with_key(docs: DataFrame) -> DataFrame:
-    """``key``: the row's own among all rows; equal rows are counted off."""
-    content = F.md5(F.concat_ws("\x01", *(F.coalesce(c.cast("string"), F.lit("\x02")) for c in (F.col("doc_id"), F.col("source"), F.md5(F.col("text").cast("binary"))))).cast("binary"))
-    d = docs.withColumn("__c", content)
+def ids_are_keys(docs: DataFrame) -> bool:
+    """Whether doc_id tells all rows apart."""
+    n = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
+    return n["n"] == n["d"]
+
+
+def with_key(docs: DataFrame, plain: bool) -> DataFrame:
+    """``key``: the row's own among all rows of ``docs`` (doc_id, source, text_md5 and others): its doc_id where
+    that will do, else a digest of its content, with equal rows counted off."""
+    if plain:
+        return docs.withColumn("key", F.col("doc_id").cast("string"))
+    content = F.md5(F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in ("doc_id", "source", "text_md5"))).cast("binary"))
     w = Window.partitionBy("__c").orderBy("__c")
-    return d.withColumn("key", F.concat("__c", F.lit("#"), F.row_number().over(w).cast("string"))).drop("__c")
+    return docs.withColumn("__c", content).withColumn("key", F.concat("__c", F.lit("#"), F.row_number().over(w).cast("string"))).drop("__c")
 
 
 def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
@@ -125,11 +133,15 @@ def fragments(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     return f.select("key", "sid", "block", (start - F.col("offset")).alias("from"), (F.least(end, (F.col("block") + 1) * block) - start).alias("words"))
 
 
+def with_identity(docs: DataFrame) -> DataFrame:
+    return docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "text_md5": F.md5(F.col("text").cast("binary"))})
+
+
 def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """Two tables: doc_id, source, key, size, source_size, target of every row; and its fragments with
     ``times``, how often the mix takes each (those that it takes)."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), "text")
-    d = cut(with_key(d.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.col("text").cast("binary")).alias("text"))))
+    d = with_identity(docs)
+    d = cut(with_key(d.select("doc_id", "source", "text_md5", word_count(F.col("text")).alias("size")), ids_are_keys(docs)))
     sources = cut(targets(d, most))
     rows = d.count()
     few = sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
@@ -151,7 +163,7 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, mos
     A pass that takes all of a document keeps its text as it is; else words are joined by a space."""
     _, taken = mix(docs, block, slots, most)
     by_row = taken.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("from", "words", "times"))).alias("__f"))
-    keyed = keyed_documents(docs).join(by_row, "key").withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("__f", lambda f: f["times"])))))
+    keyed = with_key(with_identity(docs.select("doc_id", "text", "lang", "source")), ids_are_keys(docs)).join(by_row, "key").withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.array_max(F.transform("__f", lambda f: f["times"])))))
     mine = F.filter("__f", lambda f: f["times"] >= F.col("__pass"))
     words = F.filter(F.split("text", SPACE, -1), lambda w: w != "")
     some = F.array_join(F.flatten(F.transform("__mine", lambda f: F.slice("__words", (f["from"] + 1).cast("int"), f["words"].cast("int")))), " ")
@@ -159,10 +171,3 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, mos
     out = keyed.withColumn("__mine", mine).withColumn("__words", words)
     text = F.when(whole, F.col("text")).otherwise(some)
     return out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
-
-
-def keyed_documents(docs: DataFrame) -> DataFrame:
-    content = F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.md5(F.col("text").cast("binary")).alias("text"))
-    d = docs.select("doc_id", "text", "lang", "source").withColumn("__d", content)
-    keys = with_key(d.select("__d.*", F.struct(F.col("text").alias("body"), "lang").alias("__row"), F.col("source").alias("__s")))
-    return keys.select("doc_id", F.col("__row.body").alias("text"), F.col("__row.lang").alias("lang"), F.col("__s").alias("source"), "key")
