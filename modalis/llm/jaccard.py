@@ -370,12 +370,11 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     """``docs`` (columns of documents) with one row of each component: its least doc_id, of rows with that id
     and equal texts one."""
     found = similar_groups(docs, words, num, den)
-    kept = found.filter("first").select("rid").distinct()
+    gone = cut(found.filter(~F.col("first")).select("rid").distinct())
     unique = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
     rid = F.col("doc_id").cast("long") if unique["n"] == unique["d"] else F.xxhash64(F.col("doc_id").cast("long"), "text")
     rows = docs.withColumn("__rid", rid)
-    few = cut(kept)
-    out = rows.join(F.broadcast(few) if few.count() <= FEW else few, F.col("__rid") == F.col("rid"), "left_semi")
+    out = rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, F.col("__rid") == F.col("rid"), "left_anti")
     if unique["n"] != unique["d"]:
         out = out.dropDuplicates(["__rid"])
     return out.drop("__rid")
