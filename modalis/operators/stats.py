@@ -41,7 +41,6 @@ def regression_metrics(rows: DataFrame, tolerance: float = 1e-4) -> DataFrame:
     """One row of metrics over columns ``y`` and ``p``. The relative error and the l2 error are taken against
     the prediction, which is how the evaluator is called."""
     d = F.col("y") - F.col("p")
-    mean = F.avg("y")
     return rows.agg(
         F.avg(d * d).alias("mse"),
         F.sqrt(F.avg(d * d)).alias("rmse"),
@@ -49,7 +48,7 @@ def regression_metrics(rows: DataFrame, tolerance: float = 1e-4) -> DataFrame:
         (F.avg(F.abs(d / (F.col("p") + tolerance))) * 100).alias("mre"),
         F.percentile(F.abs(d), 0.95).alias("ae_95"),
         F.percentile(F.abs(d), 0.99).alias("ae_99"),
-        (1 - F.sum(d * d) / (F.sum(F.col("y") * F.col("y")) - F.count("*") * mean * mean)).alias("r2"),
+        (1 - F.sum(d * d) / (F.count("*") * F.var_pop("y"))).alias("r2"),
         F.sqrt(F.sum(d * d) / F.sum(F.col("p") * F.col("p"))).alias("l2_error"),
     )
 
