@@ -208,11 +208,17 @@ def hub_links(members: DataFrame, num: int, den: int) -> DataFrame:
     place = Window.partitionBy("hub", "a").orderBy("f", "t")
     need = F.greatest(F.lit(1), F.ceil(-(F.col("w") + F.col("ws")) / (2 * (num + den)))).cast("long")
     entries = entries.withColumn("pos", F.row_number().over(place) - 1).filter((F.col("pos") <= F.col("d") - need) & (F.col("f") > 1))
-    entries = cut(entries.select("hub", "t", "a", "w", "tied", (F.col("d") - F.col("pos")).alias("left")))
-    x, y = (entries.select("hub", "t", *(F.col(c).alias(f"{c}_{s}") for c in ("a", "w", "tied", "left"))) for s in "xy")
+    # A list of more than BLOCK entries is dealt into blocks; each entry goes to every pair of its block.
+    parts = F.ceil(F.col("f") / BLOCK).cast("int")
+    entries = entries.withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    ends = (F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
+    entries = cut(entries.select("hub", "t", *ends, "part", "a", "w", "tied", (F.col("d") - F.col("pos")).alias("left")))
+    # Tied sets are all linked with the one of most slack: a pair needs one that is not.
+    x, y = (e.select("hub", "t", "lo", "hi", *(F.col(c).alias(f"{c}_{s}") for c in ("a", "w", "tied", "left", "part"))) for e, s in ((entries.filter(~F.col("tied")), "x"), (entries, "y")))
     short = F.col("w_x") + F.col("w_y")
-    fits = (short < 0) & (2 * (num + den) * F.least("left_x", "left_y") >= -short) & ~(F.col("tied_x") & F.col("tied_y")) & (F.col("a_x") < F.col("a_y"))
-    pairs = x.join(y, ["hub", "t"]).filter(fits).select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct()
+    once = (F.col("lo") == F.col("hi")) | (F.col("part_x") != F.col("part_y"))
+    fits = (short < 0) & (2 * (num + den) * F.least("left_x", "left_y") >= -short) & once & (F.col("tied_y") | (F.col("a_x") < F.col("a_y")))
+    pairs = x.join(y, ["hub", "t", "lo", "hi"]).filter(fits).select(F.col("a_x").alias("a"), F.col("a_y").alias("b")).distinct()
     d = m.select("a", "w", "delta")
     joined = pairs.join(d, "a").join(d.select(F.col("a").alias("b"), F.col("w").alias("w_b"), F.col("delta").alias("delta_b")), "b")
     shared = F.size(F.array_intersect("delta", "delta_b"))
