@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.matrix import width
+
 #: Columns up to which n x n factors are solved on the driver, and factors that are stacked at a time.
 DRIVER_COLUMNS, MERGED = 4096, 16
 
@@ -208,19 +210,44 @@ def orthonormal(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return times(rows, np.linalg.pinv(r, rcond=1e-12)), r
 
 
-def randomized_qr(rows: DataFrame, r: int, q: int = 3, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
-    """Q (rows of r) and B = Q'X with q power iterations: 2 q + 2 passes, each over small factors."""
-    n = len(rows.select("x").first()["x"])
-    omega = np.random.default_rng(seed).random((n, r))
-    y = times(rows, omega)
+def through(rows: DataFrame, w: np.ndarray) -> np.ndarray:
+    """X'(X W) for a small W in one pass: the tall product stays in its task."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(w))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = None
+        for b in batches:
+            if b.num_rows:
+                x = block(b)
+                part = x.T @ (x @ shared.value)
+                g = part if g is None else g + part
+        if g is not None:
+            i, j = np.indices(g.shape).reshape(2, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(g.ravel())], names=["i", "j", "v"])
+
+    t = rows.select("x").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
+    out = np.zeros(w.shape)
+    out[t["i"], t["j"]] = t["v"]
+    return out
+
+
+def power_basis(rows: DataFrame, w: np.ndarray, q: int) -> np.ndarray:
+    """W such that X W spans what q power iterations from X W span; two passes over X each, no join."""
     for _ in range(q):
-        basis, _ = orthonormal(y)
-        both = rows.join(basis.withColumnRenamed("x", "y"), "row_id")
-        back, _ = np.linalg.qr(cross_gram(both))
-        y = times(rows, back)
-    basis, _ = orthonormal(y)
-    both = rows.join(basis.withColumnRenamed("x", "y"), "row_id")
-    return basis, cross_gram(both).T
+        w, _ = np.linalg.qr(through(rows, w @ np.linalg.pinv(tsqr(times(rows, w)), rcond=1e-12)))
+    return w
+
+
+def randomized_qr(rows: DataFrame, r: int, q: int = 3, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
+    """Q (rows of r) and B = Q'X with q power iterations: 2 q + 2 passes over X without a shuffle of it. X is
+    kept for their time; what executors lose of it is made again."""
+    rows = rows.persist()
+    n = width(rows)
+    w = power_basis(rows, np.random.default_rng(seed).random((n, r)), q)
+    w = w @ np.linalg.pinv(tsqr(times(rows, w)), rcond=1e-12)
+    b = through(rows, w).T
+    rows.unpersist()
+    return times(rows, w), b
 
 
 def randomized_svd(rows: DataFrame, r: int, q: int = 3, seed: int = 0) -> tuple[DataFrame, np.ndarray, np.ndarray]:

@@ -28,12 +28,7 @@ class Sketch:
 
 def sketch_of(rows: DataFrame, r: int, q: int, seed: int) -> DataFrame:
     n = M.width(rows)
-    y = L.times(rows, np.random.default_rng(seed).random((n, r)))
-    for _ in range(q):
-        basis, _ = L.orthonormal(y)
-        back, _ = np.linalg.qr(L.cross_gram(rows.join(basis.withColumnRenamed("x", "y"), "row_id")))
-        y = L.times(rows, back)
-    return y
+    return L.times(rows, L.power_basis(rows, np.random.default_rng(seed).random((n, r)), q))
 
 
 def start(rows: DataFrame, r: int, q: int = 1, seed: int = 0) -> Sketch:
