@@ -1,14 +1,14 @@
 """Personal data: fixed patterns, and terms that give protected entities away, with DataFrame operations alone.
 
 The base kinds (email, ip, card, phone) are leftmost non-overlapping matches of fixed patterns, each kind on
-its own. Every distinct value found is a protected entity. Terms (words of at least ``LETTERS`` letters) that
-stand within ``WINDOW`` code points of an entity are weighed by what they tell about it, over all documents:
+its own. Every distinct value found is a protected entity. Terms (words of at least ``LETTERS`` letters) of the
+documents that hold an entity are weighed by what they tell about it, over all documents:
 
     disclosure(t, e) = PMI(t, e) / IC(e) = log2(N df(t, e) / (df(t) df(e))) / log2(N / df(e))
 
-df counts documents, df(t, e) those in which t stands near e. It is 1 where t is seen near e alone. From
-``SUPPORT`` joint documents on, a term at or above ``REMOVE`` is removed and one at or above ``GENERALISE`` is
-generalised, wherever it stands near that entity. Documents without an entity stay as they are.
+df counts documents, df(t, e) those that hold both. It is 1 where t is seen with e alone. From ``SUPPORT``
+joint documents on, a term at or above ``REMOVE`` is removed and one at or above ``GENERALISE`` is generalised,
+wherever it stands in a document with that entity. Documents without an entity stay as they are.
 
 Defined cases: null texts are empty and have no spans; offsets are code points, end exclusive; repeated rows
 get equal spans and count once in df; an empty table gives an empty result; other columns are ignored;
@@ -19,10 +19,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import cut, table
 
-WINDOW, LETTERS, SUPPORT, GENERALISE, REMOVE = 64, 4, 2, 0.8, 0.95
+LETTERS, SUPPORT, GENERALISE, REMOVE = 4, 2, 0.8, 0.95
 #: Terms up to which they are broadcast to count documents; beyond, a join by key does it.
 FEW_TERMS = 200_000
 
@@ -107,45 +108,59 @@ def found(docs: DataFrame) -> DataFrame:
     return d.withColumn("base", base_spans(F.col("text"))).withColumn("key", F.when(F.size("base") > 0, F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").cast("binary"))))
 
 
-def nearby(base: DataFrame, window: int = WINDOW) -> DataFrame:
-    """key, entity, term, start, end: terms near each entity, cut off at neither edge of the window."""
-    e = base.filter("size(base) > 0").select("key", "text", F.explode("base").alias("s"))
-    e = e.select("key", F.concat_ws(":", "s.kind", canonical(F.col("s.kind"), F.col("s.value"))).alias("entity"), F.col("s.start").alias("a"), F.col("s.end").alias("b"), "text")
-    # One more code point on either side tells whether an outer word goes on.
-    e = e.withColumn("l", F.greatest(F.col("a") - window - 1, F.lit(0)))
-    e = e.select("key", "entity", "a", "b", "l", F.expr("substring(text, l + 1, a - l)").alias("left"), F.expr(f"substring(text, b + 1, {window + 1})").alias("right"))
-    before = F.filter(matches(F.col("left"), TERM, "term", F.col("l")), lambda s: (s["start"] > F.col("l")) | (F.col("l") == 0))
-    after = F.filter(matches(F.col("right"), TERM, "term", F.col("b")), lambda s: s["end"] <= F.col("b") + window)
-    e = e.withColumn("t", F.explode(F.concat(before, after)))
-    return e.select("key", "entity", F.lower("t.value").alias("term"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
-
-
-def disclosing(docs: DataFrame, near: DataFrame, entities: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """entity, term, disclosure of the pairs with enough support, from counts over all of ``docs``."""
-    joint = near.select("key", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= support)
-    joint = cut(joint)
-    terms = joint.select("term").distinct()
+def terms_of(text: Column) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))
+
+
+def places(texts: DataFrame) -> DataFrame:
+    """key, term, start, end: every term of each text. Offsets are running sums over a text's rows, not an array that grows."""
+    hits = F.regexp_extract_all(F.col("text"), F.lit(TERM), F.lit(0))
+    gaps = F.transform(F.split("text", TERM, -1), F.length)
+    pairs = F.zip_with(F.slice(gaps, 1, F.size(hits)), hits, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
+    p = texts.select("key", F.posexplode(pairs).alias("pos", "p")).select("key", "pos", F.col("p.gap").alias("gap"), F.length("p.hit").alias("n"), F.lower("p.hit").alias("term"))
+    so_far = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    p = p.withColumn("end", F.sum(F.col("gap") + F.col("n")).over(so_far).cast("int"))
+    return p.select("key", "term", (F.col("end") - F.col("n")).alias("start"), "end")
+
+
+def disclosing(docs: DataFrame, held: DataFrame, entities: DataFrame, support: int = SUPPORT) -> DataFrame:
+    """entity, term, disclosure of the pairs with enough support that tell enough, from counts over all of ``docs``.
+    ``held``: key, text of the rows with entities. Only what cannot reach ``GENERALISE`` is left out before
+    pairs are made: entities and terms in fewer than ``support`` documents, and terms too frequent for an entity."""
+    n = F.lit(float(max(2, docs.count())))
+    df_e = entities.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support)
+    # df(t, e) <= df(e), so a pair at GENERALISE has df(t) <= most.
+    most = n * F.pow(F.least(F.col("df_e"), n / 2) / n, F.lit(GENERALISE)) * (1 + 1e-9)
+    e = cut(entities.join(df_e, "entity").withColumn("most", most))
+    words = held.join(e.select("key").distinct(), "key", "left_semi").select("key", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
+    terms = cut(words.groupBy("term").agg(F.count("*").alias("c")).filter(F.col("c") >= support).select("term"))
     few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = docs.select(F.explode(F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), F.lit(0)), F.lower))).alias("term"))
+    every = docs.select(F.explode(terms_of(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
     if few:
-        words = words.join(F.broadcast(terms), "term", "left_semi")
-    df_t = words.groupBy("term").agg(F.count("*").alias("df_t"))
-    df_e = entities.groupBy("entity").agg(F.count("*").alias("df_e"))
-    n = F.lit(float(max(2, docs.count())))
-    pairs = joint.join(df_t, "term").join(df_e, "entity")
+        every = every.join(F.broadcast(terms), "term", "left_semi")
+    top = e.agg(F.max("most").alias("top")).first()["top"] or 0.0
+    df_t = every.groupBy("term").agg(F.count("*").alias("df_t")).filter(F.col("df_t") <= top)
+    rare = cut(df_t.join(terms, "term"))
+    rare = words.join(F.broadcast(rare) if few else rare, "term")
+    joint = e.join(rare, "key").filter(F.col("df_t") <= F.col("most"))
+    pairs = joint.groupBy("entity", "term", "df_t", "df_e").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= support)
     information = F.log2(n / F.least(F.col("df_e"), n / 2))
-    return pairs.select("entity", "term", (F.log2(n * F.col("df_te") / (F.greatest("df_t", "df_te") * F.col("df_e"))) / information).alias("disclosure"))
+    told = pairs.select("entity", "term", (F.log2(n * F.col("df_te") / (F.greatest("df_t", "df_te") * F.col("df_e"))) / information).alias("disclosure"))
+    return told.filter(F.col("disclosure") >= GENERALISE)
 
 
 def term_spans(docs: DataFrame, base: DataFrame) -> DataFrame:
     """key, terms: spans of the terms to generalise or remove, in order, of rows that have any."""
-    near = cut(nearby(base))
-    entities = base.filter("size(base) > 0").select("key", F.explode("base").alias("s")).select("key", F.concat_ws(":", "s.kind", canonical(F.col("s.kind"), F.col("s.value"))).alias("entity")).distinct()
-    told = disclosing(docs, near, entities).filter(F.col("disclosure") >= GENERALISE)
-    spans = near.join(told, ["entity", "term"]).groupBy("key", "start", "end").agg(F.max("disclosure").alias("d"), F.max("term").alias("value"))
-    span = F.struct(F.when(F.col("d") >= REMOVE, TERM_KINDS[1]).otherwise(TERM_KINDS[0]).alias("kind"), F.col("start"), F.col("end"), F.col("value"))
-    return spans.groupBy("key").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    held = base.filter("size(base) > 0")
+    entities = cut(held.select("key", F.explode("base").alias("s")).select("key", F.concat_ws(":", "s.kind", canonical(F.col("s.kind"), F.col("s.value"))).alias("entity")).distinct())
+    held = held.select("key", "text")
+    told = disclosing(docs, held, entities)
+    marked = cut(entities.join(told, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("d")))
+    texts = held.join(marked.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
+    spans = places(texts).join(marked, ["key", "term"])
+    span = F.struct(F.when(F.col("d") >= REMOVE, TERM_KINDS[1]).otherwise(TERM_KINDS[0]).alias("kind"), F.col("start"), F.col("end"), F.col("term").alias("value"))
+    return spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", span.alias("s")))).alias("x")).select("key", F.col("x.s").alias("terms"))
 
 
 def spell(spans: Column) -> Column:

@@ -347,6 +347,19 @@ def test_terms_that_tell_are_marked(spark):
     assert got[0].doc_id == 0 and privacy.sanitised(d).columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_terms_far_from_an_entity_are_marked(spark):
+    far = " plain words go on and on" * 40
+    rows = [(k, f"Zanzibar{far} mail jane.roe@example.org now{far} and zanzibar again, Tiny", "en", "s") for k in range(4)]
+    rows += [(k, f"tiny{far} mail now again {k}", "en", "s") for k in range(4, 60)]
+    d = docs(spark, rows)
+    got = {r.doc_id: r for r in privacy.personal_data(d).collect()}
+    for k, t, *_ in rows[:4]:
+        assert [(s.kind, s.start, s.end, s.value) for s in got[k].terms] == [("removed", m.start(), m.end(), "zanzibar") for m in re.finditer("[Zz]anzibar", t)]
+    assert all(not got[k].terms for k in range(4, 60))
+    clean = {r.doc_id: r.text for r in privacy.sanitised(d).collect()}
+    assert clean[0] == f"{far} mail [EMAIL] now{far} and  again, Tiny"
+
+
 def test_repeated_rows_count_once(spark):
     d = docs(spark, [(1, "mail me at a.b@c.org Quagmire please", "en", "s")] * 5 + [(k, "other text", "en", "s") for k in range(2, 40)])
     got = [r for r in privacy.personal_data(d).collect() if r.doc_id == 1]
