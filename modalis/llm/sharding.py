@@ -1,10 +1,11 @@
 """Sharding by vector bin packing.
 
-Documents with equal texts form a group; groups are placed whole where that keeps shards even. A group
-heavier than a fixed share of all bytes, tokens or rows is first dealt into chunks by its ids, so that
-a group of copies of any size spreads over tasks and shards. Every task places its own units (groups
-or chunks), largest first, each on the shard whose residual capacity has the highest dot product with
-the unit's (bytes, tokens, rows), against capacities in proportion to what the task holds.
+Documents with equal texts form a group, and a group is placed whole: only one that is heavier, in bytes, tokens
+or rows, than ``WHOLE`` of a shard's capacity is dealt into chunks by its ids, so that a group of copies of any
+size spreads over tasks and shards. Units (groups or chunks) go, largest first, each to the shard whose residual
+capacity has the highest dot product with the unit's (bytes, tokens, rows). Units above one part in ``UNIT_SHARE``
+of the whole are few and placed together first; every task then places its own light ones, against what the
+heavy ones left of each shard, in proportion to what the task holds.
 
 Defined cases: a null text counts as empty (size 1); repeated rows are placed one by one; an empty table
 gives an empty result; other columns are ignored.
@@ -22,16 +23,19 @@ from pyspark.sql import functions as F
 from .common import buckets_for, cut, running_total, table
 
 SHARDS = 16
-#: A unit is at most about one part in so many of all bytes, tokens or rows, single documents aside.
+#: Units above one part in so many of all bytes, tokens or rows are placed together; chunks are of about that size.
 UNIT_SHARE = 16_384
+#: The share of a shard's capacity up to which a group of copies is placed whole.
+WHOLE = 0.05
 
 
-def place(units: np.ndarray, shards: int, turn: int = 0) -> np.ndarray:
-    """Shard of each row of ``units`` (any non-negative measures). Ties go round from ``turn``."""
+def place(units: np.ndarray, shards: int, turn: int = 0, left: np.ndarray | None = None) -> np.ndarray:
+    """Shard of each row of ``units`` (any non-negative measures). Ties go round from ``turn``. ``left``: shares of
+    ``units`` that shards have room for, equal ones if not given."""
     total = units.sum(axis=0, dtype=np.float64)
     v = units / np.where(total > 0, total, 1)
     out = np.empty(len(v), np.int32)
-    left = np.full((shards, v.shape[1]), 1.0 / shards)
+    left = np.full((shards, v.shape[1]), 1.0 / shards) if left is None else left.copy()
     for i in np.argsort(-v.max(axis=1), kind="stable"):
         score = np.roll(left @ v[i], -turn)
         out[i] = s = (int(score.argmax()) + turn) % shards
@@ -55,19 +59,30 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total = d.agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
     n = total["n"]
     share = F.greatest(F.sum("size") / max(1, total["b"] or 0), F.sum("tokens") / max(1, total["t"] or 0), F.count("*") / max(1, n))
-    # At most 3 * UNIT_SHARE groups can be above one part in UNIT_SHARE: the broadcast side is bounded.
-    hot = d.groupBy("text_md5").agg(F.ceil(share * UNIT_SHARE).cast("int").alias("chunks"), F.count("*").alias("c")).filter("chunks > 1 and c > 1").select("text_md5", "chunks")
+    # At most 3 * shards / WHOLE groups can be that heavy: the broadcast side is bounded.
+    hot = d.groupBy("text_md5").agg(F.ceil(share * UNIT_SHARE).cast("int").alias("chunks"), share.alias("share"), F.count("*").alias("c"))
+    hot = hot.filter((F.col("share") > WHOLE / shards) & (F.col("chunks") > 1) & (F.col("c") > 1)).select("text_md5", "chunks")
     d = d.join(F.broadcast(hot), "text_md5", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.col("chunks")), F.lit(0)).cast("int")).drop("chunks")
-    units = d.groupBy("text_md5", "chunk").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
+    units = d.groupBy("text_md5", "chunk").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"), (share > 1 / UNIT_SHARE).alias("heavy"))
+    units = cut(units)
+    # At most 3 * UNIT_SHARE units are heavy.
+    big = sorted(units.filter("heavy").drop("heavy").collect())
+    whole = np.array([[total["b"] or 0, total["t"] or 0, n or 0]], np.float64)
+    taken = np.array([u[2:] for u in big], np.float64).reshape(-1, 3)
+    at = place(taken, shards)
+    load = np.stack([np.bincount(at, taken[:, k], shards) for k in range(3)], axis=1)
+    light = whole - load.sum(axis=0)
+    room = (whole / shards - load) / np.where(light > 0, light, 1)
+    chosen = d.sparkSession.createDataFrame([(u[0], u[1], int(s)) for u, s in zip(big, at, strict=True)], "text_md5 string, chunk int, shard int")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [f for f in frames if len(f)]
         if got:
             f = pd.concat(got).sort_values(["text_md5", "chunk"], ignore_index=True)
             first = int(f["text_md5"][0][:8], 16) % shards
-            yield f[["text_md5", "chunk"]].assign(shard=place(f[["size", "tokens", "n"]].to_numpy(np.float64), shards, first))
+            yield f[["text_md5", "chunk"]].assign(shard=place(f[["size", "tokens", "n"]].to_numpy(np.float64), shards, first, room))
 
-    placed = units.mapInPandas(run, "text_md5 string, chunk int, shard int")
+    placed = units.filter("not heavy").drop("heavy").mapInPandas(run, "text_md5 string, chunk int, shard int").unionByName(chosen)
     rows = cut(d.join(placed, ["text_md5", "chunk"]).drop("chunk", "tokens"))
     return running_total(rows, ["shard"], [F.col("doc_id"), F.col("text_md5")], F.lit(1), "slot", buckets_for(n // shards))
 

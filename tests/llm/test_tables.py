@@ -292,6 +292,26 @@ def test_shards_are_even_with_a_hot_group(spark):
         assert sorted(r.slot for r in got if r.shard == s) == list(range(count[s]))
 
 
+@pytest.mark.parametrize("unit_share", [sharding.UNIT_SHARE, 500])
+def test_copies_stay_together(spark, monkeypatch, unit_share):
+    monkeypatch.setattr(sharding, "UNIT_SHARE", unit_share)
+    rng = random.Random(4)
+    texts = [words(rng, rng.randrange(20, 60)) for _ in range(2000)]
+    copies = [t for k in range(60) for t in [texts[k]] * (1 + k % 3)]
+    rows = [(k, t, "en", "s") for k, t in enumerate(texts + copies + ["one hot text"] * 300)]
+    got = sharding.shard(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    at = {}
+    for r in got:
+        at.setdefault(r.text_md5, []).append(r.shard)
+    hot = max(at.values(), key=len)
+    assert len(set(hot)) == 16 and all(len(set(s)) == 1 for s in at.values() if s is not hot)
+    total = Counter()
+    for r in got:
+        total[r.shard] += r.size
+    assert max(total.values()) < 1.05 * min(total.values())
+
+
 # --- licenses, media -----------------------------------------------------------------------------------------
 
 
