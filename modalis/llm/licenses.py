@@ -2,8 +2,9 @@
 
 Templates are read as words; the hashes of their word k-grams are winnowed (the least of every window) into an
 inverted index of (template, position). A document's k-grams look themselves up; hits vote for a template and
-a diagonal, and each diagonal with a vote is aligned with the template in a band around it. A match reports
-the share of the template's words that stand in it in order, and its span in code points.
+a diagonal, and each diagonal with a vote is aligned with the template in a band around it, among the words that no
+match has yet, until every vote lies in a match or its alignment fails. A match reports the share of the
+template's words that stand in it in order, and its span in code points.
 
 The index is bounded by the list of templates and goes to every task; documents are scanned whole, in one
 pass without a shuffle. With ``GRAM`` = 3 and ``WINDOW`` = 2 every run of 4 template words is found.
@@ -15,6 +16,7 @@ go to the first template in the list; an empty table gives an empty result; othe
 from __future__ import annotations
 
 import re
+from bisect import bisect_right, insort
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,27 +105,28 @@ class Index:
                 self.at.setdefault(grams[p], []).append((k, p))
         self.firsts = {g[0] for g in self.at}
 
-    def candidates(self, words: list[bytes]) -> dict[int, list[int]]:
-        """Document positions at which each template would start, by votes of its fingerprints."""
-        out: dict[int, list[int]] = {}
+    def candidates(self, words: list[bytes]) -> dict[int, list[tuple[int, int]]]:
+        """Document positions at which each template would start, by votes of its fingerprints, and the votes' own."""
+        out: dict[int, list[tuple[int, int]]] = {}
         firsts = self.firsts
         for i, w in enumerate(words):
             if w in firsts:
                 for k, p in self.at.get(tuple(words[i : i + self.gram]), ()):
-                    out.setdefault(k, []).append(i - p)
+                    out.setdefault(k, []).append((i - p, i))
         return out
 
 
-def align(template: list[bytes], words: list[bytes], at: int, band: int = BAND) -> tuple[int, int, int]:
-    """The most template words that match document words in order within ``band`` of the diagonal from
-    ``at``: their number, and the first and the last document word."""
+def align(template: list[bytes], words: list[bytes], at: int, band: int = BAND, lowest: int = 0, end: int | None = None) -> tuple[int, int, int]:
+    """The most template words that match document words from ``lowest`` up to ``end`` in order within ``band`` of
+    the diagonal from ``at``: their number, and the first and the last document word."""
+    end = len(words) if end is None else end
     none = (0, 0, 0)  # matches, minus the span's length, its end
     best: dict[int, tuple[int, int, int]] = {}  # document position -> (matches, first, last)
     for i, w in enumerate(template):
-        low = max(0, at + i - band)
+        low = max(lowest, at + i - band)
         now: dict[int, tuple[int, int, int]] = {}
         left = (0, -1, -1)
-        for j in range(low, min(len(words), at + i + band + 1)):
+        for j in range(low, min(end, at + i + band + 1)):
             up, diagonal = best.get(j, (0, -1, -1)), best.get(j - 1, (0, -1, -1))
             options = [up, left]
             if words[j] == w:
@@ -135,24 +138,49 @@ def align(template: list[bytes], words: list[bytes], at: int, band: int = BAND)
     return n, first, last
 
 
+def gap(spans: list[tuple[int, int]], i: int, n: int) -> tuple[int, int] | None:
+    """The words around ``i``, of ``n``, that lie in none of the ordered ``spans``; None if it lies in one."""
+    k = bisect_right(spans, (i, n))
+    if k and spans[k - 1][1] >= i:
+        return None
+    return (spans[k - 1][1] + 1 if k else 0), (spans[k][0] if k < len(spans) else n)
+
+
+def aligned(template: list[bytes], words: list[bytes], votes: list[tuple[int, int]], taken: list[tuple[int, int]], failed: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
+    """Matches of a template among the words outside ``taken``, until each vote lies in one or has ``failed``."""
+    spans, out = list(taken), []
+    for at, i in votes:
+        while (free := gap(spans, i, len(words))) is not None:
+            low, end = free
+            # The same diagonal, give or take the band, has failed among these words.
+            if any(abs(at - a) <= BAND // 2 and a_low <= low and end <= a_end for a, a_low, a_end in reversed(failed)):
+                break
+            n, first, last = align(template, words, at, BAND, low, end)
+            if not n or n < least * len(template):
+                failed.append((at, low, end))
+                break
+            insort(spans, (first, last))
+            out.append((n, first, last))
+    return out
+
+
 def scan(index: Index, text: str, least: float = COVERAGE) -> list[dict]:
-    """Matches of at least ``least`` coverage, in order; of overlapping ones the longest stays."""
+    """Matches of at least ``least`` coverage, in order; of overlapping ones the longest stays, and the others are
+    looked for again among the words that are left."""
     words = words_of(text)
-    found = []
-    for k, starts in index.candidates(words).items():
-        template = index.words[k]
-        done: list[int] = []
-        for at in sorted(starts):
-            if done and at - done[-1] <= BAND // 2:
-                continue  # the same diagonal, give or take the band
-            done.append(at)
-            n, first, last = align(template, words, at)
-            if n >= least * len(template):
-                found.append((-n, k, first, last))
+    votes = {k: sorted(v) for k, v in index.candidates(words).items()}
+    failed: dict[int, list[tuple[int, int, int]]] = {k: [] for k in votes}
     kept: list[tuple[int, int, int, int]] = []
-    for n, k, first, last in sorted(found):
-        if all(last < a or b < first for _, _, a, b in kept):
-            kept.append((n, k, first, last))
+    taken: list[tuple[int, int]] = []
+    while True:
+        found = sorted((-n, k, first, last) for k, v in votes.items() for n, first, last in aligned(index.words[k], words, v, taken, failed[k], least))
+        if not found:
+            break
+        for n, k, first, last in found:
+            j = bisect_right(taken, (first, len(words)))
+            if (not j or taken[j - 1][1] < first) and (j == len(taken) or last < taken[j][0]):
+                kept.append((n, k, first, last))
+                taken.insert(j, (first, last))
     if not kept:
         return []
     spots = [m.span() for m in WORD.finditer(ascii_lower(text))]

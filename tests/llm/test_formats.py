@@ -200,3 +200,20 @@ def test_changed_words_lower_the_coverage():
     (m,) = licenses.scan(ix, body)
     assert m["license"] == "MIT" and 0.97 < m["coverage"] < 1
     assert licenses.scan(ix, "") == [] and licenses.scan(ix, "nothing of the kind under the sun") == []
+
+
+@pytest.mark.parametrize("name", [n for n in licenses.TEMPLATES if n.endswith("notice")])
+@pytest.mark.parametrize("between", ["\n", "\nand\n", "\nmore words stand here\n"])
+def test_repeated_notices_are_all_found(name, between):
+    ix, body = licenses.Index(licenses.TEMPLATES), licenses.TEMPLATES[name]
+    last = [m.end() for m in licenses.WORD.finditer(body.lower())][-1]
+    for n in (2, 3, 7):
+        got = licenses.scan(ix, between.join([body] * n))
+        step = len(body) + len(between)
+        assert [(m["license"], m["coverage"], m["start"], m["end"]) for m in got] == [(name, 1, k * step, k * step + last) for k in range(n)]
+
+
+def test_different_notices_close_together():
+    ix = licenses.Index(licenses.TEMPLATES)
+    names = ["MIT-notice", "CC-BY-NC-4.0-notice", "MIT-notice", "Apache-2.0-notice", "MIT-notice"]
+    assert [m["license"] for m in licenses.scan(ix, "\n".join(licenses.TEMPLATES[n] for n in names))] == names
