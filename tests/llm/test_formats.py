@@ -217,3 +217,17 @@ def test_different_notices_close_together():
     ix = licenses.Index(licenses.TEMPLATES)
     names = ["MIT-notice", "CC-BY-NC-4.0-notice", "MIT-notice", "Apache-2.0-notice", "MIT-notice"]
     assert [m["license"] for m in licenses.scan(ix, "\n".join(licenses.TEMPLATES[n] for n in names))] == names
+
+
+def test_whole_licenses_end_where_they_end():
+    ix = licenses.Index(licenses.TEMPLATES)
+    ends = {"ISC": "PERFORMANCE OF THIS SOFTWARE.", "BSD-2-Clause": "POSSIBILITY OF SUCH DAMAGE.", "BSD-3-Clause": "POSSIBILITY OF SUCH DAMAGE.", "GPL-3.0-header": "https://www.gnu.org/licenses/>."}
+    for name, end in ends.items():
+        body = licenses.TEMPLATES[name]
+        assert body.endswith(end)
+        numbered = body.replace("Redistributions of", "1. Redistributions of").replace("Redistributions in", "2. Redistributions in").replace("Neither the name", "3. Neither the name")
+        (m,) = licenses.scan(ix, "Copyright (c) 2020, A. Person\n\n" + numbered + "\n\nint main")
+        assert m["license"] == name and m["coverage"] == 1 and m["end"] == 31 + len(numbered.rstrip(".>/"))
+    isc = licenses.TEMPLATES["ISC"]
+    assert licenses.scan(ix, isc[: isc.index(" IN NO EVENT")]) == []
+    assert licenses.scan(ix, licenses.BSD) == []
