@@ -6,8 +6,8 @@ maps edit distance to Hamming distance, since two walks that an insertion or del
 again. A fingerprint samples the embedding at fixed steps, at two scales, the text's own and twice that, so
 that texts of like lengths share a scale. Likeness is the share of equal samples.
 
-``links`` pairs documents: bands of samples pick candidates, each with the least document of its band, and a
-banded edit distance verifies them.
+``links`` pairs documents: distinct texts that share a band of samples are candidates, and a banded edit distance
+verifies each. Long bands are dealt into blocks, and pairs of blocks into tasks.
 
 Defined cases: null texts are empty; two empty texts are alike (1); likeness is 0 where scales are more than
 one step apart; documents are in order of doc_id, null first, then text; the only row is its own next one;
@@ -35,6 +35,8 @@ SAMPLES, GRAM, LEAST = 96, 4, 64
 CLASSES, PERIOD, STRETCH, SEED = 16, 65_536, 16_384, 9_241
 #: Rows of one range of doc_id, about, and ranges at most.
 RANGE_ROWS, RANGES = 2_000, 65_536
+#: Texts of a block of a band.
+BLOCK = 256
 
 
 @lru_cache(1)
@@ -221,35 +223,50 @@ def edit_distance(a: str, b: str, most: int) -> int:
 
 
 def links(docs: DataFrame, share: float = 0.05, bands: int = 24) -> DataFrame:
-    """doc_id, with, distance: documents whose edit distance to the least document of one of their bands is
-    at most ``share`` of the longer text. One row a document and band at most: linear in the rows."""
+    """doc_id, with, distance: distinct texts that share a band and whose edit distance is at most ``share`` of the
+    longer one, each named by its least doc_id, and at distance 0 the other documents of a text with that one. Rows
+    are told apart by doc_id and text; a null doc_id stands for a text that has no other."""
     def make():
-        def each(doc_id, text):
-            codes = codes_of(text or "")
+        def each(t, text):
+            codes = codes_of(text)
             scale, a, b = fingerprint(codes, walk(codes))
             size = SAMPLES // bands
             for s, p in ((scale, a), (2 * scale, b)):
                 for k in range(bands):
                     if any(band := p[k * size : (k + 1) * size]):
-                        yield doc_id, f"{s}:{k}:{band.hex()}"
+                        yield t, len(text), f"{s}:{k}:{band.hex()}"
 
         return each
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter("doc_id is not null").dropDuplicates(["doc_id"])
-    banded = cut(map_rows(d, make, "doc_id long, band string"))
-    least = banded.groupBy("band").agg(F.min("doc_id").alias("with"), F.count("*").alias("n")).filter("n > 1")
-    pairs = banded.join(least, "band").filter("doc_id <> with").select("doc_id", "with").distinct()
-    texts = pairs.join(d, "doc_id").join(d.select(F.col("doc_id").alias("with"), F.col("text").alias("other")), "with").select("doc_id", "with", "text", "other")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.md5(text.cast("binary")).alias("t"))
+    d = rows.select("t", "text").dropDuplicates(["t"])
+    least = cut(rows.groupBy("t").agg(F.min("doc_id").alias("with")))
+    copies = rows.select("doc_id", "t").distinct().join(least, "t").filter(~F.col("doc_id").eqNullSafe(F.col("with"))).select("doc_id", "with", F.lit(0).cast("long").alias("distance"))
+
+    banded = cut(map_rows(d, make, "t string, size long, band string"))
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = banded.join(shared, "band").withColumn("part", F.pmod(F.xxhash64("t"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = cut(dealt.select("band", "t", "size", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")))
+    x, y = (dealt.select("band", "lo", "hi", *(F.col(c).alias(f"{c}_{s}") for c in ("t", "size", "part"))) for s in "xy")
+    once = (F.col("lo") == F.col("hi")) | (F.col("part_x") != F.col("part_y"))
+    near = F.abs(F.col("size_x") - F.col("size_y")) <= share * F.greatest("size_x", "size_y")
+    pairs = x.join(y, ["band", "lo", "hi"]).filter((F.col("t_x") < F.col("t_y")) & once & near).select("t_x", "t_y").distinct()
+    texts = pairs.join(d.withColumnsRenamed({"t": "t_x"}), "t_x").join(d.withColumnsRenamed({"t": "t_y", "text": "other"}), "t_y").select("t_x", "t_y", "text", "other")
 
     def verify():
-        def each(doc_id, with_, text, other):
+        def each(a, b, text, other):
             most = int(share * max(len(text), len(other)))
             if (n := edit_distance(text, other, most)) <= most:
-                yield doc_id, with_, n
+                yield a, b, n
 
         return each
 
-    return map_rows(texts, verify, "doc_id long, with long, distance long")
+    found = map_rows(texts, verify, "t_x string, t_y string, distance long")
+    found = found.join(least.select(F.col("t").alias("t_x"), F.col("with").alias("a")), "t_x").join(least.select(F.col("t").alias("t_y"), F.col("with").alias("b")), "t_y")
+    low = F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.least("a", "b"))
+    return found.select(F.greatest("a", "b").alias("doc_id"), low.alias("with"), "distance").unionByName(copies)
 
 
 def op7_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

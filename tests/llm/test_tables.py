@@ -275,6 +275,20 @@ def test_links_join_near_copies(spark):
     assert [(r.doc_id, r["with"], r.distance) for r in edits.links(d).collect()] == [(2, 1, 1)]
 
 
+@pytest.mark.parametrize("block", [edits.BLOCK, 2])
+def test_links_do_not_hang_on_the_least_of_a_band(spark, monkeypatch, block):
+    monkeypatch.setattr(edits, "BLOCK", block)
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    text = letters(600)
+    # Both leads differ from the last three texts by far more than 5 %, one at either end.
+    first, second = letters(60) + text[60:], text[:-60] + letters(60)
+    near = [text, text[:300] + "#" + text[301:], text[:320] + "#" + text[321:]]
+    rows = [(1, first), (2, second), (3, near[0]), (4, near[1]), (3, near[2]), (9, near[1]), (None, near[1]), (None, letters(50)), (4, near[1])]
+    got = Counter((r.doc_id, r["with"], r.distance) for r in edits.links(docs(spark, [(i, t, "en", "s") for i, t in rows])).collect())
+    assert got == Counter([(4, 3, 1), (4, 3, 2), (3, 3, 1), (9, 4, 0), (None, 4, 0)])
+
+
 # --- shards --------------------------------------------------------------------------------------------------
 
 
