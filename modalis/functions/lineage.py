@@ -7,6 +7,9 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Files of a cut for each core at least, and rows of one file at most, about.
+FILES_A_CORE, ROWS_A_FILE = 2, 100_000
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Only a local session without the setting gets a folder of its own."""
@@ -21,6 +24,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, read from the checkpoint folder. Each partition is a file there: with ``rows``, about how many rows it
+    has, a small table is cut into a few files a core and not into one for each of many shuffle partitions."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if rows is not None:
+        files = max(FILES_A_CORE * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE))
+        if files < int(spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(files)
     return df.checkpoint(eager=True)
