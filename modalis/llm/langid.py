@@ -9,7 +9,7 @@ Bounds (parameters of :func:`train`): ``per_lang`` sampled documents and ``dict_
 language. Everything else covers all rows.
 
 Defined cases: null texts and texts without a letter are ``und`` with score 0 and rejected; null labels and
-null texts teach nothing; with no training rows every text is ``und``; equal sizes go to the language with
+null texts teach nothing; a null doc_id is not held out and teaches nothing; with no training rows every text is ``und``; equal sizes go to the language with
 the most training rows, then to the first in code-point order; repeated rows are judged one by one; an empty table gives an empty result.
 """
 
@@ -31,8 +31,6 @@ PER_LANG, DICT_BYTES = 64, 98_304
 PIECE, MARGIN = 16_384, 0.004
 #: Matches from four bytes on, found by a lazy search: words and their endings count.
 SEARCH = {"window_log": 18, "hash_log": 17, "chain_log": 17, "search_log": 4, "min_match": 4, "target_length": 16, "strategy": zstandard.STRATEGY_LAZY2}
-#: A letter: anything that Python's str.isalpha takes.
-LETTER = re.compile(r"[^\W\d_]")
 OTHERS = re.compile(r"[\W\d_]+")
 #: Ends what is encoded, so that even a word of text makes a compressed block and not a stored one.
 TAIL = b"\n" * 64
@@ -43,8 +41,13 @@ def letters(text: str) -> bytes:
     return f" {OTHERS.sub(' ', text.lower())} ".encode("utf-8", "surrogatepass")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode's letter categories occurs: neither digits, as ², ½ or Ⅷ, nor marks are letters."""
+    return any(map(str.isalpha, text))
+
+
 def held_out(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def train(labelled: DataFrame, per_lang: int = PER_LANG, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
@@ -88,7 +91,7 @@ class Classifier:
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Language, score and whether it is rejected."""
-        if not text or not self.langs or not LETTER.search(text):
+        if not text or not self.langs or not has_letter(text):
             return UNKNOWN, 0.0, True
         sizes = self.sizes(text)
         best = min(sizes)
@@ -124,7 +127,7 @@ def kept(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
 
 
 def training_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", "lang").filter(~held_out(F.col("doc_id")))
+    return docs.select("doc_id", "text", "lang").filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
