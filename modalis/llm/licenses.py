@@ -4,7 +4,8 @@ Templates are read as words; the hashes of their word k-grams are winnowed (the
 inverted index of (template, position). A document's k-grams look themselves up; hits vote for a template and
 a diagonal, and each diagonal with a vote is aligned with the template in a band around it, among the words that no
 match has yet, until every vote lies in a match or its alignment fails. A match reports the share of the
-template's words that stand in it in order, and its span in code points.
+template's words that stand in it in order, and its span in code points. Templates that differ from other licenses
+in a name, clause or version alone have key phrases (:data:`KEYS`): a match must hold each, word for word.
 
 The index is bounded by the list of templates and goes to every task; documents are scanned whole, in one
 pass without a shuffle. With ``GRAM`` = 3 and ``WINDOW`` = 2 every run of 4 template words is found.
@@ -83,6 +84,21 @@ TEMPLATES = {
         f"this software without specific prior written permission. {BSD_DISCLAIMER}"
     ),
 }
+#: Phrases by which a notice is told from those of other licenses and versions.
+KEYS = {
+    "MIT-notice": ("under the MIT License",),
+    "Apache-2.0-notice": ("under the Apache License, Version 2.0",),
+    "GPL-3.0-notice": ("under the GNU General Public License, version 3",),
+    "CC-BY-NC-4.0-notice": ("under CC BY-NC 4.0",),
+    "CC-BY-4.0-notice": ("under a Creative Commons Attribution 4.0 International",),
+    "CC-BY-SA-4.0-notice": ("under a Creative Commons Attribution-ShareAlike 4.0 International",),
+    "MPL-2.0-notice": ("Mozilla Public License, v. 2.0",),
+    "Apache-2.0-header": ("under the Apache License, Version 2.0",),
+    "GPL-3.0-header": ("GNU General Public License as published by", "version 3 of the License"),
+    "MIT": ("shall be included in all copies or substantial portions",),
+    "ISC": ("provided that the above copyright notice and this permission notice appear in all copies",),
+    "BSD-3-Clause": ("Neither the name of",),
+}
 
 WORD = re.compile(r"[a-z0-9]+")
 SPLIT = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256)).lower()
@@ -109,9 +125,10 @@ def hash_of(gram: tuple) -> int:
 
 
 class Index:
-    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW) -> None:
+    def __init__(self, templates: dict[str, str], gram: int = GRAM, window: int = WINDOW, keys: dict[str, tuple[str, ...]] | None = None) -> None:
         self.names = list(templates)
         self.words = [words_of(t) for t in templates.values()]
+        self.keys = [[words_of(k) for k in (keys or {}).get(n, ())] for n in self.names]
         self.gram = gram
         self.at: dict[tuple, list[tuple[int, int]]] = {}
         for k, w in enumerate(self.words):
@@ -153,6 +170,11 @@ def align(template: list[bytes], words: list[bytes], at: int, band: int = BAND,
     return n, first, last
 
 
+def holds(words: list[bytes], first: int, last: int, keys: list[list[bytes]]) -> bool:
+    """Whether each key phrase stands among the words from ``first`` to ``last``."""
+    return all(any(words[i : i + len(k)] == k for i in range(first, last + 2 - len(k))) for k in keys)
+
+
 def gap(spans: list[tuple[int, int]], i: int, n: int) -> tuple[int, int] | None:
     """The words around ``i``, of ``n``, that lie in none of the ordered ``spans``; None if it lies in one."""
     k = bisect_right(spans, (i, n))
@@ -161,7 +183,7 @@ def gap(spans: list[tuple[int, int]], i: int, n: int) -> tuple[int, int] | None:
     return (spans[k - 1][1] + 1 if k else 0), (spans[k][0] if k < len(spans) else n)
 
 
-def aligned(template: list[bytes], words: list[bytes], votes: list[tuple[int, int]], taken: list[tuple[int, int]], failed: list[tuple[int, int, int]], least: float) -> list[tuple[int, int, int]]:
+def aligned(template: list[bytes], words: list[bytes], votes: list[tuple[int, int]], taken: list[tuple[int, int]], failed: list[tuple[int, int, int]], least: float, keys: list[list[bytes]]) -> list[tuple[int, int, int]]:
     """Matches of a template among the words outside ``taken``, until each vote lies in one or has ``failed``."""
     spans, out = list(taken), []
     for at, i in votes:
@@ -171,7 +193,7 @@ def aligned(template: list[bytes], words: list[bytes], votes: list[tuple[int, in
             if any(abs(at - a) <= BAND // 2 and a_low <= low and end <= a_end for a, a_low, a_end in reversed(failed)):
                 break
             n, first, last = align(template, words, at, BAND, low, end)
-            if not n or n < least * len(template):
+            if not n or n < least * len(template) or not holds(words, first, last, keys):
                 failed.append((at, low, end))
                 break
             insort(spans, (first, last))
@@ -188,7 +210,7 @@ def scan(index: Index, text: str, least: float = COVERAGE) -> list[dict]:
     kept: list[tuple[int, int, int, int]] = []
     taken: list[tuple[int, int]] = []
     while True:
-        found = sorted((-n, k, first, last) for k, v in votes.items() for n, first, last in aligned(index.words[k], words, v, taken, failed[k], least))
+        found = sorted((-n, k, first, last) for k, v in votes.items() for n, first, last in aligned(index.words[k], words, v, taken, failed[k], least, index.keys[k]))
         if not found:
             break
         for n, k, first, last in found:
@@ -215,12 +237,13 @@ def ascii_lower(text: str) -> str:
 MATCHES = "doc_id long, n_matches long, licenses string, spans string, coverage double, matches array<struct<license:string,coverage:double,start:int,end:int>>"
 
 
-def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE) -> DataFrame:
-    """The matches of every row."""
+def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: float = COVERAGE, keys: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """The matches of every row. ``keys``: key phrases of one's own templates."""
     chosen = TEMPLATES if templates is None else templates
+    phrases = KEYS if templates is None else keys
 
     def make():
-        index = Index(chosen)
+        index = Index(chosen, keys=phrases)
 
         def each(doc_id, text):
             found = scan(index, text or "", least)
