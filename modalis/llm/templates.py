@@ -10,6 +10,9 @@ Statements: ``for x in expr`` (with ``loop.index0``, ``loop.first``, ``loop.last
 Expressions: strings, numbers, true/false/none, names, ``a.b``, ``a['b']``, ``a | filter``, ``+ - * ~``,
 ``== != < <= > >= in``, ``and or not`` and ``x if c else y``.
 
+What a template may ask for is limited (:class:`Limits`), and all that goes wrong in one, at compile time or when
+it is rendered, is a :class:`TemplateError`. Constants are propagated through ``set`` and folded.
+
 Rendering is lazy: messages may be an iterator, and pieces come out as they are made, so that a
 conversation of any length streams through. ``Reader`` takes such pieces back apart.
 
@@ -38,6 +41,15 @@ class TemplateError(ValueError):
     pass
 
 
+class Limits:
+    """Bounds of the sandbox: characters of a template, tokens of a tag, nested brackets of an expression, nested
+    blocks, nested loops, characters or items that an operator may make, bits of a whole number, and characters of a
+    folded constant. Texts that are passed through are not limited."""
+
+    SOURCE, TOKENS, BRACKETS, BLOCKS, LOOPS = 200_000, 256, 32, 48, 4
+    MADE, BITS, FOLDED = 1 << 26, 512, 1 << 16
+
+
 # --- syntax tree -------------------------------------------------------------------------------------
 
 
@@ -123,8 +135,36 @@ FILTERS: dict[str, Callable[[Any], Any]] = {
     "lower": lambda x: text_of(x).lower(),
     "length": len,
 }
+
+
+def is_long(x: Any) -> bool:
+    return isinstance(x, (str, list, tuple))
+
+
+def add(a: Any, b: Any) -> Any:
+    if is_long(a) and is_long(b) and len(a) + len(b) > Limits.MADE:
+        raise TemplateError("a value is too long")
+    return whole(a + b)
+
+
+def times(a: Any, b: Any) -> Any:
+    """A product, or a repetition."""
+    for x, n in ((a, b), (b, a)):
+        if is_long(x) and isinstance(n, int) and len(x) * n > Limits.MADE:
+            raise TemplateError("a value is too long")
+    if isinstance(a, int) and isinstance(b, int) and a.bit_length() + b.bit_length() > Limits.BITS:
+        raise TemplateError("a number is too large")
+    return a * b
+
+
+def whole(x: Any) -> Any:
+    if isinstance(x, int) and x.bit_length() > Limits.BITS:
+        raise TemplateError("a number is too large")
+    return x
+
+
 BINARY: dict[str, Callable[[Any, Any], Any]] = {
-    "+": operator.add, "-": operator.sub, "*": operator.mul, "~": lambda a, b: text_of(a) + text_of(b),
+    "+": add, "-": lambda a, b: whole(a - b), "*": times, "~": lambda a, b: add(text_of(a), text_of(b)),
     "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge,
     "in": lambda a, b: a in b,
 }
@@ -145,7 +185,9 @@ class Expressions:
                 raise TemplateError(f"unexpected {source[at : at + 10]!r}")
             self.tokens.append((m.lastgroup, m[m.lastgroup]))
             at = m.end()
-        self.at = 0
+            if len(self.tokens) > Limits.TOKENS:
+                raise TemplateError("a tag is too long")
+        self.at = self.depth = 0
 
     def peek(self, *texts: str) -> bool:
         return self.at < len(self.tokens) and self.tokens[self.at][0] in ("op", "name") and self.tokens[self.at][1] in texts
@@ -172,6 +214,14 @@ class Expressions:
             raise TemplateError(f"unexpected {self.tokens[self.at][1]!r}")
 
     def expr(self) -> Any:
+        self.depth += 1
+        if self.depth > Limits.BRACKETS:
+            raise TemplateError("an expression is nested too deeply")
+        value = self.choice()
+        self.depth -= 1
+        return value
+
+    def choice(self) -> Any:
         value = self.either()
         if self.take("if"):
             test = self.either()
@@ -231,6 +281,8 @@ class Expressions:
         if kind == "str":
             return Const(re.sub(r"\\(.)", lambda m: ESCAPES.get(m[1], m[1]), text[1:-1], flags=re.S))
         if kind == "num":
+            if len(text) > Limits.BITS // 4:
+                raise TemplateError("a number is too large")
             return Const(float(text) if "." in text else int(text))
         if kind == "name":
             return Const({"true": True, "false": False, "none": None}[text]) if text in ("true", "false", "none") else Name(text)
@@ -252,9 +304,20 @@ def split_tags(source: str) -> list[tuple[str, str]]:
 
 
 def parse(source: str) -> tuple:
-    items, at = split_tags(source), 0
+    if len(source) > Limits.SOURCE:
+        raise TemplateError("the template is too long")
+    items, at, depth, loops = split_tags(source), 0, 0, 0
 
     def block(*ends: str) -> tuple[tuple, str, Expressions | None]:
+        nonlocal depth
+        depth += 1
+        if depth > Limits.BLOCKS:
+            raise TemplateError("blocks are nested too deeply")
+        got = statements(*ends)
+        depth -= 1
+        return got
+
+    def statements(*ends: str) -> tuple[tuple, str, Expressions | None]:
         nonlocal at
         body: list = []
         while at < len(items):
@@ -276,19 +339,34 @@ def parse(source: str) -> tuple:
         return tuple(body), "", None
 
     def branch(e: Expressions) -> If:
-        test = e.expr()
-        e.end()
-        then, word, rest = block("elif", "else", "endif")
-        other = (branch(rest),) if word == "elif" else block("endif")[0] if word == "else" else ()
-        return If(test, then, other)
+        """An ``if`` with its ``elif`` parts, the last one built first."""
+        parts, word, other = [], "elif", ()
+        while word == "elif":
+            test = e.expr()
+            e.end()
+            then, word, e = block("elif", "else", "endif")
+            parts.append((test, then))
+            if len(parts) > Limits.BLOCKS:
+                raise TemplateError("an if has too many parts")
+        if word == "else":
+            other = block("endif")[0]
+        for test, then in reversed(parts):
+            other = (If(test, then, other),)
+        return other[0]
 
     def statement(word: str, e: Expressions) -> Any:
+        nonlocal loops
         if word == "for":
             var = e.name()
             e.need("in")
             over = e.expr()
             e.end()
-            return For(var, over, block("endfor")[0])
+            loops += 1
+            if loops > Limits.LOOPS:
+                raise TemplateError("loops are nested too deeply")
+            body = block("endfor")[0]
+            loops -= 1
+            return For(var, over, body)
         if word == "if":
             return branch(e)
         if word == "set":
@@ -307,46 +385,83 @@ def parse(source: str) -> tuple:
 
 # --- constant folding --------------------------------------------------------------------------------
 
+Known = dict[str, Const]
 
-def fold_expr(e: Any) -> Any:
-    if isinstance(e, Item):
-        return Item(fold_expr(e.of), fold_expr(e.key))
-    if not isinstance(e, Op):
+
+def fold_expr(e: Any, known: Known) -> Any:
+    if isinstance(e, Name):
+        return known.get(e.name, e)
+    if not isinstance(e, (Op, Item)):
         return e
-    args = tuple(map(fold_expr, e.args))
-    if e.kind == "cond" and isinstance(args[0], Const):
-        return args[1] if args[0].value else args[2]
-    if e.kind in ("and", "or") and isinstance(args[0], Const):
-        return args[1] if bool(args[0].value) == (e.kind == "and") else args[0]
+    args = tuple(fold_expr(a, known) for a in (e.args if isinstance(e, Op) else (e.of, e.key)))
+    now = Op(e.kind, args) if isinstance(e, Op) else Item(*args)
+    if isinstance(e, Op):
+        if e.kind == "cond" and isinstance(args[0], Const):
+            return args[1] if args[0].value else args[2]
+        if e.kind in ("and", "or") and isinstance(args[0], Const):
+            return args[1] if bool(args[0].value) == (e.kind == "and") else args[0]
     if all(isinstance(a, Const) for a in args):
         try:
-            return Const(expression(Op(e.kind, args))({}))
+            value = expression(now)({})
         except (TypeError, ValueError):
-            pass  # it fails when it is rendered, if it ever is
-    return Op(e.kind, args)
+            return now  # it fails when it is rendered, if it ever is
+        if not is_long(value) or len(value) <= Limits.FOLDED:
+            return Const(value)
+    return now
+
+
+def assigned(body: Iterable) -> set[str]:
+    """Names that statements of ``body`` set in its own scope: a loop's body has another."""
+    out: set[str] = set()
+    for node in body:
+        if isinstance(node, Set):
+            out.add(node.var)
+        elif isinstance(node, If):
+            out |= assigned(node.then) | assigned(node.other)
+        elif isinstance(node, Generation):
+            out |= assigned(node.body)
+    return out
 
 
-def fold(body: Iterable) -> tuple:
+def fold(body: Iterable, known: Known | None = None) -> tuple:
+    """``body`` with constants folded. ``known`` has the names that are constant where it begins, and is brought
+    up to where it ends."""
+    known = {} if known is None else known
     out: list = []
+
+    def emit(node: Any) -> None:
+        last = out[-1] if out else None
+        if isinstance(node, Print) and isinstance(node.expr, Const):
+            node = Print(Const(text_of(node.expr.value)))
+            if isinstance(last, Print) and isinstance(last.expr, Const):
+                out[-1] = Print(Const(last.expr.value + node.expr.value))
+                return
+        out.append(node)
+
     for node in body:
         if isinstance(node, Print):
-            e = fold_expr(node.expr)
-            if isinstance(e, Const) and out and isinstance(out[-1], Print) and isinstance(out[-1].expr, Const):
-                out[-1] = Print(Const(text_of(out[-1].expr.value) + text_of(e.value)))
-            else:
-                out.append(Print(Const(text_of(e.value)) if isinstance(e, Const) else e))
+            emit(Print(fold_expr(node.expr, known)))
         elif isinstance(node, If):
-            test = fold_expr(node.test)
+            test = fold_expr(node.test, known)
             if isinstance(test, Const):
-                out.extend(fold(node.then if test.value else node.other))
+                for n in fold(node.then if test.value else node.other, known):
+                    emit(n)
             else:
-                out.append(If(test, fold(node.then), fold(node.other)))
+                emit(If(test, fold(node.then, dict(known)), fold(node.other, dict(known))))
+                for name in assigned([node]):
+                    known.pop(name, None)
         elif isinstance(node, For):
-            out.append(For(node.var, fold_expr(node.over), fold(node.body)))
+            inner = {k: v for k, v in known.items() if k not in (node.var, "loop")}
+            emit(For(node.var, fold_expr(node.over, known), fold(node.body, inner)))
         elif isinstance(node, Set):
-            out.append(Set(node.var, fold_expr(node.expr)))
+            value = fold_expr(node.expr, known)
+            if isinstance(value, Const):
+                known[node.var] = value
+            else:
+                known.pop(node.var, None)
+            emit(Set(node.var, value))
         else:
-            out.append(Generation(fold(node.body)))
+            emit(Generation(fold(node.body, known)))
     return tuple(out)
 
 
@@ -453,7 +568,12 @@ class Template:
     run: Callable[[Scope], Iterator[Piece]]
 
     def stream(self, **variables: Any) -> Iterator[Piece]:
-        return self.run(dict(variables))
+        try:
+            yield from self.run(dict(variables))
+        except TemplateError:
+            raise
+        except (TypeError, ValueError, OverflowError, RecursionError, MemoryError) as e:
+            raise TemplateError(str(e)) from e
 
     def render(self, **variables: Any) -> tuple[str, list[tuple[int, int]]]:
         """The output, and the spans in it (code points) that generation blocks printed."""
