@@ -102,10 +102,12 @@ def canonical(kind: Column, value: Column) -> Column:
     return F.when(kind == "email", F.lower(value)).when(kind == "ip", value).otherwise(digits(value))
 
 
-def found(docs: DataFrame) -> DataFrame:
-    """doc_id, text, key, base of every row; rows with equal doc_id and text have equal keys."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.withColumn("base", base_spans(F.col("text"))).withColumn("key", F.when(F.size("base") > 0, F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").cast("binary"))))
+def found(docs: DataFrame, *columns: str) -> DataFrame:
+    """doc_id, ``columns``, text (null: empty), base, key of every row. Rows with equal doc_id and text have equal keys;
+    rows without personal data have none."""
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, F.coalesce("text", F.lit("")).alias("text"))
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").cast("binary"))
+    return d.withColumn("base", base_spans(F.col("text"))).withColumn("key", F.when(F.size("base") > 0, key))
 
 
 def terms_of(text: Column) -> Column:
@@ -124,42 +126,43 @@ def places(texts: DataFrame) -> DataFrame:
     return p.select("key", "term", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
-def disclosing(docs: DataFrame, held: DataFrame, entities: DataFrame, support: int = SUPPORT) -> DataFrame:
-    """entity, term, disclosure of the pairs with enough support that tell enough, from counts over all of ``docs``.
-    ``held``: key, text of the rows with entities. Only what cannot reach ``GENERALISE`` is left out before
-    pairs are made: entities and terms in fewer than ``support`` documents, and terms too frequent for an entity."""
-    n = F.lit(float(max(2, docs.count())))
+def disclosing(docs: DataFrame, held: DataFrame, n: int, support: int = SUPPORT) -> DataFrame:
+    """key, term, disclosure: for each row with entities the terms that tell enough about one of them, and the most that
+    each tells, from counts over all of ``docs`` (``n`` rows). ``held``: key, text, base of the rows with entities. Only
+    what cannot reach ``GENERALISE`` is left out before pairs are made: entities and terms in fewer than ``support``
+    documents, and terms too frequent for an entity."""
+    held = held.dropDuplicates(["key"])
+    entities = held.select("key", F.explode("base").alias("s")).select("key", F.concat_ws(":", "s.kind", canonical(F.col("s.kind"), F.col("s.value"))).alias("entity")).distinct()
+    size = F.lit(float(max(2, n)))
     df_e = entities.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support)
     # df(t, e) <= df(e), so a pair at GENERALISE has df(t) <= most.
-    most = n * F.pow(F.least(F.col("df_e"), n / 2) / n, F.lit(GENERALISE)) * (1 + 1e-9)
-    e = cut(entities.join(df_e, "entity").withColumn("most", most))
+    most = size * F.pow(F.least(F.col("df_e"), size / 2) / size, F.lit(GENERALISE)) * (1 + 1e-9)
+    e = cut(entities.join(df_e, "entity").withColumn("most", most), n)
     words = held.join(e.select("key").distinct(), "key", "left_semi").select("key", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
-    terms = cut(words.groupBy("term").agg(F.count("*").alias("c")).filter(F.col("c") >= support).select("term"))
+    terms = cut(words.groupBy("term").agg(F.count("*").alias("c")).filter(F.col("c") >= support).select("term"), n)
     few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
     every = docs.select(F.explode(terms_of(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
     if few:
         every = every.join(F.broadcast(terms), "term", "left_semi")
     top = e.agg(F.max("most").alias("top")).first()["top"] or 0.0
     df_t = every.groupBy("term").agg(F.count("*").alias("df_t")).filter(F.col("df_t") <= top)
-    rare = cut(df_t.join(terms, "term"))
+    rare = cut(df_t.join(terms, "term"), n)
     rare = words.join(F.broadcast(rare) if few else rare, "term")
     joint = e.join(rare, "key").filter(F.col("df_t") <= F.col("most"))
     pairs = joint.groupBy("entity", "term", "df_t", "df_e").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= support)
-    information = F.log2(n / F.least(F.col("df_e"), n / 2))
-    told = pairs.select("entity", "term", (F.log2(n * F.col("df_te") / (F.greatest("df_t", "df_te") * F.col("df_e"))) / information).alias("disclosure"))
-    return told.filter(F.col("disclosure") >= GENERALISE)
+    information = F.log2(size / F.least(F.col("df_e"), size / 2))
+    told = pairs.select("entity", "term", (F.log2(size * F.col("df_te") / (F.greatest("df_t", "df_te") * F.col("df_e"))) / information).alias("disclosure"))
+    told = told.filter(F.col("disclosure") >= GENERALISE)
+    # A row takes part with the pairs that it holds, not with all terms that tell about its entities.
+    return joint.select("key", "entity", "term").join(told, ["entity", "term"]).groupBy("key", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
-def term_spans(docs: DataFrame, base: DataFrame) -> DataFrame:
+def term_spans(docs: DataFrame, held: DataFrame, n: int) -> DataFrame:
     """key, terms: spans of the terms to generalise or remove, in order, of rows that have any."""
-    held = base.filter("size(base) > 0")
-    entities = cut(held.select("key", F.explode("base").alias("s")).select("key", F.concat_ws(":", "s.kind", canonical(F.col("s.kind"), F.col("s.value"))).alias("entity")).distinct())
-    held = held.select("key", "text")
-    told = disclosing(docs, held, entities)
-    marked = cut(entities.join(told, "entity").groupBy("key", "term").agg(F.max("disclosure").alias("d")))
+    marked = cut(disclosing(docs, held, n), n)
     texts = held.join(marked.select("key").distinct(), "key", "left_semi").dropDuplicates(["key"])
     spans = places(texts).join(marked, ["key", "term"])
-    span = F.struct(F.when(F.col("d") >= REMOVE, TERM_KINDS[1]).otherwise(TERM_KINDS[0]).alias("kind"), F.col("start"), F.col("end"), F.col("term").alias("value"))
+    span = F.struct(F.when(F.col("disclosure") >= REMOVE, TERM_KINDS[1]).otherwise(TERM_KINDS[0]).alias("kind"), F.col("start"), F.col("end"), F.col("term").alias("value"))
     return spans.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("start", span.alias("s")))).alias("x")).select("key", F.col("x.s").alias("terms"))
 
 
@@ -168,13 +171,15 @@ def spell(spans: Column) -> Column:
 
 
 def personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, key, base, terms of every row."""
-    base = found(docs)
-    kept = cut(base.select("doc_id", "key", "base"))
-    near = term_spans(docs, base)
-    clear, hit = kept.filter("key is null"), kept.filter("key is not null")
+    """doc_id, key, base, terms of every row. One pass over texts finds the base spans and keeps the texts of rows that
+    have some; a second one counts the terms of those in all rows."""
+    n = docs.count()
+    kept = cut(found(docs).withColumn("text", F.when(F.col("key").isNotNull(), F.col("text"))), n)
+    hit = kept.filter("key is not null")
+    near = term_spans(docs, hit, n)
     none = F.array().cast(SPAN)
-    return clear.withColumn("terms", none).unionByName(hit.join(near, "key", "left").withColumn("terms", F.coalesce("terms", none)))
+    clear = kept.filter("key is null").select("doc_id", "key", "base", none.alias("terms"))
+    return clear.unionByName(hit.select("doc_id", "key", "base").join(near, "key", "left").withColumn("terms", F.coalesce("terms", none)))
 
 
 def op10_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,13 +205,11 @@ def replaced(text: Column, spans: Column) -> Column:
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` (columns of documents) with every span replaced; rows without personal data are untouched."""
+    n = docs.count()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
-    base = found(d)
-    near = term_spans(d, base)
-    marked = d.withColumn("base", base_spans(F.coalesce("text", F.lit(""))))
-    clear = marked.filter("size(base) = 0").drop("base")
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").cast("binary"))
-    hit = marked.filter("size(base) > 0").withColumn("key", key).join(near, "key", "left")
+    hit = cut(found(d, "lang", "source").filter("key is not null"), n)
+    near = term_spans(d, hit, n)
     text = replaced(F.col("text"), F.concat("base", F.coalesce("terms", F.array().cast(SPAN))))
-    hit = hit.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    hit = hit.join(near, "key", "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
+    clear = d.filter(F.size(base_spans(F.coalesce("text", F.lit("")))) == 0)
     return clear.unionByName(hit.select(*clear.columns))
