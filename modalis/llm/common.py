@@ -13,10 +13,12 @@ from pyspark.sql.window import Window
 
 from ..functions.lineage import cut
 
-__all__ = ["as_batch", "buckets_for", "cut", "ddl", "map_rows", "running_total", "stream_rows", "table", "text_batches"]
+__all__ = ["SPACE", "as_batch", "buckets_for", "cut", "ddl", "map_rows", "running_total", "stream_rows", "table", "text_batches", "word_count"]
 
 #: Rows of one Arrow batch that goes back to the JVM, and of one that comes from it.
 OUT_ROWS, TEXT_ROWS = 2048, 1024
+#: ASCII white space, which ends words.
+SPACE = r"[\x20\x09-\x0D]+"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -24,6 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_count(text: Column) -> Column:
+    parts = F.split(F.coalesce(text, F.lit("")), SPACE, -1)
+    empty = (F.element_at(parts, 1) == "").cast("int") + (F.element_at(parts, -1) == "").cast("int")
+    return F.greatest(F.lit(0), F.size(parts) - empty).cast("long")
+
+
 def text_batches(spark: SparkSession) -> None:
     """Have Arrow batches hold few rows: a row may be a long text, and a batch is held by both sides."""
     if int(spark.conf.get(BATCH)) > TEXT_ROWS:

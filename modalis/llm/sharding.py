@@ -20,13 +20,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import buckets_for, cut, running_total, table
+from .common import buckets_for, cut, running_total, table, word_count
 
 SHARDS = 16
 #: Units above one part in so many of all bytes, tokens or rows are placed together; chunks are of about that size.
 UNIT_SHARE = 16_384
 #: The share of a shard's capacity up to which a group of copies is placed whole.
-WHOLE = 0.05
+WHOLE = 0.5
 
 
 def place(units: np.ndarray, shards: int, turn: int = 0, left: np.ndarray | None = None) -> np.ndarray:
@@ -47,24 +47,25 @@ def place(units: np.ndarray, shards: int, turn: int = 0, left: np.ndarray | None
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, text_md5, shard, slot for every row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    n = docs.count()
     d = cut(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"),
             (F.octet_length(text) + 1).cast("long").alias("size"),
-            (F.length(text) - F.length(F.translate(text, " \t\n\r", "")) + 1).cast("long").alias("tokens"),
+            word_count(text).alias("tokens"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.md5(text.cast("binary")).alias("text_md5"),
-        )
+        ),
+        n,
     )
-    total = d.agg(F.sum("size").alias("b"), F.sum("tokens").alias("t"), F.count("*").alias("n")).first()
-    n = total["n"]
+    total = d.agg(F.sum("size").alias("b"), F.sum("tokens").alias("t")).first()
     share = F.greatest(F.sum("size") / max(1, total["b"] or 0), F.sum("tokens") / max(1, total["t"] or 0), F.count("*") / max(1, n))
     # At most 3 * shards / WHOLE groups can be that heavy: the broadcast side is bounded.
     hot = d.groupBy("text_md5").agg(F.ceil(share * UNIT_SHARE).cast("int").alias("chunks"), share.alias("share"), F.count("*").alias("c"))
     hot = hot.filter((F.col("share") > WHOLE / shards) & (F.col("chunks") > 1) & (F.col("c") > 1)).select("text_md5", "chunks")
     d = d.join(F.broadcast(hot), "text_md5", "left").withColumn("chunk", F.coalesce(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.col("chunks")), F.lit(0)).cast("int")).drop("chunks")
     units = d.groupBy("text_md5", "chunk").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n"), (share > 1 / UNIT_SHARE).alias("heavy"))
-    units = cut(units)
+    units = cut(units, n)
     # At most 3 * UNIT_SHARE units are heavy.
     big = sorted(units.filter("heavy").drop("heavy").collect())
     whole = np.array([[total["b"] or 0, total["t"] or 0, n or 0]], np.float64)
@@ -83,7 +84,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             yield f[["text_md5", "chunk"]].assign(shard=place(f[["size", "tokens", "n"]].to_numpy(np.float64), shards, first, room))
 
     placed = units.filter("not heavy").drop("heavy").mapInPandas(run, "text_md5 string, chunk int, shard int").unionByName(chosen)
-    rows = cut(d.join(placed, ["text_md5", "chunk"]).drop("chunk", "tokens"))
+    rows = cut(d.join(placed, ["text_md5", "chunk"]).drop("chunk", "tokens"), n)
     return running_total(rows, ["shard"], [F.col("doc_id"), F.col("text_md5")], F.lit(1), "slot", buckets_for(n // shards))
 
 
