@@ -1,18 +1,20 @@
 """Document fingerprints by a randomised edit embedding.
 
-A text is read by a random walk: at step j the walk shows the character it stands on and, by a bit that is
+A text is read by random walks: at step j a walk shows the character it stands on and, by a bit that is
 shared by all texts and depends on j and the character, moves on or stays. What it shows is the embedding: it
-maps edit distance to Hamming distance, since two walks that an insertion or deletion set apart soon meet
-again. A fingerprint samples the embedding at fixed steps, at two scales, the text's own and twice that, so
-that texts of like lengths share a scale. Likeness is the share of equal samples.
-
-``links`` pairs documents: distinct texts that share a band of samples are candidates, and a banded edit distance
-verifies each. Long bands are dealt into blocks, and pairs of blocks into tasks.
-
-Defined cases: null texts are empty; two empty texts are alike (1); likeness is 0 where scales are more than
-one step apart; documents are in order of doc_id, null first, then text; the only row is its own next one;
-repeated rows follow each other; an empty table gives an empty result; other columns are ignored. Texts are
-walked whole, in stretches, whatever their length.
+maps edit distance to Hamming distance, since two walks that an insertion or deletion set apart meet
+again. One walk reads the first half from the start and one the second half from the end, so that edits set apart
+only the walk of their own half. A fingerprint samples the embedding at fixed random steps, at two scales, the text's
+own and twice that, so that texts of like lengths share a scale. Likeness is the share of equal samples.
+
+Texts that share a band, a few samples that follow each other, are candidates, and a bit-parallel edit distance verifies
+each. ``edited_fingerprints`` puts every text and its edited and next one through both steps; ``links`` joins all
+documents: distinct texts are dealt by band, long bands into blocks and pairs of blocks into tasks.
+
+Defined cases: null texts are empty; equal texts are alike (1) and at distance 0, empty ones too; likeness is 0
+where scales are more than one step apart, and such texts share no band; documents are in order of doc_id, null
+first, then text; the only row is its own next one; repeated rows follow each other; an empty table gives an empty
+result; other columns are ignored. Texts are walked whole, in stretches, whatever their length.
 """
 
 from __future__ import annotations
@@ -29,14 +31,15 @@ from pyspark.sql import functions as F
 
 from .common import cut, map_rows, stream_rows, table
 
-#: Samples at a scale, characters of which a sample tells, and the least scale.
-SAMPLES, GRAM, LEAST = 96, 4, 64
+#: Samples at a scale (half of them of either walk), characters of which a sample tells, and the least scale.
+SAMPLES, GRAM, LEAST = 96, 2, 64
 #: Shared walks: classes of characters, steps after which the bits repeat, characters of a stretch.
 CLASSES, PERIOD, STRETCH, SEED = 16, 65_536, 16_384, 9_241
 #: Rows of one range of doc_id, about, and ranges at most.
 RANGE_ROWS, RANGES = 2_000, 65_536
-#: Texts of a block of a band.
-BLOCK = 256
+#: Bands of a scale (fewer and so longer ones suit more texts), the edits that may lie between linked texts, as a share of the longer one, and texts of a
+#: block of a band.
+BANDS, EDITS_SHARE, BLOCK = 32, 0.05, 256
 
 
 @lru_cache(1)
@@ -59,11 +62,11 @@ def classes(codes: np.ndarray) -> bytes:
     return ((codes * np.uint32(0x9E3779B1)) >> np.uint32(28)).astype(np.uint8).tobytes()
 
 
-def walk(codes: np.ndarray, start: int = 0) -> np.ndarray:
+def walk(codes: np.ndarray) -> np.ndarray:
     """The step at which each character is first shown, and the step after the last."""
     table_ = walks()
     parts = []
-    t = start
+    t = 0
     for at in range(0, len(codes), STRETCH):
         base = t - t % PERIOD
         now, out = t - base, []
@@ -86,7 +89,7 @@ def walk(codes: np.ndarray, start: int = 0) -> np.ndarray:
 
 @lru_cache(64)
 def sample_steps(scale: int) -> np.ndarray:
-    return np.sort(np.random.default_rng(scale).integers(0, 2 * scale, SAMPLES))
+    return np.sort(np.random.default_rng(scale).integers(0, scale, SAMPLES // 2))
 
 
 def codes_of(text: str) -> np.ndarray:
@@ -98,7 +101,7 @@ def samples(codes: np.ndarray, steps: np.ndarray, scale: int) -> np.ndarray:
     at = sample_steps(scale)
     i = np.searchsorted(steps, at, "right") - 1
     padded = np.concatenate([codes, np.zeros(GRAM, codes.dtype)]).astype(np.uint64)
-    h = np.zeros(SAMPLES, np.uint64)
+    h = np.zeros(len(at), np.uint64)
     inside = at < steps[-1]
     i = np.where(inside, i, 0)
     for k in range(GRAM):
@@ -110,11 +113,20 @@ def samples(codes: np.ndarray, steps: np.ndarray, scale: int) -> np.ndarray:
 Print = tuple[int, bytes, bytes]
 
 
-def fingerprint(codes: np.ndarray, steps: np.ndarray) -> Print:
+def halves(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first half, the longer one, and the second one from its end."""
+    h = (len(codes) + 1) // 2
+    return codes[:h], codes[h:][::-1]
+
+
+def fingerprint(codes: np.ndarray, ahead: np.ndarray | None = None) -> Print:
+    """``ahead``: the walk over the first half, if it is known."""
+    first, second = halves(codes)
+    ahead, back = walk(first) if ahead is None else ahead, walk(second)
     scale = LEAST
     while scale < len(codes):
         scale *= 2
-    return scale, samples(codes, steps, scale).tobytes(), samples(codes, steps, 2 * scale).tobytes()
+    return scale, *(samples(first, ahead, s).tobytes() + samples(second, back, s).tobytes() for s in (scale, 2 * scale))
 
 
 def spelt(p: Print) -> str:
@@ -140,6 +152,38 @@ def likeness(a: Print, b: Print) -> float:
     return int(((u == v) & (u > 0)).sum()) / either if either else 1.0
 
 
+def share_band(a: Print, b: Print, bands: int = BANDS) -> bool:
+    """Whether two fingerprints agree in all samples of a band."""
+    if a[0] == b[0]:
+        x, y = a[1], b[1]
+    elif a[0] == 2 * b[0]:
+        x, y = a[1], b[2]
+    elif b[0] == 2 * a[0]:
+        x, y = a[2], b[1]
+    else:
+        return False
+    u, v = banded(x, bands), banded(y, bands)
+    return bool(((u == v).all(axis=1) & (u > 0).any(axis=1)).any())
+
+
+def banded(samples_: bytes, bands: int) -> np.ndarray:
+    """A band's samples a row: bands are of one walk each where they divide its samples."""
+    size = SAMPLES // bands
+    return np.frombuffer(samples_, np.uint8)[: bands * size].reshape(bands, size)
+
+
+def verified(a: Print, b: Print, text: str, other: str, share: float = EDITS_SHARE) -> tuple[bool, int | None]:
+    """Whether two texts are candidates, and the edit distance of candidates if it is at most ``share`` of the longer
+    one: equal ones are candidates at distance 0."""
+    if text == other:
+        return True, 0
+    if not share_band(a, b):
+        return False, None
+    most = int(share * max(len(text), len(other)))
+    n = edit_distance(text, other, most)
+    return True, n if n <= most else None
+
+
 def in_order(docs: DataFrame) -> DataFrame:
     """range, tail, doc_id, text: tasks hold ranges of doc_id in order, and at the end of each range, as
     its tail, the row that follows it: the first of the next one, or after the last range of the first."""
@@ -165,25 +209,29 @@ def edit_rows(rows: Iterator[tuple]) -> Iterator[tuple]:
     kept = None
     for part, tail, doc_id, text in rows:
         codes = codes_of(text)
-        steps = walk(codes)
-        mine = (part, doc_id, text, codes, steps, fingerprint(codes, steps))
+        ahead = walk(halves(codes)[0])
+        mine = (part, doc_id, text, codes, ahead, fingerprint(codes, ahead))
         if kept is not None and kept[0] == part:
             yield edited_row(*kept[1:], text, codes, mine[5])
         kept = None if tail else mine
 
 
-def edited_row(doc_id, text, codes, steps, own: Print, next_text, next_codes, following: Print) -> tuple:
+def edited_row(doc_id, text, codes, ahead, own: Print, next_text, next_codes, following: Print) -> tuple:
     n = len(codes)
     half = n // 2
     at = n - half
     other = np.concatenate([codes[:at], next_codes[:half]])
-    other_steps = np.concatenate([steps[:at], walk(other[at:], int(steps[at]))])
-    edited = fingerprint(other, other_steps)
-    digest = hashlib.sha256((text[:at] + next_text[:half]).encode("utf-8", "surrogatepass")).hexdigest()
-    return doc_id, n, digest, spelt(own), spelt(edited), likeness(own, edited), likeness(own, following)
+    # The edited text's first half is a part of this text's: so is its walk.
+    edited = fingerprint(other, ahead[: (len(other) + 1) // 2 + 1])
+    other_text = text[:at] + next_text[:half]
+    digest = hashlib.sha256(other_text.encode("utf-8", "surrogatepass")).hexdigest()
+    return doc_id, n, digest, spelt(own), spelt(edited), likeness(own, edited), likeness(own, following), *verified(own, edited, text, other_text), *verified(own, following, text, next_text)
 
 
-EDITS = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+EDITS = (
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+    "band_edited boolean, edits_edited long, band_next boolean, edits_next long"
+)
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -193,8 +241,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 def fingerprints(docs: DataFrame) -> DataFrame:
     def make():
         def each(doc_id, text):
-            codes = codes_of(text or "")
-            yield doc_id, spelt(fingerprint(codes, walk(codes)))
+            yield doc_id, spelt(fingerprint(codes_of(text or "")))
 
         return each
 
@@ -202,39 +249,72 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
-    """The edit distance, or ``most`` + 1 if it is larger: dynamic programming within a diagonal band."""
+    """The edit distance, or ``most`` + 1 if it is larger. A column of the dynamic programme is two whole numbers of a
+    bit a character (where it rises and where it falls), and a step over a character of ``b`` is a few operations on
+    them. Now and then the places that ``most`` edits can reach are looked at: if all are beyond, it ends."""
     if len(a) > len(b):
         a, b = b, a
-    if len(b) - len(a) > most:
-        return most + 1
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
     far = most + 1
-    row = {j: j for j in range(min(len(b), most) + 1)}
-    for i, x in enumerate(a, 1):
-        now: dict[int, int] = {}
-        for j in range(max(0, i - most), min(len(b), i + most) + 1):
-            v = i if j == 0 else min(row.get(j - 1, far) + (x != b[j - 1]), row.get(j, far) + 1, now.get(j - 1, far) + 1)
-            now[j] = min(v, far)
-        if min(now.values()) >= far:
+    if len(b) - len(a) > most:
+        return far
+    k = 0
+    while k < len(a) and a[k] == b[k]:
+        k += 1
+    a, b = a[k:], b[k:]
+    k = len(a)
+    while k and a[k - 1] == b[k - 1 - len(a) + len(b)]:
+        k -= 1
+    a, b = a[:k], b[: k - len(a) + len(b)]
+    m = len(a)
+    if not m:
+        return len(b)
+    places: dict[str, bytearray] = {}
+    for i, c in enumerate(a):
+        if c not in places:
+            places[c] = bytearray((m + 7) // 8)
+        places[c][i >> 3] |= 1 << (i & 7)
+    equal = {c: int.from_bytes(x, "little") for c, x in places.items()}
+    every = (1 << m) - 1
+    rises, falls, end = every, 0, m
+    look = max(64, most)
+    for j, c in enumerate(b, 1):
+        e = equal.get(c, 0)
+        level = (((e & rises) + rises) ^ rises) | e
+        up, down = falls | every & ~(level | rises), rises & level
+        end += (up >> m - 1 & 1) - (down >> m - 1 & 1)
+        up, down = up << 1 | 1, down << 1
+        kept = e | falls
+        rises, falls = (down | ~(kept | up)) & every, up & kept & every
+        if j % look == 0 and least_near(rises, falls, j, most, m) > most:
             return far
-        row = now
-    return min(row.get(len(b), far), far)
+    return min(end, far)
+
+
+def least_near(rises: int, falls: int, j: int, most: int, m: int) -> int:
+    """The least entry of the j-th column among rows j - most .. j + most."""
+    low, high = max(0, j - most), min(m, j + most)
+    if low > high:
+        return most + 1
+    first = j + (rises & (1 << low) - 1).bit_count() - (falls & (1 << low) - 1).bit_count()
+    n = high - low
+    if not n:
+        return first
+    bits = [np.unpackbits(np.frombuffer((x >> low & (1 << n) - 1).to_bytes((n + 7) // 8, "little"), np.uint8), count=n, bitorder="little") for x in (rises, falls)]
+    return first + min(0, int(np.cumsum(bits[0].astype(np.int64) - bits[1]).min()))
 
 
-def links(docs: DataFrame, share: float = 0.05, bands: int = 24) -> DataFrame:
+def links(docs: DataFrame, share: float = EDITS_SHARE, bands: int = BANDS) -> DataFrame:
     """doc_id, with, distance: distinct texts that share a band and whose edit distance is at most ``share`` of the
     longer one, each named by its least doc_id, and at distance 0 the other documents of a text with that one. Rows
     are told apart by doc_id and text; a null doc_id stands for a text that has no other."""
+
     def make():
         def each(t, text):
-            codes = codes_of(text)
-            scale, a, b = fingerprint(codes, walk(codes))
-            size = SAMPLES // bands
+            scale, a, b = fingerprint(codes_of(text))
             for s, p in ((scale, a), (2 * scale, b)):
-                for k in range(bands):
-                    if any(band := p[k * size : (k + 1) * size]):
-                        yield t, len(text), f"{s}:{k}:{band.hex()}"
+                for k, band in enumerate(banded(p, bands)):
+                    if band.any():
+                        yield t, len(text), f"{s}:{k}:{band.tobytes().hex()}"
 
         return each
 
@@ -244,10 +324,10 @@ def links(docs: DataFrame, share: float = 0.05, bands: int = 24) -> DataFrame:
     least = cut(rows.groupBy("t").agg(F.min("doc_id").alias("with")))
     copies = rows.select("doc_id", "t").distinct().join(least, "t").filter(~F.col("doc_id").eqNullSafe(F.col("with"))).select("doc_id", "with", F.lit(0).cast("long").alias("distance"))
 
-    banded = cut(map_rows(d, make, "t string, size long, band string"))
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
+    entries = cut(map_rows(d, make, "t string, size long, band string"))
+    shared = entries.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     parts = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = banded.join(shared, "band").withColumn("part", F.pmod(F.xxhash64("t"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = entries.join(shared, "band").withColumn("part", F.pmod(F.xxhash64("t"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     dealt = cut(dealt.select("band", "t", "size", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi")))
     x, y = (dealt.select("band", "lo", "hi", *(F.col(c).alias(f"{c}_{s}") for c in ("t", "size", "part"))) for s in "xy")
     once = (F.col("lo") == F.col("hi")) | (F.col("part_x") != F.col("part_y"))
