@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,6 +97,13 @@ def test_held_out_rows_teach_nothing(spark):
     assert ids == {k for k in range(30) if zlib.crc32(str(k).encode()) % 3 != 1}
 
 
+def test_null_ids_are_not_held_out(spark):
+    d = docs(spark, [(None, "abc def", "xx", "s"), (1, "abc", "xx", "s")])
+    got = {r.doc_id: r.h for r in d.select("doc_id", langid.held_out(F.col("doc_id")).alias("h")).collect()}
+    assert got == {None: False, 1: zlib.crc32(b"1") % 3 == 1}
+    assert all(r.doc_id is not None for r in langid.training_rows(d).collect())
+
+
 # --- packing -------------------------------------------------------------------------------------------------
 
 
@@ -173,12 +182,67 @@ def test_targets_and_takings(spark, corpus):
 
 
 def test_permutations(spark):
-    for n in (1, 2, 3, 5, 16, 17, 97, 1000):
+    for n in (1, 2, 3, 5, 16, 17, 97, 1000, 30_103):
         length = F.lit(n).cast("long")
         got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), length, *mixing.sides(length), F.lit(3))).collect()]
         assert sorted(got) == list(range(n))
 
 
+def test_shards_draw_multinomial_counts(spark):
+    """Over seeds a shard's counts have the multinomial's means and variances, and totals stay near theirs."""
+    share, each, shards = [0.45, 0.3, 0.2, 0.05], 6, 101
+    sources = spark.createDataFrame(list(enumerate(share)), "sid long, share double")
+    of_shards = F.lit(shards).cast("long")
+    counts, totals = [], []
+    for seed in range(12):
+        s = mixing.counts_of(sources, each, shards, seed).filter("count > 0").withColumn("r", F.explode(F.sequence("first", F.col("first") + F.col("count") - 1)))
+        s = s.withColumn("shard", mixing.permuted(F.col("r"), of_shards, *mixing.sides(of_shards), F.col("j"), F.lit(seed + 1)))
+        got = s.groupBy("shard").pivot("sid", [0, 1, 2, 3]).count().na.fill(0).toPandas()
+        assert sorted(got["shard"]) == list(range(shards))
+        table = got[["0", "1", "2", "3"]].to_numpy()
+        assert (table.sum(axis=1) == each).all()
+        counts.append(table)
+        totals.append(table.sum(axis=0))
+    every = np.vstack(counts)
+    p = np.array(share)
+    assert np.abs(every.mean(axis=0) - each * p).max() < 0.1
+    assert np.abs(every.var(axis=0) - each * p * (1 - p)).max() < 0.2
+    assert abs(np.cov(every[:, 0], every[:, 1])[0, 1] + each * share[0] * share[1]) < 0.2
+    assert np.abs(np.array(totals) - each * shards * p).max() <= each
+
+
+def test_slots_fill_shards_and_join_blocks(spark, corpus):
+    got = mixing.mixed_slots(docs(spark, corpus), block=4, slots=64).collect()
+    by_slot = {}
+    for r in got:
+        by_slot.setdefault((r.sid, r.slot), []).append(r)
+    sizes = Counter(rows[0].shard for rows in by_slot.values())
+    assert len(set(sizes.values())) == 1 and sorted(sizes) == list(range(len(sizes)))
+    assert all(sum(r.words for r in rows) <= 4 and len({r.block for r in rows}) == 1 for rows in by_slot.values())
+
+
+def test_slots_beyond_the_passes_are_drawn_again(spark):
+    """A tiny source stops at three passes; what is drawn beyond goes to another, and no slot is lost."""
+    sources = spark.createDataFrame([(0, 40, 120.0), (1, 400, 120.0), (2, 4000, 4200.0)], "sid long, source_size long, target double")
+    for seed in range(8):
+        s = mixing.slots_of(sources, 64, 4, 3, seed).collect()
+        by = Counter(r.sid for r in s)
+        assert by[0] <= 30 and 1110 <= len(s) <= 1120 and len({(r.sid, r.slot) for r in s}) == len(s)
+        assert all(sorted(r.slot for r in s if r.sid == k) == list(range(by[k])) for k in by)
+        used = Counter((r.sid, r.block) for r in s)
+        assert max(used.values()) <= 3 and all(0 <= b < {0: 10, 1: 100, 2: 1000}[k] for k, b in used)
+
+
+def test_repeated_rows_are_numbered_in_buckets(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "REPEATED", 10)
+    rows = [(1, "the same words", "en", "s")] * 300 + [(2, "others", "en", "s"), (None, "x", None, None), (None, "x", None, None)]
+    keyed = mixing.with_key(mixing.with_identity(docs(spark, rows, 5)), False).collect()
+    assert len({r.key for r in keyed}) == len(rows)
+    assert sorted(int(r.key.split("#")[1]) for r in keyed if r.doc_id == 1) == list(range(300))
+    again = mixing.with_key(mixing.with_identity(docs(spark, rows, 2)), False).collect()
+    assert sorted((r.doc_id or 0, r.key) for r in keyed) == sorted((r.doc_id or 0, r.key) for r in again)
+
+
 def test_tables_without_words(spark):
     rows, taken = mixing.mix(docs(spark, [(1, None, None, None), (2, " ", None, "a")]))
     assert [(r.size, r.target) for r in rows.collect()] == [(0, 0.0), (0, 0.0)] and taken.count() == 0
@@ -255,8 +319,9 @@ def test_edited_texts_take_from_the_next(spark, corpus, monkeypatch):
         edited = a[: len(a) - half] + b[:half]
         assert got[i].n_chars == len(a) and got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         c, n = edits.codes_of(edited), edits.codes_of(b)
-        own, other, following = edits.read(got[i].fingerprint), edits.fingerprint(c, edits.walk(c)), edits.fingerprint(n, edits.walk(n))
+        own, other, following = edits.read(got[i].fingerprint), edits.fingerprint(c), edits.fingerprint(n)
         assert got[i].edited_fingerprint == edits.spelt(other)
+        assert (got[i].band_edited, got[i].edits_edited) == edits.verified(own, other, a, edited) and (got[i].band_next, got[i].edits_next) == edits.verified(own, following, a, b)
         assert got[i].near_edited == edits.likeness(own, other) and got[i].near_next == edits.likeness(own, following)
     plain = {r.doc_id: r.fingerprint for r in edits.fingerprints(docs(spark, corpus)).collect()}
     assert plain == {i: r.fingerprint for i, r in got.items()}
@@ -326,6 +391,33 @@ def test_copies_stay_together(spark, monkeypatch, unit_share):
     assert max(total.values()) < 1.05 * min(total.values())
 
 
+def plain_placement(units, shards, turn):
+    """Dot products with what is left, one unit after the other, in plain Python."""
+    total = [sum(u[k] for u in units) or 1 for k in range(3)]
+    left, out = [[1 / shards] * 3 for _ in range(shards)], {}
+    for i in sorted(range(len(units)), key=lambda i: -max(units[i][k] / total[k] for k in range(3))):
+        v = [units[i][k] / total[k] for k in range(3)]
+        best = max(range(shards), key=lambda s: (sum(a * b for a, b in zip(left[(s + turn) % shards], v, strict=True)), -s))
+        out[i] = s = (best + turn) % shards
+        left[s] = [a - b for a, b in zip(left[s], v, strict=True)]
+        turn = (turn + 1) % shards
+    return [out[i] for i in range(len(units))]
+
+
+def test_placement_equals_plain_dot_products():
+    rng = random.Random(11)
+    for turn in (0, 3):
+        units = [(rng.randrange(1, 5000), rng.randrange(1, 900), rng.randrange(1, 4)) for _ in range(300)]
+        got = sharding.place(np.array(units, float), 16, turn).tolist()
+        want = plain_placement(units, 16, turn)
+        # Sums in another order may differ in a last bit, and so a tie: the loads don't.
+        load = lambda at: sorted(sum(u[0] for u, s in zip(units, at, strict=True) if s == k) for k in range(16))
+        assert got == want or np.allclose(load(got), load(want), rtol=0.02)
+    # Ties of dot products go round: equal units are dealt out one by one.
+    assert sorted(sharding.place(np.ones((16, 3)), 16, 5).tolist()) == list(range(16))
+    assert sharding.place(np.ones((3, 3)), 16, 5).tolist() == [5, 6, 7]
+
+
 # --- licenses, media -----------------------------------------------------------------------------------------
 
 
@@ -394,6 +486,72 @@ def test_terms_far_from_an_entity_are_marked(spark):
     assert clean[0] == f"{far} mail [EMAIL] now{far} and  again, Tiny"
 
 
+def brute_disclosure(rows):
+    """Spans of terms by counting documents in plain Python."""
+    base = {i: brute_spans(t or "") for i, t, *_ in rows}
+    text = {i: t or "" for i, t, *_ in rows}
+    term = re.compile(r"(?<![^\W_])(?<![@._%+-])[^\W\d_]{4,}(?![^\W_]|[@_%+-]|\.[^\W_])")
+    words = {i: [(m[0].lower(), m.start(), m.end()) for m in term.finditer(t)] for i, t in text.items()}
+    kinds = ("email", "ip", "card", "phone")
+    plain = lambda k, v: v.lower() if k == "email" else v if k == "ip" else re.sub("[^0-9]", "", v)
+    held = {i: {(k, plain(k, text[i][a:b])) for k, a, b in s} for i, s in base.items()}
+    n = max(2, len(rows))
+    df_t = Counter(w for i in words for w in {x[0] for x in words[i]})
+    df_e = Counter(e for i in held for e in held[i])
+    both = Counter((w, e) for i in held for e in held[i] for w in {x[0] for x in words[i]})
+    tells = {}
+    for (w, e), c in both.items():
+        if c >= privacy.SUPPORT and df_e[e] >= privacy.SUPPORT:
+            d = math.log2(n * c / (df_t[w] * df_e[e])) / math.log2(n / min(df_e[e], n / 2))
+            if d >= privacy.GENERALISE:
+                tells[w, e] = d
+    out = {}
+    for i in text:
+        best = {}
+        for e in held[i]:
+            for w in {x[0] for x in words[i]}:
+                if (w, e) in tells:
+                    best[w] = max(best.get(w, 0), tells[w, e])
+        out[i] = sorted((a, b, "removed" if best[w] >= privacy.REMOVE else "generalised", w) for w, a, b in words[i] if w in best)
+    assert all(k in kinds for i in base for k, *_ in base[i])
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    rng = random.Random(12)
+    names = [f"name{chr(97 + k)}son" for k in range(12)]
+    entities = [f"p{k}@mail.org" for k in range(8)] + ["10.0.0.1", "+1 555 010 9999", "4111 1111 1111 1111"]
+    common = "alpha beta gamma delta epsilon theta iota kappa lambda sigma omega".split()
+    rows = []
+    for k in range(160):
+        w = [rng.choice(common) for _ in range(rng.randrange(3, 25))]
+        if k % 3 == 0:
+            e = rng.randrange(len(entities))
+            for _ in range(rng.randrange(1, 3)):
+                w.insert(rng.randrange(len(w)), entities[e])
+            if rng.random() < 0.8:
+                w.insert(rng.randrange(len(w)), names[e].upper() if rng.random() < 0.3 else names[e])
+            if rng.random() < 0.3:
+                w.insert(rng.randrange(len(w)), entities[rng.randrange(len(entities))])
+        elif rng.random() < 0.1:
+            w.append(rng.choice(names))
+        rows.append((k, rng.choice([" ", ", ", "\n"]).join(w) + rng.choice(["", ".", " é", " naméd_x", " a.bcde fghi."]), "en", "s"))
+    rows += [(500, None, None, None), (501, "", "en", "s")]
+    got = {r.doc_id: sorted((s.start, s.end, s.kind, s.value) for s in r.terms) for r in privacy.personal_data(docs(spark, rows)).collect()}
+    want = brute_disclosure(rows)
+    assert got == want and sum(map(len, want.values())) > 10
+    assert {k for v in want.values() for _, _, k, _ in v} == {"removed", "generalised"}
+
+
+def test_the_stronger_kind_of_a_term_wins(spark):
+    """A term that is generalised for one entity of a row and removed for another is removed."""
+    d = spark.createDataFrame([("k", "term", 0.85), ("k", "term", 0.99)], "key string, term string, disclosure double")
+    assert [r[0] for r in d.groupBy("key", "term").agg(F.max("disclosure")).select("max(disclosure)").collect()] == [0.99]
+    rows = [(k, "Zanzibar a@x.org b@y.org", "en", "s") for k in range(3)] + [(k, "Zanzibar a@x.org", "en", "s") for k in range(3, 6)] + [(k, f"other words {k}", "en", "s") for k in range(6, 40)]
+    got = {r.doc_id: {s.kind for s in r.terms} for r in privacy.personal_data(docs(spark, rows)).collect()}
+    assert all(got[k] == {"removed"} for k in range(6))
+
+
 def test_repeated_rows_count_once(spark):
     d = docs(spark, [(1, "mail me at a.b@c.org Quagmire please", "en", "s")] * 5 + [(k, "other text", "en", "s") for k in range(2, 40)])
     got = [r for r in privacy.personal_data(d).collect() if r.doc_id == 1]
