@@ -1,17 +1,20 @@
 """Mixing sources to target weights, with DataFrame operations alone.
 
-The words of each source stand in one stream, cut into fixed-length blocks. A mix is a row of output
-shards of ``slots`` slots each: a shard gets the whole part of each source's expected slots and draws the
-rest from a multinomial over the remainders. The slots of a source are numbered over all shards; slot i
-takes block ``perm(i mod blocks)`` under a pseudorandom permutation of the source's blocks that changes with
-each pass, and joins the block by that index. A permutation uses each block once a pass and there are at
-most ``most`` passes, so nothing is taken more often than that.
+The words of each source stand in one stream, cut into fixed-length blocks. A mix is a row of output shards of
+equally many slots. A shard draws its source counts from a multinomial over the sources' shares: each of its slots
+draws a source by a uniform number. The numbers of the j-th slots of all shards are stratified: shard ``k`` takes the
+stratum that a permutation of its own for each j deals to it. So slots of a shard are independent, and its counts
+exactly multinomial, while over all shards a source's count differs from its expectation by less than one for each
+j, at random, and not by the root of all slots. The slots of a source are numbered over all shards; slot i takes
+block ``perm(i mod blocks)`` under a pseudorandom permutation of the source's blocks that changes with each pass, and
+joins the block by that index. A permutation uses each block once a pass and there are at most ``most`` passes, so
+nothing is taken more often than that; slots drawn beyond them go to the source with most room left.
 
 Sources by code point, null last, weigh 1, 2, 3, repeating, and share all words; a target stops at ``most``
 times its source and the excess is shared again by weight (:func:`targets`).
 
 Streams, slots and blocks are keyed by (source, index) and running totals are taken over hashed buckets,
-so a source of any size spreads over tasks. Per source, and per source and shard, there is one row.
+so a source of any size spreads over tasks. There is one row a source, and one for each source and slot of a shard.
 
 Defined cases: null texts have size 0 and are never taken; null sources are one source; repeated rows each
 have their own place in the stream; a table without words has targets and takings of 0; an empty table
@@ -20,28 +23,24 @@ gives an empty result; other columns are ignored. Results depend on rows, not on
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import buckets_for, cut, running_total, table
+from ..functions.columns import bind
+from .common import SPACE, buckets_for, cut, running_total, table, word_count
 
-#: Words of a block, slots of an output shard, and times that a word may be taken.
+#: Words of a block, slots of an output shard at most, and times that a word may be taken.
 BLOCK, SLOTS, MOST = 64, 4096, 3
-#: Slots that a task makes, about.
-SLOTS_A_TASK = 100_000
+#: Slots that a task makes, about, and rows of which a bucket of repeated rows is to hold about that many.
+SLOTS_A_TASK, REPEATED = 100_000, 2_000
 #: Sources up to which their table (one row each) is broadcast.
 FEW_SOURCES = 100_000
-SPACE = r"[\x20\x09-\x0D]+"
 SEED = 20_240_229
 
 
-def word_count(text: Column) -> Column:
-    parts = F.split(F.coalesce(text, F.lit("")), SPACE, -1)
-    empty = (F.element_at(parts, 1) == "").cast("int") + (F.element_at(parts, -1) == "").cast("int")
-    return F.greatest(F.lit(0), F.size(parts) - empty).cast("long")
-
-
 def ids_are_keys(docs: DataFrame) -> bool:
     """Whether doc_id tells all rows apart."""
     n = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
@@ -50,12 +49,13 @@ def ids_are_keys(docs: DataFrame) -> bool:
 
 def with_key(docs: DataFrame, plain: bool) -> DataFrame:
     """``key``: the row's own among all rows of ``docs`` (doc_id, source, text_md5 and others): its doc_id where
-    that will do, else a digest of its content, with equal rows counted off."""
+    that will do, else a digest of its content, with equal rows counted off, in buckets."""
     if plain:
         return docs.withColumn("key", F.col("doc_id").cast("string"))
     content = F.md5(F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in ("doc_id", "source", "text_md5"))).cast("binary"))
-    w = Window.partitionBy("__c").orderBy("__c")
-    return docs.withColumn("__c", content).withColumn("key", F.concat("__c", F.lit("#"), F.row_number().over(w).cast("string"))).drop("__c")
+    d = cut(docs.withColumn("__c", content).withColumn("__m", F.monotonically_increasing_id()))
+    numbered = running_total(d, ["__c"], [F.col("__m")], F.lit(1), "__k", buckets_for(d.count(), REPEATED))
+    return numbered.withColumn("key", F.concat("__c", F.lit("#"), F.col("__k").cast("string"))).drop("__c", "__m", "__k")
 
 
 def targets(sizes: DataFrame, most: int = MOST) -> DataFrame:
@@ -92,36 +92,69 @@ def permuted(x: Column, n: Column, a: Column, b: Column, *key: Column) -> Column
         start = F.struct(F.floor(v / b).cast("long").alias("l"), F.pmod(v, b).alias("r"))
         return F.aggregate(F.array(F.lit(0), F.lit(2), F.lit(4)), start, turn, lambda s: s["l"] * b + s["r"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(16)), shuffled(x), lambda y, _: F.when(y < n, y).otherwise(shuffled(y)))
+    def walked(y: Column, steps: Column) -> Column:
+        return F.aggregate(steps, y, lambda z, _: F.when(z < n, z).otherwise(shuffled(z)))
+
+    # Few walks take more than 16 steps, and none more than there are cells beyond n, fewer than a.
+    most = walked(shuffled(x), F.sequence(F.lit(1).cast("long"), F.lit(16).cast("long")))
+    return bind(most, lambda y: walked(y, F.when(y < n, F.array().cast("array<bigint>")).otherwise(F.sequence(F.lit(1).cast("long"), a))))
+
+
+def shard_slots(n: int, most: int = SLOTS) -> int:
+    """Slots of a shard in a mix of ``n``: many more shards than slots of one keep sources near their targets."""
+    return max(1, min(most, math.isqrt(n) // 16))
+
+
+def counts_of(sources: DataFrame, slots: int, shards: int, seed: int = SEED) -> DataFrame:
+    """sid, j, first, count: the strata of the j-th slots that draw each source, ``count`` from ``first`` on. Stratum r
+    draws by (r + U(r, j)) / shards, so a source whose share begins at c has the strata beyond c * shards, and the
+    one that holds c if its number is large enough. ``sources``: sid, share."""
+    order = Window.orderBy("sid")
+    s = sources.withColumn("lo", F.coalesce(F.sum("share").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
+    s = s.withColumn("hi", F.coalesce(F.lead("lo").over(order), F.lit(1.0))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
+
+    def begins(share: str) -> Column:
+        at = F.least(F.col(share), F.lit(1.0)) * shards
+        r = F.floor(at).cast("long")
+        draw = F.pmod(F.xxhash64(r, F.col("j"), F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
+        return r + F.when(draw < at - r, 1).otherwise(0)
+
+    first = begins("lo")
+    return s.withColumns({"first": first, "count": begins("hi") - first}).drop("lo", "hi", "share")
 
 
 def slots_of(sources: DataFrame, slots: int = SLOTS, block: int = BLOCK, most: int = MOST, seed: int = SEED) -> DataFrame:
     """shard, sid, slot (number within the source), pass, block of every slot of the mix."""
-    blocks = F.ceil(F.col("source_size") / block).cast("long")
-    s = sources.filter("source_size > 0").withColumn("blocks", blocks)
-    every, within = Window.partitionBy(), Window.partitionBy("shard")
-    s = s.withColumn("__e", F.col("target") * F.col("blocks") / F.col("source_size")).withColumn("__all", F.sum("__e").over(every))
-    s = s.withColumn("__p", F.col("__e") / F.col("__all")).withColumn("__m", F.ceil(F.col("__all")).cast("long"))
-    s = s.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__m") - 1) / slots).cast("long"))))
-    room = F.least(F.lit(slots), F.col("__m") - F.col("shard") * slots)
-    s = s.withColumn("__want", room * F.col("__p")).withColumn("__base", F.floor("__want").cast("long")).withColumn("__frac", F.col("__want") - F.col("__base"))
-    s = s.withColumn("__rest", (room - F.sum("__base").over(within)).cast("long"))
-    upto = within.orderBy("sid").rowsBetween(Window.unboundedPreceding, 0)
-    s = s.withColumn("__hi", F.sum("__frac").over(upto)).withColumn("__total", F.sum("__frac").over(within)).withColumn("__last", F.col("sid") == F.max("sid").over(within))
-    lo, hi = (F.col("__hi") - F.col("__frac")) / F.col("__total"), F.col("__hi") / F.col("__total")
-    draw = lambda j: F.pmod(F.xxhash64(F.col("shard"), j, F.lit(seed)), F.lit(1 << 52)) / float(1 << 52)
-    drawn = F.when(F.col("__rest") > 0, F.size(F.filter(F.sequence(F.lit(1).cast("long"), F.col("__rest")), lambda j: (draw(j) >= lo) & ((draw(j) < hi) | F.col("__last"))))).otherwise(0)
-    s = s.withColumn("count", F.col("__base") + drawn).filter("count > 0").select("shard", "sid", "blocks", "count")
-    a, b = sides(F.col("blocks"))
-    s = s.withColumns({"__rows": a, "__cols": b})
-    s = cut(running_total(s, ["sid"], [F.col("shard")], F.col("count"), "__start", 64))
+    s = sources.filter("source_size > 0").withColumn("blocks", F.ceil(F.col("source_size") / block).cast("long"))
+    s = s.withColumn("__e", F.col("target") * F.col("blocks") / F.col("source_size"))
+    n = int(math.ceil(s.agg(F.sum("__e")).first()[0] or 0))
+    each = shard_slots(n, slots)
+    shards = max(1, -(-n // each))
+    share = F.col("__e") / F.sum("__e").over(Window.partitionBy())
+    s = counts_of(s.select("sid", "blocks", share.alias("share")), each, shards, seed)
+    by_j = Window.partitionBy("sid").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
+    s = cut(s.withColumn("start", F.coalesce(F.sum("count").over(by_j), F.lit(0))))
+    # Slots beyond a source's passes are given, in order, to the source with most room.
+    drawn = s.groupBy("sid", "blocks").agg(F.sum("count").alias("drawn")).withColumn("room", most * F.col("blocks") - F.col("drawn"))
+    over = drawn.filter("room < 0").select("sid", F.coalesce(-F.sum("room").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    roomy = drawn.orderBy(F.desc("room"), "sid").select("sid", "blocks", "drawn").first()
+    s = s.join(over, "sid", "left")
     # A few rows become very many: they are dealt out first, by a number of tasks that follows the slots.
-    n = s.agg(F.sum("count")).first()[0] or 0
-    s = s.repartition(max(1, n // SLOTS_A_TASK), "sid", "shard")
-    s = s.withColumn("slot", F.explode(F.sequence(F.col("__start"), F.col("__start") + F.col("count") - 1))).filter(F.col("slot") < most * F.col("blocks"))
+    part = F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(SLOTS_A_TASK).cast("long"))
+    s = s.filter("count > 0").withColumn("from", F.explode(part)).repartition(max(1, n // SLOTS_A_TASK), "sid", "j", "from")
+    s = s.withColumn("at", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + SLOTS_A_TASK, F.col("count")) - 1)))
+    s = s.select("sid", "blocks", "j", (F.col("first") + F.col("at")).alias("r"), (F.col("start") + F.col("at")).alias("slot"), "before")
+    if roomy is not None:
+        lost = F.col("slot") >= most * F.col("blocks")
+        now = {"sid": F.lit(roomy["sid"]), "blocks": F.lit(roomy["blocks"]), "slot": F.lit(roomy["drawn"]) + F.col("before") + F.col("slot") - most * F.col("blocks")}
+        s = s.select("j", "r", *(F.when(lost, v).otherwise(F.col(c)).alias(c) for c, v in now.items()))
     s = s.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("long"))
+    a, b = sides(F.col("blocks"))
+    s = s.withColumns({"__rows": a, "__cols": b})
     block_ = permuted(F.pmod(F.col("slot"), F.col("blocks")), F.col("blocks"), F.col("__rows"), F.col("__cols"), F.col("sid"), F.col("pass"), F.lit(seed))
-    return s.select("shard", "sid", "slot", "pass", block_.alias("block"))
+    of_shards = F.lit(shards).cast("long")
+    shard = permuted(F.col("r"), of_shards, *sides(of_shards), F.col("j"), F.lit(seed + 1))
+    return s.select(shard.alias("shard"), "sid", "slot", "pass", block_.alias("block"))
 
 
 def fragments(rows: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -137,19 +170,30 @@ def with_identity(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "text_md5": F.md5(F.col("text").cast("binary"))})
 
 
-def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
-    """Two tables: doc_id, source, key, size, source_size, target of every row; and its fragments with
-    ``times``, how often the mix takes each (those that it takes)."""
+def streams(docs: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The table of sources; every row with its source's; and the same with its offset in that source's stream of words."""
+    rows = docs.count()
     d = with_identity(docs)
-    d = cut(with_key(d.select("doc_id", "source", "text_md5", word_count(F.col("text")).alias("size")), ids_are_keys(docs)))
-    sources = cut(targets(d, most))
-    rows = d.count()
+    d = cut(with_key(d.select("doc_id", "source", "text_md5", word_count(F.col("text")).alias("size")), ids_are_keys(docs)), rows)
+    sources = cut(targets(d, most), rows)
     few = sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     with_source = d.join(F.broadcast(sources) if few else sources, d["source"].eqNullSafe(sources["source"])).select(d["doc_id"], d["source"], d["key"], d["size"], "sid", "source_size", "target")
-    placed = running_total(with_source, ["sid"], [F.col("key")], F.col("size"), "offset", buckets_for(rows))
+    return sources, with_source, running_total(with_source, ["sid"], [F.col("key")], F.col("size"), "offset", buckets_for(rows))
+
+
+def mix(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MOST) -> tuple[DataFrame, DataFrame]:
+    """Two tables: doc_id, source, key, size, source_size, target of every row; and its fragments with
+    ``times``, how often the mix takes each (those that it takes)."""
+    sources, rows, placed = streams(docs, most)
     taken = slots_of(sources, slots, block, most).groupBy("sid", "block").agg(F.count("*").alias("times"))
     # Sizes of exploded tables are not known to the planner: neither side is to be broadcast.
-    return with_source, fragments(placed, block).hint("merge").join(taken, ["sid", "block"])
+    return rows, fragments(placed, block).hint("merge").join(taken, ["sid", "block"])
+
+
+def mixed_slots(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MOST) -> DataFrame:
+    """shard, sid, slot, block and, for each part of it, key, from, words: the mix as shards of blocks."""
+    sources, _, placed = streams(docs, most)
+    return slots_of(sources, slots, block, most).join(fragments(placed, block).hint("merge"), ["sid", "block"]).select("shard", "sid", "slot", "block", "key", "from", "words")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
