@@ -24,13 +24,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
-def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+def cut(df: DataFrame, rows: int | None = None, each: int = ROWS_A_FILE) -> DataFrame:
     """``df``, read from the checkpoint folder. Each partition is a file there: with ``rows``, about how many rows it
-    has, a small table is cut into a few files a core and not into one for each of many shuffle partitions."""
+    has, a small table is cut into a few files a core and not into one for each of many shuffle partitions. ``each``:
+    rows of a file; fewer where each row is much work."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     if rows is not None:
-        files = max(FILES_A_CORE * spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE))
+        files = max(FILES_A_CORE * spark.sparkContext.defaultParallelism, -(-rows // each))
         if files < int(spark.conf.get("spark.sql.shuffle.partitions")):
             df = df.coalesce(files)
     return df.checkpoint(eager=True)
