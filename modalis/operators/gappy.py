@@ -3,16 +3,16 @@ task's share of them."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lineage import cut
+from ..functions.matrix import width
 from . import linalg as L
 from .modal import Modes, pod, truncate
 
@@ -21,25 +21,16 @@ def masked_solutions(basis: DataFrame, data: DataFrame, ridge: float | None) ->
     """Coefficients (modes x snapshots) that fit the observed entries of each column of ``data`` (row_id, x) by
     the columns of ``basis`` (row_id, x). Each task adds up its masked products; r (r + 1) values a snapshot
     are shuffled."""
+    r, n = width(basis), L.checked_width(data)
+    L.checked_size(n * r * (r + 1))
     both = basis.withColumnRenamed("x", "u").join(data, "row_id")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g = h = None
-        for p in frames:
-            if len(p):
-                u, x = np.vstack(p["u"].to_numpy()), np.vstack(p["x"].to_numpy())
-                seen = (x != 0).astype(float)
-                a, b = np.einsum("ra,rb,rt->tab", u, u, seen), np.einsum("ra,rt->ta", u, x)
-                g, h = (a, b) if g is None else (g + a, h + b)
-        if g is not None:
-            full = np.concatenate([g, h[:, :, None]], axis=2)
-            t, i, j = np.indices(full.shape).reshape(3, -1)
-            yield pd.DataFrame({"t": t, "i": i, "j": j, "v": full.ravel()})
-
-    s = both.select("u", "x").mapInPandas(run, "t int, i int, j int, v double").groupBy("t", "i", "j").agg(F.sum("v").alias("v")).toPandas()
-    r, n = int(s["i"].max()) + 1, int(s["t"].max()) + 1
-    full = np.zeros((n, r, r + 1))
-    full[s["t"], s["i"], s["j"]] = s["v"]
+    def part(b: pa.RecordBatch) -> np.ndarray:
+        u, x = L.block(b, "u"), L.block(b)
+        products = np.einsum("ra,rb,rt->tab", u, u, (x != 0).astype(float), optimize=True)
+        return np.concatenate([products, np.einsum("ra,rt->ta", u, x)[:, :, None]], axis=2)
+
+    full = L.summed(both.select("u", "x"), part, n * r * (r + 1)).reshape(n, r, r + 1)
     out = np.empty((r, n))
     for t in range(n):
         a = full[t, :, :r] + (ridge or 0) * np.eye(r)

@@ -1,13 +1,15 @@
 """Dense linear algebra on distributed matrices.
 
 A product with a tall matrix on both sides (``gram``) adds up per-partition BLAS products, so m n^2 flops
-leave one n x n matrix a task. A tall times a small matrix ships the small one with the tasks: its size is
-that of the columns. Factorisations of tall matrices reduce to n x n on the driver.
+leave one n x n matrix a task; those are added up in slices, each slice by one task, in a single shuffle of
+binary rows. A tall times a small matrix ships the small one with the tasks: its size is that of the columns.
+Factorisations of tall matrices reduce to n x n on the driver; more columns than ``DRIVER_COLUMNS`` are refused
+before any pass over the rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,10 +18,65 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import cut
 from ..functions.matrix import width
 
-#: Columns up to which n x n factors are solved on the driver, and factors that are stacked at a time.
-DRIVER_COLUMNS, MERGED = 4096, 16
+#: Columns up to which n x n factors are solved on the driver, factors that are stacked at a time, and entries of a
+#: slice of a sum over tasks.
+DRIVER_COLUMNS, MERGED, SLICE = 4096, 16, 65_536
+
+
+def checked_width(rows: DataFrame, name: str = "x") -> int:
+    """The number of columns, if factors of columns x columns fit the driver."""
+    n = width(rows.select("row_id", rows[name].alias("x")) if name != "x" else rows)
+    if n > DRIVER_COLUMNS:
+        raise ValueError(f"{n} columns; reduce them first, for example by randomized_svd")
+    return n
+
+
+def checked_size(entries: int) -> None:
+    if entries > DRIVER_COLUMNS**2:
+        raise ValueError(f"{entries} entries are too many for the driver")
+
+
+def summed(df: DataFrame, part: Callable[[pa.RecordBatch], np.ndarray], size: int) -> np.ndarray:
+    """The sum over all batches of ``part`` (``size`` entries). A task adds up its own and gives slices away, and each
+    slice is added up over tasks by one task: no task and no row holds more than it must."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = part(b).ravel()
+                total = x if total is None else np.add(total, x, out=total)
+        if total is not None:
+            for k, at in enumerate(range(0, size, SLICE)):
+                yield slice_batch([k], [total[at : at + SLICE]])
+
+    def over_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), arrays(b.column(1)), strict=True):
+                sums[k] = x.copy() if k not in sums else np.add(sums[k], x, out=sums[k])
+        if sums:
+            yield slice_batch(list(sums), list(sums.values()))
+
+    slices = df.mapInArrow(own, "k int, x array<double>").repartition("k").mapInArrow(over_tasks, "k int, x array<double>")
+    out = np.zeros(size)
+    for r in slices.toArrow().to_batches():
+        for k, x in zip(r.column(0).to_pylist(), arrays(r.column(1)), strict=True):
+            out[k * SLICE : k * SLICE + len(x)] = x
+    return out
+
+
+def arrays(column: pa.ListArray) -> Iterable[np.ndarray]:
+    ends, values = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False)
+    return (values[a:b] for a, b in zip(ends, ends[1:], strict=False))
+
+
+def slice_batch(numbers: list[int], parts: list[np.ndarray]) -> pa.RecordBatch:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts)))], names=["k", "x"])
 
 
 def block(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
@@ -73,48 +130,25 @@ def flip(a: DataFrame, n: int) -> DataFrame:
 
 
 def gram(rows: DataFrame) -> np.ndarray:
-    """X'X by per-partition products, summed by entry: one shuffle of n^2 values a task."""
+    """X'X by per-partition products."""
+    n = checked_width(rows)
+    upper = np.triu_indices(n)
+
+    def part(b: pa.RecordBatch) -> np.ndarray:
+        x = block(b)
+        return (x.T @ x)[upper]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = None
-        for b in batches:
-            if b.num_rows:
-                x = block(b)
-                g = x.T @ x if g is None else g + x.T @ x
-        if g is not None:
-            n = len(g)
-            i, j = np.triu_indices(n)
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(g[i, j])], names=["i", "j", "v"])
-
-    sums = rows.select("x").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    t = sums.toPandas()
-    if t.empty:
-        return np.zeros((0, 0))
-    n = int(t["j"].max()) + 1
-    if n > DRIVER_COLUMNS:
-        raise ValueError(f"{n} columns; reduce them first, for example by randomized_svd")
     g = np.zeros((n, n))
-    g[t["i"], t["j"]] = t["v"]
-    return np.triu(g) + np.triu(g, 1).T
+    g[upper] = summed(rows.select("x"), part, len(upper[0]))
+    return g + np.triu(g, 1).T
 
 
 def cross_gram(rows: DataFrame, other: str = "y") -> np.ndarray:
     """X'Y for rows that hold arrays ``x`` and ``other``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = None
-        for b in batches:
-            if b.num_rows:
-                p = block(b).T @ block(b, other)
-                g = p if g is None else g + p
-        if g is not None:
-            i, j = np.indices(g.shape).reshape(2, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(g.ravel())], names=["i", "j", "v"])
-
-    t = rows.select("x", other).mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    g = np.zeros((int(t["i"].max()) + 1, int(t["j"].max()) + 1))
-    g[t["i"], t["j"]] = t["v"]
-    return g
+    first = rows.select(F.size("x").alias("n"), F.size(other).alias("m")).first()
+    n, m = (0, 0) if first is None else first
+    checked_size(n * m)
+    return summed(rows.select("x", other), lambda b: block(b).T @ block(b, other), n * m).reshape(n, m)
 
 
 def times(rows: DataFrame, b: np.ndarray) -> DataFrame:
@@ -135,53 +169,69 @@ def times(rows: DataFrame, b: np.ndarray) -> DataFrame:
 
 def column_distances(rows: DataFrame) -> np.ndarray:
     """Euclidean distances of columns, from differences and not from a Gram matrix, which would cancel."""
+    n = checked_width(rows)
+    upper = np.triu_indices(n, 1)
+
+    def part(b: pa.RecordBatch) -> np.ndarray:
+        x, d = block(b), np.zeros((n, n))
+        for at in range(0, len(x), 64):
+            some = x[at : at + 64]
+            for k in range(n):
+                d[k] += ((some - some[:, k : k + 1]) ** 2).sum(axis=0)
+        return d[upper]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = None
-        for b in batches:
-            x = block(b)
-            for at in range(0, len(x), 64):
-                part = x[at : at + 64]
-                if d is None:
-                    d = np.zeros((part.shape[1], part.shape[1]))
-                for k in range(part.shape[1]):
-                    d[k] += ((part - part[:, k : k + 1]) ** 2).sum(axis=0)
-        if d is not None:
-            i, j = np.triu_indices(len(d), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(d[i, j])], names=["i", "j", "v"])
-
-    t = rows.select("x").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    n = int(t["j"].max()) + 1 if len(t) else 1
     d = np.zeros((n, n))
-    d[t["i"], t["j"]] = np.sqrt(t["v"])
+    if n > 1:
+        d[upper] = np.sqrt(summed(rows.select("x"), part, len(upper[0])))
     return d + d.T
 
 
-def tsqr(rows: DataFrame) -> np.ndarray:
-    """R of a tall matrix: local factors are stacked and factored again, over as many levels of tasks as it
-    takes to leave few for the driver; signs make the diagonal non-negative. Partitions of fewer rows than
-    columns and empty ones are fine."""
+def merged(df: DataFrame, factor: Callable[[np.ndarray | None, pa.RecordBatch], np.ndarray], merge: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> list[np.ndarray]:
+    """Flat factors of a DataFrame: ``factor`` takes a task's factor so far and a batch, ``merge`` two factors. Any share
+    of all factors may be merged together: they are dealt to ever fewer tasks, down to at most MERGED."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows_of(r: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        if r is not None:
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, r.size], pa.int32()), pa.array(r.ravel()))], names=["x"])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = None
         for b in batches:
             if b.num_rows:
-                x = block(b)
-                r = np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r")
-        if r is not None:
-            offsets = pa.array(np.arange(0, r.size + 1, r.shape[1], dtype=np.int32))
-            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, pa.array(r.ravel()))], names=["x"])
+                r = factor(r, b)
+        return rows_of(r)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = None
+        for b in batches:
+            for x in arrays(b.column(0)):
+                r = x if r is None else merge(r, x).ravel()
+        return rows_of(r)
 
-    level = rows.select("x").mapInArrow(run, "x array<double>")
-    tasks = rows.rdd.getNumPartitions()
-    # Any share of the rows of all factors may be factored together: small rows are dealt to ever fewer tasks.
-    while tasks > MERGED:
+    level, tasks = df.mapInArrow(local, "x array<double>"), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    while True:
         tasks = -(-tasks // MERGED)
-        level = level.repartition(tasks).mapInArrow(run, "x array<double>")
-    parts = [np.array(r["x"]) for r in level.collect()]  # at most MERGED n x n factors
-    if not parts:
+        level = level.repartition(tasks).mapInArrow(again, "x array<double>")
+        if tasks <= MERGED:
+            return [x for b in level.toArrow().to_batches() for x in arrays(b.column(0))]
+
+
+def tsqr(rows: DataFrame) -> np.ndarray:
+    """R of a tall matrix: local factors are stacked and factored again, over as many levels of tasks as it
+    takes to leave few for the driver; signs make the diagonal non-negative. Partitions of fewer rows than
+    columns and empty ones are fine."""
+    n = checked_width(rows)
+    if not n:
         return np.zeros((0, 0))
-    r = np.linalg.qr(np.vstack(parts), mode="r")
+
+    def factor(r: np.ndarray | None, b: pa.RecordBatch) -> np.ndarray:
+        x = block(b)
+        return np.linalg.qr(x if r is None else np.vstack([r, x]), mode="r")
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.linalg.qr(np.vstack([a.reshape(-1, n), b.reshape(-1, n)]), mode="r")
+
+    r = np.linalg.qr(np.vstack([x.reshape(-1, n) for x in merged(rows.select("x"), factor, merge)]), mode="r")
     return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
 
 
@@ -212,23 +262,14 @@ def orthonormal(rows: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 def through(rows: DataFrame, w: np.ndarray) -> np.ndarray:
     """X'(X W) for a small W in one pass: the tall product stays in its task."""
+    checked_size(w.size)
     shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(w))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = None
-        for b in batches:
-            if b.num_rows:
-                x = block(b)
-                part = x.T @ (x @ shared.value)
-                g = part if g is None else g + part
-        if g is not None:
-            i, j = np.indices(g.shape).reshape(2, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(g.ravel())], names=["i", "j", "v"])
-
-    t = rows.select("x").mapInArrow(run, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    out = np.zeros(w.shape)
-    out[t["i"], t["j"]] = t["v"]
-    return out
+    def part(b: pa.RecordBatch) -> np.ndarray:
+        x = block(b)
+        return x.T @ (x @ shared.value)
+
+    return summed(rows.select("x"), part, w.size).reshape(w.shape)
 
 
 def power_basis(rows: DataFrame, w: np.ndarray, q: int) -> np.ndarray:
@@ -240,14 +281,15 @@ def power_basis(rows: DataFrame, w: np.ndarray, q: int) -> np.ndarray:
 
 def randomized_qr(rows: DataFrame, r: int, q: int = 3, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
     """Q (rows of r) and B = Q'X with q power iterations: 2 q + 2 passes over X without a shuffle of it. X is
-    kept for their time; what executors lose of it is made again."""
+    kept for their time, Q is written before it goes; what executors lose of X is made again."""
     rows = rows.persist()
     n = width(rows)
     w = power_basis(rows, np.random.default_rng(seed).random((n, r)), q)
     w = w @ np.linalg.pinv(tsqr(times(rows, w)), rcond=1e-12)
     b = through(rows, w).T
+    basis = cut(times(rows, w))
     rows.unpersist()
-    return times(rows, w), b
+    return basis, b
 
 
 def randomized_svd(rows: DataFrame, r: int, q: int = 3, seed: int = 0) -> tuple[DataFrame, np.ndarray, np.ndarray]:

@@ -28,15 +28,22 @@ def mds(rows: DataFrame, dims: int) -> np.ndarray:
 
 
 def neighbours(d: np.ndarray, size: int) -> np.ndarray:
-    """Distances to the ``size`` nearest, either way round; a large number elsewhere."""
-    n = len(d)
-    far = 1000 * d.max() * n
-    out = np.full_like(d, far)
+    """Distances to the ``size`` nearest, either way round; infinity elsewhere."""
+    out = np.full_like(d, np.inf)
     near = np.argsort(d, axis=1, kind="stable")[:, : size + 1]
     np.put_along_axis(out, near, np.take_along_axis(d, near, axis=1), axis=1)
     return np.minimum(out, out.T)
 
 
+def component_members(g: np.ndarray, number: int = 1) -> np.ndarray:
+    """The snapshots of a connected component, by paths ``g``: the largest is number 1, of equal ones the one with the
+    first snapshot goes first; a number beyond the last means the largest."""
+    first = np.isfinite(g).argmax(axis=1)
+    names, sizes = np.unique(first, return_counts=True)
+    order = names[np.lexsort((names, -sizes))]
+    return np.flatnonzero(first == order[number - 1 if 1 <= number <= len(order) else 0])
+
+
 def shortest_paths(g: np.ndarray) -> np.ndarray:
     g = g.copy()
     np.fill_diagonal(g, 0)
@@ -45,12 +52,15 @@ def shortest_paths(g: np.ndarray) -> np.ndarray:
     return g
 
 
-def isomap(rows: DataFrame, dims: int, size: int) -> tuple[np.ndarray, float, np.ndarray]:
-    """Coordinates, residual variance, and the neighbourhood graph."""
+def isomap(rows: DataFrame, dims: int, size: int, component: int = 1) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """Coordinates, residual variance, the neighbourhood graph, and the snapshots that are embedded: those of one
+    connected component of the graph, the largest unless told otherwise."""
     d = column_distances(rows)
     e = neighbours(d, size)
     g = shortest_paths(e)
+    members = component_members(g, component)
+    g = g[np.ix_(members, members)]
     y = embedding(g, dims)
     between = np.sqrt(((y[:, :, None] - y[:, None, :]) ** 2).sum(axis=0))
     r = np.corrcoef(between.ravel(), g.ravel())[0, 1]
-    return y, 1 - r * r, e
+    return y, 1 - r * r, e, members

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,29 +159,39 @@ def paired_order(mu: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def dmd(rows: DataFrame, r: float, remove_mean: bool = True) -> Dynamics:
-    """One pass gives the Gram matrix of all snapshots; its blocks give S, V of the first n - 1 and U'Y2, so U
-    itself is never made; a second pass projects the modes."""
+    """One pass gives R of all snapshots. With X = Q R, the first n - 1 columns of R give S, V of those of X and the
+    others Q'Y2, so neither Q nor U is ever made; a second pass projects the modes."""
     y = centred(rows, remove_mean)
-    g = L.gram(y)
-    w, q = np.linalg.eigh(g[:-1, :-1])
-    s, vt = np.sqrt(np.maximum(w[::-1], 0)), q.T[::-1]
-    keep = min(truncation(s, r), int((s > 1e-8 * s[0]).sum()))
-    s, vt = s[:keep], vt[:keep]
-    vt = vt * L.canonical(vt)[:, None]
-    small = (vt @ g[:-1, 1:] @ vt.T) / s[:, None] / s[None, :]
+    f = L.tsqr(y)
+    u, s, vt = np.linalg.svd(f[:, :-1], full_matrices=False)
+    keep = min(truncation(s, r), int((s > 1e-12 * s[0]).sum()))
+    u, s, vt = u[:, :keep], s[:keep], vt[:keep]
+    sign = L.canonical(vt)
+    u, vt = u * sign, vt * sign[:, None]
+    small = u.T @ f[:, 1:] @ vt.T / s[None, :]
     mu, vec = np.linalg.eig(small)
     project = (vt.T / s) @ vec / mu
-    vander = mu[:, None] ** np.arange(g.shape[0] - 1)[None, :]
+    vander = mu[:, None] ** np.arange(f.shape[1] - 1)[None, :]
     p = (vec.conj().T @ vec) * (vander @ vander.conj().T).conj()
     rhs = np.diag(vander @ (vt.T * s) @ vec).conj()
     b = np.linalg.solve(p, rhs)
     order = paired_order(mu, b)
     mu, b, project = mu[order], b[order], project[:, order]
-    shift = np.zeros((g.shape[0], 2 * keep))
+    shift = np.zeros((f.shape[1], 2 * keep))
     shift[1:, 0::2], shift[1:, 1::2] = project.real, project.imag
     return Dynamics(mu, b, L.times(y, shift))
 
 
+def extract_dynamics(phi: DataFrame, component: int, components: int, modes: list[int], real: bool = True) -> DataFrame:
+    """point, x: the real or imaginary parts of some modes at one field's rows (all count from 1; order stays)."""
+    return extract_modes(phi, component, components, [2 * m - 1 if real else 2 * m for m in modes])
+
+
+def mode_computation(rows: DataFrame, vt: np.ndarray, s: np.ndarray, w: np.ndarray) -> DataFrame:
+    """X V diag(1 / S) |W|: modes of given moduli of eigenvectors."""
+    return L.times(rows, (vt.T / s) @ np.abs(w))
+
+
 def frequency_damping(mu: np.ndarray, dt: float) -> tuple[np.ndarray, np.ndarray]:
     """Damping log |mu| / dt and angular frequency arg mu / dt."""
     return np.log(np.abs(mu)) / dt, np.angle(mu) / dt
@@ -199,17 +210,28 @@ def dmd_reconstruct(d: Dynamics, t: np.ndarray) -> DataFrame:
 
 @dataclass
 class Spectral:
-    """Energies by (frequency, block), frequencies, both by falling leading energy; and row_id, f (its index
-    before sorting), x: real parts of modes by block."""
+    """Energies by (frequency, block), frequencies, both by falling leading energy; row_id, f (its index before
+    sorting), x: real parts of modes by block; and that index by place in the order."""
 
     energy: np.ndarray
     frequency: np.ndarray
     modes: DataFrame
+    order: np.ndarray
+
+
+def extract_spectral(m: Spectral, component: int, components: int, modes: list[int], block: int = 1) -> DataFrame:
+    """point, x: the modes of one block at one field's rows, ``modes`` by their place in the order of energies (all
+    count from 1; order stays)."""
+    wanted = [int(m.order[k - 1]) for k in modes]
+    mine = m.modes.filter(F.col("f").isin(wanted) & (F.col("row_id") % components == component - 1))
+    point = F.floor(F.col("row_id") / components).cast("bigint").alias("point")
+    by_f = F.map_from_entries(F.collect_list(F.struct("f", F.element_at("x", block).alias("v"))))
+    return mine.groupBy(point).agg(by_f.alias("m")).select("point", F.array(*(F.element_at("m", f) for f in wanted)).alias("x"))
 
 
 def spod(rows: DataFrame, t: np.ndarray, n_dft: int = 0, overlap: int = 0, remove_mean: bool = True) -> Spectral:
-    """Windowed transforms of every row stay in its task; all frequencies' blocks x blocks products are added
-    up in one shuffle; modes are a second pass over rows."""
+    """Windowed transforms of every row stay in its task; the R factors of all frequencies (rows x blocks each) are
+    merged over levels of tasks; modes are a second pass over rows."""
     n = len(t)
     if n_dft == 0:
         n_dft = int(2 ** np.floor(np.log2(n / 10)))
@@ -231,25 +253,28 @@ def spod(rows: DataFrame, t: np.ndarray, n_dft: int = 0, overlap: int = 0, remov
 
     y = centred(rows, remove_mean)
 
-    def products(batches: Iterator) -> Iterator[pd.DataFrame]:
-        g = None
-        for p in batches:
-            if len(p):
-                q = spectra(np.vstack(p["x"].to_numpy()))
-                part = np.einsum("rfa,rfb->fab", q.conj(), q)
-                g = part if g is None else g + part
-        if g is not None:
-            f, a, b = np.indices(g.shape).reshape(3, -1)
-            yield pd.DataFrame({"f": f, "a": a, "b": b, "re": g.real.ravel(), "im": g.imag.ravel()})
-
-    sums = y.select("x").mapInPandas(products, "f int, a int, b int, re double, im double").groupBy("f", "a", "b").agg(F.sum("re").alias("re"), F.sum("im").alias("im")).toPandas()
-    g = np.zeros((kept, blocks, blocks), complex)
-    g[sums["f"], sums["a"], sums["b"]] = sums["re"] + 1j * sums["im"]
-    w, v = np.linalg.eigh(g)
-    w, v = np.maximum(w[:, ::-1], 0), v[:, :, ::-1]
+    def pack(r: np.ndarray) -> np.ndarray:
+        return np.stack([r.real, r.imag]).ravel()
+
+    def unpack(x: np.ndarray) -> np.ndarray:
+        re, im = x.reshape(2, kept, -1, blocks)
+        return re + 1j * im
+
+    def factor(r: np.ndarray | None, batch: pa.RecordBatch) -> np.ndarray:
+        q = spectra(L.block(batch)).transpose(1, 0, 2)
+        return pack(np.linalg.qr(q if r is None else np.concatenate([unpack(r), q], axis=1), mode="r"))
+
+    def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return pack(np.linalg.qr(np.concatenate([unpack(a), unpack(b)], axis=1), mode="r"))
+
+    L.checked_width(y)
+    L.checked_size(2 * kept * blocks * blocks)
+    parts = [unpack(x) for x in L.merged(y.select("x"), factor, merge)]
+    _, s, vh = np.linalg.svd(np.concatenate(parts, axis=1), full_matrices=False)
+    v = vh.conj().transpose(0, 2, 1)
+    w = s**2
     turn = np.take_along_axis(v, np.abs(v).argmax(axis=1)[:, None, :], axis=1)
     v = v * (np.abs(turn) / turn)
-    s = np.sqrt(w)
     scale = np.where(s > 1e-12 * s.max(initial=1), 1 / np.maximum(s, 1e-300), 0)
     order = np.argsort(-w[:, 0], kind="stable")
     shared = rows.sparkSession.sparkContext.broadcast(v * scale[:, None, :])
@@ -261,4 +286,4 @@ def spod(rows: DataFrame, t: np.ndarray, n_dft: int = 0, overlap: int = 0, remov
                 rows_, f = np.indices(m.shape[:2]).reshape(2, -1)
                 yield pd.DataFrame({"row_id": p["row_id"].to_numpy()[rows_], "f": f, "x": list(m.reshape(-1, blocks))})
 
-    return Spectral(w[order], frequency[order], y.mapInPandas(project, "row_id bigint, f int, x array<double>"))
+    return Spectral(w[order], frequency[order], y.mapInPandas(project, "row_id bigint, f int, x array<double>"), order)

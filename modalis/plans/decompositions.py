@@ -211,7 +211,7 @@ def mds_distances(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def isomap_embed(spark: SparkSession, d: str) -> DataFrame:
     """Two coordinates of each month, and the residual variance."""
-    y, residual, _ = manifold.isomap(month_rows(spark, d), 2, 12)
+    y, residual, _, _ = manifold.isomap(month_rows(spark, d), 2, 12)
     rows = [(k, float(abs(y[0, k])), float(abs(y[1, k])), float(residual)) for k in range(y.shape[1])]
     return spark.createDataFrame(rows, "t int, a double, b double, v double").select("t", r("a", "a", 3), r("b", "b", 3), r("v", "residual"))
 

@@ -113,7 +113,7 @@ def test_mds_keeps_distances_and_isomap_runs(spark):
     y = manifold.mds(rows(spark, a), 8)
     d = np.sqrt(((y[:, :, None] - y[:, None]) ** 2).sum(axis=0))
     assert np.allclose(d, linalg.column_distances(rows(spark, a)))
-    coordinates, residual, _ = manifold.isomap(rows(spark, a), 2, 4)
+    coordinates, residual, _, _ = manifold.isomap(rows(spark, a), 2, 4)
     assert coordinates.shape == (2, 8) and 0 <= residual <= 1
 
 
