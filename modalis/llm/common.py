@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -13,10 +14,12 @@ from pyspark.sql.window import Window
 
 from ..functions.lineage import cut
 
-__all__ = ["SPACE", "as_batch", "buckets_for", "cut", "ddl", "map_rows", "running_total", "stream_rows", "table", "text_batches", "word_count"]
+__all__ = ["SPACE", "TEXTS_A_FILE", "as_batch", "buckets_for", "cut", "ddl", "map_rows", "running_total", "stream_rows", "table", "text_batches", "word_count"]
 
 #: Rows of one Arrow batch that goes back to the JVM, and of one that comes from it.
 OUT_ROWS, TEXT_ROWS = 2048, 1024
+#: Rows of a file of what is made from texts.
+TEXTS_A_FILE = 5_000
 #: ASCII white space, which ends words.
 SPACE = r"[\x20\x09-\x0D]+"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -110,5 +113,6 @@ def running_total(df: DataFrame, group: list[str], order: list[Column], value: C
     )
 
 
-def buckets_for(rows: int, each: int = 2_000) -> int:
-    return max(8, -(-rows // each))
+def buckets_for(rows: int) -> int:
+    """As many buckets as rows of one, so that neither a bucket nor the sums of buckets hold much."""
+    return max(8, math.isqrt(rows))

@@ -30,12 +30,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import bind
-from .common import SPACE, buckets_for, cut, running_total, table, word_count
+from .common import SPACE, TEXTS_A_FILE, buckets_for, cut, running_total, table, word_count
 
 #: Words of a block, slots of an output shard at most, and times that a word may be taken.
 BLOCK, SLOTS, MOST = 64, 4096, 3
-#: Slots that a task makes, about, and rows of which a bucket of repeated rows is to hold about that many.
-SLOTS_A_TASK, REPEATED = 100_000, 2_000
+#: Slots that a task makes, about.
+SLOTS_A_TASK = 100_000
 #: Sources up to which their table (one row each) is broadcast.
 FEW_SOURCES = 100_000
 SEED = 20_240_229
@@ -54,7 +54,7 @@ def with_key(docs: DataFrame, plain: bool) -> DataFrame:
         return docs.withColumn("key", F.col("doc_id").cast("string"))
     content = F.md5(F.concat_ws("\x01", *(F.coalesce(F.col(c).cast("string"), F.lit("\x02")) for c in ("doc_id", "source", "text_md5"))).cast("binary"))
     d = cut(docs.withColumn("__c", content).withColumn("__m", F.monotonically_increasing_id()))
-    numbered = running_total(d, ["__c"], [F.col("__m")], F.lit(1), "__k", buckets_for(d.count(), REPEATED))
+    numbered = running_total(d, ["__c"], [F.col("__m")], F.lit(1), "__k", buckets_for(d.count()))
     return numbered.withColumn("key", F.concat("__c", F.lit("#"), F.col("__k").cast("string"))).drop("__c", "__m", "__k")
 
 
@@ -174,7 +174,7 @@ def streams(docs: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame, Da
     """The table of sources; every row with its source's; and the same with its offset in that source's stream of words."""
     rows = docs.count()
     d = with_identity(docs)
-    d = cut(with_key(d.select("doc_id", "source", "text_md5", word_count(F.col("text")).alias("size")), ids_are_keys(docs)), rows)
+    d = cut(with_key(d.select("doc_id", "source", "text_md5", word_count(F.col("text")).alias("size")), ids_are_keys(docs)), rows, TEXTS_A_FILE)
     sources = cut(targets(d, most), rows)
     few = sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     with_source = d.join(F.broadcast(sources) if few else sources, d["source"].eqNullSafe(sources["source"])).select(d["doc_id"], d["source"], d["key"], d["size"], "sid", "source_size", "target")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut, table
+from .common import TEXTS_A_FILE, cut, table
 
 LETTERS, SUPPORT, GENERALISE, REMOVE = 4, 2, 0.8, 0.95
 #: Terms up to which they are broadcast to count documents; beyond, a join by key does it.
@@ -174,7 +174,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, key, base, terms of every row. One pass over texts finds the base spans and keeps the texts of rows that
     have some; a second one counts the terms of those in all rows."""
     n = docs.count()
-    kept = cut(found(docs).withColumn("text", F.when(F.col("key").isNotNull(), F.col("text"))), n)
+    kept = cut(found(docs).withColumn("text", F.when(F.col("key").isNotNull(), F.col("text"))), n, TEXTS_A_FILE)
     hit = kept.filter("key is not null")
     near = term_spans(docs, hit, n)
     none = F.array().cast(SPAN)
@@ -207,7 +207,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` (columns of documents) with every span replaced; rows without personal data are untouched."""
     n = docs.count()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
-    hit = cut(found(d, "lang", "source").filter("key is not null"), n)
+    hit = cut(found(d, "lang", "source").filter("key is not null"), n, TEXTS_A_FILE)
     near = term_spans(d, hit, n)
     text = replaced(F.col("text"), F.concat("base", F.coalesce("terms", F.array().cast(SPAN))))
     hit = hit.join(near, "key", "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))

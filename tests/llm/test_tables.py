@@ -233,8 +233,7 @@ def test_slots_beyond_the_passes_are_drawn_again(spark):
         assert max(used.values()) <= 3 and all(0 <= b < {0: 10, 1: 100, 2: 1000}[k] for k, b in used)
 
 
-def test_repeated_rows_are_numbered_in_buckets(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "REPEATED", 10)
+def test_repeated_rows_are_numbered_in_buckets(spark):
     rows = [(1, "the same words", "en", "s")] * 300 + [(2, "others", "en", "s"), (None, "x", None, None), (None, "x", None, None)]
     keyed = mixing.with_key(mixing.with_identity(docs(spark, rows, 5)), False).collect()
     assert len({r.key for r in keyed}) == len(rows)
