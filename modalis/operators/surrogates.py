@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
+from ..functions.lineage import cut
 from . import linalg as L
 
 
@@ -131,12 +132,164 @@ class PolynomialLayer:
         return df.withColumn(name, sum((float(self.coefficients[n]) * c for n, c in t.items()), F.lit(0.0)))
 
 
+@dataclass
+class PolynomialNetwork:
+    """Layers of sums of functions of each input: Chebyshev polynomials of tanh x, or sines of multiples of x. Fitted
+    by Adam on a bounded training set. ``coefficients``: of each layer inputs x outputs x functions."""
+
+    hidden: tuple[int, ...] = (8,)
+    degree: int = 3
+    kind: str = "chebyshev"
+    epochs: int = 300
+    rate: float = 2e-2
+    seed: int = 0
+    coefficients: list = field(default_factory=list)
+
+    def basis(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Functions of each entry and their slopes, the last axis being functions."""
+        k = np.arange(self.degree + 1)
+        if self.kind == "sine":
+            return np.sin(x[..., None] * k), np.cos(x[..., None] * k) * k
+        u = np.tanh(x)[..., None]
+        angle = np.arccos(np.clip(u, -1 + 1e-12, 1 - 1e-12))
+        return np.cos(k * angle), k * np.sin(k * angle) / np.sin(angle) * (1 - u * u)
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        for c in self.coefficients:
+            x = np.einsum("nif,iof->no", self.basis(x)[0], c)
+        return x
+
+    def fit(self, x: np.ndarray, y: np.ndarray, stop: EarlyStop | None = None) -> PolynomialNetwork:
+        rng, y = np.random.default_rng(self.seed), y.reshape(len(x), -1)
+        sizes = [x.shape[1], *self.hidden, y.shape[1]]
+        self.coefficients = [rng.normal(0, 1 / (a * (self.degree + 1)) ** 0.5, (a, b, self.degree + 1)) for a, b in itertools.pairwise(sizes)]
+        m, v = ([np.zeros_like(c) for c in self.coefficients] for _ in (0, 1))
+        self.losses = []
+        for t in range(1, self.epochs + 1):
+            kept, now = [], x
+            for c in self.coefficients:
+                f, slope = self.basis(now)
+                kept.append((f, slope))
+                now = np.einsum("nif,iof->no", f, c)
+            self.losses.append(float(((now - y) ** 2).mean()))
+            if stop is not None and stop(self.losses[-1]):
+                break
+            delta = 2 * (now - y) / y.size
+            for k in range(len(self.coefficients) - 1, -1, -1):
+                f, slope = kept[k]
+                g = np.einsum("nif,no->iof", f, delta)
+                if k:
+                    delta = np.einsum("nif,iof,no->ni", slope, self.coefficients[k], delta)
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.999 * v[k] + 0.001 * g * g
+                self.coefficients[k] = self.coefficients[k] - self.rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        return self
+
+
+@dataclass
+class VariationalAutoencoder:
+    """An encoder to means and log-variances of a latent space and a decoder, each a perceptron of one hidden layer. The
+    loss is the reconstruction error plus ``beta`` times the divergence from a standard normal distribution."""
+
+    latent: int = 2
+    hidden: int = 16
+    beta: float = 1e-3
+    epochs: int = 300
+    rate: float = 1e-2
+    seed: int = 0
+    weights: dict = field(default_factory=dict)
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Means and log-variances."""
+        w = self.weights
+        out = np.tanh(x @ w["w0"] + w["b0"]) @ w["w1"] + w["b1"]
+        return out[:, : self.latent], out[:, self.latent :]
+
+    def decode(self, z: np.ndarray) -> np.ndarray:
+        w = self.weights
+        return np.tanh(z @ w["w2"] + w["b2"]) @ w["w3"] + w["b3"]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        """Reconstructions by way of the means."""
+        return self.decode(self.encode(x)[0])
+
+    def loss(self, x: np.ndarray, noise: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """The loss with given noise, and its slopes."""
+        w, n, d = self.weights, len(x), self.latent
+        h = np.tanh(x @ w["w0"] + w["b0"])
+        mean, log_variance = np.split(h @ w["w1"] + w["b1"], [d], axis=1)
+        spread = np.exp(0.5 * log_variance)
+        z = mean + spread * noise
+        g = np.tanh(z @ w["w2"] + w["b2"])
+        out = g @ w["w3"] + w["b3"]
+        divergence = -0.5 * (1 + log_variance - mean**2 - np.exp(log_variance)).sum() / n
+        value = ((out - x) ** 2).sum() / n + self.beta * divergence
+        e = 2 * (out - x) / n
+        dg = (e @ w["w3"].T) * (1 - g * g)
+        dz = dg @ w["w2"].T
+        code = np.hstack([dz + self.beta * mean / n, dz * noise * 0.5 * spread + self.beta * 0.5 * (np.exp(log_variance) - 1) / n])
+        dh = (code @ w["w1"].T) * (1 - h * h)
+        return float(value), {"w0": x.T @ dh, "b0": dh.sum(0), "w1": h.T @ code, "b1": code.sum(0), "w2": z.T @ dg, "b2": dg.sum(0), "w3": g.T @ e, "b3": e.sum(0)}
+
+    def start(self, inputs: int) -> VariationalAutoencoder:
+        rng = np.random.default_rng(self.seed)
+        sizes = [(inputs, self.hidden), (self.hidden, 2 * self.latent), (self.latent, self.hidden), (self.hidden, inputs)]
+        self.weights = {f"w{k}": rng.normal(0, a**-0.5, (a, b)) for k, (a, b) in enumerate(sizes)} | {f"b{k}": np.zeros(b) for k, (_, b) in enumerate(sizes)}
+        return self
+
+    def fit(self, x: np.ndarray) -> VariationalAutoencoder:
+        self.start(x.shape[1])
+        rng = np.random.default_rng(self.seed + 1)
+        m, v = ({k: np.zeros_like(a) for k, a in self.weights.items()} for _ in (0, 1))
+        self.losses = []
+        for t in range(1, self.epochs + 1):
+            value, slopes = self.loss(x, rng.normal(size=(len(x), self.latent)))
+            self.losses.append(value)
+            for k, g in slopes.items():
+                m[k] = 0.9 * m[k] + 0.1 * g
+                v[k] = 0.999 * v[k] + 0.001 * g * g
+                self.weights[k] = self.weights[k] - self.rate * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)
+        return self
+
+
+def delayed(series: np.ndarray, lags: int) -> np.ndarray:
+    """Rows of the values of some series (series x time) at each time and the ``lags`` before it, 0 before the start."""
+    n = series.shape[1]
+    padded = np.hstack([np.zeros((len(series), lags)), series])
+    return np.stack([padded[:, t : t + lags + 1].ravel() for t in range(n)])
+
+
+def sensor_reconstruction(rows: DataFrame, sensors: list[int], lags: int, ridge: float = 1e-8) -> DataFrame:
+    """row_id, x: every row as a linear form of the present and past readings of a few of them, by ridge regression over
+    all times. That is X times a projection of times x times, which the sensors' few rows give."""
+    n = L.checked_width(rows)
+    seen = {r["row_id"]: r["x"] for r in rows.filter(F.col("row_id").isin(sensors)).collect()}
+    a = delayed(np.array([seen[s] for s in sensors]).reshape(len(sensors), n), lags)
+    return L.times(rows, a @ np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T))
+
+
 def grid_search(fit: Callable[[dict], tuple[object, float]], grid: dict[str, list]) -> tuple[dict, float]:
     """The settings with the least loss."""
-    tried = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
-    losses = [fit(s)[1] for s in tried]
-    k = int(np.argmin(losses))
-    return tried[k], losses[k]
+    tried = trials(fit, grid)
+    return min(tried, key=lambda x: x[1])
+
+
+def trials(fit: Callable[[dict], tuple[object, float]], grid: dict[str, list]) -> list[tuple[dict, float]]:
+    """All settings of a grid and their losses."""
+    every = [dict(zip(grid, values, strict=True)) for values in itertools.product(*grid.values())]
+    return [(s, fit(s)[1]) for s in every]
+
+
+def fold_of(key: Column, folds: int) -> Column:
+    """The fold of a row, by a digest of its key."""
+    return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)).cast("int")
+
+
+def cross_validated(df: DataFrame, key: str, folds: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], loss: Column) -> float:
+    """The mean over folds of ``loss`` (an aggregate over predicted rows) on rows that the fold's model has not seen."""
+    d = df.withColumn("__fold", fold_of(F.col(key), folds))
+    losses = [fit(d.filter(F.col("__fold") != k).drop("__fold"))(d.filter(F.col("__fold") == k).drop("__fold")).agg(loss).first()[0] for k in range(folds)]
+    return float(np.mean([x for x in losses if x is not None]))
 
 
 def adjust_field(cells: DataFrame, targets: dict[str, float], x: str = "cp") -> DataFrame:
@@ -148,6 +301,31 @@ def adjust_field(cells: DataFrame, targets: dict[str, float], x: str = "cp") ->
     return cells.withColumn("adjusted", F.col(x) + sum((float(w) * F.col(n) for w, n in zip(weights, names, strict=True)), F.lit(0.0)))
 
 
+#: A constraint: what each row adds at a value, its slope there, and the target of the sum.
+Constraint = tuple[Callable[[Column], Column], Callable[[Column], Column], float]
+
+
+def adjust_field_nonlinear(cells: DataFrame, constraints: list[Constraint], x: str = "cp", steps: int = 30, tolerance: float = 1e-12) -> DataFrame:
+    """``cells`` with ``adjusted``: a least change of ``x`` that meets sums of any smooth functions of single rows. Each
+    step meets the constraints' linear forms at the last field, as the change from ``x`` along their slopes: one
+    aggregate of constraints x constraints values. The field is a column expression of all steps' multipliers."""
+    k = len(constraints)
+    d = cut(cells.withColumn("adjusted", F.col(x)))
+    for _ in range(steps):
+        now = F.col("adjusted")
+        slope = [s(now) for _, s, _ in constraints]
+        sums = [F.sum(slope[a] * slope[b]) for a in range(k) for b in range(k)] + [F.sum(f(now) - slope[a] * (now - F.col(x))) for a, (f, _, _) in enumerate(constraints)]
+        got = np.array(d.agg(*(c.alias(f"c{i}") for i, c in enumerate(sums))).first(), float)
+        weights = np.linalg.lstsq(got[: k * k].reshape(k, k), np.array([t for _, _, t in constraints]) - got[k * k :], rcond=None)[0]
+        new = F.col(x) + sum((float(w) * s for w, s in zip(weights, slope, strict=True)), F.lit(0.0))
+        moved = d.withColumn("__new", new)
+        d = cut(moved.withColumn("__gap", F.abs(F.col("__new") - now)).withColumn("adjusted", F.col("__new")).drop("__new"))
+        if (d.agg(F.max("__gap")).first()[0] or 0) <= tolerance:
+            break
+        d = d.drop("__gap")
+    return d.drop("__gap")
+
+
 # --- residuals of equations on grids: differences along sorted axes ------------------------------------------
 
 

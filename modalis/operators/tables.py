@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -71,28 +75,36 @@ def split_sizes(n: int, sizes: Sequence[float]) -> list[int]:
     return [int(s) for s in sizes]
 
 
-def ranked(df: DataFrame, key: str, seed: int | None) -> DataFrame:
+def ranked(df: DataFrame, key: str, seed: int | None, rows: int | None = None) -> DataFrame:
     """``df`` with ``rank`` from 0 by a seeded hash of its unique ``key``, or by the key itself without a seed.
-    Rows are ranked within ranges of the order; only range counts meet in one task."""
+    Rows are ranked within ranges of the order, about as many ranges as rows of one, 65,536 at most; only range
+    counts meet in one task."""
     h = F.col(key) if seed is None else F.xxhash64(F.col(key), F.lit(seed))
     d = df.withColumn("__h", h)
     if seed is None:
-        cuts = d.agg(F.percentile_approx("__h", [i / 64 for i in range(1, 64)], 10_000).alias("q")).first()["q"] or []
-        part = sum((F.when(F.col("__h") > c, 1).otherwise(0) for c in sorted(set(cuts))), F.lit(0))
+        n = max(2, min(65_536, math.isqrt(df.count() if rows is None else rows)))
+        cuts = d.agg(F.percentile_approx(F.col("__h").cast("double"), [i / n for i in range(1, n)], 10 * n).alias("q")).first()["q"] or []
+        splits = [-math.inf, *sorted(set(cuts)), math.inf]
+        if len(splits) > 2:
+            d = Bucketizer(splits=splits, inputCol="__d", outputCol="__b").transform(d.withColumn("__d", F.col("__h").cast("double"))).drop("__d")
+        else:
+            d = d.withColumn("__b", F.lit(0.0))
+        d, part = d.withColumnRenamed("__b", "__r"), F.col("__r").cast("int")
     else:
         part = F.shiftright("__h", 52)
     d = d.withColumn("__p", part)
     before = d.groupBy("__p").agg(F.count("*").alias("n")).withColumn("__o", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     w = Window.partitionBy("__p").orderBy("__h", key)
-    return d.join(F.broadcast(before), "__p").withColumn("rank", F.col("__o") + F.row_number().over(w) - 1).drop("__p", "__o", "__h")
+    return d.join(F.broadcast(before), "__p").withColumn("rank", F.col("__o") + F.row_number().over(w) - 1).drop("__p", "__o", "__h", "__r")
 
 
 def split_exact(df: DataFrame, key: str, sizes: Sequence[float], seed: int | None = 0) -> DataFrame:
     """``df`` with ``split``: parts of exact sizes."""
-    counts = split_sizes(df.count(), sizes)
+    n = df.count()
+    counts = split_sizes(n, sizes)
     ends = [sum(counts[: k + 1]) for k in range(len(counts))]
     split = sum((F.when(F.col("rank") >= e, 1).otherwise(0) for e in ends[:-1]), F.lit(0))
-    return ranked(df, key, seed).withColumn("split", split.cast("int")).drop("rank")
+    return ranked(df, key, seed, n).withColumn("split", split.cast("int")).drop("rank")
 
 
 def split_by_parameters(df: DataFrame, parameter: str, sizes: Sequence[float], seed: int | None = 0) -> DataFrame:
@@ -102,14 +114,31 @@ def split_by_parameters(df: DataFrame, parameter: str, sizes: Sequence[float], s
 
 
 def split_reconstruct(n: int, seed: int = 0) -> list[tuple[int, str]]:
-    """pos, part of ``n`` samples: 70 % and both ends train, the others take turns between validation and test."""
-    import numpy as np
-
-    train = set(np.random.default_rng(max(seed, 0)).choice(n, int(0.7 * n), replace=False).tolist()) | {0, n - 1}
+    """pos, part of ``n`` samples: 70 % and both ends train, the others take turns between validation and test. The
+    samples that train come first by a digest of seed and position."""
+    order = sorted(range(n), key=lambda k: hashlib.md5(f"{seed}:{k}".encode()).hexdigest())
+    train = set(order[: n * 7 // 10]) | {0, n - 1}
     rest = [k for k in range(n) if k not in train]
     return sorted([(k, "train") for k in train] + [(k, "valid" if p % 2 == 0 else "test") for p, k in enumerate(rest)])
 
 
+def reduced(df: DataFrame, key: str, value: str, op: Callable[[float, float], float]) -> DataFrame:
+    """key, value: each key's values joined by any associative and commutative operation. Tasks join their own rows
+    first, so that a key has one row a task when it is shuffled."""
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, `{value}` double"
+
+    def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for p in frames:
+            for k, v in p.groupby(key, dropna=False)[value]:
+                now = functools.reduce(op, v)
+                sums[k] = op(sums[k], now) if k in sums else now
+        yield pd.DataFrame(list(sums.items()), columns=[key, value])
+
+    part = df.select(key, F.col(value).cast("double").alias(value)).mapInPandas(own, schema)
+    return part.groupBy(key).applyInPandas(lambda p: pd.DataFrame([(p[key].iloc[0], functools.reduce(op, p[value]))], columns=[key, value]), schema)
+
+
 # --- scaling ---------------------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ filter, and its small factors. Reading names of fields or numbers of modes prune
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matrix as M
-from ..operators.modal import Modes
+from ..operators.modal import Dynamics, Modes, Spectral
 
 
 @dataclass
@@ -38,11 +39,25 @@ class Dataset:
         Dataset(self.points.dropDuplicates([order]), self.axes, self.fields).save(path)
 
     @staticmethod
-    def load(spark: SparkSession, path: str, fields: list[str] | None = None) -> Dataset:
-        f = spark.read.parquet(f"{path}/fields")
+    def load(spark: SparkSession, path: str, fields: list[str] | None = None, variables: list[str] | None = None) -> Dataset:
+        """All or some fields and variables (axes)."""
+        f, a = spark.read.parquet(f"{path}/fields"), spark.read.parquet(f"{path}/axes")
         if fields is not None:
             f = f.filter(F.col("field").isin(fields))
-        return Dataset(spark.read.parquet(f"{path}/points"), spark.read.parquet(f"{path}/axes"), f)
+        if variables is not None:
+            a = a.filter(F.col("axis").isin(variables))
+        return Dataset(spark.read.parquet(f"{path}/points"), a, f)
+
+    def samples(self, fields: list[str], variables: list[str], coordinates: bool = True) -> DataFrame:
+        """Rows for a network, one for each point and time: point_id, t, the variables' values at that time, the point's
+        place if asked for, and the fields. Variables are few rows and are joined by position."""
+        by = {n: F.max(F.when(F.col("field") == n, F.col("v"))).alias(n) for n in fields}
+        out = self.fields.filter(F.col("field").isin(fields)).groupBy("point_id", "t").agg(*by.values())
+        for n in variables:
+            out = out.join(self.axes.filter(F.col("axis") == n).select(F.col("pos").alias("t"), F.col("value").alias(n)), "t")
+        if coordinates:
+            out = out.join(self.points.select("point_id", "x", "y", "z"), "point_id")
+        return out.select("point_id", "t", *variables, *(("x", "y", "z") if coordinates else ()), *fields)
 
 
 def save_mesh(points: DataFrame, cells: DataFrame, path: str) -> None:
@@ -55,19 +70,15 @@ def load_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 
 def save_modes(m: Modes, path: str) -> None:
-    """The tall factor by mode, sorted so that row groups hold few modes."""
-    u = M.to_long(m.u.select("row_id", "x")).select(F.col("i").alias("row_id"), F.col("j").alias("mode"), "v")
-    u.sortWithinPartitions("mode", "row_id").write.mode("overwrite").parquet(f"{path}/u")
+    save_tall(m.u, f"{path}/u")
     spark = m.u.sparkSession
     spark.createDataFrame([(k, float(s), [float(x) for x in m.vt[k]]) for k, s in enumerate(m.s)], "mode int, s double, vt array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/sv")
 
 
 def load_modes(spark: SparkSession, path: str, n: int | None = None) -> Modes:
-    u, sv = spark.read.parquet(f"{path}/u"), spark.read.parquet(f"{path}/sv")
-    if n is not None:
-        u, sv = u.filter(F.col("mode") < n), sv.filter(F.col("mode") < n)
-    small = sv.orderBy("mode").toPandas()
-    return Modes(M.to_rows(u.select(F.col("row_id").alias("i"), F.col("mode").alias("j"), "v")), small["s"].to_numpy(), np.vstack(small["vt"].to_numpy()))
+    sv = spark.read.parquet(f"{path}/sv")
+    small = (sv if n is None else sv.filter(F.col("mode") < n)).orderBy("mode").toPandas()
+    return Modes(load_tall(spark, f"{path}/u", n), small["s"].to_numpy(), np.vstack(small["vt"].to_numpy()))
 
 
 def save_small(spark: SparkSession, path: str, **factors: np.ndarray) -> None:
@@ -85,6 +96,54 @@ def load_small(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
     return out
 
 
+def save_tall(rows: DataFrame, path: str) -> None:
+    """A tall factor of any decomposition (row_id, x) by column, sorted so that row groups hold few columns."""
+    long = M.to_long(rows.select("row_id", "x")).select(F.col("i").alias("row_id"), F.col("j").alias("mode"), "v")
+    long.sortWithinPartitions("mode", "row_id").write.mode("overwrite").parquet(path)
+
+
+def load_tall(spark: SparkSession, path: str, columns: int | None = None) -> DataFrame:
+    """All or the first columns of such a factor: a pushed filter."""
+    long = spark.read.parquet(path)
+    if columns is not None:
+        long = long.filter(F.col("mode") < columns)
+    return M.to_rows(long.select(F.col("row_id").alias("i"), F.col("mode").alias("j"), "v"))
+
+
+def save_dynamics(d: Dynamics, path: str) -> None:
+    save_tall(d.phi, f"{path}/phi")
+    save_small(d.phi.sparkSession, f"{path}/small", mu=d.mu, amplitude=d.amplitude)
+
+
+def load_dynamics(spark: SparkSession, path: str, modes: int | None = None) -> Dynamics:
+    f = load_small(spark, f"{path}/small")
+    n = f["mu"].shape[1] if modes is None else modes
+    return Dynamics(f["mu"][0, :n].astype(complex), f["amplitude"][0, :n].astype(complex), load_tall(spark, f"{path}/phi", 2 * n))
+
+
+def save_spectral(m: Spectral, path: str) -> None:
+    """Modes by their frequency's place, so that a few frequencies are a few files."""
+    m.modes.write.mode("overwrite").partitionBy("f").parquet(f"{path}/modes")
+    save_small(m.modes.sparkSession, f"{path}/small", energy=m.energy, frequency=m.frequency, order=m.order.astype(float))
+
+
+def load_spectral(spark: SparkSession, path: str, frequencies: int | None = None) -> Spectral:
+    f = load_small(spark, f"{path}/small")
+    n = f["energy"].shape[0] if frequencies is None else frequencies
+    order = f["order"][0, :n].round().astype(int)
+    modes = spark.read.parquet(f"{path}/modes").select("row_id", F.col("f").cast("int").alias("f"), "x")
+    return Spectral(f["energy"][:n], f["frequency"][0, :n], modes.filter(F.col("f").isin(order.tolist())), order)
+
+
+def save_params(spark: SparkSession, path: str, params: dict[str, object]) -> None:
+    """The best settings of a search, as JSON values by name."""
+    spark.createDataFrame([(n, json.dumps(v)) for n, v in params.items()], "name string, value string").coalesce(1).write.mode("overwrite").json(path)
+
+
+def load_params(spark: SparkSession, path: str) -> dict[str, object]:
+    return {r["name"]: json.loads(r["value"]) for r in spark.read.json(path, schema="name string, value string").collect()}
+
+
 def save_model(spark: SparkSession, path: str, weights: list[tuple[np.ndarray, np.ndarray]], settings: dict[str, float]) -> None:
     """A perceptron's layers and its settings."""
     save_small(spark, f"{path}/weights", **{f"{kind}{k}": a for k, pair in enumerate(weights) for kind, a in zip("wb", pair, strict=True)})
@@ -135,9 +194,10 @@ def vtk_lines(points: DataFrame, values: DataFrame) -> DataFrame:
     return first.unionByName(second).unionByName(third).unionByName(fourth)
 
 
-def write_vtk(points: DataFrame, values: DataFrame, path: str) -> None:
-    """One text file a time, by tasks that each hold a time's lines in order."""
-    ordered = vtk_lines(points, values).repartition("t").sortWithinPartitions("t", "section", "k")
-    ordered.select("t", "line").write.mode("overwrite").partitionBy("t").text(path)
-
-
+def write_vtk(points: DataFrame, values: DataFrame, path: str, rows: int = 1_000_000) -> None:
+    """One folder a time, of text files of about ``rows`` lines whose names follow the lines' order: a time of any size
+    is written by as many tasks as it has files, and ``cat`` of a folder gives the file for viewers."""
+    place = F.floor(F.col("k") / rows)
+    parts = vtk_lines(points, values).withColumn("part", F.format_string("%d-%012d", F.col("section"), place))
+    ordered = parts.repartition("t", "part").sortWithinPartitions("t", "part", "k")
+    ordered.select("t", "part", "line").write.mode("overwrite").partitionBy("t", "part").text(path)

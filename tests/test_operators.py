@@ -117,6 +117,83 @@ def test_mds_keeps_distances_and_isomap_runs(spark):
     assert coordinates.shape == (2, 8) and 0 <= residual <= 1
 
 
+def test_isomap_embeds_one_component(spark):
+    """Two clusters far apart: paths of one never lead to the other."""
+    g = np.random.default_rng(17)
+    a = np.hstack([g.normal(size=(6, 9)), 1000 + g.normal(size=(6, 5))])
+    y, residual, edges, members = manifold.isomap(rows(spark, a), 2, 3)
+    assert members.tolist() == list(range(9)) and y.shape == (2, 9) and 0 <= residual <= 1 and np.isinf(edges[0, 10])
+    assert manifold.isomap(rows(spark, a), 2, 3, 2)[3].tolist() == list(range(9, 14))
+    assert manifold.isomap(rows(spark, a), 2, 3, 9)[3].tolist() == list(range(9))
+
+
+def test_wide_matrices_are_refused_before_any_pass(spark):
+    """No task runs over the rows: a row that fails when it is computed is never reached."""
+    wide = spark.range(3).select(F.col("id").alias("row_id"), F.expr("if(id = 0, array_repeat(1D, 5000), cast(raise_error('a pass') as array<double>))").alias("x")).coalesce(1)
+    for f in (linalg.gram, linalg.tsqr, linalg.column_distances, lambda r: modal.pod(r, remove_mean=False), lambda r: modal.dmd(r, 2, remove_mean=False), lambda r: surrogates.sensor_reconstruction(r, [0], 1)):
+        with pytest.raises(ValueError, match="columns"):
+            f(wide)
+    with pytest.raises(ValueError, match="entries"):
+        linalg.through(rows(spark, SMALL), np.zeros((5000, 5000)))
+
+
+@pytest.mark.parametrize("slice_", [1, 7, 65_536])
+def test_sums_over_tasks_in_slices(spark, monkeypatch, slice_):
+    monkeypatch.setattr(linalg, "SLICE", slice_)
+    a = np.random.default_rng(18).normal(size=(50, 5))
+    r = rows(spark, a, 9)
+    assert np.allclose(linalg.gram(r), a.T @ a) and np.allclose(linalg.through(r, np.eye(5)[:, :2]), a.T @ a[:, :2])
+    assert np.allclose(linalg.cross_gram(r.withColumn("y", F.slice("x", 1, 2))), a.T @ a[:, :2])
+
+
+def test_dmd_keeps_small_modes(spark):
+    """Modes of a millionth of the first, which a Gram matrix would lose."""
+    t = np.arange(12.0)
+    a = np.array([0.9**t * (1 + k) + 1e-7 * 0.5**t * (-1) ** k for k in range(10)])
+    d = modal.dmd(rows(spark, a, 3), 2, remove_mean=False)
+    assert np.allclose(sorted(d.mu.real), [0.5, 0.9], atol=1e-6)
+
+
+def test_extraction_of_dynamic_and_spectral_modes(spark):
+    g = np.random.default_rng(19)
+    a = g.normal(size=(20, 64))
+    d = modal.dmd(rows(spark, a), 6)
+    phi = dense(d.phi)
+    got = dense(modal.extract_dynamics(d.phi, 2, 2, [3, 1]).withColumnRenamed("point", "row_id"))
+    assert np.allclose(got, phi[1::2][:, [4, 0]])
+    assert np.allclose(dense(modal.extract_dynamics(d.phi, 1, 2, [2], real=False).withColumnRenamed("point", "row_id")), phi[0::2][:, [3]])
+    m = modal.spod(rows(spark, a, 5), np.arange(64.0), 16, 8)
+    whole = {(r.row_id, r.f): r.x for r in m.modes.collect()}
+    got = {r.point: r.x for r in modal.extract_spectral(m, 2, 2, [1, 4], 2).collect()}
+    assert all(np.allclose(got[p], [whole[2 * p + 1, int(m.order[k])][1] for k in (0, 3)]) for p in range(10))
+    q, b = modal.mode_computation(rows(spark, a), np.eye(64)[:2], np.array([2.0, 4.0]), np.array([[3j, 0], [0, -4.0]])), a[:, :2] * [1.5, 1.0]
+    assert np.allclose(dense(q), b)
+
+
+def test_spod_against_a_plain_transform(spark):
+    a = np.random.default_rng(20).normal(size=(30, 64))
+    m = modal.spod(rows(spark, a, 4), np.arange(64.0), 16, 8)
+    y = a - a.mean(axis=1, keepdims=True)
+    w = signal.hamming_window(16)
+    q = np.stack([np.fft.fft(y[:, 8 * b : 8 * b + 16] * w, axis=1)[:, :9] / w.mean() / 16 for b in range(7)], axis=2) / np.sqrt(7)
+    q[:, 1:-1] *= 2
+    s2 = np.array([np.linalg.svd(q[:, f], compute_uv=False) ** 2 for f in range(9)])
+    order = np.argsort(-s2[:, 0])
+    assert np.allclose(m.energy, s2[order]) and np.allclose(m.frequency, order / 16)
+
+
+def test_t2_scores_and_coherent_modes_against_plain_formulas(spark):
+    a = np.random.default_rng(21).normal(size=(30, 12))
+    _, p = modal.pca(rows(spark, a))
+    y = (a - a.mean(axis=1, keepdims=True)) / a.var(axis=1, keepdims=True)
+    u, s, vt = np.linalg.svd(y, full_matrices=False)
+    scores, limit = modal.t2_score(p)
+    assert np.allclose(scores, vt[0] ** 2 * (len(p) - 1)) and np.isclose(limit, modal.f_quantile(0.8, 11))
+    m = modal.pod(rows(spark, a))
+    found, _, coherent, others = modal.coherent_modes(m.vt, np.arange(12.0))
+    assert len(found) == 12 and sorted([*coherent, *others]) == list(range(12))
+
+
 def test_delay_embedding(spark):
     s = spark.createDataFrame([(0, 0, 1.0), (0, 1, 2.0), (0, 2, 3.0)], "s bigint, pos int, v double")
     got = sorted((r.pos, r.d, r.v) for r in signal.delay_embedding(s, 2).collect())
@@ -163,6 +240,77 @@ def test_empty_matrix(spark):
     assert linalg.gram(e).shape == (0, 0) and M.to_long(e).count() == 0 and M.width(e) == 0
 
 
+def test_polynomial_networks_learn():
+    x = np.random.default_rng(22).uniform(-1, 1, (200, 2))
+    y = np.sin(2 * x[:, 0]) + x[:, 1] ** 2
+    m = surrogates.PolynomialNetwork((6,), 3, epochs=300).fit(x, y)
+    assert m.losses[-1] < 0.01 and np.isclose(((m.predict(x)[:, 0] - y) ** 2).mean(), m.losses[-1], rtol=0.2)
+    sine = surrogates.PolynomialNetwork((6,), 3, "sine", 300).fit(x, y - y.mean())
+    assert sine.losses[-1] < 0.3 * sine.losses[0]
+    # Slopes against differences, by one small step of a coefficient.
+    for kind in ("chebyshev", "sine"):
+        n = surrogates.PolynomialNetwork((), 2, kind)
+        f, slope = n.basis(np.array([[0.3, -0.7]]))
+        near = (n.basis(np.array([[0.3 + 1e-6, -0.7 + 1e-6]]))[0] - f) / 1e-6
+        assert np.allclose(near, slope, atol=1e-5)
+
+
+def test_variational_autoencoder():
+    g = np.random.default_rng(23)
+    v = surrogates.VariationalAutoencoder(2, 5, 0.1).start(3)
+    x, noise = g.normal(size=(7, 3)), g.normal(size=(7, 2))
+    _, slopes = v.loss(x, noise)
+    for k, w in v.weights.items():
+        at = tuple(0 for _ in w.shape)
+        keep = w[at]
+        w[at] = keep + 1e-6
+        up = v.loss(x, noise)[0]
+        w[at] = keep - 1e-6
+        down = v.loss(x, noise)[0]
+        w[at] = keep
+        assert np.isclose((up - down) / 2e-6, slopes[k][at], atol=1e-6)
+    z = g.normal(size=(200, 2))
+    data = np.column_stack([z, z[:, 0] - z[:, 1], 0.5 * z[:, 0]])
+    m = surrogates.VariationalAutoencoder(epochs=250).fit(data)
+    assert ((m.predict(data) - data) ** 2).mean() < 0.1 * data.var()
+
+
+def test_sensors_reconstruct_low_rank_fields(spark):
+    t = np.arange(60.0)
+    a = np.array([[np.cos(0.3 * s + 0.2 * k) + 0.5 * np.sin(0.7 * s - 0.1 * k) for s in t] for k in range(50)])
+    got = dense(surrogates.sensor_reconstruction(rows(spark, a, 3), [3, 20, 41], 5))
+    assert np.linalg.norm(got[:, 5:] - a[:, 5:]) < 0.02 * np.linalg.norm(a[:, 5:])
+    lags = surrogates.delayed(np.array([[1.0, 2, 3], [4, 5, 6]]), 1)
+    assert lags.tolist() == [[0, 1, 0, 4], [1, 2, 4, 5], [2, 3, 5, 6]]
+
+
+def test_nonlinear_targets(spark):
+    c = spark.createDataFrame([(0.1, 1.0), (0.4, 2.0), (-0.2, 0.5), (0.8, 1.0)], "cp double, a double")
+    two = [(lambda v: v * v, lambda v: 2 * v, 1.7), (lambda v: F.col("a") * F.exp(v), lambda v: F.col("a") * F.exp(v), 7.0)]
+    x = np.array([(r.cp, r.a, r.adjusted) for r in surrogates.adjust_field_nonlinear(c, two).collect()])
+    assert np.isclose((x[:, 2] ** 2).sum(), 1.7) and np.isclose((x[:, 1] * np.exp(x[:, 2])).sum(), 7.0)
+    # The change is a combination of the constraints' slopes: it is least.
+    slopes = np.column_stack([2 * x[:, 2], x[:, 1] * np.exp(x[:, 2])])
+    w = np.linalg.lstsq(slopes, x[:, 2] - x[:, 0], rcond=None)[0]
+    assert np.allclose(slopes @ w, x[:, 2] - x[:, 0], atol=1e-8)
+
+
+def test_any_operation_reduces(spark):
+    d = spark.createDataFrame([(k % 3 if k % 7 else None, float((-1) ** k * k)) for k in range(50)], "k int, v double").repartition(5)
+    most = lambda a, b: a if abs(a) > abs(b) else b
+    got = {r.k if r.k == r.k else None: r.v for r in tables.reduced(d, "k", "v", most).collect()}
+    assert got == {0: 48.0, 1: 46.0, 2: -47.0, None: -49.0}
+
+
+def test_cross_validation_sees_each_row_once(spark):
+    d = spark.range(60).select(F.col("id").alias("k"), (F.col("id") * 2.0).alias("y"))
+    mean = lambda train: (lambda m: lambda test: test.withColumn("p", F.lit(m)))(train.agg(F.avg("y")).first()[0])
+    got = surrogates.cross_validated(d, "k", 3, mean, F.avg((F.col("p") - F.col("y")) ** 2))
+    fold = np.array([r[0] for r in d.orderBy("k").select(surrogates.fold_of(F.col("k"), 3)).collect()])
+    y = np.arange(60) * 2.0
+    assert np.isclose(got, np.mean([((y[fold == f] - y[fold != f].mean()) ** 2).mean() for f in range(3)]))
+
+
 def test_models_learn():
     x = np.random.default_rng(8).uniform(-1, 1, (300, 2))
     y = np.sin(x[:, 0]) + x[:, 1] ** 2
