@@ -54,6 +54,13 @@ def norm_variance(x: Column | str) -> Column:
     return bind(moments, lambda k: F.transform(x, lambda v: F.when(k["s"] == 0, F.lit(float("nan"))).otherwise((v - k["m"]) / k["s"])))
 
 
+def residual_curve(x: Column | str) -> Column:
+    """The norm of what stands from each entry on, over that of all."""
+    start = F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out"))
+    sums = F.aggregate(F.reverse(x), start, lambda a, v: F.struct((a["s"] + v * v).alias("s"), F.array_append(a["out"], a["s"] + v * v).alias("out")))
+    return bind(sums, lambda a: F.transform(F.reverse(a["out"]), lambda v: F.sqrt(v / a["s"])))
+
+
 def row_max(x: Column | str) -> Column:
     return F.array_max(x)
 

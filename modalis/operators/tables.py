@@ -98,6 +98,16 @@ def ranked(df: DataFrame, key: str, seed: int | None, rows: int | None = None) -
     return d.join(F.broadcast(before), "__p").withColumn("rank", F.col("__o") + F.row_number().over(w) - 1).drop("__p", "__o", "__h", "__r")
 
 
+def running_share(df: DataFrame, key: str, value: str, each: int = 4_096) -> DataFrame:
+    """``df`` with ``share``: the sum of ``value`` up to each whole-number ``key`` over the sum of all. Ranges of ``each``
+    keys run on their own; only their sums meet in one task."""
+    d = df.withColumn("__p", F.floor(F.col(key) / each))
+    upto = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = d.groupBy("__p").agg(F.sum(value).alias("__s")).select("__p", F.coalesce(F.sum("__s").over(upto), F.lit(0.0)).alias("__o"), F.sum("__s").over(Window.partitionBy()).alias("__t"))
+    inner = Window.partitionBy("__p").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    return d.join(before, "__p").withColumn("share", (F.col("__o") + F.sum(value).over(inner)) / F.col("__t")).drop("__p", "__o", "__t")
+
+
 def split_exact(df: DataFrame, key: str, sizes: Sequence[float], seed: int | None = 0) -> DataFrame:
     """``df`` with ``split``: parts of exact sizes."""
     n = df.count()

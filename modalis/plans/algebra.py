@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import linalg as L
-from .base import EMB, long_of, query, r, rows_of, table
+from .base import EMB, STATUS, entries, long_of, query, r, rows_of, status_rows, table
 
 
 @query(f"WITH {EMB} SELECT CAST(j AS BIGINT) AS i, CAST(i AS INTEGER) AS j, v FROM emb")
@@ -186,21 +186,29 @@ def tsqr_svd(spark: SparkSession, d: str) -> DataFrame:
     return u.select(F.col("row_id").alias("i"), r(scaled, "v"))
 
 
-@query("WITH t AS (SELECT CAST(unnest(range(8)) AS INTEGER) AS mode) SELECT mode, CAST(1 AS DOUBLE) AS v FROM t")
+@query(f"WITH {STATUS} SELECT i, CAST(j AS INTEGER) AS j, round(CASE j WHEN 0 THEN a ELSE b END, 5) + 0.0 AS v FROM st CROSS JOIN (SELECT unnest([0, 1]) AS j)")
 def randomized_qr(spark: SparkSession, d: str) -> DataFrame:
-    """Columns of Q have norm 1."""
+    """Q B, which gives a matrix back whose rank is that of the sketch."""
+    q, b = L.randomized_qr(status_rows(spark, d), 2, 1, 25)
+    return entries(L.times(q, b), 5)
+
+
+@query("""
+    SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, CAST(CASE WHEN i = j THEN 1 ELSE 0 END AS DOUBLE) AS v, n
+    FROM (SELECT unnest(range(8)) AS i) CROSS JOIN (SELECT unnest(range(8)) AS j) CROSS JOIN (SELECT count(*) AS n FROM embeddings)
+""")
+def randomized_basis(spark: SparkSession, d: str) -> DataFrame:
+    """Q'Q of eight columns over all rows, and their number."""
     q, _ = L.randomized_qr(rows_of(spark, d), 8, 1, 25)
-    g = np.diag(L.gram(q))
-    return spark.createDataFrame([(k, float(v)) for k, v in enumerate(g)], "mode int, w double").select("mode", r("w", "v"))
+    g, n = L.gram(q), q.count()
+    return spark.createDataFrame([(a, b, float(g[a, b])) for a in range(8) for b in range(8)], "i int, j int, w double").select("i", "j", r("w", "v"), F.lit(n).cast("bigint").alias("n"))
 
 
-@query()
+@query(f"WITH {STATUS} SELECT 0 AS mode, round(sqrt(l1), 4) + 0.0 AS s, round(p * p, 6) + 0.0 AS weight FROM ei UNION ALL SELECT 1, round(sqrt(l2), 4) + 0.0, round(q * q, 6) + 0.0 FROM ei")
 def randomized_svd(spark: SparkSession, d: str) -> DataFrame:
-    """Leading singular values, beside the exact ones and the relative difference."""
-    rows = rows_of(spark, d)
-    _, s, _ = L.randomized_svd(rows, 8, 3, 25)
-    exact = np.sqrt(np.linalg.eigvalsh(L.gram(rows))[::-1])
-    return spark.createDataFrame([(k, float(s[k]), float(exact[k])) for k in range(4)], "mode int, s double, exact double").select("mode", r("s", "s", 4), r("exact", "exact", 4))
+    """Singular values by sketching, and the first square of each right vector."""
+    _, s, vt = L.randomized_svd(status_rows(spark, d), 2, 3, 25)
+    return spark.createDataFrame([(k, float(s[k]), float(vt[k, 0] ** 2)) for k in range(2)], "mode int, s double, w double").select("mode", r("s", "s", 4), r("w", "weight"))
 
 
 @query("SELECT n, CAST(2 ** ceil(log2(n)) AS BIGINT) AS p FROM (SELECT unnest([1, 2, 3, 5, 8, 9, 100, 1025]) AS n)")

@@ -63,5 +63,48 @@ MONTH = f"""cells AS (SELECT l_partkey AS i, CAST((year(l_shipdate) - 1992) * 12
            CROSS JOIN (SELECT CAST(unnest(range({MONTHS})) AS INTEGER) AS j) LEFT JOIN cells USING (i, j))"""
 
 
+def status_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity by part and line status (F, O): a matrix of two columns, whose factors SQL has in closed form."""
+    of = lambda s: F.sum(F.when(F.col("l_linestatus") == s, F.col("l_quantity")).otherwise(0.0))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("row_id")).agg(F.array(of("F"), of("O")).alias("x"))
+
+
+def flag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantity by part and return flag (A, N, R): three columns, taken as snapshots."""
+    of = lambda s: F.sum(F.when(F.col("l_returnflag") == s, F.col("l_quantity")).otherwise(0.0))
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("row_id")).agg(F.array(*map(of, "ANR")).alias("x"))
+
+
+def by_case(column: str, names: dict[str, str]) -> str:
+    return ", ".join(f"sum(CASE WHEN {column} = '{v}' THEN l_quantity ELSE 0 END) AS {n}" for n, v in names.items())
+
+
+#: Rows, moments, and the unit right vector (p, q) and squares (l1, l2) of singular values.
+STATUS = f"""st AS (SELECT l_partkey AS i, {by_case("l_linestatus", {"a": "F", "b": "O"})} FROM lineitem GROUP BY 1),
+     mo AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM st),
+     la AS (SELECT *, (aa + bb) / 2 + sqrt(((aa - bb) / 2) ** 2 + ab * ab) AS l1, (aa * bb - ab * ab) / ((aa + bb) / 2 + sqrt(((aa - bb) / 2) ** 2 + ab * ab)) AS l2 FROM mo),
+     ei AS (SELECT *, ab / sqrt(ab * ab + (l1 - aa) ** 2) AS p, (l1 - aa) / sqrt(ab * ab + (l1 - aa) ** 2) AS q FROM la)"""
+
+#: Rows, moments, and the combination c1 a + c2 b of the first two snapshots that is nearest to the third.
+FLAGS = f"""fl AS (SELECT l_partkey AS i, {by_case("l_returnflag", {"a": "A", "b": "N", "c": "R"})} FROM lineitem GROUP BY 1),
+     fm AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * c) AS ac, sum(b * c) AS bc FROM fl),
+     co AS (SELECT *, (bb * ac - ab * bc) / (aa * bb - ab * ab) AS c1, (aa * bc - ab * ac) / (aa * bb - ab * ab) AS c2 FROM fm)"""
+
+
+def squared(matrix: str, steps: int = 16, name: str = "p", last: str = "lead_") -> str:
+    """``name`` (k, i, j, v): a symmetric matrix (a table i, j, v) squared again and again, of trace 1: the ``last`` one is
+    the outer product of its leading eigenvector with itself."""
+    return f"""{name}(k, i, j, v) AS (
+         SELECT 0, i, j, v / (SELECT sum(v) FROM {matrix} WHERE i = j) FROM {matrix}
+         UNION ALL SELECT k + 1, i, j, v / sum(CASE WHEN i = j THEN v ELSE 0 END) OVER ()
+         FROM (SELECT x.k AS k, x.i AS i, y.j AS j, sum(x.v * y.v) AS v FROM {name} x JOIN {name} y ON x.j = y.i GROUP BY x.k, x.i, y.j) WHERE k < {steps}),
+     {last} AS (SELECT i, j, v FROM {name} WHERE k = {steps})"""
+
+
+def entries(rows: DataFrame, digits: int = 6) -> DataFrame:
+    """i, j, v of array rows, for comparison."""
+    return rows.select(F.col("row_id").alias("i"), F.posexplode("x").alias("j", "v")).select("i", "j", r("v", "v", digits))
+
+
 def r(c: Column | str, name: str, digits: int = 6) -> Column:
     return rounded(F.col(c) if isinstance(c, str) else c, digits).alias(name)

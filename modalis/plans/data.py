@@ -77,20 +77,22 @@ def partition_offsets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH n AS (SELECT count(*) - 7 AS n FROM part), f AS (SELECT k AS split, CAST(floor(n * w) AS BIGINT) AS f, n FROM n CROSS JOIN (VALUES (0, 0.7), (1, 0.15), (2, 0.15)) t(k, w))
+    WITH n AS (SELECT count(*) AS n FROM part), f AS (SELECT k AS split, CAST(floor(n * w) AS BIGINT) AS f, n FROM n CROSS JOIN (VALUES (0, 0.7), (1, 0.15), (2, 0.15)) t(k, w))
     SELECT split, f + CASE WHEN split < n - sum(f) OVER () THEN 1 ELSE 0 END AS n FROM f
 """)
 def split_exact(spark: SparkSession, d: str) -> DataFrame:
     """Sizes of a random split into exact fractions."""
-    p = table(spark, d, "part").select("p_partkey").filter("p_partkey >= 7")
+    p = table(spark, d, "part").select("p_partkey")
     return T.split_exact(p, "p_partkey", [0.7, 0.15, 0.15]).groupBy("split").agg(F.count("*").alias("n"))
 
 
-@query("SELECT p_partkey, CASE WHEN row_number() OVER (ORDER BY p_partkey) <= 1000 THEN 0 ELSE 1 END AS split FROM part WHERE p_partkey <= 1500")
+@query("""
+    WITH n AS (SELECT count(*) AS n FROM part)
+    SELECT p_partkey, CASE WHEN row_number() OVER (ORDER BY p_partkey) <= floor(n * 0.6) + (n - floor(n * 0.6) - floor(n * 0.4)) THEN 0 ELSE 1 END AS split FROM part CROSS JOIN n
+""")
 def split_ordered(spark: SparkSession, d: str) -> DataFrame:
     """Without shuffling, by key."""
-    p = table(spark, d, "part").select("p_partkey").filter("p_partkey <= 1500")
-    return T.split_exact(p, "p_partkey", [1000, p.count() - 1000], None)
+    return T.split_exact(table(spark, d, "part").select("p_partkey"), "p_partkey", [0.6, 0.4], None)
 
 
 @query("SELECT count(*) AS n, CAST(0 AS BIGINT) AS shared FROM part")
@@ -101,13 +103,15 @@ def split_by_parameters(spark: SparkSession, d: str) -> DataFrame:
     return per.agg(F.sum("n").alias("n"), F.count(F.when(F.col("k") > 1, 1)).alias("shared"))
 
 
-@query("SELECT CAST(100 AS BIGINT) AS n, true AS ends, true AS share, true AS even")
+@query("""
+    WITH n AS (SELECT count(*) AS n FROM supplier), k AS (SELECT unnest(range((SELECT n FROM n))) AS k), o AS (SELECT k, row_number() OVER (ORDER BY md5('7:' || k)) AS place FROM k),
+         t AS (SELECT k, place <= (SELECT n * 7 // 10 FROM n) OR k = 0 OR k = (SELECT n - 1 FROM n) AS train FROM o),
+         q AS (SELECT k, row_number() OVER (ORDER BY k) AS p FROM t WHERE NOT train)
+    SELECT CAST(k AS INTEGER) AS pos, CASE WHEN train THEN 'train' WHEN p % 2 = 1 THEN 'valid' ELSE 'test' END AS part FROM t LEFT JOIN q USING (k)
+""")
 def split_reconstruct(spark: SparkSession, d: str) -> DataFrame:
-    """Of 100 samples 70 and both ends train; the others are shared evenly."""
-    s = spark.createDataFrame(T.split_reconstruct(100, 7), "pos int, part string")
-    of = lambda p: F.count(F.when(F.col("part") == p, 1))
-    ends = F.count(F.when(F.col("pos").isin(0, 99) & (F.col("part") == "train"), 1)) == 2
-    return s.agg(F.count("*").alias("n"), ends.alias("ends"), of("train").between(70, 72).alias("share"), ((of("valid") - of("test")).between(0, 1)).alias("even"))
+    """70 % and both ends train; the others are shared evenly."""
+    return spark.createDataFrame(T.split_reconstruct(table(spark, d, "supplier").count(), 7), "pos int, part string")
 
 
 NAMES = ["l_quantity", "l_extendedprice", "l_tax"]
@@ -162,11 +166,11 @@ def nn_filter(spark: SparkSession, d: str) -> DataFrame:
     return T.filtered(table(spark, d, "embeddings").select("vec_id", "label"), lambda p: p["label"] % 2 == 0)
 
 
-GRID = f"{EMB}, g AS (SELECT i, CAST(j // 8 AS INTEGER) AS h, CAST(j % 8 AS INTEGER) AS w, v FROM emb WHERE i < 50)"
+GRID = f"{EMB}, g AS (SELECT i, CAST(j // 8 AS INTEGER) AS h, CAST(j % 8 AS INTEGER) AS w, v FROM emb)"
 
 
 def grid_of(spark: SparkSession, d: str) -> DataFrame:
-    return T.grid(long_of(spark, d).filter("i < 50").withColumnRenamed("j", "pos"), 8).select("i", "h", "w", "v")
+    return T.grid(long_of(spark, d).withColumnRenamed("j", "pos"), 8).select("i", "h", "w", "v")
 
 
 @query(f"WITH {GRID} SELECT i, h, w, v FROM g WHERE h < 5 AND w < 6")
@@ -227,11 +231,11 @@ def beta_schedule(spark: SparkSession, d: str) -> DataFrame:
     return e.select("epoch", r(C.beta_schedule(F.col("epoch"), 0.1, 1.0, 5, 20), "beta", 9))
 
 
-BASIS = f"{EMB}, x AS (SELECT i, j, tanh(v) AS x FROM emb WHERE i < 100)"
+BASIS = f"{EMB}, x AS (SELECT i, j, tanh(v) AS x FROM emb)"
 
 
 def basis_of(spark: SparkSession, d: str) -> DataFrame:
-    return long_of(spark, d).filter("i < 100").select("i", "j", F.tanh("v").alias("x"))
+    return long_of(spark, d).select("i", "j", F.tanh("v").alias("x"))
 
 
 @query(f"WITH {BASIS} SELECT i, j, round(x, 6) + 0.0 AS t1, round(2 * x * x - 1, 6) + 0.0 AS t2, round(4 * x ** 3 - 3 * x, 6) + 0.0 AS t3, round(8 * x ** 4 - 8 * x * x + 1, 6) + 0.0 AS t4 FROM x")
@@ -253,12 +257,11 @@ def shape_constraints(spark: SparkSession, d: str) -> DataFrame:
     return rows_of(spark, d).select(F.col("row_id").alias("i"), r(C.thickness_factor(v, 0.3, 2.0), "factor"), r(C.clip(v, -0.1, 0.1), "clipped"))
 
 
-@query(f"WITH {EMB}, e AS (SELECT i, sum(v * v) AS e FROM emb GROUP BY i) SELECT i, round(sum(e) OVER (ORDER BY i) / sum(e) OVER (), 6) + 0.0 AS share FROM e WHERE i < 300")
+@query(f"WITH {EMB}, e AS (SELECT i, sum(v * v) AS e FROM emb GROUP BY i) SELECT i, round(sum(e) OVER (ORDER BY i) / sum(e) OVER (), 6) + 0.0 AS share FROM e")
 def cumulative_energy(spark: SparkSession, d: str) -> DataFrame:
-    """A running sum over one row a mode."""
-    e = rows_of(spark, d).filter("row_id < 300").select(F.col("row_id").alias("i"), (C.vector_norm("x") ** 2).alias("e"))
-    w = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
-    return e.select("i", r(F.sum("e").over(w) / F.sum("e").over(Window.partitionBy()), "share"))
+    """A running share over all rows: ranges of keys run on their own, from the sums of those before."""
+    e = rows_of(spark, d).select(F.col("row_id").alias("i"), (C.vector_norm("x") ** 2).alias("e"))
+    return T.running_share(e, "i", "e").select("i", r("share", "share"))
 
 
 @query("SELECT n_nationkey AS id, n_name AS label, CAST(n_regionkey * 2 AS INTEGER) AS twice FROM nation")
@@ -287,9 +290,21 @@ def running_best(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.min("value").over(w).alias("best"))
 
 
-@query(f"WITH {EMB}, s AS (SELECT j, sum(v * v) AS e FROM emb WHERE i = 0 GROUP BY j) SELECT j, round(sqrt(sum(e) OVER (ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / sum(e) OVER ()), 6) + 0.0 AS residual FROM s")
+@query(f"WITH {EMB} SELECT i, j, round(sqrt(sum(v * v) OVER (PARTITION BY i ORDER BY j ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) / sum(v * v) OVER (PARTITION BY i)), 6) + 0.0 AS residual FROM emb")
 def residual_curve(spark: SparkSession, d: str) -> DataFrame:
-    """What is left out after each entry: a running sum from the end, over one row a mode."""
-    e = long_of(spark, d).filter("i = 0").select("j", (F.col("v") * F.col("v")).alias("e"))
-    w = Window.orderBy("j").rowsBetween(0, Window.unboundedFollowing)
-    return e.select("j", r(F.sqrt(F.sum("e").over(w) / F.sum("e").over(Window.partitionBy())), "residual"))
+    """What is left out of each row's entries after each: a running sum from the end, without a shuffle."""
+    e = rows_of(spark, d).select(F.col("row_id").alias("i"), F.posexplode(C.residual_curve("x")).alias("j", "residual"))
+    return e.select("i", "j", r("residual", "residual"))
+
+
+@query("SELECT event_type, arg_max(value, (abs(value), value)) AS value FROM events GROUP BY event_type")
+def reduced_by_any_operation(spark: SparkSession, d: str) -> DataFrame:
+    """The value of largest modulus of each kind, by an operation of two values."""
+    e = table(spark, d, "events").select("event_type", "value")
+    return T.reduced(e, "event_type", "value", lambda a, b: max(a, b, key=lambda v: (abs(v), v)))
+
+
+@query("SELECT DISTINCT vec_id % 7 AS point FROM embeddings")
+def unique_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes that parts share, once."""
+    return table(spark, d, "embeddings").select((F.col("vec_id") % 7).alias("point")).distinct()

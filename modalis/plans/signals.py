@@ -16,10 +16,10 @@ def hammwin(spark: SparkSession, d: str) -> DataFrame:
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:
-    return long_of(spark, d).select(F.col("i").alias("s"), F.col("j").alias("pos"), "v").filter("s < 40")
+    return long_of(spark, d).select(F.col("i").alias("s"), F.col("j").alias("pos"), "v")
 
 
-SERIES = f"{EMB}, s AS (SELECT i AS s, j AS pos, v FROM emb WHERE i < 40), k AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS k)"
+SERIES = f"{EMB}, s AS (SELECT i AS s, j AS pos, v FROM emb), k AS (SELECT CAST(unnest(range(64)) AS INTEGER) AS k)"
 
 
 @query(f"""
@@ -48,19 +48,19 @@ def fft_rows(spark: SparkSession, d: str) -> DataFrame:
     return G.row_spectra(rows_of(spark, d), 0.5).select(F.col("row_id").alias("i"), F.posexplode("x").alias("k", "psd")).select("i", "k", r("psd", "psd"))
 
 
-DELAY = f"WITH {EMB}, k AS (SELECT CAST(unnest(range(5)) AS INTEGER) AS d) SELECT i AS s, j AS pos, k.d, coalesce(CASE k.d WHEN 4 THEN v WHEN 3 THEN lag(v, 1) OVER w WHEN 2 THEN lag(v, 2) OVER w WHEN 1 THEN lag(v, 3) OVER w ELSE lag(v, 4) OVER w END, 0.0) AS v FROM emb CROSS JOIN k WHERE i < 100 WINDOW w AS (PARTITION BY i, k.d ORDER BY j)"
+DELAY = f"WITH {EMB}, k AS (SELECT CAST(unnest(range(5)) AS INTEGER) AS d) SELECT i AS s, j AS pos, k.d, coalesce(CASE k.d WHEN 4 THEN v WHEN 3 THEN lag(v, 1) OVER w WHEN 2 THEN lag(v, 2) OVER w WHEN 1 THEN lag(v, 3) OVER w ELSE lag(v, 4) OVER w END, 0.0) AS v FROM emb CROSS JOIN k WINDOW w AS (PARTITION BY i, k.d ORDER BY j)"
 
 
 @query(DELAY)
 def time_delay_embedding(spark: SparkSession, d: str) -> DataFrame:
-    s = long_of(spark, d).select(F.col("i").alias("s"), F.col("j").alias("pos"), "v").filter("s < 100")
+    s = long_of(spark, d).select(F.col("i").alias("s"), F.col("j").alias("pos"), "v")
     return G.delay_embedding(s, 5)
 
 
 @query(DELAY)
 def time_delay_rows(spark: SparkSession, d: str) -> DataFrame:
     """The same from array rows, without a shuffle."""
-    e = G.delay_rows(rows_of(spark, d).filter("row_id < 100"), 5).select(F.col("row_id").alias("s"), F.posexplode("x").alias("pos", "e"))
+    e = G.delay_rows(rows_of(spark, d), 5).select(F.col("row_id").alias("s"), F.posexplode("x").alias("pos", "e"))
     return e.select("s", "pos", F.posexplode("e").alias("d", "v"))
 
 
