@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from .common import cut, ddl, map_rows, table, text_batches
+from .common import TEXTS_A_FILE, cut, ddl, map_rows, table, text_batches
 from .components import components
 
 #: Shingle words and least similarity of the query's contract; HASHES min-hashes; a hub is at least half alike.
@@ -50,6 +50,8 @@ OFTEN, FREQUENT, TWICE = 8, 500_000, 2_000_000
 #: Ids up to which a semi-join broadcasts them, entries of a list from which it is dealt into blocks of BLOCK.
 FEW, BLOCK = 1_000_000, 512
 CACHE = 200_000
+#: Index entries of a row, about: for the number of files that they are cut into.
+ENTRIES = 32
 
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 TURN = np.uint64(29)
@@ -151,18 +153,18 @@ def set_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 # --- 2: hubs ---------------------------------------------------------------------------------------------
 
 
-def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def with_texts(pairs: DataFrame, docs: DataFrame, rows: int) -> DataFrame:
     """``pairs`` (a, b and others) with the texts of both. Documents outside of any pair are left out
     before anything is shuffled, as long as the ids are few enough to be broadcast."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct())
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), rows)
     mine = docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "rid", "left_semi")
     one = pairs.join(mine.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
     return one.join(mine.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b").sortWithinPartitions("b")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, hubs: bool) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, rows: int, words: int, num: int, den: int, hubs: bool) -> DataFrame:
     """a, b, link of each pair (a, b); with ``hubs`` also n, m (sizes), and the delta of a from b where
-    they are half alike."""
+    they are half alike. ``rows``: rows of ``docs``."""
 
     def make():
         last: list = [None, None]
@@ -182,7 +184,7 @@ def compared(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int,
 
         return each
 
-    return map_rows(with_texts(pairs, docs).select("a", "b", "text_a", "text_b"), make, "a long, b long, link boolean, n long, m long, delta array<long>")
+    return map_rows(with_texts(pairs, docs, rows).select("a", "b", "text_a", "text_b"), make, "a long, b long, link boolean, n long, m long, delta array<long>")
 
 
 def popular(compared_: DataFrame) -> DataFrame:
@@ -192,13 +194,13 @@ def popular(compared_: DataFrame) -> DataFrame:
     return best.select("a", (-F.col("x.col2")).alias("hub"), "x.votes", "x.n", "x.delta")
 
 
-def hub_links(members: DataFrame, num: int, den: int) -> DataFrame:
+def hub_links(members: DataFrame, rows: int, num: int, den: int) -> DataFrame:
     """a, b: links within each hub's sets that keep components whole. ``members``: a, hub, n, delta, the hub
     itself with an empty delta."""
     # Slack in units of 1 / (num + den), so that all is in whole numbers.
     m = members.withColumn("d", F.size("delta").cast("long")).withColumn("w", (den - num) * F.col("n") - (den + num) * F.col("d"))
     best = m.groupBy("hub").agg(F.max(F.struct("w", -F.col("a"))).alias("x")).select("hub", F.col("x.w").alias("ws"), (-F.col("x.col2")).alias("s"))
-    m = cut(m.join(best, "hub"))
+    m = cut(m.join(best, "hub"), rows)
     straight = m.filter((F.col("w") + F.col("ws") >= 0) & (F.col("a") != F.col("s"))).select("a", F.col("s").alias("b"))
     # The rest: pairs with w_x + w_y < 0 that share at least -(w_x + w_y) / (2 (num + den)) entries.
     tied = F.col("w") + F.col("ws") >= 0
@@ -212,7 +214,7 @@ def hub_links(members: DataFrame, num: int, den: int) -> DataFrame:
     parts = F.ceil(F.col("f") / BLOCK).cast("int")
     entries = entries.withColumn("part", F.pmod(F.xxhash64("a"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     ends = (F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    entries = cut(entries.select("hub", "t", *ends, "part", "a", "w", "tied", (F.col("d") - F.col("pos")).alias("left")))
+    entries = cut(entries.select("hub", "t", *ends, "part", "a", "w", "tied", (F.col("d") - F.col("pos")).alias("left")), ENTRIES * rows)
     # Tied sets are all linked with the one of most slack: a pair needs one that is not.
     x, y = (e.select("hub", "t", "lo", "hi", *(F.col(c).alias(f"{c}_{s}") for c in ("a", "w", "tied", "left", "part"))) for e, s in ((entries.filter(~F.col("tied")), "x"), (entries, "y")))
     short = F.col("w_x") + F.col("w_y")
@@ -245,7 +247,7 @@ def is_in(sorted_: np.ndarray, h: np.ndarray) -> np.ndarray:
 POSTINGS = "key long, rid long, size int, rest int"
 
 
-def postings_of(sets: DataFrame, docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+def postings_of(sets: DataFrame, docs: DataFrame, rows: int, words: int, num: int, den: int) -> DataFrame:
     """key, rid, size, rest: the shingles by which each set meets every set that it may link with, and how
     many of the set stand from there on, in the order of hashes with frequent shingles last."""
     late = docs.sparkSession.sparkContext.broadcast(frequent(sets))
@@ -290,7 +292,7 @@ def postings_of(sets: DataFrame, docs: DataFrame, words: int, num: int, den: int
                 yield whole(rid, shingles(text, words))
 
     some = sets.filter("n > 0").select("rid", "n", "low")
-    again = cut(some.mapInArrow(unfinished, ddl("rid long")).distinct())
+    again = cut(some.mapInArrow(unfinished, ddl("rid long")).distinct(), rows)
     texts = docs.join(F.broadcast(again) if again.count() <= FEW else again, "rid", "left_semi").select("rid", "text")
     return some.mapInArrow(from_low, ddl(POSTINGS)).unionByName(texts.mapInArrow(from_text, ddl(POSTINGS)))
 
@@ -301,11 +303,11 @@ def enough(n1: Column, r1: Column, n2: Column, r2: Column, num: int, den: int) -
     return (den * n1 >= num * n2) & (den * n2 >= num * n1) & (F.least(r1, r2) >= least_overlap(n1, n2, num, den))
 
 
-def list_pairs(postings: DataFrame, hubs: DataFrame, num: int, den: int) -> DataFrame:
+def list_pairs(postings: DataFrame, hubs: DataFrame, rows: int, num: int, den: int) -> DataFrame:
     """a, b: pairs of sets of different hubs that share a list and pass its tests. ``hubs``: rid, hub of every
     set that stands for its equals."""
     p = postings.repartition("key").withColumn("rows", F.count("*").over(Window.partitionBy("key"))).filter("rows > 1").drop("rows")
-    p = cut(p.join(hubs, "rid"))
+    p = cut(p.join(hubs, "rid"), ENTRIES * rows)
     p = p.repartition("key")
     blocks = p.groupBy("key", "hub").agg(F.min("size").alias("n0"), F.max("size").alias("n1"), F.max("rest").alias("r"))
     blocks = blocks.withColumn("long", F.count("*").over(Window.partitionBy("key"))).filter("long > 1")
@@ -314,7 +316,7 @@ def list_pairs(postings: DataFrame, hubs: DataFrame, num: int, den: int) -> Data
     mine = F.pmod(F.xxhash64("hub"), parts).cast("int")
     blocks = blocks.withColumn("part", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     blocks = blocks.select("key", "hub", "n0", "n1", "r", "part", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"))
-    blocks = cut(blocks)
+    blocks = cut(blocks, ENTRIES * rows)
     x, y = (blocks.select("key", "lo", "hi", *(F.col(c).alias(f"{c}_{s}") for c in ("hub", "n0", "n1", "r", "part"))) for s in "xy")
     need = least_overlap(F.col("n0_x"), F.col("n0_y"), num, den)
     near = (den * F.col("n1_x") >= num * F.col("n0_y")) & (den * F.col("n1_y") >= num * F.col("n0_x")) & (F.least("r_x", "r_y") >= need)
@@ -335,36 +337,37 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
     unique = ids["n"] == ids["d"]
     rid = F.col("doc_id") if unique else F.xxhash64("doc_id", "text")
     d = rows.select(rid.alias("rid"), "text")
-    sets = cut(set_rows(d, words, num, den))
+    n = ids["n"]
+    sets = cut(set_rows(d, words, num, den), n, TEXTS_A_FILE)
     reps = sets.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"))
-    reps = cut(reps)
+    reps = cut(reps, n)
     keyed = reps.select("rep", F.posexplode("mins").alias("j", "m"))
     least = keyed.groupBy("j", "m").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).filter("b < top").drop("top")
-    tries = cut(keyed.join(least, ["j", "m"]).filter("rep > b").select(F.col("rep").alias("a"), "b").distinct())
-    first = cut(compared(tries, d, words, num, den, True))
+    tries = cut(keyed.join(least, ["j", "m"]).filter("rep > b").select(F.col("rep").alias("a"), "b").distinct(), n)
+    first = cut(compared(tries, d, n, words, num, den, True), n, TEXTS_A_FILE)
     links = first.filter("link").select("a", "b")
-    chosen = cut(popular(first))
+    chosen = cut(popular(first), n)
     # A hub that has a hub itself: its sets are tried with that one.
     up = chosen.join(chosen.select(F.col("a").alias("hub"), F.col("hub").alias("top")), "hub").select("a", F.col("top").alias("b"))
     fresh = up.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = cut(compared(fresh, d, words, num, den, True))
+    second = cut(compared(fresh, d, n, words, num, den, True), n, TEXTS_A_FILE)
     links = links.unionByName(second.filter("link").select("a", "b"))
-    chosen = cut(popular(first.unionByName(second)))
+    chosen = cut(popular(first.unionByName(second)), n)
     own = chosen.select(F.col("hub").alias("a")).distinct().join(chosen, "a", "left_anti").select("a", F.col("a").alias("hub"))
     own = own.join(reps.select(F.col("rep").alias("a"), "n"), "a").withColumn("delta", F.array().cast("array<long>"))
-    members = cut(chosen.select("a", "hub", "n", "delta").unionByName(own.select("a", "hub", "n", "delta")))
-    links = links.unionByName(hub_links(members, num, den))
+    members = cut(chosen.select("a", "hub", "n", "delta").unionByName(own.select("a", "hub", "n", "delta")), n)
+    links = links.unionByName(hub_links(members, n, num, den))
     hubs = reps.select(F.col("rep").alias("rid")).join(members.select(F.col("a").alias("rid"), "hub"), "rid", "left").select("rid", F.coalesce("hub", "rid").alias("hub"))
-    pairs = cut(list_pairs(postings_of(sets, d, words, num, den), hubs, num, den))
-    links = links.unionByName(compared(pairs, d, words, num, den, False).select("a", "b"))
-    labels = components(links)
+    pairs = cut(list_pairs(postings_of(sets, d, n, words, num, den), hubs, n, num, den), n)
+    links = links.unionByName(compared(pairs, d, n, words, num, den, False).select("a", "b"))
+    labels = components(links, n)
     named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = sets.filter("n is not null").select("rid", "n", "digest").join(named, "digest", "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("label", "rid").alias("label"))
     if unique:
         return out.select(F.col("rid").alias("doc_id"), "rid", "n_shingles", F.col("label").alias("component_id"), (F.col("rid") == F.col("label")).alias("first"))
     out = out.distinct().join(rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid")), "rid")
     lead = out.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "rid")).alias("m"))
-    out = cut(out).join(lead, "label")
+    out = cut(out, n).join(lead, "label")
     return out.select("doc_id", "rid", "n_shingles", "component_id", (F.col("rid") == F.col("m.rid")).alias("first"))
 
 
@@ -376,8 +379,8 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     """``docs`` (columns of documents) with one row of each component: its least doc_id, of rows with that id
     and equal texts one."""
     found = similar_groups(docs, words, num, den)
-    gone = cut(found.filter(~F.col("first")).select("rid").distinct())
     unique = docs.agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("d")).first()
+    gone = cut(found.filter(~F.col("first")).select("rid").distinct(), unique["n"])
     rid = F.col("doc_id").cast("long") if unique["n"] == unique["d"] else F.xxhash64(F.col("doc_id").cast("long"), "text")
     rows = docs.withColumn("__rid", rid)
     out = rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, F.col("__rid") == F.col("rid"), "left_anti")
