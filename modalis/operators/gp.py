@@ -103,7 +103,13 @@ class GaussianProcess:
         n = 1 + d + KERNELS[self.kernel][0] + (self.noise is None)
         rng = np.random.default_rng(seed)
         best = min((simplex(self.likelihood, rng.normal(0, 1, n) if k else np.zeros(n), self.steps) for k in range(self.restarts)), key=lambda r: r[1])
-        self.settle(best[0], d)
+        return self.condition(self.x, self.y, best[0])
+
+    def condition(self, x: np.ndarray, y: np.ndarray, theta: np.ndarray) -> GaussianProcess:
+        """The process given the training rows and its parameters: logarithms of variance, length scales, the kernel's
+        own ones and, unless it is fixed, noise."""
+        self.x, self.y = np.atleast_2d(x), np.asarray(y, float)
+        self.settle(np.asarray(theta, float), self.x.shape[1])
         k = self.covariance(self.x, self.x) + (self.sigma2 + 1e-10) * np.eye(len(self.x))
         self.low = np.linalg.cholesky(k)
         self.alpha = np.linalg.solve(self.low.T, np.linalg.solve(self.low, self.y))
@@ -138,12 +144,14 @@ class MultiFidelity:
     kernel: str = "rbf"
     noise: float | None = 1e-6
 
-    def fit(self, xs: list[np.ndarray], ys: list[np.ndarray]) -> MultiFidelity:
+    def fit(self, xs: list[np.ndarray], ys: list[np.ndarray], theta: np.ndarray | None = None) -> MultiFidelity:
+        """``theta``: parameters of all levels, if they are not to be fitted."""
         self.levels: list[tuple[float, GaussianProcess]] = []
         for x, y in zip(xs, ys, strict=True):
             below = self.predict(x)[0] if self.levels else np.zeros(len(y))
             rho = float(below @ y / (below @ below)) if self.levels else 0.0
-            self.levels.append((rho, GaussianProcess(self.kernel, self.noise).fit(x, y - rho * below)))
+            g = GaussianProcess(self.kernel, self.noise)
+            self.levels.append((rho, g.fit(x, y - rho * below) if theta is None else g.condition(x, y - rho * below, theta)))
         return self
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

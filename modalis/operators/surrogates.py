@@ -285,11 +285,16 @@ def fold_of(key: Column, folds: int) -> Column:
     return F.pmod(F.crc32(key.cast("string").cast("binary")), F.lit(folds)).cast("int")
 
 
+def fold_losses(df: DataFrame, fold: Column, folds: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], loss: Column) -> list[tuple[int, float]]:
+    """fold, ``loss`` (an aggregate over predicted rows) of each fold's rows under a model of the others'."""
+    d = df.withColumn("__fold", fold)
+    of = lambda k: fit(d.filter(F.col("__fold") != k).drop("__fold"))(d.filter(F.col("__fold") == k).drop("__fold")).agg(loss).first()[0]
+    return [(k, x) for k in range(folds) if (x := of(k)) is not None]
+
+
 def cross_validated(df: DataFrame, key: str, folds: int, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], loss: Column) -> float:
-    """The mean over folds of ``loss`` (an aggregate over predicted rows) on rows that the fold's model has not seen."""
-    d = df.withColumn("__fold", fold_of(F.col(key), folds))
-    losses = [fit(d.filter(F.col("__fold") != k).drop("__fold"))(d.filter(F.col("__fold") == k).drop("__fold")).agg(loss).first()[0] for k in range(folds)]
-    return float(np.mean([x for x in losses if x is not None]))
+    """The mean over folds of ``loss`` on rows that the fold's model has not seen."""
+    return float(np.mean([x for _, x in fold_losses(df, fold_of(F.col(key), folds), folds, fit, loss)]))
 
 
 def adjust_field(cells: DataFrame, targets: dict[str, float], x: str = "cp") -> DataFrame:

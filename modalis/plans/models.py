@@ -9,36 +9,21 @@ from pyspark.sql import functions as F
 from ..operators import episodes, gp
 from ..operators import surrogates as S
 from ..operators.stats import regression_metrics
-from .base import EMB, query, r, rows_of, table
+from ..sources import layout
+from .base import EMB, entries, query, r, rows_of, scratch, table
 
 
-def samples(spark: SparkSession, n: int = 400) -> DataFrame:
-    """i, x0, x1, y of a smooth function on a quasi-regular grid."""
-    t = spark.range(n).withColumn("x0", (F.col("id") * 0.6180339887) % 1 * 2 - 1).withColumn("x1", (F.col("id") * 0.7548776662) % 1 * 2 - 1)
-    return t.select(F.col("id").alias("i"), "x0", "x1", (F.sin("x0") + F.cos("x1") + 0.5 * F.col("x0") ** 2).alias("y"))
+#: Parts as samples: two inputs and an output.
+PARTS = "pa AS (SELECT p_partkey AS i, p_size / 25.0::DOUBLE - 1 AS x0, (p_partkey % 37) / 18.5::DOUBLE - 1 AS x1, p_retailprice / 1000 AS y FROM part)"
 
 
-@query("SELECT true AS close")
-def gpr_predict(spark: SparkSession, d: str) -> DataFrame:
-    """A process fitted to 80 rows predicts 400 within 0.05."""
-    s = samples(spark)
-    t = s.filter("i < 80").toPandas()
-    model = gp.GaussianProcess("matern32", 1e-6, 2, 80).fit(t[["x0", "x1"]].to_numpy(), t["y"].to_numpy())
-    return model.predict_rows(s, ["x0", "x1"]).agg((F.max(F.abs(F.col("mean") - F.col("y"))) < 0.05).alias("close"))
-
+def parts(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.select(F.col("p_partkey").alias("i"), (F.col("p_size") / 25 - 1).alias("x0"), ((F.col("p_partkey") % 37) / 18.5 - 1).alias("x1"), (F.col("p_retailprice") / 1000).alias("y"))
 
-@query("SELECT true AS close")
-def gpr_multifidelity(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve exact rows correct eighty scaled and shifted ones."""
-    s = samples(spark)
-    t = s.filter("i < 80").toPandas()
-    x, y = t[["x0", "x1"]].to_numpy(), t["y"].to_numpy()
-    model = gp.MultiFidelity().fit([x, x[:12]], [0.5 * y + 0.2 * x[:, 0], y[:12]])
-    return S.predict_rows(s, ["x0", "x1"], Mean(model), ["p"]).agg((F.avg(F.abs(F.col("p") - F.col("y"))) < 0.1).alias("close"))
 
-
-class Mean:
-    """A model's mean as its prediction."""
+class First:
+    """A model's first output as its prediction."""
 
     def __init__(self, model: gp.MultiFidelity) -> None:
         self.model = model
@@ -47,65 +32,229 @@ class Mean:
         return self.model.predict(x)[0]
 
 
-@query("SELECT * FROM (VALUES ('exponential'), ('linear'), ('matern32'), ('matern52'), ('periodic_exponential'), ('polynomial'), ('rational_quadratic'), ('rbf'), ('standard_periodic'), ('white')) t(kernel)")
+#: Two training rows, the mean outputs of the smallest and the largest size; a process of unit variance and length scale
+#: 0.8 with noise 0.01: kernel values of every part with both, and the inverse of two by two.
+TWO = f"""{PARTS}, ends AS (SELECT min(x0) AS a, max(x0) AS b FROM pa), ty AS (SELECT a, b, avg(CASE WHEN x0 = a THEN y END) AS ya, avg(CASE WHEN x0 = b THEN y END) AS yb FROM pa CROSS JOIN ends GROUP BY a, b),
+     k AS (SELECT *, 1 + 0.01::DOUBLE + 1e-10::DOUBLE AS d, exp(-0.5 * ((a - b) / 0.8) ** 2) AS o FROM ty),
+     al AS (SELECT *, (d * ya - o * yb) / (d * d - o * o) AS wa, (d * yb - o * ya) / (d * d - o * o) AS wb FROM k),
+     ka AS (SELECT i, exp(-0.5 * ((x0 - a) / 0.8) ** 2) AS ka, exp(-0.5 * ((x0 - b) / 0.8) ** 2) AS kb FROM pa CROSS JOIN ends)"""
+THETA = np.log([1.0, 0.8])
+
+
+def two_rows(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
+    p = parts(spark, d)
+    ends = p.agg(F.min("x0").alias("a"), F.max("x0").alias("b")).first()
+    y = [p.filter(F.col("x0") == e).agg(F.avg("y")).first()[0] for e in ends]
+    return np.array(ends, float)[:, None], np.array(y)
+
+
+@query(f"""
+    WITH {TWO} SELECT i, round(ka * wa + kb * wb, 6) + 0.0 AS mean, round(sqrt(1 - (d * (ka * ka + kb * kb) - 2 * o * ka * kb) / (d * d - o * o) + 0.01), 6) + 0.0 AS std FROM ka CROSS JOIN al
+""")
+def gpr_predict(spark: SparkSession, d: str) -> DataFrame:
+    """Mean and deviation at every part of a process that is given two rows."""
+    model = gp.GaussianProcess("rbf", 0.01).condition(*two_rows(spark, d), THETA)
+    return model.predict_rows(parts(spark, d).select("i", "x0"), ["x0"]).select("i", r("mean", "mean"), r("std", "std"))
+
+
+@query(f"""
+    WITH {TWO}, lo AS (SELECT *, wa + o * wb AS fa, o * wa + wb AS fb, 0.5 * ya + 0.3 AS ha, 0.5 * yb - 0.2 AS hb FROM al),
+         rh AS (SELECT *, (fa * ha + fb * hb) / (fa * fa + fb * fb) AS rho FROM lo), re AS (SELECT *, ha - rho * fa AS ra, hb - rho * fb AS rb FROM rh)
+    SELECT i, round(rho * (ka * wa + kb * wb) + ka * (d * ra - o * rb) / (d * d - o * o) + kb * (d * rb - o * ra) / (d * d - o * o), 6) + 0.0 AS p FROM ka CROSS JOIN re
+""")
+def gpr_multifidelity(spark: SparkSession, d: str) -> DataFrame:
+    """A high fidelity, scaled and shifted, on top of a low one."""
+    x, y = two_rows(spark, d)
+    model = gp.MultiFidelity("rbf", 0.01).fit([x, x], [y, 0.5 * y + np.array([0.3, -0.2])], THETA)
+    return S.predict_rows(parts(spark, d).select("i", "x0"), ["x0"], First(model), ["p"]).select("i", r("p", "p"))
+
+
+KERNEL_SQL = {
+    "rbf": "exp(-0.5 * h * h)", "matern32": "(1 + sqrt(3) * h) * exp(-sqrt(3) * h)", "matern52": "(1 + sqrt(5) * h + 5.0::DOUBLE / 3 * h * h) * exp(-sqrt(5) * h)", "exponential": "exp(-h)", "linear": "a * b / 0.49::DOUBLE",
+    "rational_quadratic": "pow(1 + h * h / 3, -1.5)", "polynomial": "pow(a * b / 0.49::DOUBLE + 1.5, 3)", "periodic_exponential": "exp(-abs(sin(pi() * abs(a - b) / 1.5)) / 0.7)",
+    "standard_periodic": "exp(-0.5 * sin(pi() * (a - b) / 1.5) ** 2 / 0.49::DOUBLE)", "white": "CASE WHEN a = b THEN 1 ELSE 0 END",
+}
+
+
+@query(
+    "WITH n AS (SELECT n_nationkey / 10.0::DOUBLE AS x, n_nationkey AS k FROM nation), p AS (SELECT x.k AS i, y.k AS j, x.x AS a, y.x AS b, abs(x.x - y.x) / 0.7 AS h FROM n x CROSS JOIN n y) "
+    + " UNION ALL ".join(f"SELECT '{k}' AS kernel, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round({f}, 7) + 0.0 AS v FROM p" for k, f in KERNEL_SQL.items())
+)
 def gpr_kernels(spark: SparkSession, d: str) -> DataFrame:
-    """Kernels whose matrices on a few places are symmetric and not indefinite."""
-    x = np.linspace(-1, 1, 7)[:, None]
-    good = []
+    """Every kernel between the nations' places."""
+    keys = sorted(x[0] for x in table(spark, d, "nation").select("n_nationkey").collect())
+    x = np.array(keys, float)[:, None] / 10
+    rows = []
     for name, (k, f) in gp.KERNELS.items():
-        m = f(x, x, np.ones(1), np.full(k, 1.5))
-        if np.allclose(m, m.T) and np.linalg.eigvalsh(m).min() > -1e-8:
-            good.append((name,))
-    return spark.createDataFrame(good, "kernel string")
+        m = f(x, x, np.full(1, 0.7), np.full(k, 1.5))
+        rows += [(name, int(a), int(b), float(m[i, j])) for i, a in enumerate(keys) for j, b in enumerate(keys)]
+    return spark.createDataFrame(rows, "kernel string, i int, j int, w double").select("kernel", "i", "j", r("w", "v", 7))
+
+
+def given_weights(*sizes: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Layers whose weights follow a rule that SQL can spell: w(i, j) = sin(1 + i + 2 j + 3 k), b(j) = cos(j + k) / 2 in layer k."""
+    out = []
+    for k, (a, b) in enumerate(zip(sizes, sizes[1:], strict=False)):
+        i, j = np.indices((a, b))
+        out.append((np.sin(1 + i + 2 * j + 3 * k), np.cos(np.arange(b) + k) / 2))
+    return out
+
+
+def layer_sql(inputs: list[str], outputs: int, k: int, tanh: bool) -> list[str]:
+    sums = [" + ".join(f"sin({1 + i + 2 * j + 3 * k}) * {x}" for i, x in enumerate(inputs)) + f" + cos({j + k}) / 2" for j in range(outputs)]
+    return [f"tanh({s})" if tanh else s for s in sums]
 
 
-@query("SELECT true AS close")
+def network_sql(sizes: list[int], inputs: list[str]) -> tuple[str, list[str]]:
+    """Common tables n1, n2, ... of each layer's values, and the names of the last one's."""
+    source, out, names = "pa", [], inputs
+    for k, n in enumerate(sizes[1:]):
+        new = [f"h{k}_{j}" for j in range(n)]
+        out.append(f"n{k} AS (SELECT *, {', '.join(f'{e} AS {c}' for e, c in zip(layer_sql(names, n, k, k < len(sizes) - 2), new, strict=True))} FROM {source})")
+        source, names = f"n{k}", new
+    return ", ".join(out), names
+
+
+MLP, MLP_OUT = network_sql([2, 4, 3, 1], ["x0", "x1"])
+MLP_SQL = f"WITH {PARTS}, {MLP} SELECT i, round({MLP_OUT[0]}, 6) + 0.0 AS p FROM n2"
+
+
+@query(MLP_SQL)
 def mlp_predict(spark: SparkSession, d: str) -> DataFrame:
-    """A perceptron fitted to 400 rows, by its share of explained variance."""
-    s = samples(spark)
-    t = s.toPandas()
-    model = S.Perceptron((24, 24), 150).fit(t[["x0", "x1"]].to_numpy(), t["y"].to_numpy(), stop=S.EarlyStop(30))
-    m = regression_metrics(S.predict_rows(s, ["x0", "x1"], model, ["p"]))
-    return m.select((F.col("r2") > 0.98).alias("close"))
+    """A perceptron of given weights at every part."""
+    model = S.Perceptron((4, 3), weights=given_weights(2, 4, 3, 1))
+    return S.predict_rows(parts(spark, d).select("i", "x0", "x1"), ["x0", "x1"], model, ["p"]).select("i", r("p", "p"))
+
 
+@query()
+def mlp_fit(spark: SparkSession, d: str) -> DataFrame:
+    """What training leaves of the mean square: prices from sizes and keys."""
+    t = parts(spark, d).orderBy("i").toPandas()
+    model = S.Perceptron((12, 12), 60).fit(t[["x0", "x1"]].to_numpy(), t["y"].to_numpy(), stop=S.EarlyStop(30))
+    return regression_metrics(S.predict_rows(parts(spark, d), ["x0", "x1"], model, ["p"]))
 
-@query("SELECT true AS close")
+
+CODER, CODER_OUT = network_sql([3, 5, 1, 5, 3], ["x0", "x1", "y"])
+
+
+@query(f"WITH {PARTS}, {CODER} SELECT i, {', '.join(f'round({c}, 6) + 0.0 AS {n}' for c, n in zip(CODER_OUT, ('a', 'b', 'c'), strict=True))} FROM n3")
 def autoencoder(spark: SparkSession, d: str) -> DataFrame:
-    """Two numbers carry most of four that depend on them."""
-    t = samples(spark).toPandas()
-    x = np.column_stack([t.x0, t.x1, t.x0 * 0.5 - t.x1, t.x0 + 0.3 * t.x1])
-    model = S.Perceptron((16, 2, 16), 150).fit(x, x)
-    share = 1 - ((model.predict(x) - x) ** 2).sum() / (x**2).sum()
-    return spark.createDataFrame([(bool(share > 0.9),)], "close boolean")
+    """Three values through one and back, by given weights."""
+    model = S.Perceptron((5, 1, 5), weights=given_weights(3, 5, 1, 5, 3))
+    p = S.predict_rows(parts(spark, d), ["x0", "x1", "y"], model, ["oa", "ob", "oc"])
+    return p.select("i", r("oa", "a"), r("ob", "b"), r("oc", "c"))
+
+
+@query(f"""
+    WITH {PARTS}, h AS (SELECT i, {", ".join(f"{e} AS h{j}" for j, e in enumerate(layer_sql(["x0", "x1", "y"], 4, 0, True)))} FROM pa),
+         z AS (SELECT i, {", ".join(f"{e} AS z{j}" for j, e in enumerate(layer_sql(["h0", "h1", "h2", "h3"], 4, 1, False)))} FROM h),
+         g AS (SELECT *, {", ".join(f"{e} AS g{j}" for j, e in enumerate(layer_sql(["z0", "z1"], 4, 2, True)))} FROM z)
+    SELECT i, round(z0, 6) + 0.0 AS mean, round(z2, 6) + 0.0 AS log_variance, round({layer_sql(["g0", "g1", "g2", "g3"], 3, 3, False)[0]}, 6) + 0.0 AS a FROM g
+""")
+def variational_autoencoder(spark: SparkSession, d: str) -> DataFrame:
+    """The first mean and log-variance of each part's code, and its first value decoded from the means."""
+    layers = [given_weights(3, 4)[0], *(given_weights(*[1] * k, a, b)[-1] for k, a, b in ((1, 4, 4), (2, 2, 4), (3, 4, 3)))]
+    v = S.VariationalAutoencoder(2, 4, weights={f"{n}{k}": x for k, pair in enumerate(layers) for n, x in zip("wb", pair, strict=True)})
+    p = S.predict_rows(parts(spark, d), ["x0", "x1", "y"], Coded(v), ["m", "l", "d"])
+    return p.select("i", r("m", "mean"), r("l", "log_variance"), r("d", "a"))
+
+
+class Coded:
+    """The first mean and log-variance of a variational code, and the first decoded value."""
 
+    def __init__(self, model: S.VariationalAutoencoder) -> None:
+        self.model = model
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        mean, log_variance = self.model.encode(x)
+        return np.column_stack([mean[:, 0], log_variance[:, 0], self.model.decode(mean)[:, 0]])
+
+
+def three_terms(first: str, second: str) -> str:
+    """Least squares of y on 1 and two terms, with the layer's ridge of 1e-9, by Cramer's rule."""
+    return f"""
+    WITH {PARTS}, t AS (SELECT i, y, {first} AS t, {second} AS u FROM (SELECT i, y, tanh(x0) AS x FROM pa)),
+         m AS (SELECT count(*) + 1e-9 AS nn, sum(t) AS st, sum(u) AS su, sum(t * t) + 1e-9 AS tt, sum(t * u) AS tu, sum(u * u) + 1e-9 AS uu, sum(y) AS sy, sum(t * y) AS ty, sum(u * y) AS uy FROM t),
+         c AS (SELECT nn * (tt * uu - tu * tu) - st * (st * uu - tu * su) + su * (st * tu - tt * su) AS d, sy * (tt * uu - tu * tu) - st * (ty * uu - tu * uy) + su * (ty * tu - tt * uy) AS a,
+                      nn * (ty * uu - tu * uy) - sy * (st * uu - tu * su) + su * (st * uy - ty * su) AS b, nn * (tt * uy - ty * tu) - st * (st * uy - ty * su) + sy * (st * tu - tt * su) AS e FROM m)
+    SELECT i, round((a + b * t + e * u) / d, 5) + 0.0 AS p FROM t CROSS JOIN c
+    """
 
-@query("SELECT true AS close")
+
+@query(three_terms("x", "2 * x * x - 1"))
 def kan_layer(spark: SparkSession, d: str) -> DataFrame:
     """A Chebyshev layer, fitted by aggregates and evaluated in column expressions."""
-    s = samples(spark)
-    m = regression_metrics(S.PolynomialLayer(5).fit(s, ["x0", "x1"], "y").predict(s, ["x0", "x1"]))
-    return m.select((F.col("r2") > 0.999).alias("close"))
+    p = parts(spark, d)
+    return S.PolynomialLayer(2).fit(p, ["x0"], "y").predict(p, ["x0"]).select("i", r("p", "p", 5))
 
 
-@query("SELECT true AS close")
+@query(three_terms("2 * x", "(15 * x * x - 3) / 4"))
 def kan_jacobi_layer(spark: SparkSession, d: str) -> DataFrame:
-    s = samples(spark)
-    m = regression_metrics(S.PolynomialLayer(5, "jacobi").fit(s, ["x0", "x1"], "y").predict(s, ["x0", "x1"]))
-    return m.select((F.col("r2") > 0.999).alias("close"))
+    p = parts(spark, d)
+    return S.PolynomialLayer(2, "jacobi").fit(p, ["x0"], "y").predict(p, ["x0"]).select("i", r("p", "p", 5))
+
+
+def network_of_functions(kind: str) -> str:
+    """Two inputs, two hidden values, one output; the coefficient of function f from i to o in layer k is cos(1 + i + 2 o + 3 f + 5 k) / 2."""
+    make = {"chebyshev": ["1", "tanh({x})", "2 * tanh({x}) * tanh({x}) - 1"], "sine": ["0", "sin({x})", "sin(2 * {x})"]}[kind]
+    part = lambda x, i, o, k: " + ".join(f"cos({1 + i + 2 * o + 3 * f + 5 * k}) / 2 * ({e.format(x=x)})" for f, e in enumerate(make))
+    layer = lambda xs, o, k: " + ".join(part(x, i, o, k) for i, x in enumerate(xs))
+    return f"WITH {PARTS}, h AS (SELECT i, {layer(['x0', 'x1'], 0, 0)} AS h0, {layer(['x0', 'x1'], 1, 0)} AS h1 FROM pa) SELECT i, round({layer(['h0', 'h1'], 0, 1)}, 6) + 0.0 AS p FROM h"
+
+
+def given_functions(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    coefficients = []
+    for k, (a, b) in enumerate(((2, 2), (2, 1))):
+        i, o, f = np.indices((a, b, 3))
+        coefficients.append(np.cos(1 + i + 2 * o + 3 * f + 5 * k) / 2)
+    model = S.PolynomialNetwork((2,), 2, kind, coefficients=coefficients)
+    return S.predict_rows(parts(spark, d).select("i", "x0", "x1"), ["x0", "x1"], model, ["p"]).select("i", r("p", "p"))
 
 
-@query("SELECT 4 AS degree")
+@query(network_of_functions("chebyshev"))
+def kan_network(spark: SparkSession, d: str) -> DataFrame:
+    """Two layers of polynomials of given coefficients at every part."""
+    return given_functions(spark, d, "chebyshev")
+
+
+@query(network_of_functions("sine"))
+def kan_sine_network(spark: SparkSession, d: str) -> DataFrame:
+    """The same with sines."""
+    return given_functions(spark, d, "sine")
+
+
+FACTORS = [0.9, 1.0, 1.1, 1.2, 1.3]
+
+
+@query(f"""
+    WITH k AS (SELECT unnest([{", ".join(f"CAST({f} AS DOUBLE)" for f in FACTORS)}]) AS factor), l AS (SELECT factor, avg((l_extendedprice - factor * 1000 * l_quantity) ** 2) AS loss FROM lineitem CROSS JOIN k GROUP BY factor)
+    SELECT factor, round(loss / 1e6, 4) + 0.0 AS loss, loss = min(loss) OVER () AS best FROM l
+""")
 def model_search(spark: SparkSession, d: str) -> DataFrame:
-    """Settings with the least loss; degrees beyond the best add under a thousandth."""
-    s = samples(spark).withColumn("y", F.tanh("x0") ** 4)
+    """Every setting's loss over all lines, and the best one, which is written and read back."""
+    li = table(spark, d, "lineitem")
 
     def fit(k: dict) -> tuple[object, float]:
-        layer = S.PolynomialLayer(**k).fit(s, ["x0"], "y")
-        loss = regression_metrics(layer.predict(s, ["x0"])).first()["mse"]
-        return layer, round(loss, 9)
+        return k, li.agg(F.avg((F.col("l_extendedprice") - k["factor"] * 1000 * F.col("l_quantity")) ** 2)).first()[0]
+
+    tried = S.trials(fit, {"factor": FACTORS})
+    path = scratch(spark)
+    layout.save_params(spark, path, min(tried, key=lambda t: t[1])[0])
+    best = layout.load_params(spark, path)["factor"]
+    return spark.createDataFrame([(s["factor"], loss / 1e6, s["factor"] == best) for s, loss in tried], "factor double, l double, best boolean").select("factor", r("l", "loss", 4), "best")
 
-    best, _ = S.grid_search(fit, {"degree": [1, 2, 3, 4, 5]})
-    return spark.createDataFrame([(best["degree"],)], "degree int")
+
+@query("""
+    WITH f AS (SELECT p_partkey AS k, p_retailprice AS y, CAST(p_partkey % 3 AS INTEGER) AS fold FROM part),
+         m AS (SELECT a.fold AS fold, (SELECT avg(y) FROM f b WHERE b.fold <> a.fold) AS mean FROM (SELECT DISTINCT fold FROM f) a)
+    SELECT fold, round(avg((y - mean) ** 2), 3) + 0.0 AS loss FROM f JOIN m USING (fold) GROUP BY fold
+""")
+def cross_validation(spark: SparkSession, d: str) -> DataFrame:
+    """The loss of each fold's rows under the mean of the others'."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("y"))
+    mean = lambda train: (lambda m: lambda test: test.withColumn("p", F.lit(m)))(train.agg(F.avg("y")).first()[0])
+    losses = S.fold_losses(p, (F.col("k") % 3).cast("int"), 3, mean, F.avg((F.col("p") - F.col("y")) ** 2))
+    return spark.createDataFrame(losses, "fold int, l double").select("fold", r("l", "loss", 3))
 
 
 @query(f"""
@@ -149,13 +298,34 @@ def pinn_incompressible_residual(spark: SparkSession, d: str) -> DataFrame:
     return s.select("i", "j", r("continuity", "continuity"), r("momentum_x", "momentum_x"), r("momentum_y", "momentum_y"))
 
 
-@query("SELECT CAST(18 * 13 AS BIGINT) AS n, true AS uniform")
+FLOW = """g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 1.2 + 0.1 * sin(0.3 * i) AS rho, 0.7 + 0.05 * j AS u, 0.1 * cos(0.2 * i + 0.1 * j) AS v, 0.9 + 0.01 * i * j AS p
+        FROM (SELECT unnest(range(20)) AS i) CROSS JOIN (SELECT unnest(range(15)) AS j)),
+     e AS (SELECT *, p / 0.4 + 0.5 * rho * (u * u + v * v) + p AS h FROM g)"""
+
+
+def difference(f: str, g: str) -> str:
+    return f"(lead({f}) OVER x - lag({f}) OVER x) / 0.2 + (lead({g}) OVER y - lag({g}) OVER y) / 0.2"
+
+
+@query(f"""
+    WITH {FLOW}, d AS (SELECT i, j, {difference("rho * u", "rho * v")} AS mass, {difference("rho * u * u + p", "rho * u * v")} AS mx, {difference("rho * u * v", "rho * v * v + p")} AS my, {difference("h * u", "h * v")} AS energy
+        FROM e WINDOW x AS (PARTITION BY j ORDER BY i), y AS (PARTITION BY i ORDER BY j))
+    SELECT i, j, round(mass, 6) + 0.0 AS mass, round(mx, 6) + 0.0 AS momentum_x, round(my, 6) + 0.0 AS momentum_y, round(energy, 6) + 0.0 AS energy FROM d WHERE mass IS NOT NULL
+""")
 def pinn_euler_residual(spark: SparkSession, d: str) -> DataFrame:
-    """A uniform flow has none."""
+    """Of a flow that is no solution."""
     g = spark.range(300).select(F.floor(F.col("id") / 15).cast("int").alias("i"), (F.col("id") % 15).cast("int").alias("j"))
-    s = S.euler_residual(g.withColumns({"rho": F.lit(1.2), "u": F.lit(0.7), "v": F.lit(0.1), "p": F.lit(0.9)}), 0.1, 0.1)
-    s = s.filter("mass is not null")
-    return s.agg(F.count("*").alias("n"), (F.max(F.greatest(*(F.abs(c) for c in ("mass", "momentum_x", "momentum_y", "energy")))) < 1e-9).alias("uniform"))
+    flow = {"rho": 1.2 + 0.1 * F.sin(0.3 * F.col("i")), "u": 0.7 + 0.05 * F.col("j"), "v": 0.1 * F.cos(0.2 * F.col("i") + 0.1 * F.col("j")), "p": 0.9 + 0.01 * F.col("i") * F.col("j")}
+    s = S.euler_residual(g.withColumns(flow), 0.1, 0.1)
+    return s.filter("mass is not null").select("i", "j", *(r(n, n) for n in ("mass", "momentum_x", "momentum_y", "energy")))
+
+
+@query("SELECT p_partkey AS i, round(p_size / 10.0::DOUBLE * sqrt(1.1::DOUBLE), 6) + 0.0 AS adjusted FROM part")
+def nonlinear_interpolator(spark: SparkSession, d: str) -> DataFrame:
+    """The least change of a field that raises its sum of squares by a tenth: all of it grows alike."""
+    c = table(spark, d, "part").select(F.col("p_partkey").alias("i"), (F.col("p_size") / 10).alias("cp"))
+    now = c.agg(F.sum(F.col("cp") ** 2)).first()[0]
+    return S.adjust_field_nonlinear(c, [(lambda v: v * v, lambda v: 2 * v, 1.1 * now)], tolerance=1e-9).select("i", r("adjusted", "adjusted"))
 
 
 @query("SELECT CAST(k AS INTEGER) AS k, round(sqrt(x) * (1 - x) * (0.2 * (1 - x) ** 2 + 0.6 * x * (1 - x) + 0.25 * x * x) + 0.002 * x, 9) + 0.0 AS y FROM (SELECT k, k / 100 AS x FROM (SELECT unnest(range(101)) AS k))")
@@ -164,19 +334,19 @@ def airfoil_shape(spark: SparkSession, d: str) -> DataFrame:
     return t.select("k", r(S.airfoil(F.col("x"), [0.2, 0.3, 0.25], 0.002), "y", 9))
 
 
-@query("SELECT true AS close")
+@query(f"""
+    WITH {EMB}, z AS (SELECT j, coalesce(lag(v) OVER (ORDER BY j), 0) AS a, v AS b FROM emb WHERE i = (SELECT min(vec_id) FROM embeddings)),
+         m AS (SELECT sum(a * a) + 0.5 AS aa, sum(a * b) AS ab, sum(b * b) + 0.5 AS bb FROM z),
+         w AS (SELECT i, sum(v * a) AS va, sum(v * b) AS vb FROM emb JOIN z USING (j) GROUP BY i),
+         c AS (SELECT i, (va * bb - vb * ab) / (aa * bb - ab * ab) AS ca, (vb * aa - va * ab) / (aa * bb - ab * ab) AS cb FROM w CROSS JOIN m)
+    SELECT i, j, round(ca * a + cb * b, 6) + 0.0 AS v FROM c CROSS JOIN z
+""")
 def sensor_reconstruction(spark: SparkSession, d: str) -> DataFrame:
-    """Delayed readings of three sensors give POD coefficients back by ridge regression: a linear form of
-    reconstruction from few sensors."""
-    t = np.arange(60.0)
-    x = np.array([[np.cos(0.3 * s + 0.2 * k) + 0.5 * np.sin(0.7 * s - 0.1 * k) for s in t] for k in range(50)])
-    _, s, vt = np.linalg.svd(x, full_matrices=False)
-    target = s[:4, None] * vt[:4]
-    seen = x[[3, 20, 41]]
-    lags = np.array([np.concatenate([seen[:, max(0, k - 5) : k + 1].ravel(), np.zeros(3 * max(0, 5 - k))]) for k in range(60)])[5:]
-    w = np.linalg.solve(lags.T @ lags + 1e-8 * np.eye(lags.shape[1]), lags.T @ target.T[5:])
-    error = np.linalg.norm(lags @ w - target.T[5:]) / np.linalg.norm(target.T[5:])
-    return spark.createDataFrame([(bool(error < 1e-3),)], "close boolean")
+    """Every vector from one vector's present and last entries, by ridge regression over entries: a linear form of
+    reconstruction from few sensors and their past."""
+    rows = rows_of(spark, d)
+    first = rows.agg(F.min("row_id")).first()[0]
+    return entries(S.sensor_reconstruction(rows, [first], 1, 0.5))
 
 
 @query("SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
@@ -185,9 +355,26 @@ def parameter_groups(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy("p_size").agg(F.count("*").alias("n"))
 
 
-@query("SELECT CAST(50 AS BIGINT) AS n, true AS close")
+#: The distance from the best place halves at each step; a case ends when its reward gains less than 1e-9.
+EPISODES = """c AS (SELECT CAST(c_custkey AS BIGINT) AS case_, (c_custkey % 50) / 25.0::DOUBLE - 1 - 0.3 AS e FROM customer), n AS (SELECT unnest(range(1, 41)) AS n),
+     s AS (SELECT case_, e, coalesce(min(CASE WHEN 3 * e * e / pow(4, n) < 1e-9 THEN n END), 40) AS n FROM c CROSS JOIN n GROUP BY case_, e)"""
+EPISODES_SQL = f"""WITH {EPISODES} SELECT case_ AS "case", round(-e * e / pow(4, n - 1), 7) + 0.0 AS best, n < 40 AS converged, CAST(n AS INTEGER) AS n_steps FROM s"""
+
+
+def episode_rows(spark: SparkSession, d: str) -> DataFrame:
+    cases = table(spark, d, "customer").select(F.col("c_custkey").cast("bigint").alias("case"), ((F.col("c_custkey") % 50) / 25 - 1).alias("x"))
+    return episodes.run_episodes(cases, "quadratic", 40).select("case", r("best", "best", 7), "converged", "n_steps")
+
+
+@query(EPISODES_SQL)
 def rl_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """Fifty episodes, each a task of its own, reach the best reward."""
-    cases = spark.range(50).select(F.col("id").alias("case"), (F.col("id") / 25 - 1).alias("x"))
-    e = episodes.run_episodes(cases, "quadratic", 40)
-    return e.agg(F.count(F.when(F.col("converged"), 1)).alias("n"), (F.min("best") > -1e-6).alias("close"))
+    """An episode for each customer: best reward, whether it settled, and steps."""
+    return episode_rows(spark, d)
+
+
+@query(EPISODES_SQL)
+def episode_csv(spark: SparkSession, d: str) -> DataFrame:
+    """Results of episodes, written as CSV and read back."""
+    path = scratch(spark)
+    layout.write_csv(episode_rows(spark, d), path)
+    return spark.read.csv(path, header=True, schema="case bigint, best double, converged boolean, n_steps int")
