@@ -228,11 +228,15 @@ def nearest_points(points: DataFrame, sensors: list[tuple[float, float, float]])
     return p.withColumn("d2", d2).groupBy("sensor").agg(F.min(F.struct("d2", "point_id")).alias("m")).select("sensor", "m.point_id", "m.d2")
 
 
-def random_sensors(points: DataFrame, bounds: list[float], n: int, seed: int = 0) -> DataFrame:
-    rng = np.random.default_rng(seed)
+def sensor_places(bounds: list[float], n: int, seed: int = 0) -> list[tuple[float, float, float]]:
+    """Random places within bounds of two or three axes."""
     low, high = np.array(bounds[0::2]), np.array(bounds[1::2])
-    at = rng.uniform(low, high, (n, len(low)))
-    return nearest_points(points, [tuple(r) if len(r) == 3 else (*r, 0.0) for r in at])
+    at = np.random.default_rng(seed).uniform(low, high, (n, len(low)))
+    return [(*map(float, r), *[0.0] * (3 - len(r))) for r in at]
+
+
+def random_sensors(points: DataFrame, bounds: list[float], n: int, seed: int = 0) -> DataFrame:
+    return nearest_points(points, sensor_places(bounds, n, seed))
 
 
 def pad_vectors(df: DataFrame, names: tuple[str, str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import mesh as G
-from .base import query, r
+from .base import query, r, table
 
 NX, NY = 31, 17
 N3 = (9, 7, 5)
@@ -145,12 +145,16 @@ def find_point_in_cell(spark: SparkSession, d: str) -> DataFrame:
     return G.cells_of_node(cells2(spark), 40)
 
 
-@query("SELECT * FROM (VALUES (-1, 0, 0), (3, 1, 3), (10, 2, 5), (12, 3, 9), (30, 4, 10), (37, 5, 12), (34, 6, 13), (32, 7, 14)) t(solver, eltype, vtk)")
+@query("""
+    WITH c AS (SELECT p_partkey AS cell_id, [-1, 3, 10, 12, 30, 37, 34, 32][p_partkey % 8 + 1] AS solver FROM part),
+         t AS (SELECT *, CASE solver WHEN -1 THEN 0 WHEN 3 THEN 1 WHEN 10 THEN 2 WHEN 12 THEN 3 WHEN 30 THEN 4 WHEN 37 THEN 5 WHEN 34 THEN 6 WHEN 32 THEN 7 END AS eltype FROM c)
+    SELECT CAST(eltype AS INTEGER) AS eltype, CAST(coalesce(CASE eltype WHEN 0 THEN 0 WHEN 2 THEN 5 WHEN 3 THEN 9 WHEN 4 THEN 10 WHEN 5 THEN 12 WHEN 6 THEN 13 WHEN 7 THEN 14 END, 3) AS INTEGER) AS vtk, count(*) AS n, min(cell_id) AS first FROM t GROUP BY ALL
+""")
 def element_types(spark: SparkSession, d: str) -> DataFrame:
-    """Solvers' element numbers, ours and the result format's; a line has none of its own."""
-    t = spark.createDataFrame([(k,) for k in (-1, 3, 10, 12, 30, 37, 34, 32)], "solver int")
-    own = G.mapped(G.SOLVER_TYPES, F.col("solver"))
-    return t.select("solver", own.alias("eltype"), F.coalesce(G.mapped(G.VTK_TYPES, own), F.lit(3)).alias("vtk"))
+    """Cells of solvers' element numbers by ours and the result format's; a line has none of its own."""
+    solver = F.element_at(F.array(*map(F.lit, (-1, 3, 10, 12, 30, 37, 34, 32))), (F.col("p_partkey") % 8 + 1).cast("int"))
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("cell_id"), G.mapped(G.SOLVER_TYPES, solver).alias("eltype"))
+    return t.groupBy("eltype", F.coalesce(G.mapped(G.VTK_TYPES, F.col("eltype")), F.lit(3)).alias("vtk")).agg(F.count("*").alias("n"), F.min("cell_id").alias("first"))
 
 
 SENSORS = [(0.03, 0.11, 0.0), (5.5, -1.2, 0.0), (7.9, 1.9, 0.0)]
@@ -165,8 +169,16 @@ def nearest_sensor(spark: SparkSession, d: str) -> DataFrame:
     return G.nearest_points(points2(spark), SENSORS).select("sensor", "point_id", r("d2", "d2", 9))
 
 
-@query()
+PLACES = G.sensor_places([0.0, 5.0, -1.0, 1.0], 6, 3)
+
+
+@query(f"""
+    WITH {P2}, s(sensor, sx, sy) AS (VALUES {", ".join(f"({k}, {x!r}::DOUBLE, {y!r}::DOUBLE)" for k, (x, y, _) in enumerate(PLACES))}),
+         n AS (SELECT sensor, point_id, (x - sx) ** 2 + (y - sy) ** 2 AS d2 FROM p2 CROSS JOIN s)
+    SELECT sensor, point_id, round(d2, 9) + 0.0 AS d2 FROM n QUALIFY row_number() OVER (PARTITION BY sensor ORDER BY d2, point_id) = 1
+""")
 def random_sensors(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest points to six random places."""
     return G.random_sensors(points2(spark), [0.0, 5.0, -1.0, 1.0], 6, 3).select("sensor", "point_id", r("d2", "d2", 9))
 
 

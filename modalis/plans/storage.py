@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matrix as M
-from ..functions.lineage import ensure_checkpoint_dir
 from ..operators import linalg as L
 from ..operators import mesh as G
 from ..operators import modal, surrogates
 from ..operators import tables as T
 from ..sources import layout
 from ..streaming import sketch
-from .base import EMB, long_of, query, r, rows_of, table
+from .base import EMB, FLAGS, STATUS, entries, flag_rows, long_of, query, r, rows_of, scratch, status_rows, table
 from .data import fields_of
-
-
-def scratch(spark: SparkSession) -> str:
-    """A folder of this query's own in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+from .decompositions import RECONSTRUCTED, SPOD_MODES, two_blocks
+from .models import given_weights, layer_sql
 
 
 def dataset_of(spark: SparkSession, d: str) -> layout.Dataset:
@@ -51,35 +44,79 @@ def append_dataset(spark: SparkSession, d: str) -> DataFrame:
     return layout.Dataset.load(spark, path).fields.groupBy("part").agg(F.count("*").alias("n"), r(F.sum("v"), "s", 4))
 
 
-@query("SELECT count(*) AS n FROM embeddings")
+@query("SELECT 'time' AS axis, 0 AS idim, CAST(p AS INTEGER) AS pos, round(p * 0.2::DOUBLE, 9) + 0.0 AS value FROM (SELECT unnest(range(32)) AS p)")
+def load_variables(spark: SparkSession, d: str) -> DataFrame:
+    """One axis of a saved dataset with two."""
+    path, ds = scratch(spark), dataset_of(spark, d)
+    layout.Dataset(ds.points, ds.axes.unionByName(ds.axes.withColumn("axis", F.lit("angle"))), ds.fields).save(path)
+    return layout.Dataset.load(spark, path, variables=["time"]).axes.select("axis", "idim", "pos", r("value", "value", 9))
+
+
+@query(f"""
+    WITH {EMB} SELECT i AS point_id, CAST(j % 32 AS INTEGER) AS t, round(j % 32 * 0.2::DOUBLE, 9) + 0.0 AS time, CAST(i AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS y, CAST(0 AS DOUBLE) AS z, max(CASE WHEN j >= 32 THEN v END) AS b, max(CASE WHEN j < 32 THEN v END) AS a
+    FROM emb GROUP BY i, j % 32
+""")
+def nn_dataset(spark: SparkSession, d: str) -> DataFrame:
+    """Samples for a network from a saved dataset: fields beside their variables and the mesh's coordinates."""
+    path = scratch(spark)
+    dataset_of(spark, d).save(path)
+    return layout.Dataset.load(spark, path).samples(["b", "a"], ["time"]).withColumn("time", r("time", "time", 9))
+
+
+@query("SELECT vec_id AS point_id, CAST(vec_id AS DOUBLE) AS x FROM embeddings")
 def save_unique_points(spark: SparkSession, d: str) -> DataFrame:
     """Points that two parts share are written once."""
     path, ds = scratch(spark), dataset_of(spark, d)
     layout.Dataset(ds.points.unionByName(ds.points), ds.axes, ds.fields).save_unique(path, "point_id")
-    return layout.Dataset.load(spark, path).points.agg(F.count("*").alias("n"))
+    return layout.Dataset.load(spark, path).points.select("point_id", "x")
 
 
-@query("SELECT CAST(c AS BIGINT) AS cell_id, CAST((c // 16) * 17 + c % 16 AS INTEGER) AS first FROM (SELECT unnest(range(480)) AS c)")
+@query("""
+    WITH c AS (SELECT CAST(c AS BIGINT) AS cell_id, CAST((c // 16) * 17 + c % 16 AS INTEGER) AS first FROM (SELECT unnest(range(480)) AS c))
+    SELECT cell_id, first, round(first // 17 * 0.3::DOUBLE - 1, 9) + 0.0 AS x, round(first % 17 * 0.25::DOUBLE - 2, 9) + 0.0 AS y FROM c
+""")
 def save_load_mesh(spark: SparkSession, d: str) -> DataFrame:
+    """Cells with the places of their first nodes."""
     path = scratch(spark)
     layout.save_mesh(G.struct2d_points(spark, 31, 17, (-1.0, 8.0), (-2.0, 2.0)), G.struct2d_cells(spark, 31, 17), path)
-    return layout.load_mesh(spark, path)[1].select("cell_id", F.element_at("nodes", 1).alias("first"))
+    points, cells = layout.load_mesh(spark, path)
+    c = cells.select("cell_id", F.element_at("nodes", 1).alias("first"))
+    return c.join(points, F.col("first") == F.col("point_id")).select("cell_id", "first", r("x", "x", 9), r("y", "y", 9))
 
 
-@query("SELECT vec_id AS row_id, 3 AS modes FROM embeddings")
+@query(f"WITH {STATUS} SELECT i, CAST(j AS INTEGER) AS j, round((a * p + b * q) * CASE j WHEN 0 THEN p ELSE q END, 5) + 0.0 AS v FROM st CROSS JOIN ei CROSS JOIN (SELECT unnest([0, 1]) AS j)")
 def save_load_modes(spark: SparkSession, d: str) -> DataFrame:
-    """The first three modes of a saved decomposition."""
+    """The reconstruction by the first mode of a saved decomposition: others aren't read."""
+    path = scratch(spark)
+    layout.save_modes(modal.pod(status_rows(spark, d), remove_mean=False), path)
+    return entries(modal.reconstruct(layout.load_modes(spark, path, 1)), 5)
+
+
+@query(RECONSTRUCTED)
+def save_load_dynamics(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots from saved dynamic modes, eigenvalues and amplitudes."""
+    path = scratch(spark)
+    layout.save_dynamics(modal.dmd(flag_rows(spark, d), 2, remove_mean=False), path)
+    return entries(modal.dmd_reconstruct(layout.load_dynamics(spark, path), np.arange(3.0)), 4)
+
+
+@query(SPOD_MODES)
+def save_load_spectral(spark: SparkSession, d: str) -> DataFrame:
+    """Modes of the three strongest frequencies of a saved spectral decomposition."""
     path = scratch(spark)
-    layout.save_modes(modal.pod(rows_of(spark, d)), path)
-    return layout.load_modes(spark, path, 3).u.select("row_id", F.size("x").alias("modes"))
+    layout.save_spectral(two_blocks(spark, d), path)
+    e = modal.extract_spectral(layout.load_spectral(spark, path, 3), 2, 2, [1, 3])
+    return e.select("point", r(F.element_at("x", 1), "a", 5), r(F.element_at("x", 2), "b", 5))
 
 
-@query("SELECT * FROM (VALUES ('b', CAST(3 AS BIGINT)), ('mu', CAST(3 AS BIGINT))) t(name, n)")
+@query(f"WITH {STATUS} SELECT i, CAST(j AS INTEGER) AS j, round(CASE j WHEN 0 THEN a / sqrt(aa) ELSE (b - ab / aa * a) / sqrt(bb - ab * ab / aa) END, 6) + 0.0 AS v FROM st CROSS JOIN mo CROSS JOIN (SELECT unnest([0, 1]) AS j)")
 def save_load_factors(spark: SparkSession, d: str) -> DataFrame:
-    """Small complex factors."""
+    """Q of a saved factorisation, from which R is subtracted again: Q R R^-1."""
     path = scratch(spark)
-    layout.save_small(spark, path, mu=np.array([1j, -1j, 0.5]), b=np.array([1.0, 2.0, 3.0]))
-    return spark.createDataFrame([(n, int(a.size)) for n, a in layout.load_small(spark, path).items()], "name string, n bigint")
+    q, small = L.orthonormal(status_rows(spark, d))
+    layout.save_tall(L.times(q, small), f"{path}/qr")
+    layout.save_small(spark, f"{path}/small", r=small)
+    return entries(L.times(layout.load_tall(spark, f"{path}/qr"), np.linalg.inv(layout.load_small(spark, f"{path}/small")["r"])))
 
 
 POLAR = "p AS (SELECT p_size AS k, p_partkey % 3 AS a, avg(p_retailprice) AS cp FROM part GROUP BY ALL)"
@@ -109,53 +146,55 @@ def scaler_json(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, a, b) for n, (a, b) in layout.load_scaler(spark, path).items()], "name string, low double, high double")
 
 
-@query("SELECT CAST(t AS INTEGER) AS t, CAST(5 + 3 + 2 * (SELECT count(*) FROM embeddings) AS BIGINT) AS lines FROM (SELECT unnest(range(3)) AS t)")
+@query(f"WITH {EMB} SELECT j AS t, CAST(5 + 3 + 2 * count(*) AS BIGINT) AS lines, round(sum(v), 6) + 0.0 AS total FROM emb GROUP BY j")
 def vtk_files(spark: SparkSession, d: str) -> DataFrame:
-    """One file a time for viewers: head, places, head, values."""
+    """One folder a time for viewers: head, places, head, values."""
     path = scratch(spark)
-    v = long_of(spark, d).filter("j < 3").select(F.col("j").alias("t"), F.col("i").alias("point_id"), "v")
-    layout.write_vtk(dataset_of(spark, d).points, v, path)
-    return spark.read.text(path).groupBy("t").agg(F.count("*").alias("lines"))
+    v = long_of(spark, d).select(F.col("j").alias("t"), F.col("i").alias("point_id"), "v")
+    layout.write_vtk(dataset_of(spark, d).points, v, path, 400)
+    value = F.when(F.col("part").startswith("3-"), F.col("value").cast("double"))
+    return spark.read.text(path).groupBy("t").agg(F.count("*").alias("lines"), r(F.sum(value), "total"))
+
 
+COLUMNS = f"WITH {FLAGS} SELECT i, CAST(j AS INTEGER) AS j, round(CASE j WHEN 0 THEN a WHEN 1 THEN b ELSE c END, 4) + 0.0 AS v FROM fl CROSS JOIN (SELECT unnest([0, 1, 2]) AS j)"
 
-@query("SELECT CAST(64 AS BIGINT) AS snapshots, true AS close")
+
+@query(COLUMNS)
 def qr_streaming(spark: SparkSession, d: str) -> DataFrame:
-    """Four blocks of columns in turn: Q B is near the matrix of rank 6 that they come from."""
-    low = modal.reconstruct(modal.truncate(modal.pod(rows_of(spark, d), remove_mean=False), 6)).cache()
-    block = lambda k: low.select("row_id", F.slice("x", 16 * k + 1, 16).alias("x"))
-    s = sketch.start(block(0), 10, 1, 7)
-    for k in range(1, 4):
-        s = sketch.update(s, block(k), 10, 1, 7)
-    both = L.times(s.q, s.b).withColumnRenamed("x", "y").join(low, "row_id")
-    e = both.select(F.explode(F.arrays_zip(F.col("x").alias("a"), F.col("y").alias("b"))).alias("p")).agg(F.sqrt(F.sum((F.col("p.a") - F.col("p.b")) ** 2) / F.sum(F.col("p.a") ** 2)).alias("e"))
-    return e.select(F.lit(s.b.shape[1]).cast("bigint").alias("snapshots"), (F.col("e") < 1e-6).alias("close"))
-
-
-@query("SELECT CAST(32 AS BIGINT) AS snapshots, CAST(2 AS BIGINT) AS versions")
+    """Blocks of two and one columns in turn: Q B gives all of them back."""
+    rows = flag_rows(spark, d)
+    s = sketch.start(rows.select("row_id", F.slice("x", 1, 2).alias("x")), 3, 1, 7)
+    s = sketch.update(s, rows.select("row_id", F.slice("x", 3, 1).alias("x")), 3, 1, 7)
+    return entries(L.times(s.q, s.b), 4)
+
+
+@query(COLUMNS)
 def qr_stream_query(spark: SparkSession, d: str) -> DataFrame:
-    """The same as a structured stream over files, one block a micro-batch."""
+    """The same as a structured stream over files, one block a micro-batch; the last version is read back."""
     path = scratch(spark)
-    for k in range(2):
-        rows_of(spark, d).select("row_id", F.slice("x", 16 * k + 1, 16).alias("x")).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    for first, n in ((1, 2), (3, 1)):
+        flag_rows(spark, d).select("row_id", F.slice("x", first, n).alias("x")).coalesce(1).write.mode("append").parquet(f"{path}/in")
     stream = spark.readStream.schema("row_id bigint, x array<double>").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    sketch.run(stream, f"{path}/out", f"{path}/state", 8, 1, 3)
+    sketch.run(stream, f"{path}/out", f"{path}/state", 3, 1, 3)
     last = sketch.load(spark, f"{path}/out", 2)
-    return spark.createDataFrame([(int(last.b.shape[1]), 2)], "snapshots bigint, versions bigint")
+    return entries(L.times(last.q, last.b), 4)
 
 
-@query(f"WITH {EMB} SELECT i, j, v FROM emb WHERE i < 50")
+@query(f"WITH {EMB} SELECT i, j, v FROM emb")
 def matrix_forms(spark: SparkSession, d: str) -> DataFrame:
     """Rows to entries and back."""
-    return M.to_long(M.to_rows(long_of(spark, d).filter("i < 50")))
+    return M.to_long(M.to_rows(long_of(spark, d)))
+
+
+LAYER = layer_sql(["x"], 3, 0, True)
 
 
-@query("SELECT true AS same, CAST(2 AS BIGINT) AS settings")
+@query(f"WITH h AS (SELECT c_custkey, {', '.join(f'{e} AS h{k}' for k, e in enumerate(LAYER))} FROM (SELECT c_custkey, c_acctbal / 1000 AS x FROM customer)) SELECT c_custkey, round({layer_sql(['h0', 'h1', 'h2'], 1, 1, False)[0]}, 6) + 0.0 AS p FROM h")
 def model_checkpoint(spark: SparkSession, d: str) -> DataFrame:
-    """A perceptron that is read back predicts the same."""
-    x = np.linspace(-1, 1, 60)[:, None]
-    m = surrogates.Perceptron((6,), 20).fit(x, x**2)
+    """A perceptron that is written, read back, and applied to every customer."""
     path = scratch(spark)
-    layout.save_model(spark, path, m.weights, {"rate": m.rate, "epochs": m.epochs})
+    layout.save_model(spark, path, given_weights(1, 3, 1), {"rate": 0.01, "epochs": 20})
     weights, settings = layout.load_model(spark, path)
-    back = surrogates.Perceptron((6,), 20, weights=weights)
-    return spark.createDataFrame([(bool(np.allclose(back.predict(x), m.predict(x))), len(settings))], "same boolean, settings bigint")
+    model = surrogates.Perceptron((3,), int(settings["epochs"]), weights=weights)
+    rows = table(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") / 1000).alias("x"))
+    return surrogates.predict_rows(rows, ["x"], model, ["q"]).select("c_custkey", r("q", "p"))

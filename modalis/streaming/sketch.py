@@ -27,8 +27,10 @@ class Sketch:
 
 
 def sketch_of(rows: DataFrame, r: int, q: int, seed: int) -> DataFrame:
-    n = M.width(rows)
-    return L.times(rows, L.power_basis(rows, np.random.default_rng(seed).random((n, r)), q))
+    """``r`` random combinations of the columns, also of a block that has fewer."""
+    rng = np.random.default_rng(seed)
+    w = L.power_basis(rows, rng.random((M.width(rows), r)), q)
+    return L.times(rows, w if w.shape[1] == r else w @ rng.random((w.shape[1], r)))
 
 
 def start(rows: DataFrame, r: int, q: int = 1, seed: int = 0) -> Sketch:

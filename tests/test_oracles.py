@@ -14,10 +14,6 @@ TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VA
 
 pytestmark = pytest.mark.skipif(not Path(DATA).exists(), reason="no test data")
 
-#: Statements that hold at sizes of the other scales only: this one has fewer parts.
-LARGER = {"split_ordered"}
-
-
 @pytest.fixture(scope="module")
 def tables():
     c = duckdb.connect()
@@ -26,7 +22,7 @@ def tables():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.ORACLE_SQL) - LARGER))
+@pytest.mark.parametrize("name", sorted(registry.ORACLE_SQL))
 def test_query_equals_statement(spark, tables, name):
     got = registry.QUERIES[name](spark, DATA)
     want = tables.sql(registry.ORACLE_SQL[name])
