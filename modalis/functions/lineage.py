@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Files of a cut for each core at least, and rows of one file at most, about.
 FILES_A_CORE, ROWS_A_FILE = 2, 100_000
@@ -24,14 +25,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
+def sized(df: DataFrame, rows: int, each: int = ROWS_A_FILE) -> DataFrame:
+    """``df`` of about ``rows`` rows, for writing: each partition is a file, so a small table is to have a few a core and
+    not one for each of many shuffle partitions. ``each``: rows of a file; fewer where each row is much work."""
+    files = max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each))
+    return df.coalesce(files) if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
 def cut(df: DataFrame, rows: int | None = None, each: int = ROWS_A_FILE) -> DataFrame:
-    """``df``, read from the checkpoint folder. Each partition is a file there: with ``rows``, about how many rows it
-    has, a small table is cut into a few files a core and not into one for each of many shuffle partitions. ``each``:
-    rows of a file; fewer where each row is much work."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    if rows is not None:
-        files = max(FILES_A_CORE * spark.sparkContext.defaultParallelism, -(-rows // each))
-        if files < int(spark.conf.get("spark.sql.shuffle.partitions")):
-            df = df.coalesce(files)
-    return df.checkpoint(eager=True)
+    """``df``, read from the checkpoint folder; ``sized`` if about how many rows it has is known."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return (df if rows is None else sized(df, rows, each)).checkpoint(eager=True)
+
+
+def few(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` for a join: to be broadcast if it has at most ``most`` rows, else left to the planner."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df

@@ -22,11 +22,13 @@ def to_rows(long: DataFrame) -> DataFrame:
 
 def dense_rows(long: DataFrame, columns: int) -> DataFrame:
     """Rows of ``columns`` entries; absent ones are 0. Entries at the same place add up, before the shuffle
-    where they can."""
+    where they can. A row is put together from its entries in order and the gaps between them."""
     cells = long.groupBy("i", "j").agg(F.sum("v").alias("v"))
-    filled = F.map_from_entries(F.collect_list(F.struct("j", "v")))
-    at = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda j: F.coalesce(F.element_at(F.col("__m"), j), F.lit(0.0)))
-    return cells.groupBy(F.col("i").alias("row_id")).agg(filled.alias("__m")).select("row_id", at.alias("x"))
+    held = cells.groupBy(F.col("i").alias("row_id")).agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("__e"))
+    before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(F.col("__e"), k - 1)["j"])
+    parts = F.flatten(F.transform("__e", lambda e, k: F.concat(F.array_repeat(F.lit(0.0), (e["j"] - before(k) - 1).cast("int")), F.array(e["v"]))))
+    rest = F.array_repeat(F.lit(0.0), (columns - 1 - F.element_at("__e", -1)["j"]).cast("int"))
+    return held.select("row_id", F.concat(parts, rest).alias("x"))
 
 
 def width(rows: DataFrame) -> int:

@@ -86,6 +86,11 @@ def block(batch: pa.RecordBatch, name: str = "x") -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else flat.reshape(0, 0)
 
 
+def list_array(y: np.ndarray) -> pa.ListArray:
+    """The rows of a matrix as a column of arrays."""
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1, dtype=np.int32) * y.shape[1]), pa.array(y.ravel()))
+
+
 # --- long form -------------------------------------------------------------------------------------------
 
 
@@ -160,9 +165,7 @@ def times(rows: DataFrame, b: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                y = block(batch) @ shared.value
-                offsets = pa.array(np.arange(0, y.size + 1, y.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(y.ravel()))], names=["row_id", "x"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), list_array(block(batch) @ shared.value)], names=["row_id", "x"])
 
     return rows.select("row_id", "x").mapInArrow(run, "row_id bigint, x array<double>")
 

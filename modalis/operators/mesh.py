@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import columns as C
-from ..functions.lineage import cut
+from ..functions.lineage import cut, few
 
 # Element types, what solvers and result formats call them, and kinds of mesh.
 QUAD, HEXAHEDRON = 3, 5
@@ -68,7 +68,7 @@ def structured_centres(points: DataFrame, axes: tuple[str, ...] = ("x", "y")) ->
         w = Window.orderBy(a)
         mid = points.select(a).distinct().select(a, F.lead(a).over(w).alias("n"), (F.row_number().over(w) - 1).alias(f"k{a}")).filter("n is not null")
         mid = mid.select(F.col(f"k{a}"), (F.col(a) + (F.col("n") - F.col(a)) / 2).alias(a))
-        out = mid if out is None else out.crossJoin(F.broadcast(mid))
+        out = mid if out is None else out.crossJoin(few(mid))
     return out
 
 
@@ -146,9 +146,9 @@ def interior_cells(cells: DataFrame) -> DataFrame:
 
 
 def at_sensors(fields: DataFrame, sensors: DataFrame) -> DataFrame:
-    """Scalar fields (one component) at the sensors' points; sensors are few."""
+    """Scalar fields (one component) at the sensors' points; they are broadcast if they are few."""
     scalar = fields.groupBy("field").agg(F.max("comp").alias("c")).filter("c = 0").select("field")
-    return fields.join(F.broadcast(scalar), "field", "left_semi").join(F.broadcast(sensors.select("sensor", "point_id")), "point_id").select("sensor", "field", "t", "v")
+    return fields.join(few(scalar), "field", "left_semi").join(few(sensors.select("sensor", "point_id")), "point_id").select("sensor", "field", "t", "v")
 
 
 def wall_normals(points: DataFrame, cells: DataFrame) -> DataFrame:

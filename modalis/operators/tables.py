@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.lineage import few
+
 
 def build_x(fields: DataFrame, names: list[str]) -> DataFrame:
     """Long snapshot matrix of some fields (all components): row = point * components + component, in the
@@ -173,8 +175,7 @@ def cross_samples(parameters: DataFrame, points: DataFrame) -> DataFrame:
     has par from 0, ``points`` pt from 0; the parameter table is the small one and is broadcast only while it
     has few rows."""
     n = points.count()
-    few = parameters.limit(10_001).count() <= 10_000
-    both = points.crossJoin(F.broadcast(parameters) if few else parameters)
+    both = points.crossJoin(few(parameters, 10_000))
     return both.withColumn("idx", F.col("par") * n + F.col("pt"))
 
 

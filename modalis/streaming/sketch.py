@@ -1,15 +1,17 @@
 """Streaming randomised QR: columns (time) arrive in blocks, rows stay.
 
-The state is Q, B and the sketch Y. A new block adds its sketch to Y, the basis is made anew, and B is carried
-over by Q2'Q1. Each block's random matrix comes from seed + block, so a replayed block gives the same state;
+The state is Q and the sketch Y in one table, and B. A new block is joined to it once and adds its sketch to Y, the
+basis is made anew, and B is carried over by Q2'Q1. Each block's random matrix comes from seed + block, so a replayed block gives the same state;
 states are written by version, and the last complete one is where a restart goes on.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,50 +22,79 @@ from ..operators import linalg as L
 
 @dataclass
 class Sketch:
-    q: DataFrame
+    """``state``: row_id, q, y; ``b``: Q'X."""
+
+    state: DataFrame
     b: np.ndarray
-    y: DataFrame
     blocks: int
 
+    @property
+    def q(self) -> DataFrame:
+        return self.state.select("row_id", F.col("q").alias("x"))
+
 
-def sketch_of(rows: DataFrame, r: int, q: int, seed: int) -> DataFrame:
-    """``r`` random combinations of the columns, also of a block that has fewer."""
+def combinations(rows: DataFrame, r: int, q: int, seed: int) -> np.ndarray:
+    """W such that X W are ``r`` random combinations of the columns, also of a block that has fewer."""
     rng = np.random.default_rng(seed)
     w = L.power_basis(rows, rng.random((M.width(rows), r)), q)
-    return L.times(rows, w if w.shape[1] == r else w @ rng.random((w.shape[1], r)))
+    return w if w.shape[1] == r else w @ rng.random((w.shape[1], r))
+
+
+def advance(rows: DataFrame, w: np.ndarray, b: np.ndarray | None, blocks: int) -> Sketch:
+    """The state after a block. ``rows``: row_id, x of the block and, unless it is the first, q and y of the state."""
+    first, n, r = b is None, w.shape[0], w.shape[1]
+    shared = rows.sparkSession.sparkContext.broadcast(w)
+
+    def sketched(batch: pa.RecordBatch) -> np.ndarray:
+        y = L.block(batch) @ shared.value
+        return y if first else y + L.block(batch, "y")
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0), L.list_array(sketched(batch))], names=["row_id", "x"])
+
+    inverse = np.linalg.pinv(L.tsqr(rows.mapInArrow(made, "row_id bigint, x array<double>")), rcond=1e-12)
+    factor = rows.sparkSession.sparkContext.broadcast(inverse)
+
+    def products(batch: pa.RecordBatch) -> np.ndarray:
+        basis = sketched(batch) @ factor.value
+        return basis.T @ (L.block(batch) if first else np.hstack([L.block(batch, "q"), L.block(batch)]))
+
+    def states(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                y = sketched(batch)
+                yield pa.RecordBatch.from_arrays([batch.column(0), L.list_array(y @ factor.value), L.list_array(y)], names=["row_id", "q", "y"])
+
+    p = L.summed(rows, products, r * (n if first else r + n)).reshape(r, -1)
+    state = cut(rows.mapInArrow(states, "row_id bigint, q array<double>, y array<double>"))
+    return Sketch(state, p if first else np.hstack([p[:, :r] @ b, p[:, r:]]), blocks)
 
 
 def start(rows: DataFrame, r: int, q: int = 1, seed: int = 0) -> Sketch:
-    y = cut(sketch_of(rows, r, q, seed))
-    basis, _ = L.orthonormal(y)
-    basis = cut(basis)
-    b = L.cross_gram(basis.join(rows.withColumnRenamed("x", "y"), "row_id"))
-    return Sketch(basis, b, y, 1)
+    rows = rows.select("row_id", "x")
+    return advance(rows, combinations(rows, r, q, seed), None, 1)
 
 
 def update(s: Sketch, rows: DataFrame, r: int, q: int = 1, seed: int = 0) -> Sketch:
-    new = sketch_of(rows, r, q, seed + s.blocks).withColumnRenamed("x", "n")
-    y = cut(s.y.join(new, "row_id").select("row_id", F.zip_with("x", "n", lambda a, b: a + b).alias("x")))
-    basis, _ = L.orthonormal(y)
-    basis = cut(basis)
-    carried = L.cross_gram(basis.join(s.q.withColumnRenamed("x", "y"), "row_id")) @ s.b
-    fresh = L.cross_gram(basis.join(rows.withColumnRenamed("x", "y"), "row_id"))
-    return Sketch(basis, np.hstack([carried, fresh]), y, s.blocks + 1)
+    """One join brings a block to the state; all else are passes over its rows."""
+    both = cut(s.state.join(rows.select("row_id", "x"), "row_id"))
+    return advance(both, combinations(both.select("row_id", "x"), r, q, seed + s.blocks), s.b, s.blocks + 1)
 
 
 def save(s: Sketch, path: str) -> None:
     """A version is complete when its small factor is there: that is written last."""
     at = f"{path}/version={s.blocks:08d}"
-    s.q.write.mode("overwrite").parquet(f"{at}/q")
-    s.y.write.mode("overwrite").parquet(f"{at}/y")
-    M.from_small(s.q.sparkSession, s.b).write.mode("overwrite").parquet(f"{at}/b")
+    s.state.write.mode("overwrite").parquet(f"{at}/state")
+    M.from_small(s.state.sparkSession, s.b).write.mode("overwrite").parquet(f"{at}/b")
 
 
 def load(spark: SparkSession, path: str, blocks: int) -> Sketch:
     at = f"{path}/version={blocks:08d}"
     b = spark.read.parquet(f"{at}/b")
     shape = b.agg(F.max("i"), F.max("j")).first()
-    return Sketch(spark.read.parquet(f"{at}/q"), M.small(b, (shape[0] + 1, shape[1] + 1)), spark.read.parquet(f"{at}/y"), blocks)
+    return Sketch(spark.read.parquet(f"{at}/state"), M.small(b, (shape[0] + 1, shape[1] + 1)), blocks)
 
 
 def run(stream: DataFrame, path: str, checkpoint: str, r: int, q: int = 1, seed: int = 0) -> None:
