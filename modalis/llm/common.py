@@ -12,9 +12,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, few, sized
 
-__all__ = ["SPACE", "TEXTS_A_FILE", "as_batch", "buckets_for", "cut", "ddl", "map_rows", "running_total", "stream_rows", "table", "text_batches", "word_count"]
+__all__ = ["SPACE", "TEXTS_A_FILE", "as_batch", "buckets_for", "cut", "ddl", "few", "map_rows", "running_total", "sized", "stream_rows", "table", "text_batches", "word_count"]
 
 #: Rows of one Arrow batch that goes back to the JVM, and of one that comes from it.
 OUT_ROWS, TEXT_ROWS = 2048, 1024

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from .common import TEXTS_A_FILE, cut, ddl, map_rows, table, text_batches
+from .common import TEXTS_A_FILE, cut, ddl, map_rows, sized, table, text_batches
 from .components import components
 
 #: Shingle words and least similarity of the query's contract; HASHES min-hashes; a hub is at least half alike.
@@ -364,7 +364,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
     named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = sets.filter("n is not null").select("rid", "n", "digest").join(named, "digest", "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("label", "rid").alias("label"))
     if unique:
-        return out.select(F.col("rid").alias("doc_id"), "rid", "n_shingles", F.col("label").alias("component_id"), (F.col("rid") == F.col("label")).alias("first"))
+        return sized(out.select(F.col("rid").alias("doc_id"), "rid", "n_shingles", F.col("label").alias("component_id"), (F.col("rid") == F.col("label")).alias("first")), n)
     out = out.distinct().join(rows.select("doc_id", F.xxhash64("doc_id", "text").alias("rid")), "rid")
     lead = out.groupBy("label").agg(F.min("doc_id").alias("component_id"), F.min(F.struct("doc_id", "rid")).alias("m"))
     out = cut(out, n).join(lead, "label")
@@ -386,4 +386,4 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     out = rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, F.col("__rid") == F.col("rid"), "left_anti")
     if unique["n"] != unique["d"]:
         out = out.dropDuplicates(["__rid"])
-    return out.drop("__rid")
+    return sized(out.drop("__rid"), unique["n"], TEXTS_A_FILE)

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import map_rows, table
+from .common import TEXTS_A_FILE, cut, few, map_rows, sized, table
 
 UNKNOWN = "und"
 PER_LANG, DICT_BYTES = 64, 98_304
@@ -61,7 +61,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, dict_bytes: int = DICT_
     ids = known.groupBy("lang", F.pmod(h, F.lit(per_lang)).alias("c")).agg(F.min(F.struct(h.alias("h"), F.col("doc_id"))).alias("m"), F.count("*").alias("n"))
     ids = ids.select("lang", F.col("m.doc_id").alias("doc_id"), F.col("m.h").alias("h"), F.sum("n").over(Window.partitionBy("lang")).alias("n"))
     # At most per_lang rows a language, and of each text no more than a dictionary holds.
-    picked = known.join(F.broadcast(ids), ["lang", "doc_id"]).select(-F.col("n"), "lang", "h", F.substring("text", 1, dict_bytes).alias("text"))
+    picked = known.join(few(cut(ids, per_lang)), ["lang", "doc_id"]).select(-F.col("n"), "lang", "h", F.substring("text", 1, dict_bytes).alias("text"))
     kept: dict[str, list[bytes]] = {}
     left: dict[str, int] = {}
     for _, lang, _, text in sorted(picked.distinct().toLocalIterator(), key=tuple):
@@ -110,7 +110,8 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
         c = Classifier(shared.value)
         return lambda doc_id, text: [(doc_id, *c.predict(text))]
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, lang_pred string, score double, rejected boolean")
+    out = map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, lang_pred string, score double, rejected boolean")
+    return sized(out, docs.count(), TEXTS_A_FILE)
 
 
 def kept(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
@@ -123,7 +124,8 @@ def kept(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
         c = Classifier(shared.value)
         return lambda *row: [] if c.predict(row[at])[2] else [row]
 
-    return map_rows(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    out = map_rows(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    return sized(out, docs.count(), TEXTS_A_FILE)
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

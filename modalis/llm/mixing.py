@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import bind
-from .common import SPACE, TEXTS_A_FILE, buckets_for, cut, running_total, table, word_count
+from .common import SPACE, TEXTS_A_FILE, buckets_for, cut, running_total, sized, table, word_count
 
 #: Words of a block, slots of an output shard at most, and times that a word may be taken.
 BLOCK, SLOTS, MOST = 64, 4096, 3
@@ -133,7 +133,7 @@ def slots_of(sources: DataFrame, slots: int = SLOTS, block: int = BLOCK, most: i
     share = F.col("__e") / F.sum("__e").over(Window.partitionBy())
     s = counts_of(s.select("sid", "blocks", share.alias("share")), each, shards, seed)
     by_j = Window.partitionBy("sid").orderBy("j").rowsBetween(Window.unboundedPreceding, -1)
-    s = cut(s.withColumn("start", F.coalesce(F.sum("count").over(by_j), F.lit(0))))
+    s = cut(s.withColumn("start", F.coalesce(F.sum("count").over(by_j), F.lit(0))), each * sources.count())
     # Slots beyond a source's passes are given, in order, to the source with most room.
     drawn = s.groupBy("sid", "blocks").agg(F.sum("count").alias("drawn")).withColumn("room", most * F.col("blocks") - F.col("drawn"))
     over = drawn.filter("room < 0").select("sid", F.coalesce(-F.sum("room").over(Window.orderBy("sid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
@@ -199,7 +199,8 @@ def mixed_slots(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: i
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, taken = mix(table(spark, sf_dir, "documents"))
     by_row = taken.groupBy("key").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    return rows.join(by_row, "key", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    out = rows.join(by_row, "key", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "source")
+    return sized(out, rows.count())
 
 
 def mixed_documents(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, most: int = MOST) -> DataFrame:
@@ -214,4 +215,4 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, mos
     whole = F.aggregate("__mine", F.lit(0).cast("long"), lambda n, f: n + f["words"]) == word_count(F.col("text"))
     out = keyed.withColumn("__mine", mine).withColumn("__words", words)
     text = F.when(whole, F.col("text")).otherwise(some)
-    return out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    return sized(out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars")), docs.count(), TEXTS_A_FILE)

@@ -21,12 +21,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import public_tokenizers
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import cut, map_rows, table
+from .common import TEXTS_A_FILE, cut, map_rows, sized, table
 
 CAPACITY, VOCABULARY = 2048, "word_bpe_49k.json"
 #: Pieces that a task packs, about; share of the capacity below which a bin is packed again; sources that
@@ -185,21 +184,16 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, seque
 
 
 def pieces_of(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of every row. Full ones have a sequence already, a negative number; others have null."""
+    """Pieces of every row, in no sequence yet."""
 
     def make():
         encode = encoder(vocabulary)
-        first = -1 - (TaskContext.get().partitionId() << 40)
-        full = 0
 
         def each(doc_id, text):
-            nonlocal full
             ids = encode(text or "") + b"\0\0\0\0"
             for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                 part = ids[at : at + 4 * capacity]
-                whole = len(part) == 4 * capacity
-                yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), first - full if whole else None, 0 if whole else None
-                full += whole
+                yield doc_id, k, at // 4, len(part) // 4, zlib.crc32(part), None, None
 
         return each
 
@@ -207,7 +201,7 @@ def pieces_of(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAP
 
 
 def pack_tasks(pieces: DataFrame, tasks: int, first: int, capacity: int) -> DataFrame:
-    """Pack what each of ``tasks`` tasks gets. Sequence numbers are ``first`` and up, apart by task; bins
+    """Pack what each of ``tasks`` partitions gets. Sequence numbers are ``first`` and up, apart by partition; bins
     that stay underfull are told by ``fill``."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,23 +210,28 @@ def pack_tasks(pieces: DataFrame, tasks: int, first: int, capacity: int) -> Data
             f = pd.concat(got).sort_values(["doc_id", "piece", "ids_crc32"], ignore_index=True)
             number, f["offset"] = pack(f["length"].to_numpy(np.int64), capacity)
             f["fill"] = np.bincount(number, f["length"])[number].astype(np.int64)
-            f["sequence_id"] = number + (first + (TaskContext.get().partitionId() << 32))
-            yield f
+            f["sequence_id"] = number + (first + (int(f["part"][0]) << 32))
+            yield f.drop(columns="part")
 
-    return pieces.repartition(tasks, "doc_id", "piece", "ids_crc32").mapInPandas(run, PIECES + ", fill long")
+    # A task may run several partitions: the partition's own number tells them apart.
+    dealt = pieces.repartition(tasks, "doc_id", "piece", "ids_crc32").withColumn("part", F.spark_partition_id())
+    return dealt.mapInPandas(run, PIECES + ", fill long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    pieces = cut(pieces_of(docs, vocabulary, capacity))
-    full = pieces.filter("sequence_id is not null")
-    rest = pieces.filter("sequence_id is null")
-    tasks = max(1, rest.count() // PIECES_A_TASK)
-    once = cut(pack_tasks(rest, tasks, 0, capacity))
+    rows = docs.count()
+    pieces = cut(pieces_of(docs, vocabulary, capacity), rows, TEXTS_A_FILE)
+    whole = F.col("length") == capacity
+    full = pieces.filter(whole).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    rest = pieces.filter(~whole)
+    n = rest.count()
+    tasks = max(1, n // PIECES_A_TASK)
+    once = cut(pack_tasks(rest, tasks, 0, capacity), n)
     if tasks == 1:
-        return full.unionByName(once.drop("fill"))
+        return sized(full.unionByName(once.drop("fill")), rows)
     low = F.col("fill") < UNDERFULL * capacity
     again = pack_tasks(once.filter(low).drop("fill"), max(1, tasks // 32), 1 << 56, capacity)
-    return full.unionByName(once.filter(~low).drop("fill")).unionByName(again.drop("fill"))
+    return sized(full.unionByName(once.filter(~low).drop("fill")).unionByName(again.drop("fill")), rows)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

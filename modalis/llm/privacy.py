@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TEXTS_A_FILE, cut, table
+from .common import TEXTS_A_FILE, cut, sized, table
 
 LETTERS, SUPPORT, GENERALISE, REMOVE = 4, 2, 0.8, 0.95
 #: Terms up to which they are broadcast to count documents; beyond, a join by key does it.
@@ -179,7 +179,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     near = term_spans(docs, hit, n)
     none = F.array().cast(SPAN)
     clear = kept.filter("key is null").select("doc_id", "key", "base", none.alias("terms"))
-    return clear.unionByName(hit.select("doc_id", "key", "base").join(near, "key", "left").withColumn("terms", F.coalesce("terms", none)))
+    return sized(clear.unionByName(hit.select("doc_id", "key", "base").join(near, "key", "left").withColumn("terms", F.coalesce("terms", none))), n)
 
 
 def op10_disclosure_sanitisation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,4 +212,4 @@ def sanitised(docs: DataFrame) -> DataFrame:
     text = replaced(F.col("text"), F.concat("base", F.coalesce("terms", F.array().cast(SPAN))))
     hit = hit.join(near, "key", "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     clear = d.filter(F.size(base_spans(F.coalesce("text", F.lit("")))) == 0)
-    return clear.unionByName(hit.select(*clear.columns))
+    return sized(clear.unionByName(hit.select(*clear.columns)), n, TEXTS_A_FILE)

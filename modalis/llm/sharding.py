@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXTS_A_FILE, buckets_for, cut, running_total, table, word_count
+from .common import TEXTS_A_FILE, buckets_for, cut, running_total, sized, table, word_count
 
 SHARDS = 16
 #: Units above one part in so many of all bytes, tokens or rows are placed together; chunks are of about that size.
@@ -86,7 +86,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     placed = units.filter("not heavy").drop("heavy").mapInPandas(run, "text_md5 string, chunk int, shard int").unionByName(chosen)
     rows = cut(d.join(placed, ["text_md5", "chunk"]).drop("chunk", "tokens"), n)
-    return running_total(rows, ["shard"], [F.col("doc_id"), F.col("text_md5")], F.lit(1), "slot", buckets_for(n // shards))
+    return sized(running_total(rows, ["shard"], [F.col("doc_id"), F.col("text_md5")], F.lit(1), "slot", buckets_for(n // shards)), n)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
