@@ -8,8 +8,8 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Files of a cut for each core at least, and rows of one file at most, about.
-FILES_A_CORE, ROWS_A_FILE = 2, 100_000
+#: Files for each core at least, if there are that many times the least rows of a file, and rows of one at most, about.
+FILES_A_CORE, LEAST_ROWS, ROWS_A_FILE = 2, 10_000, 100_000
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
@@ -26,9 +26,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def sized(df: DataFrame, rows: int, each: int = ROWS_A_FILE) -> DataFrame:
-    """``df`` of about ``rows`` rows, for writing: each partition is a file, so a small table is to have a few a core and
-    not one for each of many shuffle partitions. ``each``: rows of a file; fewer where each row is much work."""
-    files = max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-rows // each))
+    """``df`` of about ``rows`` rows, for writing: each partition is a file, so a small table is to have a few and not
+    one for each of many shuffle partitions. ``each``: rows of a file; fewer where each row is much work."""
+    a_few = min(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-rows // min(each, LEAST_ROWS)))
+    files = max(1, a_few, -(-rows // each))
     return df.coalesce(files) if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
 
 
