@@ -23,7 +23,6 @@ def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
         both = now.select("u", "v").unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter("v > u").join(least, "u").select("v", F.col("m").alias("u")).filter("u < v").distinct()
-        large = cut(large, rows)
         small = large.groupBy("v").agg(F.min("u").alias("m"))
         joined = large.join(small, "v")
         now = cut(joined.select("v", F.col("m").alias("u")).unionByName(joined.select(F.col("u").alias("v"), F.col("m").alias("u"))).filter("u < v").distinct(), rows)

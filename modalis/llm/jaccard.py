@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from .common import TEXTS_A_FILE, cut, ddl, map_rows, sized, table, text_batches
+from .common import TEXTS_A_FILE, cut, ddl, few, map_rows, sized, table, text_batches
 from .components import components
 
 #: Shingle words and least similarity of the query's contract; HASHES min-hashes; a hub is at least half alike.
@@ -153,18 +153,18 @@ def set_rows(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 # --- 2: hubs ---------------------------------------------------------------------------------------------
 
 
-def with_texts(pairs: DataFrame, docs: DataFrame, rows: int) -> DataFrame:
+def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """``pairs`` (a, b and others) with the texts of both. Documents outside of any pair are left out
     before anything is shuffled, as long as the ids are few enough to be broadcast."""
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct(), rows)
-    mine = docs.join(F.broadcast(ids) if ids.count() <= FEW else ids, "rid", "left_semi")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct()
+    mine = docs.join(few(ids, FEW), "rid", "left_semi")
     one = pairs.join(mine.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a")
     return one.join(mine.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b").sortWithinPartitions("b")
 
 
-def compared(pairs: DataFrame, docs: DataFrame, rows: int, words: int, num: int, den: int, hubs: bool) -> DataFrame:
+def compared(pairs: DataFrame, docs: DataFrame, words: int, num: int, den: int, hubs: bool) -> DataFrame:
     """a, b, link of each pair (a, b); with ``hubs`` also n, m (sizes), and the delta of a from b where
-    they are half alike. ``rows``: rows of ``docs``."""
+    they are half alike."""
 
     def make():
         last: list = [None, None]
@@ -184,7 +184,7 @@ def compared(pairs: DataFrame, docs: DataFrame, rows: int, words: int, num: int,
 
         return each
 
-    return map_rows(with_texts(pairs, docs, rows).select("a", "b", "text_a", "text_b"), make, "a long, b long, link boolean, n long, m long, delta array<long>")
+    return map_rows(with_texts(pairs, docs).select("a", "b", "text_a", "text_b"), make, "a long, b long, link boolean, n long, m long, delta array<long>")
 
 
 def popular(compared_: DataFrame) -> DataFrame:
@@ -293,7 +293,7 @@ def postings_of(sets: DataFrame, docs: DataFrame, rows: int, words: int, num: in
 
     some = sets.filter("n > 0").select("rid", "n", "low")
     again = cut(some.mapInArrow(unfinished, ddl("rid long")).distinct(), rows)
-    texts = docs.join(F.broadcast(again) if again.count() <= FEW else again, "rid", "left_semi").select("rid", "text")
+    texts = docs.join(few(again, FEW), "rid", "left_semi").select("rid", "text")
     return some.mapInArrow(from_low, ddl(POSTINGS)).unionByName(texts.mapInArrow(from_text, ddl(POSTINGS)))
 
 
@@ -344,13 +344,13 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
     keyed = reps.select("rep", F.posexplode("mins").alias("j", "m"))
     least = keyed.groupBy("j", "m").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).filter("b < top").drop("top")
     tries = cut(keyed.join(least, ["j", "m"]).filter("rep > b").select(F.col("rep").alias("a"), "b").distinct(), n)
-    first = cut(compared(tries, d, n, words, num, den, True), n, TEXTS_A_FILE)
+    first = cut(compared(tries, d, words, num, den, True), n, TEXTS_A_FILE)
     links = first.filter("link").select("a", "b")
     chosen = cut(popular(first), n)
     # A hub that has a hub itself: its sets are tried with that one.
     up = chosen.join(chosen.select(F.col("a").alias("hub"), F.col("hub").alias("top")), "hub").select("a", F.col("top").alias("b"))
     fresh = up.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = cut(compared(fresh, d, n, words, num, den, True), n, TEXTS_A_FILE)
+    second = cut(compared(fresh, d, words, num, den, True), n, TEXTS_A_FILE)
     links = links.unionByName(second.filter("link").select("a", "b"))
     chosen = cut(popular(first.unionByName(second)), n)
     own = chosen.select(F.col("hub").alias("a")).distinct().join(chosen, "a", "left_anti").select("a", F.col("a").alias("hub"))
@@ -359,7 +359,7 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
     links = links.unionByName(hub_links(members, n, num, den))
     hubs = reps.select(F.col("rep").alias("rid")).join(members.select(F.col("a").alias("rid"), "hub"), "rid", "left").select("rid", F.coalesce("hub", "rid").alias("hub"))
     pairs = cut(list_pairs(postings_of(sets, d, n, words, num, den), hubs, n, num, den), n)
-    links = links.unionByName(compared(pairs, d, n, words, num, den, False).select("a", "b"))
+    links = links.unionByName(compared(pairs, d, words, num, den, False).select("a", "b"))
     labels = components(links, n)
     named = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("label"))
     out = sets.filter("n is not null").select("rid", "n", "digest").join(named, "digest", "left").select("rid", F.col("n").alias("n_shingles"), F.coalesce("label", "rid").alias("label"))
@@ -383,7 +383,7 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     gone = cut(found.filter(~F.col("first")).select("rid").distinct(), unique["n"])
     rid = F.col("doc_id").cast("long") if unique["n"] == unique["d"] else F.xxhash64(F.col("doc_id").cast("long"), "text")
     rows = docs.withColumn("__rid", rid)
-    out = rows.join(F.broadcast(gone) if gone.count() <= FEW else gone, F.col("__rid") == F.col("rid"), "left_anti")
+    out = rows.join(few(gone, FEW), F.col("__rid") == F.col("rid"), "left_anti")
     if unique["n"] != unique["d"]:
         out = out.dropDuplicates(["__rid"])
     return sized(out.drop("__rid"), unique["n"], TEXTS_A_FILE)
