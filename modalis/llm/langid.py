@@ -61,7 +61,7 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, dict_bytes: int = DICT_
     ids = known.groupBy("lang", F.pmod(h, F.lit(per_lang)).alias("c")).agg(F.min(F.struct(h.alias("h"), F.col("doc_id"))).alias("m"), F.count("*").alias("n"))
     ids = ids.select("lang", F.col("m.doc_id").alias("doc_id"), F.col("m.h").alias("h"), F.sum("n").over(Window.partitionBy("lang")).alias("n"))
     # At most per_lang rows a language, and of each text no more than a dictionary holds.
-    picked = known.join(few(cut(ids, per_lang)), ["lang", "doc_id"]).select(-F.col("n"), "lang", "h", F.substring("text", 1, dict_bytes).alias("text"))
+    picked = known.join(few(cut(ids)), ["lang", "doc_id"]).select(-F.col("n"), "lang", "h", F.substring("text", 1, dict_bytes).alias("text"))
     kept: dict[str, list[bytes]] = {}
     left: dict[str, int] = {}
     for _, lang, _, text in sorted(picked.distinct().toLocalIterator(), key=tuple):
