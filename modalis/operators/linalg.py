@@ -26,9 +26,9 @@ from ..functions.matrix import width
 DRIVER_COLUMNS, MERGED, SLICE = 4096, 16, 65_536
 
 
-def checked_width(rows: DataFrame, name: str = "x") -> int:
+def checked_width(rows: DataFrame) -> int:
     """The number of columns, if factors of columns x columns fit the driver."""
-    n = width(rows.select("row_id", rows[name].alias("x")) if name != "x" else rows)
+    n = width(rows)
     if n > DRIVER_COLUMNS:
         raise ValueError(f"{n} columns; reduce them first, for example by randomized_svd")
     return n
