@@ -259,13 +259,24 @@ def delayed(series: np.ndarray, lags: int) -> np.ndarray:
     return np.stack([padded[:, t : t + lags + 1].ravel() for t in range(n)])
 
 
-def sensor_reconstruction(rows: DataFrame, sensors: list[int], lags: int, ridge: float = 1e-8) -> DataFrame:
+def sensor_reconstruction(rows: DataFrame, sensors: list[int] | list[list[int]], lags: int, ridge: float = 1e-8) -> DataFrame:
     """row_id, x: every row as a linear form of the present and past readings of a few of them, by ridge regression over
-    all times. That is X times a projection of times x times, which the sensors' few rows give."""
+    all times. That is X times a projection of times x times, which the sensors' few rows give. Of several choices of
+    sensors the mean of their reconstructions."""
     n = L.checked_width(rows)
-    seen = {r["row_id"]: r["x"] for r in rows.filter(F.col("row_id").isin(sensors)).collect()}
-    a = delayed(np.array([seen[s] for s in sensors]).reshape(len(sensors), n), lags)
-    return L.times(rows, a @ np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T))
+    choices = [c if isinstance(c, list) else [c] for c in sensors] if sensors and isinstance(sensors[0], list) else [sensors]
+    seen = {r["row_id"]: r["x"] for r in rows.filter(F.col("row_id").isin(sorted({s for c in choices for s in c}))).collect()}
+    projections = []
+    for c in choices:
+        a = delayed(np.array([seen[s] for s in c]).reshape(len(c), n), lags)
+        projections.append(a @ np.linalg.solve(a.T @ a + ridge * np.eye(a.shape[1]), a.T))
+    return L.times(rows, np.mean(projections, axis=0))
+
+
+def sensor_choices(rows: DataFrame, choices: int, each: int, seed: int = 0) -> list[list[int]]:
+    """Random choices of rows as sensors: for each, those whose digests with its number are least, a top-k a choice."""
+    h = lambda k: F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(k)), F.col("row_id").cast("string")).cast("binary"))
+    return [[r["row_id"] for r in rows.select("row_id").orderBy(h(k), "row_id").limit(each).collect()] for k in range(choices)]
 
 
 def grid_search(fit: Callable[[dict], tuple[object, float]], grid: dict[str, list]) -> tuple[dict, float]:
@@ -374,6 +385,14 @@ def euler_residual(grid: DataFrame, dx: float, dy: float, gamma: float = 1.4) ->
     return g.drop(*(f"{n}_{a}" for n in flux for a in "fg"))
 
 
+def physics_loss(grid: DataFrame, residual: str, value: str, conditions: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """One row: ``equation``, the mean square of a residual where there is one, the mean square of what ``value`` is off
+    each boundary or initial condition (where it holds, what is expected there), and their ``loss``. One aggregate."""
+    off = {n: F.avg(F.when(where, (F.col(value) - expected) ** 2)) for n, (where, expected) in conditions.items()}
+    out = grid.agg(F.avg(F.col(residual) ** 2).alias("equation"), *(F.coalesce(c, F.lit(0.0)).alias(n) for n, c in off.items()))
+    return out.withColumn("loss", sum((F.col(n) for n in off), F.col("equation")))
+
+
 # --- airfoils --------------------------------------------------------------------------------------------
 
 

@@ -285,6 +285,19 @@ def pinn_burgers_residual(spark: SparkSession, d: str) -> DataFrame:
     return S.burgers_residual(wave(spark), 0.1, 0.01, 0.3).filter("residual is not null").select("i", "n", r("residual", "residual"))
 
 
+@query(f"""
+    WITH {WAVE}, r AS (SELECT i, n, u, (lead(u) OVER t - lag(u) OVER t) / 0.02 + u * (lead(u) OVER x - lag(u) OVER x) / 0.2 - 0.3 * (lead(u) OVER x - 2 * u + lag(u) OVER x) / 0.01 AS residual
+        FROM g WINDOW t AS (PARTITION BY i ORDER BY n), x AS (PARTITION BY n ORDER BY i)),
+        l AS (SELECT avg(residual ** 2) AS equation, avg(CASE WHEN n = 0 THEN (u - 0.1 * i) ** 2 END) AS start, avg(CASE WHEN i = 0 OR i = 39 THEN u ** 2 END) AS wall FROM r)
+    SELECT round(equation, 6) + 0.0 AS equation, round(start, 6) + 0.0 AS start, round(wall, 6) + 0.0 AS wall, round(equation + start + wall, 6) + 0.0 AS loss FROM l
+""")
+def pinn_loss(spark: SparkSession, d: str) -> DataFrame:
+    """What a field is off an equation, an initial and a boundary condition."""
+    r_ = S.burgers_residual(wave(spark), 0.1, 0.01, 0.3)
+    conditions = {"start": (F.col("n") == 0, 0.1 * F.col("i")), "wall": ((F.col("i") == 0) | (F.col("i") == 39), F.lit(0.0))}
+    return S.physics_loss(r_, "residual", "u", conditions).select(*(r(n, n) for n in ("equation", "start", "wall", "loss")))
+
+
 @query("""
     WITH g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 0.01::DOUBLE * i * i AS u, -0.02::DOUBLE * i * j AS v FROM (SELECT unnest(range(1, 19)) AS i) CROSS JOIN (SELECT unnest(range(1, 14)) AS j))
     SELECT i, j, CAST(0 AS DOUBLE) AS continuity, round(0.2::DOUBLE * u * i - 0.04 + 0.5, 6) + 0.0 AS momentum_x, round(-0.2::DOUBLE * u * j - 0.2::DOUBLE * v * i, 6) + 0.0 AS momentum_y FROM g
@@ -349,6 +362,18 @@ def sensor_reconstruction(spark: SparkSession, d: str) -> DataFrame:
     return entries(S.sensor_reconstruction(rows, [first], 1, 0.5))
 
 
+@query(f"""
+    WITH {EMB}, k AS (SELECT unnest(range(3)) AS k), c AS (SELECT k, vec_id FROM embeddings CROSS JOIN k QUALIFY row_number() OVER (PARTITION BY k ORDER BY md5('5:' || k || ':' || vec_id), vec_id) = 1),
+         z AS (SELECT k, j, v AS z FROM emb JOIN c ON emb.i = c.vec_id), m AS (SELECT k, sum(z * z) + 0.5 AS zz FROM z GROUP BY k),
+         w AS (SELECT k, i, sum(v * z) AS vz FROM emb JOIN z USING (j) GROUP BY k, i)
+    SELECT i, j, round(sum(vz / zz * z) / 3, 6) + 0.0 AS v FROM w JOIN z USING (k) JOIN m USING (k) GROUP BY i, j
+""")
+def sensor_ensemble(spark: SparkSession, d: str) -> DataFrame:
+    """The mean of reconstructions from three random choices of a sensor, without its past."""
+    rows = rows_of(spark, d)
+    return entries(S.sensor_reconstruction(rows, S.sensor_choices(rows, 3, 1, 5), 0, 0.5))
+
+
 @query("SELECT p_size, count(*) AS n FROM part GROUP BY p_size")
 def parameter_groups(spark: SparkSession, d: str) -> DataFrame:
     """Samples of each parameter value."""
