@@ -28,10 +28,18 @@ def dense_rows(long: DataFrame, columns: int) -> DataFrame:
     before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(F.col("__e"), k - 1)["j"])
     parts = F.flatten(F.transform("__e", lambda e, k: F.concat(F.array_repeat(F.lit(0.0), (e["j"] - before(k) - 1).cast("int")), F.array(e["v"]))))
     rest = F.array_repeat(F.lit(0.0), (columns - 1 - F.element_at("__e", -1)["j"]).cast("int"))
-    return held.select("row_id", F.concat(parts, rest).alias("x"))
+    return of_width(held.select("row_id", F.concat(parts, rest).alias("x")), columns)
+
+
+def of_width(rows: DataFrame, columns: int) -> DataFrame:
+    """``rows`` with the length of its arrays in the column's metadata, so that no job has to find it."""
+    return rows.withMetadata("x", {"width": columns})
 
 
 def width(rows: DataFrame) -> int:
+    known = rows.schema["x"].metadata.get("width")
+    if known is not None:
+        return int(known)
     first = rows.select(F.size("x").alias("n")).first()
     return 0 if first is None else int(first["n"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.lineage import cut
-from ..functions.matrix import width
+from ..functions.matrix import of_width, width
 
 #: Columns up to which n x n factors are solved on the driver, factors that are stacked at a time, and entries of a
 #: slice of a sum over tasks.
@@ -167,7 +167,7 @@ def times(rows: DataFrame, b: np.ndarray) -> DataFrame:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([batch.column(0), list_array(block(batch) @ shared.value)], names=["row_id", "x"])
 
-    return rows.select("row_id", "x").mapInArrow(run, "row_id bigint, x array<double>")
+    return of_width(rows.select("row_id", "x").mapInArrow(run, "row_id bigint, x array<double>"), b.shape[1])
 
 
 def column_distances(rows: DataFrame) -> np.ndarray:

@@ -32,7 +32,8 @@ class Modes:
 def centred(rows: DataFrame, remove_mean: bool = True, divide_variance: bool = False) -> DataFrame:
     if not remove_mean:
         return rows.select("row_id", "x")
-    return rows.select("row_id", (C.norm_variance("x") if divide_variance else C.subtract_mean("x")).alias("x"))
+    y = C.norm_variance("x") if divide_variance else C.subtract_mean("x")
+    return rows.select("row_id", y.alias("x", metadata=rows.schema["x"].metadata))
 
 
 def pod(rows: DataFrame, remove_mean: bool = True, divide_variance: bool = False, randomized: bool = False, r: int = 1, q: int = 3, seed: int = 0, method: str = "qr") -> Modes:

@@ -311,6 +311,16 @@ def test_cross_validation_sees_each_row_once(spark):
     assert np.isclose(got, np.mean([((y[fold == f] - y[fold != f].mean()) ** 2).mean() for f in range(3)]))
 
 
+def test_known_widths_follow_their_columns(spark):
+    r = rows(spark, SMALL)
+    known = M.of_width(r, 3)
+    assert M.width(r) == M.width(known) == M.width(modal.centred(known)) == 3
+    assert modal.centred(known).schema["x"].metadata == {"width": 3}
+    assert M.width(known.select("row_id", F.slice("x", 1, 2).alias("x"))) == 2
+    assert M.width(linalg.times(known, np.ones((3, 5)))) == 5 and M.width(M.dense_rows(M.to_long(r), 4)) == 4
+    assert dense(M.dense_rows(M.to_long(r).filter("v <> 2"), 4)).tolist() == [[1, 0, 3, 0], [4, 5, 9, 0], [0, 1, 5, 0]]
+
+
 def test_models_learn():
     x = np.random.default_rng(8).uniform(-1, 1, (300, 2))
     y = np.sin(x[:, 0]) + x[:, 1] ** 2
