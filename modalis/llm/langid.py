@@ -23,10 +23,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TEXTS_A_FILE, cut, few, map_rows, sized, table
+from .common import TEXTS_A_FILE, map_rows, sized, table
 
 UNKNOWN = "und"
 PER_LANG, DICT_BYTES = 64, 98_304
+#: Sampled ids up to which they are broadcast.
+FEW_IDS = 100_000
 #: Bytes of one encoded piece, and the share of the best size by which the second must be larger.
 PIECE, MARGIN = 16_384, 0.004
 #: Matches from four bytes on, found by a lazy search: words and their endings count.
@@ -61,7 +63,8 @@ def train(labelled: DataFrame, per_lang: int = PER_LANG, dict_bytes: int = DICT_
     ids = known.groupBy("lang", F.pmod(h, F.lit(per_lang)).alias("c")).agg(F.min(F.struct(h.alias("h"), F.col("doc_id"))).alias("m"), F.count("*").alias("n"))
     ids = ids.select("lang", F.col("m.doc_id").alias("doc_id"), F.col("m.h").alias("h"), F.sum("n").over(Window.partitionBy("lang")).alias("n"))
     # At most per_lang rows a language, and of each text no more than a dictionary holds.
-    picked = known.join(few(cut(ids)), ["lang", "doc_id"]).select(-F.col("n"), "lang", "h", F.substring("text", 1, dict_bytes).alias("text"))
+    languages = labelled.select("lang").distinct().count()
+    picked = known.join(F.broadcast(ids) if languages * per_lang <= FEW_IDS else ids, ["lang", "doc_id"]).select(-F.col("n"), "lang", "h", F.substring("text", 1, dict_bytes).alias("text"))
     kept: dict[str, list[bytes]] = {}
     left: dict[str, int] = {}
     for _, lang, _, text in sorted(picked.distinct().toLocalIterator(), key=tuple):
