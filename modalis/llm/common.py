@@ -14,12 +14,10 @@ from pyspark.sql.window import Window
 
 from ..functions.lineage import cut, few, sized
 
-__all__ = ["SPACE", "TEXTS_A_FILE", "as_batch", "buckets_for", "cut", "ddl", "few", "map_rows", "running_total", "sized", "stream_rows", "table", "text_batches", "word_count"]
+__all__ = ["SPACE", "as_batch", "buckets_for", "cut", "ddl", "few", "map_rows", "running_total", "sized", "stream_rows", "table", "text_batches", "word_count"]
 
 #: Rows of one Arrow batch that goes back to the JVM, and of one that comes from it.
 OUT_ROWS, TEXT_ROWS = 2048, 1024
-#: Rows of a file of what is made from texts.
-TEXTS_A_FILE = 5_000
 #: ASCII white space, which ends words.
 SPACE = r"[\x20\x09-\x0D]+"
 BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"

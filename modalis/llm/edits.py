@@ -29,7 +29,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXTS_A_FILE, cut, map_rows, sized, stream_rows, table
+from .common import cut, map_rows, sized, stream_rows, table
 
 #: Samples at a scale (half of them of either walk), characters of which a sample tells, and the least scale.
 SAMPLES, GRAM, LEAST = 96, 2, 64
@@ -235,7 +235,7 @@ EDITS = (
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
-    return sized(stream_rows(in_order(docs), edit_rows, EDITS), docs.count(), TEXTS_A_FILE)
+    return sized(stream_rows(in_order(docs), edit_rows, EDITS), docs.count())
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

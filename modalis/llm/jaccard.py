@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-from .common import TEXTS_A_FILE, cut, ddl, few, map_rows, sized, table, text_batches
+from .common import cut, ddl, few, map_rows, sized, table, text_batches
 from .components import components
 
 #: Shingle words and least similarity of the query's contract; HASHES min-hashes; a hub is at least half alike.
@@ -338,19 +338,19 @@ def similar_groups(docs: DataFrame, words: int = WORDS, num: int = NUM, den: int
     rid = F.col("doc_id") if unique else F.xxhash64("doc_id", "text")
     d = rows.select(rid.alias("rid"), "text")
     n = ids["n"]
-    sets = cut(set_rows(d, words, num, den), n, TEXTS_A_FILE)
+    sets = cut(set_rows(d, words, num, den))
     reps = sets.filter("n > 0").groupBy("digest").agg(F.min("rid").alias("rep"), F.first("n").alias("n"), F.first("mins").alias("mins"))
     reps = cut(reps, n)
     keyed = reps.select("rep", F.posexplode("mins").alias("j", "m"))
     least = keyed.groupBy("j", "m").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).filter("b < top").drop("top")
     tries = cut(keyed.join(least, ["j", "m"]).filter("rep > b").select(F.col("rep").alias("a"), "b").distinct(), n)
-    first = cut(compared(tries, d, words, num, den, True), n, TEXTS_A_FILE)
+    first = cut(compared(tries, d, words, num, den, True))
     links = first.filter("link").select("a", "b")
     chosen = cut(popular(first), n)
     # A hub that has a hub itself: its sets are tried with that one.
     up = chosen.join(chosen.select(F.col("a").alias("hub"), F.col("hub").alias("top")), "hub").select("a", F.col("top").alias("b"))
     fresh = up.join(first.select("a", "b"), ["a", "b"], "left_anti")
-    second = cut(compared(fresh, d, words, num, den, True), n, TEXTS_A_FILE)
+    second = cut(compared(fresh, d, words, num, den, True))
     links = links.unionByName(second.filter("link").select("a", "b"))
     chosen = cut(popular(first.unionByName(second)), n)
     own = chosen.select(F.col("hub").alias("a")).distinct().join(chosen, "a", "left_anti").select("a", F.col("a").alias("hub"))
@@ -386,4 +386,4 @@ def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100)
     out = rows.join(few(gone, FEW), F.col("__rid") == F.col("rid"), "left_anti")
     if unique["n"] != unique["d"]:
         out = out.dropDuplicates(["__rid"])
-    return sized(out.drop("__rid"), unique["n"], TEXTS_A_FILE)
+    return out.drop("__rid")

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TEXTS_A_FILE, map_rows, sized, table
+from .common import map_rows, sized, table
 
 UNKNOWN = "und"
 PER_LANG, DICT_BYTES = 64, 98_304
@@ -114,7 +114,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
         return lambda doc_id, text: [(doc_id, *c.predict(text))]
 
     out = map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, "doc_id long, lang_pred string, score double, rejected boolean")
-    return sized(out, docs.count(), TEXTS_A_FILE)
+    return sized(out, docs.count())
 
 
 def kept(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
@@ -127,8 +127,7 @@ def kept(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFrame:
         c = Classifier(shared.value)
         return lambda *row: [] if c.predict(row[at])[2] else [row]
 
-    out = map_rows(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
-    return sized(out, docs.count(), TEXTS_A_FILE)
+    return map_rows(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
 
 
 def training_rows(docs: DataFrame) -> DataFrame:

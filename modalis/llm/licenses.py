@@ -22,7 +22,7 @@ from bisect import bisect_right, insort
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXTS_A_FILE, map_rows, sized, table
+from .common import map_rows, sized, table
 
 #: Words of a k-gram, k-grams of a winnowing window, half the width of a band, and the least coverage.
 GRAM, WINDOW, BAND, COVERAGE = 3, 2, 16, 0.8
@@ -252,7 +252,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] | None = None, least: fl
 
         return each
 
-    return sized(map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, MATCHES), docs.count(), TEXTS_A_FILE)
+    return sized(map_rows(docs.select(F.col("doc_id").cast("long"), "text"), make, MATCHES), docs.count())
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.columns import bind
-from .common import SPACE, TEXTS_A_FILE, buckets_for, cut, running_total, sized, table, word_count
+from .common import SPACE, buckets_for, cut, running_total, sized, table, word_count
 
 #: Words of a block, slots of an output shard at most, and times that a word may be taken.
 BLOCK, SLOTS, MOST = 64, 4096, 3
@@ -174,7 +174,7 @@ def streams(docs: DataFrame, most: int = MOST) -> tuple[DataFrame, DataFrame, Da
     """The table of sources; every row with its source's; and the same with its offset in that source's stream of words."""
     rows = docs.count()
     d = with_identity(docs)
-    d = cut(with_key(d.select("doc_id", "source", "text_md5", word_count(F.col("text")).alias("size")), ids_are_keys(docs)), rows, TEXTS_A_FILE)
+    d = cut(with_key(d.select("doc_id", "source", "text_md5", word_count(F.col("text")).alias("size")), ids_are_keys(docs)))
     sources = cut(targets(d, most), rows)
     few = sources.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
     with_source = d.join(F.broadcast(sources) if few else sources, d["source"].eqNullSafe(sources["source"])).select(d["doc_id"], d["source"], d["key"], d["size"], "sid", "source_size", "target")
@@ -215,4 +215,4 @@ def mixed_documents(docs: DataFrame, block: int = BLOCK, slots: int = SLOTS, mos
     whole = F.aggregate("__mine", F.lit(0).cast("long"), lambda n, f: n + f["words"]) == word_count(F.col("text"))
     out = keyed.withColumn("__mine", mine).withColumn("__words", words)
     text = F.when(whole, F.col("text")).otherwise(some)
-    return sized(out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars")), docs.count(), TEXTS_A_FILE)
+    return out.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))

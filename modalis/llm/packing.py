@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from .common import TEXTS_A_FILE, cut, map_rows, sized, table
+from .common import cut, map_rows, sized, table
 
 CAPACITY, VOCABULARY = 2048, "word_bpe_49k.json"
 #: Pieces that a task packs, about; share of the capacity below which a bin is packed again; sources that
@@ -220,13 +220,13 @@ def pack_tasks(pieces: DataFrame, tasks: int, first: int, capacity: int) -> Data
 
 def pack_documents(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
     rows = docs.count()
-    pieces = cut(pieces_of(docs, vocabulary, capacity), rows, TEXTS_A_FILE)
+    pieces = cut(pieces_of(docs, vocabulary, capacity))
     whole = F.col("length") == capacity
     full = pieces.filter(whole).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rest = pieces.filter(~whole)
     n = rest.count()
     tasks = max(1, n // PIECES_A_TASK)
-    once = cut(pack_tasks(rest, tasks, 0, capacity), n)
+    once = cut(pack_tasks(rest, tasks, 0, capacity))
     if tasks == 1:
         return sized(full.unionByName(once.drop("fill")), rows)
     low = F.col("fill") < UNDERFULL * capacity

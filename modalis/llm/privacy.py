@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TEXTS_A_FILE, cut, sized, table
+from .common import cut, sized, table
 
 LETTERS, SUPPORT, GENERALISE, REMOVE = 4, 2, 0.8, 0.95
 #: Terms up to which they are broadcast to count documents; beyond, a join by key does it.
@@ -106,8 +106,17 @@ def found(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id, ``columns``, text (null: empty), base, key of every row. Rows with equal doc_id and text have equal keys;
     rows without personal data have none."""
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *columns, F.coalesce("text", F.lit("")).alias("text"))
-    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), "text").cast("binary"))
-    return d.withColumn("base", base_spans(F.col("text"))).withColumn("key", F.when(F.size("base") > 0, key))
+    return d.withColumn("base", base_spans(F.col("text"))).withColumn("key", F.when(F.size("base") > 0, row_key()))
+
+
+def row_key() -> Column:
+    """Of rows with doc_id and text; equal for equal rows alone."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))).cast("binary"))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """key, more: the rows that occur again, and how often again."""
+    return cut(docs.groupBy(row_key().alias("key")).agg((F.count("*") - 1).alias("more")).filter("more > 0"))
 
 
 def terms_of(text: Column) -> Column:
@@ -126,14 +135,24 @@ def places(texts: DataFrame) -> DataFrame:
     return p.select("key", "term", (F.col("end") - F.col("n")).alias("start"), "end")
 
 
+def terms_in(docs: DataFrame, terms: DataFrame, few: bool, weight: Column) -> DataFrame:
+    """term, c: ``weight`` summed over the rows of ``docs`` that hold each of ``terms``."""
+    every = docs.select(F.explode(terms_of(F.coalesce(F.col("text"), F.lit("")))).alias("term"), weight.alias("w"))
+    if few:
+        every = every.join(F.broadcast(terms), "term", "left_semi")
+    return every.groupBy("term").agg(F.sum("w").alias("c"))
+
+
 def disclosing(docs: DataFrame, held: DataFrame, n: int, support: int = SUPPORT) -> DataFrame:
     """key, term, disclosure: for each row with entities the terms that tell enough about one of them, and the most that
-    each tells, from counts over all of ``docs`` (``n`` rows). ``held``: key, text, base of the rows with entities. Only
+    each tells, from counts over all of ``docs`` (``n`` rows); rows that repeat count once. ``held``: key, text, base of the rows with entities. Only
     what cannot reach ``GENERALISE`` is left out before pairs are made: entities and terms in fewer than ``support``
     documents, and terms too frequent for an entity."""
     held = held.dropDuplicates(["key"])
     entities = held.select("key", F.explode("base").alias("s")).select("key", F.concat_ws(":", "s.kind", canonical(F.col("s.kind"), F.col("s.value"))).alias("entity")).distinct()
-    size = F.lit(float(max(2, n)))
+    again = repeats(docs)
+    surplus = again.agg(F.sum("more")).first()[0] or 0
+    size = F.lit(float(max(2, n - surplus)))
     df_e = entities.groupBy("entity").agg(F.count("*").alias("df_e")).filter(F.col("df_e") >= support)
     # df(t, e) <= df(e), so a pair at GENERALISE has df(t) <= most.
     most = size * F.pow(F.least(F.col("df_e"), size / 2) / size, F.lit(GENERALISE)) * (1 + 1e-9)
@@ -141,12 +160,13 @@ def disclosing(docs: DataFrame, held: DataFrame, n: int, support: int = SUPPORT)
     words = held.join(e.select("key").distinct(), "key", "left_semi").select("key", F.explode(terms_of(F.col("text"))).alias("term")).distinct()
     terms = cut(words.groupBy("term").agg(F.count("*").alias("c")).filter(F.col("c") >= support).select("term"), n)
     few = terms.limit(FEW_TERMS + 1).count() <= FEW_TERMS
-    every = docs.select(F.explode(terms_of(F.coalesce(F.col("text"), F.lit("")))).alias("term"))
-    if few:
-        every = every.join(F.broadcast(terms), "term", "left_semi")
     top = e.agg(F.max("most").alias("top")).first()["top"] or 0.0
-    df_t = every.groupBy("term").agg(F.count("*").alias("df_t")).filter(F.col("df_t") <= top)
-    rare = cut(df_t.join(terms, "term"), n)
+    df_t = terms_in(docs, terms, few, F.lit(1)).withColumnRenamed("c", "df_t")
+    if surplus:
+        # What repeated rows count beyond once is taken off again: one row of each says its terms.
+        one = docs.select(row_key().alias("key"), "text").join(again, "key").dropDuplicates(["key"])
+        df_t = df_t.join(terms_in(one, terms, few, F.col("more")), "term", "left").select("term", (F.col("df_t") - F.coalesce("c", F.lit(0))).alias("df_t"))
+    rare = cut(df_t.filter(F.col("df_t") <= top).join(terms, "term"), n)
     rare = words.join(F.broadcast(rare) if few else rare, "term")
     joint = e.join(rare, "key").filter(F.col("df_t") <= F.col("most"))
     pairs = joint.groupBy("entity", "term", "df_t", "df_e").agg(F.count("*").alias("df_te")).filter(F.col("df_te") >= support)
@@ -174,7 +194,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
     """doc_id, key, base, terms of every row. One pass over texts finds the base spans and keeps the texts of rows that
     have some; a second one counts the terms of those in all rows."""
     n = docs.count()
-    kept = cut(found(docs).withColumn("text", F.when(F.col("key").isNotNull(), F.col("text"))), n, TEXTS_A_FILE)
+    kept = cut(found(docs).withColumn("text", F.when(F.col("key").isNotNull(), F.col("text"))))
     hit = kept.filter("key is not null")
     near = term_spans(docs, hit, n)
     none = F.array().cast(SPAN)
@@ -207,9 +227,9 @@ def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` (columns of documents) with every span replaced; rows without personal data are untouched."""
     n = docs.count()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
-    hit = cut(found(d, "lang", "source").filter("key is not null"), n, TEXTS_A_FILE)
+    hit = cut(found(d, "lang", "source").filter("key is not null"))
     near = term_spans(d, hit, n)
     text = replaced(F.col("text"), F.concat("base", F.coalesce("terms", F.array().cast(SPAN))))
     hit = hit.join(near, "key", "left").withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
     clear = d.filter(F.size(base_spans(F.coalesce("text", F.lit("")))) == 0)
-    return sized(clear.unionByName(hit.select(*clear.columns)), n, TEXTS_A_FILE)
+    return clear.unionByName(hit.select(*clear.columns))

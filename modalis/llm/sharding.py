@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXTS_A_FILE, buckets_for, cut, running_total, sized, table, word_count
+from .common import buckets_for, cut, running_total, sized, table, word_count
 
 SHARDS = 16
 #: Units above one part in so many of all bytes, tokens or rows are placed together; chunks are of about that size.
@@ -55,9 +55,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
             word_count(text).alias("tokens"),
             F.crc32(text.cast("binary")).alias("text_crc32"),
             F.md5(text.cast("binary")).alias("text_md5"),
-        ),
-        n,
-        TEXTS_A_FILE,
+        )
     )
     total = d.agg(F.sum("size").alias("b"), F.sum("tokens").alias("t")).first()
     share = F.greatest(F.sum("size") / max(1, total["b"] or 0), F.sum("tokens") / max(1, total["t"] or 0), F.count("*") / max(1, n))

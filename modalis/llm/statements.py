@@ -70,7 +70,7 @@ RUN = r"[\p{L}\p{N}@._%+-]+"
 TERM = rf"^(\p{{L}}{{{LETTERS},}})(?:\.(?:[@._%+-].*)?)?$"
 
 OP10 = rf"""
-WITH docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS doc_id, id, text FROM (SELECT DISTINCT doc_id AS id, coalesce(text, '') AS text FROM documents)),
 base AS ({" UNION ALL ".join(map(spans, BASE))}),
 runs AS ({matches(RUN, "docs")}),
 places AS (
@@ -92,8 +92,8 @@ spelt AS (
         string_agg(kind || ':' || a || ':' || b, ',' ORDER BY ord, a) FILTER (WHERE ord < 9) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY ord, a) AS spans
     FROM every GROUP BY doc_id
 )
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_terms, 0) AS n_terms
-FROM docs LEFT JOIN spelt USING (doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_terms, 0) AS n_terms
+FROM documents d JOIN docs k ON d.doc_id IS NOT DISTINCT FROM k.id AND coalesce(d.text, '') = k.text LEFT JOIN spelt s ON s.doc_id = k.doc_id
 """
 
 ORACLE_SQL = {"op2_chat_template": OP2, "op6_jaccard_join": OP6, "op10_disclosure_sanitisation": OP10}

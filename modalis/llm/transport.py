@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TEXTS_A_FILE, map_rows, sized, table
+from .common import map_rows, sized, table
 
 # Fixed values of the format.
 PACKET, SYNC, PAT_PID, PMT_PID, ES_PID, PROGRAM = 188, 0x47, 0, 0x100, 0x101, 1
@@ -275,4 +275,4 @@ def media_column(docs: DataFrame) -> DataFrame:
 
 def op1_transport_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return sized(map_rows(docs.select(F.col("doc_id").cast("long"), "text"), media_rows, SCHEMA), docs.count(), TEXTS_A_FILE)
+    return sized(map_rows(docs.select(F.col("doc_id").cast("long"), "text"), media_rows, SCHEMA), docs.count())

@@ -43,3 +43,11 @@ def test_odd_rows(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     for name in queries.ORACLE_SQL:
         compare(spark, name, str(tmp_path))
+
+
+def test_repeated_rows_and_shared_ids(spark, tmp_path):
+    rows = [(1, "zebulon writes a.b@c.de daily"), (2, "ask zebulon at a.b@c.de now"), (2, "other words of 1.2.3.4 there"), (None, "zebulon 1.2.3.4 there"), (None, None)] + [(k, f"plain number {k} daily") for k in range(3, 40)]
+    rows += rows[:3] * 4 + rows[6:9] * 3 + rows[3:5]
+    docs = spark.createDataFrame([(k, t, None, None, 0) for k, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    compare(spark, "op10_disclosure_sanitisation", str(tmp_path))

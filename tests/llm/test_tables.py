@@ -555,3 +555,13 @@ def test_repeated_rows_count_once(spark):
     d = docs(spark, [(1, "mail me at a.b@c.org Quagmire please", "en", "s")] * 5 + [(k, "other text", "en", "s") for k in range(2, 40)])
     got = [r for r in privacy.personal_data(d).collect() if r.doc_id == 1]
     assert len(got) == 5 and all(len(r.base) == 1 and not r.terms for r in got)
+
+
+def test_repeating_rows_changes_no_span(spark):
+    """A term that stands in both documents of an entity and nowhere else is told, however often any row occurs."""
+    rows = [(1, "zebulon writes a.b@c.de daily", "en", "s"), (2, "ask zebulon at a.b@c.de now", "en", "s")] + [(k, f"plain words number {k} daily", "en", "s") for k in range(3, 40)]
+    want = {r.doc_id: (r.base, r.terms) for r in privacy.personal_data(docs(spark, rows)).collect()}
+    assert {s.value for s in want[1][1]} == {s.value for s in want[2][1]} == {"zebulon"}
+    for k, times in ((0, 6), (1, 30), (5, 50)):
+        got = privacy.personal_data(docs(spark, rows + [rows[k]] * times)).collect()
+        assert len(got) == len(rows) + times and all((r.base, r.terms) == want[r.doc_id] for r in got)
