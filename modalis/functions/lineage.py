@@ -8,7 +8,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Files for each core at least, if there are that many times the least rows of a file, and rows of one at most, about.
+#: Files for each core at most while files hold fewer rows than the most, and the least and the most rows of one, about.
 FILES_A_CORE, LEAST_ROWS, ROWS_A_FILE = 2, 10_000, 100_000
 
 
@@ -25,18 +25,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared)
 
 
-def sized(df: DataFrame, rows: int, each: int = ROWS_A_FILE) -> DataFrame:
-    """``df`` of about ``rows`` rows, for writing: each partition is a file, so a small table is to have a few and not
-    one for each of many shuffle partitions. ``each``: rows of a file; fewer where each row is much work."""
-    a_few = min(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-rows // min(each, LEAST_ROWS)))
-    files = max(1, a_few, -(-rows // each))
-    return df.coalesce(files) if files < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+def files_for(spark: SparkSession, rows: int) -> int:
+    """Files of a table of about ``rows`` small rows: each partition is one, so a small table is to have a few."""
+    return max(1, min(FILES_A_CORE * spark.sparkContext.defaultParallelism, -(-rows // LEAST_ROWS)), -(-rows // ROWS_A_FILE))
 
 
-def cut(df: DataFrame, rows: int | None = None, each: int = ROWS_A_FILE) -> DataFrame:
-    """``df``, read from the checkpoint folder; ``sized`` if about how many rows it has is known."""
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of about ``rows`` small rows, for writing, dealt to few partitions by a shuffle: what makes the rows keeps
+    its own tasks, as many as there are."""
+    return df.repartition(files_for(df.sparkSession, rows))
+
+
+def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df``, read from the checkpoint folder. ``rows``: about how many rows a join or an aggregate of small rows gives,
+    whose last stage then runs in as many tasks as files; not for what Python or a pass over texts makes."""
     ensure_checkpoint_dir(df.sparkSession)
-    return (df if rows is None else sized(df, rows, each)).checkpoint(eager=True)
+    if rows is not None and (files := files_for(df.sparkSession, rows)) < int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        df = df.coalesce(files)
+    return df.checkpoint(eager=True)
 
 
 def few(df: DataFrame, most: int = 100_000) -> DataFrame:
