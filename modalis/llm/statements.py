@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from string import ascii_lowercase, ascii_uppercase
 
+from .codes import ENTRIES, PARTS, ROUNDS, SCALE
 from .privacy import GENERALISE, LETTERS, REMOVE, SUPPORT
 from .templates import HOSTILE
 
@@ -96,4 +97,34 @@ SELECT d.doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE)}, sha2
 FROM documents d JOIN docs k ON d.doc_id IS NOT DISTINCT FROM k.id AND coalesce(d.text, '') = k.text LEFT JOIN spelt s ON s.doc_id = k.doc_id
 """
 
-ORACLE_SQL = {"op2_chat_template": OP2, "op6_jaccard_join": OP6, "op10_disclosure_sanitisation": OP10}
+def rounds_of(n: int) -> str:
+    """Assignments a0 to an by codebooks c0 to cn: parts of vectors as lists of whole doubles."""
+    out = []
+    for k in range(n + 1):
+        out.append(
+            f"a{k} AS MATERIALIZED (SELECT r, p, min({{'d': list_inner_product(v.x, v.x) - 2 * list_inner_product(v.x, c.x) + list_inner_product(c.x, c.x), 'e': c.e}}) AS m FROM parts v JOIN c{k} c USING (p) GROUP BY r, p)"
+        )
+        if k < n:
+            out.append(f"s{k} AS (SELECT p, a.m.e AS e, generate_subscripts(x, 1) AS j, unnest(x) AS v FROM a{k} a JOIN parts USING (r, p))")
+            out.append(f"m{k} AS (SELECT p, e, list(v ORDER BY j) AS x FROM (SELECT p, e, j, floor(sum(v) / count(*)) AS v FROM s{k} GROUP BY ALL) GROUP BY p, e)")
+            out.append(f"c{k + 1} AS MATERIALIZED (SELECT c.p AS p, c.e AS e, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m ON m.p = c.p AND m.e = c.e)")
+    return ",\n".join(out)
+
+
+OP12 = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * CAST(x AS DOUBLE))) AS q FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+parts AS MATERIALIZED (SELECT r, p, q[p * (len(q) // {PARTS}) + 1 : (p + 1) * (len(q) // {PARTS})] AS x FROM (SELECT *, unnest(range({PARTS})) AS p FROM kept)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS e, x FROM parts WHERE r <= {ENTRIES}),
+{rounds_of(ROUNDS)},
+rows_ AS (
+    SELECT r, string_agg(printf('%02x', a.m.e), '' ORDER BY p) AS code, CAST(sum(a.m.d) AS BIGINT) AS error FROM a{ROUNDS} a GROUP BY r
+),
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda v: CAST(v AS BIGINT)), ','), ',' ORDER BY p, e)) AS h FROM c{ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM kept JOIN rows_ USING (r) CROSS JOIN books
+"""
+
+ORACLE_SQL = {"op2_chat_template": OP2, "op6_jaccard_join": OP6, "op10_disclosure_sanitisation": OP10, "op12_vector_codes": OP12}
