@@ -10,6 +10,7 @@ from .licenses import op9_license_scan
 from .mixing import op5_source_mixing
 from .packing import op4_best_fit_packing
 from .privacy import op10_disclosure_sanitisation
+from .search import op11_lexical_search
 from .sharding import op8_sharding
 from .statements import ORACLE_SQL
 from .templates import op2_chat_template
@@ -19,4 +20,4 @@ from .transport import op1_transport_streams
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
 #: Those without a statement are held against brute force, exact round trips and held-out accuracy by tests.
-QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_chat_template, op3_language_id, op4_best_fit_packing, op5_source_mixing, op6_jaccard_join, op7_edit_fingerprints, op8_sharding, op9_license_scan, op10_disclosure_sanitisation, op12_vector_codes, op13_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_transport_streams, op2_chat_template, op3_language_id, op4_best_fit_packing, op5_source_mixing, op6_jaccard_join, op7_edit_fingerprints, op8_sharding, op9_license_scan, op10_disclosure_sanitisation, op11_lexical_search, op12_vector_codes, op13_token_counts)}

@@ -6,8 +6,12 @@ from string import ascii_lowercase, ascii_uppercase
 
 from .codes import ENTRIES, PARTS, ROUNDS, SCALE
 from .privacy import GENERALISE, LETTERS, REMOVE, SUPPORT
+from .search import BEST
 from .templates import HOSTILE
 
+#: Terms of the lexical search.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 #: Rows by conversation. Escaping adds a character for each of ``\``, ``<``, ``[`` and ``]``; a turn has 11 of its own.
 OP2 = rf"""
 WITH c AS (
@@ -127,4 +131,21 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM kept JOIN rows_ USING (r) CROSS JOIN books
 """
 
-ORACLE_SQL = {"op2_chat_template": OP2, "op6_jaccard_join": OP6, "op10_disclosure_sanitisation": OP10, "op12_vector_codes": OP12}
+#: Terms of documents by number of row, and of items.
+OP11 = rf"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '{WORD}'), lambda t: translate(t, '{ascii_uppercase}', '{ascii_lowercase}')) AS t FROM documents),
+i AS (SELECT DISTINCT item_id, coalesce(text, '') AS text FROM benchmark),
+q AS MATERIALIZED (
+    SELECT DISTINCT item_id, text, term
+    FROM (SELECT item_id, text, unnest(list_transform(regexp_extract_all(text, '{WORD}'), lambda t: translate(t, '{ascii_uppercase}', '{ascii_lowercase}'))) AS term FROM i)
+),
+s AS (SELECT count(*) FILTER (WHERE len(t) > 0) AS n, coalesce(sum(len(t)), 0) AS l FROM d),
+p AS MATERIALIZED (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p CROSS JOIN s GROUP BY term, n),
+m AS (SELECT r, doc_id, 100 - 90 + (90 * CAST(len(t) AS BIGINT) * n) // l AS m FROM d CROSS JOIN s WHERE len(t) > 0),
+c AS (SELECT item_id, text, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM c WHERE score > 0) WHERE rank <= {BEST}
+"""
+
+ORACLE_SQL = {"op2_chat_template": OP2, "op6_jaccard_join": OP6, "op10_disclosure_sanitisation": OP10, "op11_lexical_search": OP11, "op12_vector_codes": OP12}
