@@ -4,6 +4,7 @@ share, so that lost executors cost a read and not the work again."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,6 +46,21 @@ def cut(df: DataFrame, rows: int | None = None) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A folder of one's own in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, *by: str) -> DataFrame:
+    """``df`` as a table in the checkpoint folder, with a folder for each value of ``by`` (few values): what is filtered by
+    them is not read. Its rows are dealt by these values and a hash of all, so that a value's files are few and many."""
+    path, spark = scratch(df.sparkSession), df.sparkSession
+    salt = F.pmod(F.xxhash64(*df.columns), F.lit(spark.sparkContext.defaultParallelism))
+    df.repartition(*by, salt).write.partitionBy(*by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def few(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df`` for a join: to be broadcast if it has at most ``most`` rows, else left to the planner."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df

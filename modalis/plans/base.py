@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from textwrap import dedent
 
@@ -11,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import matrix as M
 from ..functions.columns import rounded
-from ..functions.lineage import ensure_checkpoint_dir
+from ..functions.lineage import scratch
+
+__all__ = ["EMB", "FLAGS", "MONTH", "MONTHS", "ORACLE_SQL", "QUERIES", "STATUS", "entries", "flag_rows", "long_of", "month_cells", "month_rows", "query", "r", "rows_of", "scratch", "squared", "status_rows", "table"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -33,12 +34,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A folder of a query's own in the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
-
-
 def rows_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Embeddings as a matrix of rows."""
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("x"))

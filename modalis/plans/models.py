@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..operators import episodes, gp
 from ..operators import surrogates as S
-from ..operators.stats import regression_metrics
 from ..sources import layout
 from .base import EMB, entries, query, r, rows_of, scratch, table
 
@@ -126,14 +125,6 @@ def mlp_predict(spark: SparkSession, d: str) -> DataFrame:
     return S.predict_rows(parts(spark, d).select("i", "x0", "x1"), ["x0", "x1"], model, ["p"]).select("i", r("p", "p"))
 
 
-@query()
-def mlp_fit(spark: SparkSession, d: str) -> DataFrame:
-    """What training leaves of the mean square: prices from sizes and keys."""
-    t = parts(spark, d).orderBy("i").toPandas()
-    model = S.Perceptron((12, 12), 60).fit(t[["x0", "x1"]].to_numpy(), t["y"].to_numpy(), stop=S.EarlyStop(30))
-    return regression_metrics(S.predict_rows(parts(spark, d), ["x0", "x1"], model, ["p"]))
-
-
 CODER, CODER_OUT = network_sql([3, 5, 1, 5, 3], ["x0", "x1", "y"])
 
 

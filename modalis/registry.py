@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import algebra, data, decompositions, geometry, models, signals, statistics, storage
+from .plans import algebra, data, decompositions, geometry, models, signals, statistics, storage, training
 from .plans.base import ORACLE_SQL, QUERIES
 
 flagship = decompositions.pod_modes
 
-__all__ = ["ORACLE_SQL", "QUERIES", "algebra", "data", "decompositions", "flagship", "geometry", "models", "signals", "statistics", "storage"]
+__all__ = ["ORACLE_SQL", "QUERIES", "algebra", "data", "decompositions", "flagship", "geometry", "models", "signals", "statistics", "storage", "training"]
