@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import episodes, gp
 from ..operators import surrogates as S
+from ..operators.sparse_gp import SparseFidelities, SparseProcess, predicted, sums_of
+from ..operators.training import samples
 from ..sources import layout
 from .base import EMB, entries, query, r, rows_of, scratch, table
 
@@ -21,51 +23,76 @@ def parts(spark: SparkSession, d: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("i"), (F.col("p_size") / 25 - 1).alias("x0"), ((F.col("p_partkey") % 37) / 18.5 - 1).alias("x1"), (F.col("p_retailprice") / 1000).alias("y"))
 
 
-class First:
-    """A model's first output as its prediction."""
+#: Lines as training rows, two inducing points at the ends of the parts' sizes, variance 1, length scale 0.8, noise 0.01:
+#: covariances of every row with both, and what they add up to.
+NOISE, JITTER = 0.01, 1e-10
+TWO = f"""{PARTS}, li AS (SELECT l_quantity / 25 - 1 AS x0, l_extendedprice / 100000 AS y FROM lineitem), ends AS (SELECT min(x0) AS a, max(x0) AS b FROM pa),
+     ka AS (SELECT i, y, exp(-0.5 * ((x0 - a) / 0.8) ** 2) AS ka, exp(-0.5 * ((x0 - b) / 0.8) ** 2) AS kb FROM pa CROSS JOIN ends),
+     tr AS (SELECT y, exp(-0.5 * ((x0 - a) / 0.8) ** 2) AS ka, exp(-0.5 * ((x0 - b) / 0.8) ** 2) AS kb FROM li CROSS JOIN ends), o AS (SELECT exp(-0.5 * ((a - b) / 0.8) ** 2) AS o, 1 + {JITTER}::DOUBLE AS d FROM ends)"""
+THETA = np.log([1.0, 0.8])
 
-    def __init__(self, model: gp.MultiFidelity) -> None:
-        self.model = model
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.model.predict(x)[0]
+def inverse(table: str, name: str) -> str:
+    """The sums of a table of covariances and outputs, and the inverse (p, q; q, s) of the covariance of the points plus the sums
+    over the noise, and the weights wa and wb of the mean."""
+    return f"""{name}1 AS (SELECT d + aa / {NOISE} AS p, o + ab / {NOISE} AS q, d + bb / {NOISE} AS s, ay, by_ FROM o CROSS JOIN (SELECT sum(ka * ka) AS aa, sum(ka * kb) AS ab, sum(kb * kb) AS bb, sum(ka * y) AS ay, sum(kb * y) AS by_ FROM {table})),
+     {name} AS (SELECT s / (p * s - q * q) AS ip, -q / (p * s - q * q) AS iq, p / (p * s - q * q) AS is_, (s * ay - q * by_) / (p * s - q * q) / {NOISE} AS wa, (p * by_ - q * ay) / (p * s - q * q) / {NOISE} AS wb FROM {name}1)"""
 
 
-#: Two training rows, the mean outputs of the smallest and the largest size; a process of unit variance and length scale
-#: 0.8 with noise 0.01: kernel values of every part with both, and the inverse of two by two.
-TWO = f"""{PARTS}, ends AS (SELECT min(x0) AS a, max(x0) AS b FROM pa), ty AS (SELECT a, b, avg(CASE WHEN x0 = a THEN y END) AS ya, avg(CASE WHEN x0 = b THEN y END) AS yb FROM pa CROSS JOIN ends GROUP BY a, b),
-     k AS (SELECT *, 1 + 0.01::DOUBLE + 1e-10::DOUBLE AS d, exp(-0.5 * ((a - b) / 0.8) ** 2) AS o FROM ty),
-     al AS (SELECT *, (d * ya - o * yb) / (d * d - o * o) AS wa, (d * yb - o * ya) / (d * d - o * o) AS wb FROM k),
-     ka AS (SELECT i, exp(-0.5 * ((x0 - a) / 0.8) ** 2) AS ka, exp(-0.5 * ((x0 - b) / 0.8) ** 2) AS kb FROM pa CROSS JOIN ends)"""
-THETA = np.log([1.0, 0.8])
+def two_points(spark: SparkSession, d: str) -> np.ndarray:
+    return np.array(parts(spark, d).agg(F.min("x0"), F.max("x0")).first(), float)[:, None]
 
 
-def two_rows(spark: SparkSession, d: str) -> tuple[np.ndarray, np.ndarray]:
-    p = parts(spark, d)
-    ends = p.agg(F.min("x0").alias("a"), F.max("x0").alias("b")).first()
-    y = [p.filter(F.col("x0") == e).agg(F.avg("y")).first()[0] for e in ends]
-    return np.array(ends, float)[:, None], np.array(y)
+def line_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "lineitem").select((F.col("l_quantity") / 25 - 1).alias("x0"), (F.col("l_extendedprice") / 100000).alias("y"))
 
 
 @query(f"""
-    WITH {TWO} SELECT i, round(ka * wa + kb * wb, 6) + 0.0 AS mean, round(sqrt(1 - (d * (ka * ka + kb * kb) - 2 * o * ka * kb) / (d * d - o * o) + 0.01), 6) + 0.0 AS std FROM ka CROSS JOIN al
+    WITH {TWO}, {inverse("tr", "iv")}
+    SELECT i, round(ka * wa + kb * wb, 6) + 0.0 AS mean,
+        round(sqrt(1 - (d * (ka * ka + kb * kb) - 2 * o * ka * kb) / (d * d - o * o) + ip * ka * ka + 2 * iq * ka * kb + is_ * kb * kb + {NOISE}), 6) + 0.0 AS std FROM ka CROSS JOIN iv CROSS JOIN o
 """)
 def gpr_predict(spark: SparkSession, d: str) -> DataFrame:
-    """Mean and deviation at every part of a process that is given two rows."""
-    model = gp.GaussianProcess("rbf", 0.01).condition(*two_rows(spark, d), THETA)
+    """Mean and deviation at every part of a process that is given all lines, through two points."""
+    model = SparseProcess("rbf", NOISE).condition(line_rows(spark, d), ["x0"], "y", two_points(spark, d), THETA)
     return model.predict_rows(parts(spark, d).select("i", "x0"), ["x0"]).select("i", r("mean", "mean"), r("std", "std"))
 
 
 @query(f"""
-    WITH {TWO}, lo AS (SELECT *, wa + o * wb AS fa, o * wa + wb AS fb, 0.5 * ya + 0.3 AS ha, 0.5 * yb - 0.2 AS hb FROM al),
-         rh AS (SELECT *, (fa * ha + fb * hb) / (fa * fa + fb * fb) AS rho FROM lo), re AS (SELECT *, ha - rho * fa AS ra, hb - rho * fb AS rb FROM rh)
-    SELECT i, round(rho * (ka * wa + kb * wb) + ka * (d * ra - o * rb) / (d * d - o * o) + kb * (d * rb - o * ra) / (d * d - o * o), 6) + 0.0 AS p FROM ka CROSS JOIN re
+    WITH {TWO}, {inverse("tr", "lo")}, be AS (SELECT i, ka, kb, y, ka * wa + kb * wb AS f FROM ka CROSS JOIN lo), rh AS (SELECT sum(f * y) / sum(f * f) AS rho FROM be),
+         re AS (SELECT ka, kb, y - rho * f AS y FROM be CROSS JOIN rh), {inverse("re", "hi")}
+    SELECT i, round(rho * f + ka * wa + kb * wb, 6) + 0.0 AS p FROM be CROSS JOIN rh CROSS JOIN hi
 """)
 def gpr_multifidelity(spark: SparkSession, d: str) -> DataFrame:
-    """A high fidelity, scaled and shifted, on top of a low one."""
-    x, y = two_rows(spark, d)
-    model = gp.MultiFidelity("rbf", 0.01).fit([x, x], [y, 0.5 * y + np.array([0.3, -0.2])], THETA)
-    return S.predict_rows(parts(spark, d).select("i", "x0"), ["x0"], First(model), ["p"]).select("i", r("p", "p"))
+    """The parts' prices as a high fidelity on top of the lines' ones."""
+    z = two_points(spark, d)
+    model = SparseFidelities("rbf", NOISE).fit([line_rows(spark, d), parts(spark, d)], ["x0"], "y", [z, z], THETA)
+    return predicted(parts(spark, d).select("i", "x0"), ["x0"], model, "m", "s").select("i", r("m", "p"))
+
+
+SCALES = [0.2, 0.5, 0.8, 1.5, 3.0]
+
+
+@query(f"""
+    WITH {PARTS}, li AS (SELECT l_quantity / 25 - 1 AS x0, l_extendedprice / 100000 AS y FROM lineitem), ends AS (SELECT min(x0) AS a, max(x0) AS b FROM pa),
+         sc AS (SELECT unnest([{", ".join(f"{s}::DOUBLE" for s in SCALES)}]) AS scale),
+         tr AS (SELECT scale, y, exp(-0.5 * ((x0 - a) / scale) ** 2) AS ka, exp(-0.5 * ((x0 - b) / scale) ** 2) AS kb FROM li CROSS JOIN ends CROSS JOIN sc),
+         su AS (SELECT scale, sum(ka * ka) AS aa, sum(ka * kb) AS ab, sum(kb * kb) AS bb, sum(ka * y) AS ay, sum(kb * y) AS by_, count(*) AS n, sum(y * y) AS yy FROM tr GROUP BY scale),
+         m AS (SELECT *, exp(-0.5 * ((a - b) / scale) ** 2) AS o, 1 + {JITTER}::DOUBLE AS d FROM su CROSS JOIN ends),
+         f AS (SELECT *, d + aa / {NOISE} AS p, o + ab / {NOISE} AS q, d + bb / {NOISE} AS s FROM m)
+    SELECT scale, round((0.5 * (n * ln({NOISE}) + yy / {NOISE} - (s * ay * ay - 2 * q * ay * by_ + p * by_ * by_) / (p * s - q * q) / {NOISE} / {NOISE}) + 0.5 * ln((p * s - q * q) / (d * d - o * o))
+        + (n - (d * aa - 2 * o * ab + d * bb) / (d * d - o * o)) / (2 * {NOISE})) / n, 6) + 0.0 AS bound FROM f
+""")
+def gpr_likelihood(spark: SparkSession, d: str) -> DataFrame:
+    """The bound of the likelihood, by row, for several length scales in one pass over all lines."""
+    model, z = SparseProcess("rbf", NOISE), two_points(spark, d)
+    found = sums_of(samples(line_rows(spark, d), ["x0"], ["y"]), z, "rbf", [np.log([s]) for s in SCALES])
+    rows = []
+    for scale, s in zip(SCALES, found, strict=True):
+        model.z = z
+        model.settle(np.log([scale]))
+        rows.append((scale, model.bound(s, model.covariance(z) + JITTER * np.eye(2), 1.0, NOISE) / s.n))
+    return spark.createDataFrame(rows, "scale double, b double").select("scale", r("b", "bound"))
 
 
 KERNEL_SQL = {
