@@ -3,6 +3,8 @@ task's share of them."""
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,25 +18,72 @@ from ..functions.matrix import width
 from . import linalg as L
 from .modal import Modes, pod, truncate
 
+#: Numbers of the sums that a task holds at a time, about.
+ENTRIES = 2_000_000
+
 
 def masked_solutions(basis: DataFrame, data: DataFrame, ridge: float | None) -> np.ndarray:
     """Coefficients (modes x snapshots) that fit the observed entries of each column of ``data`` (row_id, x) by
-    the columns of ``basis`` (row_id, x). Each task adds up its masked products; r (r + 1) values a snapshot
-    are shuffled."""
-    r, n = width(basis), L.checked_width(data)
-    L.checked_size(n * r * (r + 1))
+    the columns of ``basis`` (row_id, x). Rows go to blocks of snapshots, of which each has a few tasks; a task adds up its
+    masked products for one block at a time, at most about ENTRIES numbers, and one task a block adds those of all tasks
+    and solves each snapshot's equations. The driver gets the coefficients."""
+    r, n = width(basis), width(data)
+    L.checked_size(r * n)
+    if not r or not n:
+        return np.zeros((r, n))
+    each = min(n, max(1, ENTRIES // (r * (r + 1))))
+    blocks = -(-n // each)
+    tasks = int(data.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(1, tasks // blocks)
     both = basis.withColumnRenamed("x", "u").join(data, "row_id")
-
-    def part(b: pa.RecordBatch) -> np.ndarray:
-        u, x = L.block(b, "u"), L.block(b)
-        products = np.einsum("ra,rb,rt->tab", u, u, (x != 0).astype(float), optimize=True)
-        return np.concatenate([products, np.einsum("ra,rt->ta", u, x)[:, :, None]], axis=2)
-
-    full = L.summed(both.select("u", "x"), part, n * r * (r + 1)).reshape(n, r, r + 1)
-    out = np.empty((r, n))
-    for t in range(n):
-        a = full[t, :, :r] + (ridge or 0) * np.eye(r)
-        out[:, t] = np.linalg.lstsq(a, full[t, :, r], rcond=None)[0]
+    sent = both.select(F.pmod(F.xxhash64("row_id"), F.lit(shares)).cast("int").alias("share"), "u", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    sent = sent.select("block", "share", "u", F.slice("x", F.col("block") * each + 1, each).alias("x"))
+
+    def rows_of(key: tuple, full: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([full.tobytes()], pa.binary())], names=["block", "full"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, full = None, None
+        for b in batches:
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            for key, group in itertools.groupby(range(len(keys)), key=keys.__getitem__):
+                some = list(group)
+                part = b.slice(some[0], len(some))
+                u, x = L.block(part, "u"), L.block(part, "x")
+                products = np.einsum("ra,rb,rt->tab", u, u, (x != 0).astype(float), optimize=True)
+                products = np.concatenate([products, np.einsum("ra,rt->ta", u, x)[:, :, None]], axis=2)
+                if key != at:
+                    if at is not None:
+                        yield rows_of(at, full)
+                    at, full = key, products
+                else:
+                    full += products
+        if at is not None:
+            yield rows_of(at, full)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, full = None, None
+        for b in batches:
+            for block, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                products = np.frombuffer(data).reshape(-1, r, r + 1)
+                if block != at:
+                    if at is not None:
+                        yield solved(at, full)
+                    at, full = block, products.copy()
+                else:
+                    full += products
+        if at is not None:
+            yield solved(at, full)
+
+    def solved(block: int, full: np.ndarray) -> pa.RecordBatch:
+        c = np.stack([np.linalg.lstsq(f[:, :r] + (ridge or 0) * np.eye(r), f[:, r], rcond=None)[0] for f in full])
+        return pa.RecordBatch.from_arrays([pa.array(range(block * each, block * each + len(c)), pa.int32()), L.list_array(c)], names=["t", "c"])
+
+    sums = sent.repartition(min(tasks, blocks * shares), "block", "share").sortWithinPartitions("block", "share").mapInArrow(add, "block int, full binary")
+    found = sums.repartition(min(tasks, blocks), "block").sortWithinPartitions("block").mapInArrow(solve, "t int, c array<double>")
+    out = np.zeros((r, n))
+    for b in found.toArrow().to_batches():
+        out[:, b.column(0).to_numpy()] = L.block(b, "c").T
     return out
 
 

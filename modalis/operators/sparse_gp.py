@@ -22,8 +22,6 @@ from . import linalg as L
 from .gp import KERNELS, simplex
 from .training import samples
 
-JITTER = 1e-10
-
 
 def inducing_points(df: DataFrame, inputs: list[str], m: int, seed: int = 0) -> np.ndarray:
     """``m`` distinct inputs, those with the least hashes."""
@@ -100,14 +98,26 @@ def proposals(start: np.ndarray) -> Generator[list[np.ndarray], list[float], Non
             values = [values[0], *(yield points[1:])]
 
 
+@dataclass
+class Spectrum:
+    """The factor of the points' covariance, and the sums in the directions that it makes independent."""
+
+    low: np.ndarray
+    vectors: np.ndarray
+    values: np.ndarray
+    outputs: np.ndarray
+
+
 @dataclass
 class SparseProcess:
-    """One output; ``kernel`` by name, a length scale for each input; noise is fitted unless it is given."""
+    """One output; ``kernel`` by name, a length scale for each input; noise is fitted unless it is given. ``jitter`` is
+    added to the points' own variances: points close together need more of it."""
 
     kernel: str = "matern32"
     noise: float | None = None
     restarts: int = 3
     rounds: int = 30
+    jitter: float = 1e-6
 
     def covariance(self, x: np.ndarray) -> np.ndarray:
         return KERNELS[self.kernel][1](np.atleast_2d(x), self.z, self.scale, self.extra)
@@ -117,29 +127,38 @@ class SparseProcess:
         d = self.z.shape[1]
         self.scale, self.extra = e[:d], e[d : d + KERNELS[self.kernel][0]]
 
-    def bound(self, s: Sums, unit: np.ndarray, variance: float, sigma2: float) -> float:
+    def spectrum(self, s: Sums) -> Spectrum:
+        """Of the present setting, for variance 1: a decomposition once, from which every variance and noise follow."""
+        low = np.linalg.cholesky(self.covariance(self.z) + self.jitter * np.eye(len(self.z)))
+        w = np.linalg.solve(low, np.linalg.solve(low, s.a).T)
+        values, vectors = np.linalg.eigh((w + w.T) / 2)
+        # Directions in which the sums are nothing but rounding say nothing.
+        told = values > 1e-15 * np.abs(s.a).max(initial=0) / self.jitter
+        return Spectrum(low, vectors, np.where(told, values, 0), np.where(told, vectors.T @ np.linalg.solve(low, s.b), 0))
+
+    @staticmethod
+    def bound(s: Sums, f: Spectrum, variance: float, sigma2: float) -> float:
         """The negative of the lower bound of the log marginal likelihood, but for constants."""
-        try:
-            low = np.linalg.cholesky(variance * unit)
-            w = np.linalg.solve(low, (variance**2 * s.a) @ np.linalg.inv(low).T)
-            outer = np.linalg.cholesky(np.eye(len(w)) + (w + w.T) / (2 * sigma2))
-        except np.linalg.LinAlgError:
-            return 1e15
-        c = np.linalg.solve(outer, np.linalg.solve(low, variance * s.b)) / sigma2
-        return float(0.5 * (s.n * np.log(sigma2) + s.yy / sigma2 - c @ c) + np.log(np.diag(outer)).sum() + (variance * s.own - np.trace(w)) / (2 * sigma2))
+        g = 1 + variance * f.values / sigma2
+        explained = (variance * f.outputs**2 / g).sum() / sigma2**2
+        return float(0.5 * (s.n * np.log(sigma2) + s.yy / sigma2 - explained + np.log(g).sum() + variance * (s.own - f.values.sum()) / sigma2))
 
     def settled(self, s: Sums, setting: np.ndarray) -> tuple[float, float, float]:
         """The least bound of a setting of the length scales, and the variance and noise that give it."""
         self.settle(setting)
-        unit = self.covariance(self.z) + JITTER * np.eye(len(self.z))
+        try:
+            f = self.spectrum(s)
+        except np.linalg.LinAlgError:
+            return 1e15, 1.0, 1.0
         start = np.log(max(s.yy / max(1, s.n), 1e-12))
 
-        def of(t: np.ndarray) -> float:
-            t = np.clip(t, -30, 30)
-            return self.bound(s, unit, float(np.exp(t[0])), self.noise if self.noise is not None else float(np.exp(t[1])))
+        def values(t: np.ndarray) -> tuple[float, float]:
+            # Variance and noise, not less than a share of the outputs' squares that rounding leaves.
+            t = np.exp(np.clip(t, start - 18, start + 18))
+            return float(t[0]), self.noise if self.noise is not None else float(t[1])
 
-        best, value = simplex(of, np.array([start] if self.noise is not None else [start, start - 3]), 120)
-        return value, float(np.exp(best[0])), self.noise if self.noise is not None else float(np.exp(best[1]))
+        best, value = simplex(lambda t: self.bound(s, f, *values(t)), np.array([start] if self.noise is not None else [start, start - 3]), 200)
+        return value, *values(best)
 
     def fit(self, df: DataFrame, inputs: list[str], y: str, z: np.ndarray, seed: int = 0) -> SparseProcess:
         """Settings by downhill simplices from several starts, which share each pass over the rows."""
@@ -177,24 +196,19 @@ class SparseProcess:
 
     def given(self, s: Sums, setting: np.ndarray, variance: float, sigma2: float) -> SparseProcess:
         self.settle(setting)
-        self.variance, self.sigma2 = variance, sigma2
-        unit = self.covariance(self.z) + JITTER * np.eye(len(self.z))
-        self.value = self.bound(s, unit, variance, sigma2)
-        self.low = np.linalg.cholesky(variance * unit)
-        w = np.linalg.solve(self.low, np.linalg.solve(self.low, variance**2 * s.a).T)
-        self.outer = np.linalg.cholesky(np.eye(len(w)) + (w + w.T) / (2 * sigma2))
-        c = np.linalg.solve(self.outer, np.linalg.solve(self.low, variance * s.b)) / sigma2
-        self.weights = np.linalg.solve(self.low.T, np.linalg.solve(self.outer.T, c))
+        self.variance, self.sigma2, f = variance, sigma2, self.spectrum(s)
+        self.value = self.bound(s, f, variance, sigma2)
+        self.low, self.vectors, self.gains = f.low, f.vectors, 1 + variance * f.values / sigma2
+        self.weights = np.linalg.solve(f.low.T, f.vectors @ (f.outputs / self.gains)) / sigma2
         return self
 
     def predict(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Mean and deviation, noise included."""
         x = np.atleast_2d(x)
-        k = self.variance * self.covariance(x)
-        v = np.linalg.solve(self.low, k.T)
-        u = np.linalg.solve(self.outer, v)
-        own = self.variance * own_variance(self.kernel, x, self.scale, self.extra)
-        return k @ self.weights, np.sqrt(np.maximum(own - (v * v).sum(axis=0) + (u * u).sum(axis=0), 0) + self.sigma2)
+        k = self.covariance(x)
+        v = self.vectors.T @ np.linalg.solve(self.low, k.T)
+        own = own_variance(self.kernel, x, self.scale, self.extra) - (v * v).sum(axis=0) + (v * v / self.gains[:, None]).sum(axis=0)
+        return self.variance * (k @ self.weights), np.sqrt(self.variance * np.maximum(own, 0) + self.sigma2)
 
     def predict_rows(self, df: DataFrame, inputs: list[str], mean: str = "mean", std: str = "std") -> DataFrame:
         """``df`` with ``mean`` and ``std``."""
@@ -228,6 +242,7 @@ class SparseFidelities:
 
     kernel: str = "rbf"
     noise: float | None = 1e-6
+    jitter: float = 1e-6
 
     def fit(self, tables: list[DataFrame], inputs: list[str], y: str, points: list[np.ndarray], theta: np.ndarray | None = None) -> SparseFidelities:
         """``theta``: parameters of all levels, if they are not to be fitted."""
@@ -239,7 +254,7 @@ class SparseFidelities:
                 by, bb = rest.agg(F.sum(F.col("__below") * F.col("__y")), F.sum(F.col("__below") ** 2)).first()
                 rho = float(by / bb) if bb else 0.0
                 rest = rest.withColumn("__y", F.col("__y") - rho * F.col("__below"))
-            g = SparseProcess(self.kernel, self.noise)
+            g = SparseProcess(self.kernel, self.noise, jitter=self.jitter)
             self.levels.append((rho, g.fit(rest, inputs, "__y", z) if theta is None else g.condition(rest, inputs, "__y", z, theta)))
         return self
 

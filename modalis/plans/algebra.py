@@ -7,8 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import matrix as M
 from ..operators import linalg as L
-from .base import EMB, STATUS, entries, long_of, query, r, rows_of, status_rows, table
+from ..operators import tiles
+from .base import EMB, STATUS, entries, long_of, query, r, rows_of, status_rows, table, vectors_as_columns
 
 
 @query(f"WITH {EMB} SELECT CAST(j AS BIGINT) AS i, CAST(i AS INTEGER) AS j, v FROM emb")
@@ -46,6 +48,12 @@ def matmulp(spark: SparkSession, d: str) -> DataFrame:
     return L.as_table(rows, L.gram(rows)).select("i", "j", r("v", "v", 5))
 
 
+@query(f"WITH {EMB} SELECT CAST(a.j AS BIGINT) AS i, b.j, round(sum(a.v * b.v), 5) + 0.0 AS v FROM emb a JOIN emb b USING (i) GROUP BY a.j, b.j")
+def matmul_tiles(spark: SparkSession, d: str) -> DataFrame:
+    """The same as a product of two large factors, X' and X, by tiles of 48 rows and columns."""
+    return entries(tiles.matmul(vectors_as_columns(spark, d), M.of_width(rows_of(spark, d), 64), 48), 5)
+
+
 @query(f"WITH {EMB} SELECT i, j, round((i % 7 - 3) * v, 6) + 0.0 AS v FROM emb")
 def vecmat(spark: SparkSession, d: str) -> DataFrame:
     a = long_of(spark, d)

@@ -12,7 +12,7 @@ from ..functions import matrix as M
 from ..functions.columns import rounded
 from ..functions.lineage import scratch
 
-__all__ = ["EMB", "FLAGS", "MONTH", "MONTHS", "ORACLE_SQL", "QUERIES", "STATUS", "entries", "flag_rows", "long_of", "month_cells", "month_rows", "query", "r", "rows_of", "scratch", "squared", "status_rows", "table"]
+__all__ = ["EMB", "FLAGS", "MONTH", "MONTHS", "ORACLE_SQL", "QUERIES", "STATUS", "entries", "flag_rows", "long_of", "month_cells", "month_rows", "query", "r", "rows_of", "scratch", "squared", "status_rows", "table", "vectors_as_columns"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -43,6 +43,14 @@ def long_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.to_long(rows_of(spark, sf_dir))
 
 
+def vectors_as_columns(spark: SparkSession, d: str) -> DataFrame:
+    """The embeddings as snapshots: a row for each of their components, a column for each vector, in order of vec_id."""
+    v = rows_of(spark, d)
+    n = v.count()
+    long = v.select(F.posexplode("x").alias("i", "v"), F.col("row_id").cast("int").alias("j"))
+    return M.of_width(M.to_rows(long.select(F.col("i").cast("long").alias("i"), "j", "v")), n)
+
+
 EMB = "emb AS (SELECT vec_id AS i, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 
 MONTHS = 83

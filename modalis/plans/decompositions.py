@@ -6,10 +6,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import linalg as L
-from ..operators import manifold, modal
+from ..functions import matrix as M
 from ..operators import gappy as P
-from .base import EMB, FLAGS, MONTH, MONTHS, STATUS, entries, flag_rows, month_cells, month_rows, query, r, rows_of, squared, status_rows
+from ..operators import linalg as L
+from ..operators import manifold, modal, tiles
+from .base import EMB, FLAGS, MONTH, MONTHS, STATUS, entries, flag_rows, month_cells, month_rows, query, r, rows_of, squared, status_rows, vectors_as_columns
 
 
 def numbered(spark: SparkSession, names: list[str], *columns: np.ndarray) -> DataFrame:
@@ -342,26 +343,53 @@ def paths(entries_: str, size: int) -> str:
 """)
 def isomap_embed(spark: SparkSession, d: str) -> DataFrame:
     """Moduli of two coordinates of each month. The statement shifts its matrix: paths make some eigenvalues negative."""
-    y, _, _, members = manifold.isomap(month_rows(spark, d), 2, 12)
-    rows = [(int(t), float(abs(y[0, k])), float(abs(y[1, k]))) for k, t in enumerate(members)]
-    return spark.createDataFrame(rows, "t int, a double, b double").select("t", r("a", "a", 2), r("b", "b", 2))
+    y, _, _ = manifold.landmark_isomap(month_rows(spark, d), 2, 12)
+    return y.select(F.col("node").cast("int").alias("t"), r(F.abs(F.col("y")[0]), "a", 2), r(F.abs(F.col("y")[1]), "b", 2))
 
 
-@query(f"WITH {EMB}, p AS (SELECT a.j AS j1, b.j AS j2, sqrt(sum((a.v - b.v) ** 2)) AS d FROM emb a JOIN emb b USING (i) GROUP BY ALL), n AS (SELECT j1, j2, d, row_number() OVER (PARTITION BY j1 ORDER BY d, j2) AS k FROM p) SELECT j1, j2, round(d, 5) + 0.0 AS d FROM n WHERE k <= 7")
+@query(f"WITH {EMB}, p AS (SELECT a.j AS j1, b.j AS j2, sqrt(sum((a.v - b.v) ** 2)) AS d FROM emb a JOIN emb b USING (i) WHERE a.j <> b.j GROUP BY ALL), n AS (SELECT j1, j2, d, row_number() OVER (PARTITION BY j1 ORDER BY d, j2) AS k FROM p) SELECT j1, j2, round(d, 5) + 0.0 AS d FROM n WHERE k <= 6")
 def nearest_columns(spark: SparkSession, d: str) -> DataFrame:
-    """The six nearest snapshots and the snapshot itself."""
-    m = L.column_distances(rows_of(spark, d))
-    near = np.argsort(m, axis=1, kind="stable")[:, :7]
-    rows = [(a, int(b), float(m[a, b])) for a in range(len(m)) for b in near[a]]
-    return spark.createDataFrame(rows, "j1 int, j2 int, d double").select("j1", "j2", r("d", "d", 5))
+    """The six nearest other snapshots of each, by tiles of columns."""
+    near = tiles.nearest(rows_of(spark, d), 6, 24).select("i", F.explode("near").alias("x"))
+    return near.select(F.col("i").cast("int").alias("j1"), F.col("x.j").cast("int").alias("j2"), r("x.d", "d", 5))
+
+
+#: Vectors by their place, and as many as LANDMARKS of them that come first by a hash of it.
+LANDMARKS = 12
+PLACES = f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS j, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+     d0 AS (SELECT a.j AS i, b.j AS j, list_distance(a.x, b.x) AS d FROM v a JOIN v b ON a.j <> b.j),
+     e AS MATERIALIZED (SELECT i, j, min(d) AS d FROM (SELECT i, j, d FROM d0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 5 UNION ALL SELECT j, i, d FROM d0 QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) <= 5) GROUP BY i, j),
+     l AS (SELECT j AS source FROM v ORDER BY md5('0:' || j), j LIMIT {LANDMARKS})"""
+
+
+@query(f"""
+    WITH RECURSIVE {PLACES}, g(k, node, source, d) AS (
+        SELECT 0, source, source, 0.0::DOUBLE FROM l
+        UNION ALL SELECT k, node, source, d FROM (
+            SELECT k + 1 AS k, node, source, min(d) AS d FROM (SELECT k, node, source, d FROM g UNION ALL SELECT g.k, e.j, g.source, g.d + e.d FROM g JOIN e ON e.i = g.node) GROUP BY k, node, source) WHERE k <= 40)
+    SELECT CAST(node AS BIGINT) AS node, CAST(source AS BIGINT) AS source, round(d, 5) + 0.0 AS d FROM g WHERE k = 40
+""")
+def landmark_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Lengths of the shortest paths from a few vectors to all others, over the graph of the five nearest of each."""
+    x = vectors_as_columns(spark, d)
+    edges = manifold.neighbour_edges(x, 5, 128)
+    sources = spark.createDataFrame([(j,) for j in manifold.landmark_numbers(M.width(x), LANDMARKS)], "source long")
+    return manifold.paths_from(edges, sources).select("node", "source", r("d", "d", 5))
+
+
+@query(f"WITH {PLACES} SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(d, 5) + 0.0 AS d FROM e")
+def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of the five nearest vectors of each, either way round."""
+    return manifold.neighbour_edges(vectors_as_columns(spark, d), 5, 128).select("i", "j", r("d", "d", 5))
 
 
 @query(f"WITH RECURSIVE {EMB}, {paths("emb", 4)} SELECT CAST(i AS INTEGER) AS j1, CAST(j AS INTEGER) AS j2, round(d, 5) + 0.0 AS d FROM g WHERE k = 7 AND i < j")
 def isomap_paths(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of the shortest paths over the four nearest snapshots of each, where there is a path."""
-    g = manifold.shortest_paths(manifold.neighbours(L.column_distances(rows_of(spark, d)), 4))
-    n = len(g)
-    return spark.createDataFrame([(a, b, float(g[a, b])) for a in range(n) for b in range(a + 1, n) if np.isfinite(g[a, b])], "j1 int, j2 int, d double").select("j1", "j2", r("d", "d", 5))
+    x = rows_of(spark, d)
+    every = spark.createDataFrame([(j,) for j in range(M.width(x))], "source long")
+    g = manifold.paths_from(manifold.neighbour_edges(x, 4), every).filter("source < node")
+    return g.select(F.col("source").cast("int").alias("j1"), F.col("node").cast("int").alias("j2"), r("d", "d", 5))
 
 
 @query(f"""

@@ -54,7 +54,7 @@ def line_rows(spark: SparkSession, d: str) -> DataFrame:
 """)
 def gpr_predict(spark: SparkSession, d: str) -> DataFrame:
     """Mean and deviation at every part of a process that is given all lines, through two points."""
-    model = SparseProcess("rbf", NOISE).condition(line_rows(spark, d), ["x0"], "y", two_points(spark, d), THETA)
+    model = SparseProcess("rbf", NOISE, jitter=JITTER).condition(line_rows(spark, d), ["x0"], "y", two_points(spark, d), THETA)
     return model.predict_rows(parts(spark, d).select("i", "x0"), ["x0"]).select("i", r("mean", "mean"), r("std", "std"))
 
 
@@ -66,7 +66,7 @@ def gpr_predict(spark: SparkSession, d: str) -> DataFrame:
 def gpr_multifidelity(spark: SparkSession, d: str) -> DataFrame:
     """The parts' prices as a high fidelity on top of the lines' ones."""
     z = two_points(spark, d)
-    model = SparseFidelities("rbf", NOISE).fit([line_rows(spark, d), parts(spark, d)], ["x0"], "y", [z, z], THETA)
+    model = SparseFidelities("rbf", NOISE, JITTER).fit([line_rows(spark, d), parts(spark, d)], ["x0"], "y", [z, z], THETA)
     return predicted(parts(spark, d).select("i", "x0"), ["x0"], model, "m", "s").select("i", r("m", "p"))
 
 
@@ -85,13 +85,13 @@ SCALES = [0.2, 0.5, 0.8, 1.5, 3.0]
 """)
 def gpr_likelihood(spark: SparkSession, d: str) -> DataFrame:
     """The bound of the likelihood, by row, for several length scales in one pass over all lines."""
-    model, z = SparseProcess("rbf", NOISE), two_points(spark, d)
+    model, z = SparseProcess("rbf", NOISE, jitter=JITTER), two_points(spark, d)
     found = sums_of(samples(line_rows(spark, d), ["x0"], ["y"]), z, "rbf", [np.log([s]) for s in SCALES])
     rows = []
     for scale, s in zip(SCALES, found, strict=True):
         model.z = z
         model.settle(np.log([scale]))
-        rows.append((scale, model.bound(s, model.covariance(z) + JITTER * np.eye(2), 1.0, NOISE) / s.n))
+        rows.append((scale, model.bound(s, model.spectrum(s), 1.0, NOISE) / s.n))
     return spark.createDataFrame(rows, "scale double, b double").select("scale", r("b", "bound"))
 
 

@@ -12,7 +12,7 @@ from ..operators import mesh as G
 from ..operators import modal, surrogates
 from ..operators import tables as T
 from ..sources import layout
-from ..streaming import sketch
+from ..streaming import append, sketch
 from .base import EMB, FLAGS, STATUS, entries, flag_rows, long_of, query, r, rows_of, scratch, status_rows, table
 from .data import fields_of
 from .decompositions import RECONSTRUCTED, SPOD_MODES, two_blocks
@@ -170,16 +170,39 @@ def qr_streaming(spark: SparkSession, d: str) -> DataFrame:
 
 @query(COLUMNS)
 def qr_stream_query(spark: SparkSession, d: str) -> DataFrame:
-    """The same as a structured stream over files, one block a micro-batch; the last version is read back."""
+    """The same as a structured stream over files, one block a micro-batch, with empty ones before, between and behind; the last
+    version is read back."""
     path = scratch(spark)
+    write = lambda df: df.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    none = flag_rows(spark, d).select((-1 - F.col("row_id")).alias("row_id"), "x")
     for first, n in ((1, 2), (3, 1)):
-        flag_rows(spark, d).select("row_id", F.slice("x", first, n).alias("x")).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema("row_id bigint, x array<double>").option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        write(none)
+        write(flag_rows(spark, d).select("row_id", F.slice("x", first, n).alias("x")))
+    write(none)
+    stream = spark.readStream.schema("row_id bigint, x array<double>").option("maxFilesPerTrigger", 1).parquet(f"{path}/in").filter("row_id >= 0")
     sketch.run(stream, f"{path}/out", f"{path}/state", 3, 1, 3)
-    last = sketch.load(spark, f"{path}/out", 2)
+    last = sketch.latest(spark, f"{path}/out")
     return entries(L.times(last.q, last.b), 4)
 
 
+@query(f"""
+    WITH {FLAGS}, v AS (SELECT i, CAST(j AS INTEGER) AS j, CASE j WHEN 0 THEN a WHEN 1 THEN b ELSE c END AS v FROM fl CROSS JOIN (SELECT unnest([0, 1, 2]) AS j))
+    SELECT i, j, round(CASE WHEN j = 0 AND i % 2 = 0 THEN v + 1 ELSE v END, 4) + 0.0 AS v FROM v
+""")
+def append_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Instants that arrive one after another; then nothing; then corrections of the first one, which are late. The last batch is
+    run twice."""
+    path = scratch(spark)
+    field = M.to_long(flag_rows(spark, d)).select(F.col("i").alias("row_id"), F.col("j").alias("t"), "v")
+    late = field.filter("t = 0 and row_id % 2 = 0").withColumn("v", F.col("v") + 1)
+    for part in (field.filter("t = 0"), field.filter("t = 1"), field.filter("t = 2"), field.filter("t = 9"), late):
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+    stream = spark.readStream.schema(append.VALUES).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    append.run(stream, f"{path}/out", f"{path}/state")
+    append.take(late, append.batches(spark, f"{path}/out")[-1], f"{path}/out")
+    return append.read(spark, f"{path}/out").select(F.col("row_id").alias("i"), F.col("t").alias("j"), r("v", "v", 4))
+
+
 @query(f"WITH {EMB} SELECT i, j, v FROM emb")
 def matrix_forms(spark: SparkSession, d: str) -> DataFrame:
     """Rows to entries and back."""

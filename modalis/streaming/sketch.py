@@ -1,8 +1,16 @@
 """Streaming randomised QR: columns (time) arrive in blocks, rows stay.
 
 The state is Q and the sketch Y in one table, and B. A new block is joined to it once and adds its sketch to Y, the
-basis is made anew, and B is carried over by Q2'Q1. Each block's random matrix comes from seed + block, so a replayed block gives the same state;
-states are written by version, and the last complete one is where a restart goes on.
+basis is made anew, and B is carried over by Q2'Q1. Each block's random matrix comes from seed + block, so a replayed block gives the same state.
+
+States are written by version, that of a version last: a manifest that names its micro-batch, so that
+
+* an empty micro-batch writes nothing and the next one goes on from the version before it;
+* a micro-batch that is run again goes on from the last version that an earlier one wrote, and replaces its own;
+* a version without a manifest, of a run that broke off, is not seen and is written again.
+
+Rows that a block brings for the first time were 0 before, and rows that it leaves out are 0 in it: neither is dropped.
+Of several values of a row in one block the sum counts (rows that arrive in parts). Blocks of a stream have one width each.
 """
 
 from __future__ import annotations
@@ -78,16 +86,32 @@ def start(rows: DataFrame, r: int, q: int = 1, seed: int = 0) -> Sketch:
 
 
 def update(s: Sketch, rows: DataFrame, r: int, q: int = 1, seed: int = 0) -> Sketch:
-    """One join brings a block to the state; all else are passes over its rows."""
-    both = cut(s.state.join(rows.select("row_id", "x"), "row_id"))
+    """One join brings a block to the state; all else are passes over its rows. Rows that only one side has are 0 in the other."""
+    n, r_ = M.width(rows), s.b.shape[0]
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k)
+    both = s.state.join(rows.select("row_id", "x"), "row_id", "full").select("row_id", F.coalesce("q", zeros(r_)).alias("q"), F.coalesce("y", zeros(r_)).alias("y"), F.coalesce("x", zeros(n)).alias("x"))
+    both = M.of_width(cut(both), n)
     return advance(both, combinations(both.select("row_id", "x"), r, q, seed + s.blocks), s.b, s.blocks + 1)
 
 
-def save(s: Sketch, path: str) -> None:
-    """A version is complete when its small factor is there: that is written last."""
+def save(s: Sketch, path: str, batch: int | None = None) -> None:
+    """A version is complete when its manifest is there: that is written last."""
     at = f"{path}/version={s.blocks:08d}"
     s.state.write.mode("overwrite").parquet(f"{at}/state")
     M.from_small(s.state.sparkSession, s.b).write.mode("overwrite").parquet(f"{at}/b")
+    one = s.state.sparkSession.createDataFrame([(s.blocks, s.blocks - 1 if batch is None else batch)], "blocks int, batch long")
+    one.coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest/{s.blocks:08d}")
+
+
+def versions(spark: SparkSession, path: str) -> list[tuple[int, int]]:
+    """(blocks, micro-batch) of the complete versions."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/manifest")
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return []
+    done = [str(f.getPath()) for f in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))]
+    return sorted((r.blocks, r.batch) for r in spark.read.schema("blocks int, batch long").parquet(*done).collect()) if done else []
 
 
 def load(spark: SparkSession, path: str, blocks: int) -> Sketch:
@@ -97,15 +121,26 @@ def load(spark: SparkSession, path: str, blocks: int) -> Sketch:
     return Sketch(spark.read.parquet(f"{at}/state"), M.small(b, (shape[0] + 1, shape[1] + 1)), blocks)
 
 
-def run(stream: DataFrame, path: str, checkpoint: str, r: int, q: int = 1, seed: int = 0) -> None:
-    """A structured stream of blocks (row_id, x): each micro-batch is one block. The version written is the
-    batch's number, so a batch that is run again replaces its own version and no other."""
+def latest(spark: SparkSession, path: str, before: int | None = None) -> Sketch | None:
+    """The last complete version, or the last one that a micro-batch before ``before`` wrote."""
+    done = [v for v, batch in versions(spark, path) if before is None or batch < before]
+    return load(spark, path, done[-1]) if done else None
+
 
-    def each(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        rows = batch.select("row_id", "x")
-        s = start(rows, r, q, seed) if number == 0 else update(load(batch.sparkSession, path, number), rows, r, q, seed)
-        save(s, path)
+def take(batch: DataFrame, number: int, path: str, r: int, q: int = 1, seed: int = 0) -> None:
+    """One micro-batch as a block; an empty one is none."""
+    spark = batch.sparkSession
+    several = batch.select("row_id", F.posexplode("x").alias("j", "v")).filter(F.col("row_id").isNotNull())
+    if several.isEmpty():
+        return
+    n = batch.agg(F.max(F.size("x"))).first()[0]
+    rows = cut(M.dense_rows(several.select(F.col("row_id").alias("i"), "j", "v"), n))
+    rows = M.of_width(rows, n)
+    before = latest(spark, path, number)
+    save(start(rows, r, q, seed) if before is None else update(before, rows, r, q, seed), path, number)
 
-    stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+def run(stream: DataFrame, path: str, checkpoint: str, r: int, q: int = 1, seed: int = 0) -> None:
+    """A structured stream of blocks (row_id, x): each micro-batch with rows is one block. ``latest`` is the result."""
+    query = stream.writeStream.foreachBatch(lambda batch, number: take(batch, number, path, r, q, seed))
+    query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -25,10 +25,10 @@ def test_all_rows_as_points_are_the_exact_process(spark, kernel):
     x, y = field(60, 1)
     theta = np.log([1.3, 0.7, 0.9] + [1.5] * gp.KERNELS[kernel][0])
     exact = gp.GaussianProcess(kernel, 0.05).condition(x, y, theta)
-    sparse = G.SparseProcess(kernel, 0.05).condition(rows(spark, x, y), ["x0", "x1"], "y", x, theta)
+    sparse = G.SparseProcess(kernel, 0.05, jitter=1e-8).condition(rows(spark, x, y), ["x0", "x1"], "y", x, theta)
     at = field(40, 2)[0]
     for a, b in zip(sparse.predict(at), exact.predict(at), strict=True):
-        assert np.allclose(a, b, atol=2e-6)
+        assert np.allclose(a, b, atol=2e-4 if kernel == "rbf" else 5e-6)
     assert np.isclose(sparse.value + 0.0, exact.likelihood(theta), atol=1e-3)
 
 
@@ -58,7 +58,7 @@ def test_fidelities_with_all_rows_as_points(spark):
     high = 1.7 * y + 0.2 * x[:, 0]
     theta = np.log([1.0, 0.8])
     exact = gp.MultiFidelity("rbf", 0.01).fit([x, x[:20]], [y, high[:20]], theta)
-    sparse = G.SparseFidelities("rbf", 0.01).fit([rows(spark, x, y), rows(spark, x[:20], high[:20])], ["x0"], "y", [x, x[:20]], theta)
+    sparse = G.SparseFidelities("rbf", 0.01, 1e-8).fit([rows(spark, x, y), rows(spark, x[:20], high[:20])], ["x0"], "y", [x, x[:20]], theta)
     for a, b in zip(sparse.predict(x), exact.predict(x), strict=True):
         assert np.allclose(a, b, atol=1e-5)
 
