@@ -55,16 +55,17 @@ def held_out(doc_id: Column) -> Column:
 def train(labelled: DataFrame, per_lang: int = PER_LANG, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
     """A dictionary for each value of ``lang``, from ``labelled`` (doc_id, text, lang), most frequent first.
 
-    Of every language the texts with the smallest hash of doc_id in each of ``per_lang`` classes are taken:
+    Of every language the text with the smallest hash of doc_id (then doc_id and digest) in each of ``per_lang`` classes is taken:
     two aggregates that grow with languages alone, not with rows, and whole texts up to ``dict_bytes``.
     """
     known = labelled.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).select("doc_id", "lang", "text")
     h = F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid"))
-    ids = known.groupBy("lang", F.pmod(h, F.lit(per_lang)).alias("c")).agg(F.min(F.struct(h.alias("h"), F.col("doc_id"))).alias("m"), F.count("*").alias("n"))
-    ids = ids.select("lang", F.col("m.doc_id").alias("doc_id"), F.col("m.h").alias("h"), F.sum("n").over(Window.partitionBy("lang")).alias("n"))
-    # At most per_lang rows a language, and of each text no more than a dictionary holds.
+    known = known.withColumn("md5", F.md5(F.col("text").cast("binary")))
+    ids = known.groupBy("lang", F.pmod(h, F.lit(per_lang)).alias("c")).agg(F.min(F.struct(h.alias("h"), F.col("doc_id"), F.col("md5"))).alias("m"), F.count("*").alias("n"))
+    ids = ids.select("lang", F.col("m.doc_id").alias("doc_id"), F.col("m.md5").alias("md5"), F.col("m.h").alias("h"), F.sum("n").over(Window.partitionBy("lang")).alias("n"))
+    # At most per_lang different rows a language, and of each text no more than a dictionary holds.
     languages = labelled.select("lang").distinct().count()
-    picked = known.join(F.broadcast(ids) if languages * per_lang <= FEW_IDS else ids, ["lang", "doc_id"]).select(-F.col("n"), "lang", "h", F.substring("text", 1, dict_bytes).alias("text"))
+    picked = known.join(F.broadcast(ids) if languages * per_lang <= FEW_IDS else ids, ["lang", "doc_id", "md5"]).select(-F.col("n"), "lang", "h", F.substring("text", 1, dict_bytes).alias("text"))
     kept: dict[str, list[bytes]] = {}
     left: dict[str, int] = {}
     for _, lang, _, text in sorted(picked.distinct().toLocalIterator(), key=tuple):
