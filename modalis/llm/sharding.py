@@ -4,7 +4,8 @@ Documents with equal texts form a group, and a group is placed whole: only one t
 or rows, than ``WHOLE`` of a shard's capacity is dealt into chunks by its ids, so that a group of copies of any
 size spreads over tasks and shards. Units (groups or chunks) go, largest first, each to the shard whose residual
 capacity has the highest dot product with the unit's (bytes, tokens, rows). Units above one part in ``UNIT_SHARE``
-of the whole are few and placed together first; every task then places its own light ones, against what the
+of the whole are few and placed together first, and exchanges between the fullest and the emptiest shard even out
+their bytes; every task then places its own light ones, against what the
 heavy ones left of each shard, in proportion to what the task holds.
 
 Defined cases: a null text counts as empty (size 1); repeated rows are placed one by one; an empty table
@@ -27,6 +28,8 @@ SHARDS = 16
 UNIT_SHARE = 16_384
 #: The share of a shard's capacity up to which a group of copies is placed whole.
 WHOLE = 0.5
+#: The gap between shards, as a share of one, at which exchanges end, and how many there are at most.
+EVEN, EXCHANGES = 1e-4, 2_000
 
 
 def place(units: np.ndarray, shards: int, turn: int = 0, left: np.ndarray | None = None) -> np.ndarray:
@@ -44,6 +47,36 @@ def place(units: np.ndarray, shards: int, turn: int = 0, left: np.ndarray | None
     return out
 
 
+def evened(at: np.ndarray, sizes: np.ndarray, shards: int) -> np.ndarray:
+    """``at`` with the bytes of shards nearer to each other: the unit that moves from the fullest shard to the emptiest, or the two
+    that change places between them, halve their gap best; until it is below EVEN of a shard or no exchange narrows it."""
+    at, sizes = at.copy(), sizes.astype(np.int64)
+    load = np.bincount(at, sizes, shards)
+    for _ in range(EXCHANGES):
+        full, empty = int(load.argmax()), int(load.argmin())
+        gap = load[full] - load[empty]
+        if gap <= EVEN * load.mean():
+            break
+        mine, theirs = np.flatnonzero(at == full), np.flatnonzero(at == empty)
+        order = theirs[np.argsort(sizes[theirs], kind="stable")]
+        # What each of mine may change places with: nothing (0 bytes), or the two of theirs nearest to its size less half the gap.
+        held = np.concatenate([[0], sizes[order]])
+        k = np.searchsorted(held, sizes[mine] - gap / 2)
+        tries = [(np.clip(k + d, 0, len(held) - 1)) for d in (-1, 0)]
+        moved = np.stack([sizes[mine] - held[t] for t in tries])
+        off = np.abs(moved - gap / 2)
+        way, one = np.unravel_index(int(off.argmin()), off.shape)
+        if not 0 < moved[way, one] < gap:
+            break
+        other = int(tries[way][one])
+        at[mine[one]] = empty
+        if other:
+            at[order[other - 1]] = full
+        load[full] -= moved[way, one]
+        load[empty] += moved[way, one]
+    return at
+
+
 def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, text_md5, shard, slot for every row of ``docs``."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -69,7 +102,7 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     big = sorted(units.filter("heavy").drop("heavy").collect())
     whole = np.array([[total["b"] or 0, total["t"] or 0, n or 0]], np.float64)
     taken = np.array([u[2:] for u in big], np.float64).reshape(-1, 3)
-    at = place(taken, shards)
+    at = evened(place(taken, shards), taken[:, 0], shards)
     load = np.stack([np.bincount(at, taken[:, k], shards) for k in range(3)], axis=1)
     light = whole - load.sum(axis=0)
     room = (whole / shards - load) / np.where(light > 0, light, 1)

@@ -565,3 +565,24 @@ def test_repeating_rows_changes_no_span(spark):
     for k, times in ((0, 6), (1, 30), (5, 50)):
         got = privacy.personal_data(docs(spark, rows + [rows[k]] * times)).collect()
         assert len(got) == len(rows) + times and all((r.base, r.terms) == want[r.doc_id] for r in got)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_exchanges_even_out_bytes_and_move_nothing_else(seed):
+    rng = np.random.default_rng(seed)
+    sizes = rng.pareto(1.2, 220).clip(0, 9).round(3) * 1000 + 1
+    start = sharding.place(np.stack([sizes, sizes, np.ones(220)], axis=1), 16)
+    at = sharding.evened(start, sizes, 16)
+    before, after = (np.bincount(a, sizes.astype(int), 16) for a in (start, at))
+    assert np.ptp(after) <= np.ptp(before) and np.ptp(after) < 0.01 * after.mean()
+    assert len(at) == 220 and set(at.tolist()) <= set(range(16))
+    assert sharding.evened(np.zeros(1, np.int32), np.array([5.0]), 16).tolist() in ([0], [1])
+
+
+def test_sizes_of_shards_are_near_equal_on_the_smallest_tables(spark):
+    got = sharding.shard(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).select("shard", "size", "text_md5").collect()
+    load, homes = Counter(), {}
+    for r in got:
+        load[r.shard] += r["size"]
+        homes.setdefault(r.text_md5, set()).add(r.shard)
+    assert (max(load.values()) - min(load.values())) < 0.03 * sum(load.values()) / 16 and all(len(h) == 1 for h in homes.values())
