@@ -69,6 +69,11 @@ def hamming(i: Column | str, n: int | Column) -> Column:
     return 0.54 - 0.46 * F.cos(2 * math.pi * F.col(i) / (n - 1)) if isinstance(i, str) else 0.54 - 0.46 * F.cos(2 * math.pi * i / (n - 1))
 
 
+def next_power_of_2(n: Column) -> Column:
+    """The least power of two that is not below ``n``; 1 for what is below 2."""
+    return F.when(n < 2, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(n.cast("long") - 1))))
+
+
 def modulus(re: Column, im: Column) -> Column:
     return F.sqrt(re * re + im * im)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +18,8 @@ SOLVER_TYPES = {-1: 0, 3: 1, 10: 2, 12: 3, 30: 4, 32: 7, 34: 6, 37: 5, 39: 15, 4
 VTK_TYPES = {0: 0, 2: 5, 3: 9, 4: 10, 5: 12, 6: 13, 7: 14, 25: 72}
 ENSIGHT_TYPES = {2: "tria3", 3: "quad4", 4: "tetra4", 5: "hexa8", 6: "penta6"}
 MESH_KINDS = {"STRUCT2D": 1, "STRUCT3D": 2, "UNSTRUCT": 3}
+#: Places in a cell of the grid on which nearest points are searched, about.
+PER_CELL = 4
 
 
 def mapped(values: dict, key: Column) -> Column:
@@ -228,6 +232,47 @@ def nearest_points(points: DataFrame, sensors: list[tuple[float, float, float]])
     return p.withColumn("d2", d2).groupBy("sensor").agg(F.min(F.struct("d2", "point_id")).alias("m")).select("sensor", "m.point_id", "m.d2")
 
 
+def nearest_on_grid(points: DataFrame, sensors: DataFrame) -> DataFrame:
+    """sensor, point_id, d2: the nearest point to each sensor (sensor, x, y, z), the first of equals, for any number of both.
+
+    Points and sensors fall into the cells of a grid, about PER_CELL places each. A sensor, or the place within the points'
+    bounds that is nearest to it, looks into its own cell and those around it; it is done when nothing outside of them
+    can be nearer than what it found. Those that aren't look again on a grid of twice the width, and at last all
+    points are around them. Points at one place count as its first, so that a crowd at a place is one row."""
+    p = cut(points.filter("x is not null and y is not null and z is not null").groupBy("x", "y", "z").agg(F.min("point_id").alias("point_id")))
+    b = p.agg(F.count("*").alias("n"), *(f(a).alias(f"{n}{a}") for a in "xyz" for f, n in ((F.min, "low"), (F.max, "high")))).first()
+    found = "sensor bigint, point_id bigint, d2 double"
+    if not b["n"]:
+        return points.sparkSession.createDataFrame([], found)
+    axes = [a for a in "xyz" if b[f"high{a}"] > b[f"low{a}"]]
+    spans = [b[f"high{a}"] - b[f"low{a}"] for a in axes]
+    h = max((np.prod(spans) * PER_CELL / b["n"]) ** (1 / len(axes)), max(spans) / 2**20) if axes else 1.0
+    kind = dict(points.dtypes)["point_id"]
+    state = sensors.filter("x is not null and y is not null and z is not null").select("sensor", *(F.col(a).cast("double").alias(f"s{a}") for a in "xyz"), F.lit(None).cast(f"struct<d2:double,point_id:{kind}>").alias("best"))
+    out = None
+    while True:
+        inside = {a: F.least(F.greatest(F.col(f"s{a}"), F.lit(b[f"low{a}"])), F.lit(b[f"high{a}"])) for a in "xyz"}
+        cell = lambda c, a: F.floor((c - b[f"low{a}"]) / h).cast("bigint")  # noqa: B023, E731
+        away = sum(((F.col(f"s{a}") - inside[a]) ** 2 for a in "xyz"), F.lit(0.0))
+        part = {a: (inside[a] - b[f"low{a}"]) / h - cell(inside[a], a) for a in axes}
+        margin = F.least(F.lit(1.0), *(c for a in axes for c in (part[a], 1 - part[a]))) * h if axes else F.lit(0.0)
+        around = F.array(*(F.struct(*(F.lit(k).alias(a) for a, k in zip(axes, o, strict=True)), F.lit(0).alias("own")) for o in itertools.product((-1, 0, 1), repeat=len(axes))))
+        looks = state.withColumn("o", F.explode(around)).select("sensor", "sx", "sy", "sz", *((cell(inside[a], a) + F.col("o")[a]).alias(f"c{a}") for a in axes), F.lit(0).alias("c"))
+        near = p.select("point_id", "x", "y", "z", *(cell(F.col(a), a).alias(f"c{a}") for a in axes), F.lit(0).alias("c"))
+        d2 = sum(((F.col(a) - F.col(f"s{a}")) ** 2 for a in "xyz"), F.lit(0.0))
+        met = near.join(few(looks), [*(f"c{a}" for a in axes), "c"]).groupBy("sensor").agg(F.min(F.struct(d2.alias("d2"), F.col("point_id"))).alias("now"))
+        last = not axes or h >= max(spans)
+        whole = F.lit(True) if last else F.coalesce(F.col("best.d2") < away + (h + margin) ** 2 * (1 - 1e-12), F.lit(False))
+        state = state.join(met, "sensor", "left").withColumn("best", F.least("best", "now")).drop("now")
+        state = cut(state.withColumn("whole", whole))
+        done = state.filter("whole").select("sensor", "best.point_id", "best.d2")
+        out = done if out is None else out.unionByName(done)
+        state = state.filter("not whole").drop("whole")
+        if last or state.isEmpty():
+            return out
+        h *= 2
+
+
 def sensor_places(bounds: list[float], n: int, seed: int = 0) -> list[tuple[float, float, float]]:
     """Random places within bounds of two or three axes."""
     low, high = np.array(bounds[0::2]), np.array(bounds[1::2])

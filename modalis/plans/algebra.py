@@ -68,9 +68,11 @@ def diag(spark: SparkSession, d: str) -> DataFrame:
     return L.diagonal(L.as_table(rows, L.gram(rows))).select("i", r("v", "v", 5))
 
 
-@query("SELECT a.i, b.j, CASE WHEN a.i = b.j THEN CAST(a.i + 1 AS DOUBLE) ELSE 0.0 END AS v FROM (SELECT unnest(range(6)) AS i) a CROSS JOIN (SELECT CAST(unnest(range(6)) AS INTEGER) AS j) b")
+@query("SELECT a.s_suppkey AS i, CAST(b.s_suppkey AS INTEGER) AS j, CASE WHEN a.s_suppkey = b.s_suppkey THEN a.s_acctbal ELSE 0.0 END AS v FROM supplier a CROSS JOIN supplier b")
 def diag_build(spark: SparkSession, d: str) -> DataFrame:
-    return L.build_diagonal(spark.range(6).select(F.col("id").alias("i"), (F.col("id") + 1).cast("double").alias("v")), 6)
+    """The suppliers' balances as a diagonal matrix."""
+    s = table(spark, d, "supplier")
+    return L.build_diagonal(s.select(F.col("s_suppkey").alias("i"), F.col("s_acctbal").alias("v")), s.count())
 
 
 COMPLEX = f"{EMB}, z AS (SELECT a.i, a.v AS re, b.v AS im FROM emb a JOIN emb b USING (i) WHERE a.j = 0 AND b.j = 1)"
@@ -219,6 +221,7 @@ def randomized_svd(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, float(s[k]), float(vt[k, 0] ** 2)) for k in range(2)], "mode int, s double, w double").select("mode", r("s", "s", 4), r("w", "weight"))
 
 
-@query("SELECT n, CAST(2 ** ceil(log2(n)) AS BIGINT) AS p FROM (SELECT unnest([1, 2, 3, 5, 8, 9, 100, 1025]) AS n)")
+@query("SELECT p_partkey AS n, CAST(CASE WHEN p_partkey < 2 THEN 1 ELSE 2 ** length(ltrim(bin(p_partkey - 1), '0')) END AS BIGINT) AS p FROM part")
 def next_power_of_2(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n, L.next_power_of_2(n)) for n in (1, 2, 3, 5, 8, 9, 100, 1025)], "n int, p bigint")
+    """The least power of two that is not below each part's key."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("n"), C.next_power_of_2(F.col("p_partkey")).alias("p"))

@@ -49,14 +49,14 @@ def delete_snapshot(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    WITH b AS (SELECT 0 AS part, CAST(pos AS INTEGER) AS pos, pos * 0.7::DOUBLE AS value FROM (SELECT unnest(range(10)) AS pos)
-               UNION ALL SELECT 1, CAST(pos AS INTEGER), 7.1::DOUBLE - pos * 0.5::DOUBLE FROM (SELECT unnest(range(10)) AS pos))
+    WITH b AS (SELECT 0 AS part, CAST(p_size AS INTEGER) AS pos, min(p_retailprice) AS value FROM part GROUP BY p_size
+               UNION ALL SELECT 1, CAST(n_nationkey AS INTEGER), 900 + n_nationkey * 4.5::DOUBLE FROM nation)
     SELECT part, pos, round(value, 6) + 0.0 AS value, CAST(row_number() OVER (ORDER BY value, part, pos) - 1 AS INTEGER) AS at FROM b
 """)
 def append_variable(spark: SparkSession, d: str) -> DataFrame:
-    """A second part of an axis, sorted in."""
-    p = spark.range(10).select(F.col("id").cast("int").alias("pos"))
-    a, b = p.withColumn("value", F.col("pos") * 0.7), p.withColumn("value", 7.1 - F.col("pos") * 0.5)
+    """A second part of an axis, sorted in: least prices by size, and places by nation."""
+    a = table(spark, d, "part").groupBy(F.col("p_size").cast("int").alias("pos")).agg(F.min("p_retailprice").alias("value"))
+    b = table(spark, d, "nation").select(F.col("n_nationkey").cast("int").alias("pos"), (900 + F.col("n_nationkey") * 4.5).alias("value"))
     return T.append_sorted(a, b).select("part", "pos", r("value", "value"), "at")
 
 
@@ -225,10 +225,10 @@ def pressure_jacobians(spark: SparkSession, d: str) -> DataFrame:
     return j.select("i", r("dcl", "dcl"), r("dcd", "dcd"), r("dcm", "dcm"))
 
 
-@query("SELECT CAST(e AS INTEGER) AS epoch, round(CASE WHEN e < 5 THEN 0 WHEN e < 20 THEN 0.1 + 0.9 * (e - 5) / 15 ELSE 1 END, 9) + 0.0 AS beta FROM (SELECT unnest(range(30)) AS e)")
+@query("SELECT p_partkey AS i, p_size AS epoch, round(CASE WHEN p_size < 5 THEN 0 WHEN p_size < 20 THEN 0.1 + 0.9 * (p_size - 5) / 15 ELSE 1 END, 9) + 0.0 AS beta FROM part")
 def beta_schedule(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.range(30).select(F.col("id").cast("int").alias("epoch"))
-    return e.select("epoch", r(C.beta_schedule(F.col("epoch"), 0.1, 1.0, 5, 20), "beta", 9))
+    """The weight of each part's size as an epoch."""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("i"), F.col("p_size").alias("epoch"), r(C.beta_schedule(F.col("p_size"), 0.1, 1.0, 5, 20), "beta", 9))
 
 
 BASIS = f"{EMB}, x AS (SELECT i, j, tanh(v) AS x FROM emb)"

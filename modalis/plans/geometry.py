@@ -8,60 +8,78 @@ from pyspark.sql import functions as F
 from ..operators import mesh as G
 from .base import query, r, table
 
-NX, NY = 31, 17
-N3 = (9, 7, 5)
-SPANS = ((0.0, 8.0), (-1.0, 2.0), (0.0, 1.0))
+#: Parts are the points of a grid of NY columns (or of N3 layers' rows and columns), as many rows as there are parts; their
+#: sizes are heights.
+NY, N3 = 20, (5, 4)
 
-P2 = f"p2 AS (SELECT p AS point_id, 9.0 / {NX - 1} * (p // {NY}) - 1.0 AS x, 4.0 / {NY - 1} * (p % {NY}) - 2.0 AS y, 0.0 AS z FROM (SELECT unnest(range({NX * NY})) AS p))"
-C2 = f"""c2 AS (SELECT c AS cell_id, unnest([0, 1, 2, 3]) AS k, unnest([i * {NY} + j, i * {NY} + j + 1, (i + 1) * {NY} + j + 1, (i + 1) * {NY} + j]) AS node
-        FROM (SELECT c, c // {NY - 1} AS i, c % {NY - 1} AS j FROM (SELECT unnest(range({(NX - 1) * (NY - 1)})) AS c)))"""
+P2 = f"""p2 AS (SELECT p_partkey AS point_id, 0.3::DOUBLE * (p_partkey // {NY}) - 1 AS x, 0.25::DOUBLE * (p_partkey % {NY}) - 2 AS y, CAST(0 AS DOUBLE) AS z, p_size / 50.0::DOUBLE AS h FROM part)"""
+C2 = f"""c2 AS (SELECT i * {NY - 1} + j AS cell_id, unnest([0, 1, 2, 3]) AS k, unnest([i * {NY} + j, i * {NY} + j + 1, (i + 1) * {NY} + j + 1, (i + 1) * {NY} + j]) AS node
+        FROM (SELECT p_partkey // {NY} AS i, p_partkey % {NY} AS j, count(*) OVER () AS n FROM part) WHERE j < {NY - 1} AND (i + 1) * {NY} < n)"""
 E2 = f"{C2}, e2 AS (SELECT a.cell_id, a.k, a.node AS a, b.node AS b, least(a.node, b.node) AS v1, greatest(a.node, b.node) AS v2 FROM c2 a JOIN c2 b ON a.cell_id = b.cell_id AND b.k = (a.k + 1) % 4)"
 
 
-def points2(spark: SparkSession) -> DataFrame:
-    return G.struct2d_points(spark, NX, NY, (-1.0, 8.0), (-2.0, 2.0))
+def grid_rows(spark: SparkSession, d: str, each: int) -> int:
+    return table(spark, d, "part").count() // each
 
 
-def cells2(spark: SparkSession) -> DataFrame:
-    return G.struct2d_cells(spark, NX, NY)
+def points2(spark: SparkSession, d: str) -> DataFrame:
+    nx = grid_rows(spark, d, NY)
+    flat = G.struct2d_points(spark, nx, NY, (-1.0, 0.3 * (nx - 1) - 1), (-2.0, 0.25 * (NY - 1) - 2))
+    return flat.join(table(spark, d, "part").select(F.col("p_partkey").alias("point_id"), (F.col("p_size") / 50).alias("h")), "point_id")
 
 
-def warped(spark: SparkSession) -> DataFrame:
-    """The flat mesh bent out of its plane, and every other cell turned round: for normals."""
-    p = points2(spark)
-    return p.withColumn("z", 0.1 * F.col("x") * F.col("y"))
+def cells2(spark: SparkSession, d: str) -> DataFrame:
+    """A cell for each part that has neighbours to the right and behind."""
+    cells = G.struct2d_cells(spark, grid_rows(spark, d, NY), NY)
+    return cells.join(table(spark, d, "part").select(F.col("p_partkey").cast("int").alias("first")), F.col("first") == F.col("nodes")[0], "left_semi")
 
 
-@query(f"WITH {P2} SELECT point_id, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y, CAST(z AS DOUBLE) AS z FROM p2")
+def warped(spark: SparkSession, d: str) -> DataFrame:
+    """The flat mesh bent out of its plane, by the parts' sizes too."""
+    p = points2(spark, d)
+    return p.withColumn("z", 0.1 * F.col("x") * F.col("y") + F.col("h"))
+
+
+@query(f"WITH {P2} SELECT point_id, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y, z, h FROM p2")
 def struct2d_points(spark: SparkSession, d: str) -> DataFrame:
-    return points2(spark).select("point_id", r("x", "x", 9), r("y", "y", 9), "z")
+    return points2(spark, d).select("point_id", r("x", "x", 9), r("y", "y", 9), "z", "h")
 
 
 @query(f"WITH {C2} SELECT cell_id, 3 AS eltype, CAST(k AS INTEGER) AS k, CAST(node AS INTEGER) AS node FROM c2")
 def struct2d_cells(spark: SparkSession, d: str) -> DataFrame:
-    return cells2(spark).select("cell_id", "eltype", F.posexplode("nodes").alias("k", "node"))
+    return cells2(spark, d).select("cell_id", "eltype", F.posexplode("nodes").alias("k", "node"))
+
 
+P3 = f"""p3 AS (SELECT p_partkey AS point_id, p_partkey // {N3[0] * N3[1]} AS i, p_partkey // {N3[1]} % {N3[0]} AS j, p_partkey % {N3[1]} AS k, p_size AS size FROM part)"""
 
-P3 = f"p3 AS (SELECT p AS point_id, p // {N3[1] * N3[2]} AS i, p // {N3[2]} % {N3[1]} AS j, p % {N3[2]} AS k FROM (SELECT unnest(range({N3[0] * N3[1] * N3[2]})) AS p))"
 
+def grid3(spark: SparkSession, d: str) -> tuple[int, int, int]:
+    return grid_rows(spark, d, N3[0] * N3[1]), *N3
 
-@query(f"WITH {P3} SELECT point_id, round(8.0 / {N3[0] - 1} * i, 9) + 0.0 AS x, round(3.0 / {N3[1] - 1} * j - 1.0, 9) + 0.0 AS y, round(1.0 / {N3[2] - 1} * k, 9) + 0.0 AS z FROM p3")
+
+@query(f"WITH {P3} SELECT point_id, round(0.5::DOUBLE * i, 9) + 0.0 AS x, round(3.0::DOUBLE / {N3[0] - 1} * j - 1.0, 9) + 0.0 AS y, round(1.0::DOUBLE / {N3[1] - 1} * k, 9) + 0.0 AS z, size FROM p3")
 def struct3d_points(spark: SparkSession, d: str) -> DataFrame:
-    return G.struct3d_points(spark, N3, SPANS).select("point_id", r("x", "x", 9), r("y", "y", 9), r("z", "z", 9))
+    n = grid3(spark, d)
+    p = G.struct3d_points(spark, n, ((0.0, 0.5 * (n[0] - 1)), (-1.0, 2.0), (0.0, 1.0)))
+    p = p.join(table(spark, d, "part").select(F.col("p_partkey").alias("point_id"), F.col("p_size").alias("size")), "point_id")
+    return p.select("point_id", r("x", "x", 9), r("y", "y", 9), r("z", "z", 9), "size")
 
 
-C3 = f"""c3 AS (SELECT c AS cell_id, c // {(N3[1] - 1) * (N3[2] - 1)} AS i, c // {N3[2] - 1} % {N3[1] - 1} AS j, c % {N3[2] - 1} AS k FROM (SELECT unnest(range({(N3[0] - 1) * (N3[1] - 1) * (N3[2] - 1)})) AS c)),
-    n3 AS (SELECT cell_id, o.k AS k, ((i + o.a) * {N3[1]} + j + o.b) * {N3[2]} + c3.k + o.c AS node FROM c3 CROSS JOIN (VALUES (0, 0, 0, 0), (1, 0, 0, 1), (2, 0, 1, 1), (3, 0, 1, 0), (4, 1, 0, 0), (5, 1, 0, 1), (6, 1, 1, 1), (7, 1, 1, 0)) o(k, a, b, c))"""
+C3 = f"""c3 AS (SELECT (i * {N3[0] - 1} + j) * {N3[1] - 1} + k AS cell_id, i, j, k FROM p3 CROSS JOIN (SELECT count(*) AS n FROM part) WHERE j < {N3[0] - 1} AND k < {N3[1] - 1} AND (i + 1) * {N3[0] * N3[1]} < n),
+    n3 AS (SELECT cell_id, o.k AS k, ((i + o.a) * {N3[0]} + j + o.b) * {N3[1]} + c3.k + o.c AS node FROM c3 CROSS JOIN (VALUES (0, 0, 0, 0), (1, 0, 0, 1), (2, 0, 1, 1), (3, 0, 1, 0), (4, 1, 0, 0), (5, 1, 0, 1), (6, 1, 1, 1), (7, 1, 1, 0)) o(k, a, b, c))"""
 
 
-@query(f"WITH {C3} SELECT cell_id, 5 AS eltype, CAST(k AS INTEGER) AS k, CAST(node AS INTEGER) AS node FROM n3")
+@query(f"WITH {P3}, {C3} SELECT cell_id, CAST(sum(p_size) AS BIGINT) AS size, CAST(k AS INTEGER) AS k, CAST(node AS INTEGER) AS node FROM n3 JOIN part ON p_partkey = node GROUP BY cell_id, k, node")
 def struct3d_cells(spark: SparkSession, d: str) -> DataFrame:
-    return G.struct3d_cells(spark, N3).select("cell_id", "eltype", F.posexplode("nodes").alias("k", "node"))
+    """The corners of every cell, with the sizes of the parts that stand there."""
+    c = G.struct3d_cells(spark, grid3(spark, d)).select("cell_id", F.posexplode("nodes").alias("k", "node"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("node"), F.col("p_size").cast("long").alias("size"))
+    return c.join(p, "node").select("cell_id", "size", "k", "node")
 
 
 @query(f"WITH {P2}, {C2} SELECT cell_id, round(avg(x), 9) + 0.0 AS x, round(avg(y), 9) + 0.0 AS y FROM c2 JOIN p2 ON node = point_id GROUP BY cell_id")
 def cell_centers(spark: SparkSession, d: str) -> DataFrame:
-    return G.cell_centres(points2(spark), cells2(spark)).select("cell_id", r("x", "x", 9), r("y", "y", 9))
+    return G.cell_centres(points2(spark, d), cells2(spark, d)).select("cell_id", r("x", "x", 9), r("y", "y", 9))
 
 
 @query(f"""
@@ -71,41 +89,41 @@ def cell_centers(spark: SparkSession, d: str) -> DataFrame:
 """)
 def structured_centers(spark: SparkSession, d: str) -> DataFrame:
     """From distinct coordinates alone."""
-    c = G.structured_centres(points2(spark))
+    c = G.structured_centres(points2(spark, d))
     return c.select((F.col("kx") * (NY - 1) + F.col("ky")).cast("bigint").alias("cell_id"), r("x", "x", 9), r("y", "y", 9))
 
 
 @query(f"""
-    WITH {P2}, {C2}, q AS (SELECT cell_id, k, x, y, 0.1 * x * y AS z FROM c2 JOIN p2 ON node = point_id),
+    WITH {P2}, {C2}, q AS (SELECT cell_id, k, x, y, 0.1::DOUBLE * x * y + h AS z FROM c2 JOIN p2 ON node = point_id),
          m AS (SELECT cell_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM q GROUP BY cell_id),
          u AS (SELECT q.cell_id, k, q.x - m.x AS x, q.y - m.y AS y, q.z - m.z AS z FROM q JOIN m USING (cell_id))
     SELECT a.cell_id, round(sum(a.y * b.z - a.z * b.y) / 2, 9) + 0.0 AS nx, round(sum(a.z * b.x - a.x * b.z) / 2, 9) + 0.0 AS ny, round(sum(a.x * b.y - a.y * b.x) / 2, 9) + 0.0 AS nz
     FROM u a JOIN u b ON a.cell_id = b.cell_id AND b.k = (a.k + 3) % 4 GROUP BY a.cell_id
 """)
 def cell_normals(spark: SparkSession, d: str) -> DataFrame:
-    n = G.normals(warped(spark), cells2(spark))
+    n = G.normals(warped(spark, d), cells2(spark, d))
     return n.select("cell_id", r("nx", "nx", 9), r("ny", "ny", 9), r("nz", "nz", 9))
 
 
 @query(f"WITH {E2} SELECT CAST(v1 AS INTEGER) AS v1, CAST(v2 AS INTEGER) AS v2, cell_id FROM e2 UNION ALL SELECT CAST(v2 AS INTEGER), CAST(v1 AS INTEGER), cell_id FROM e2")
 def edge_to_cells(spark: SparkSession, d: str) -> DataFrame:
-    return G.edge_to_cells(cells2(spark))
+    return G.edge_to_cells(cells2(spark, d))
 
 
 @query(f"WITH {E2} SELECT DISTINCT a.cell_id, b.cell_id AS neighbour FROM e2 a JOIN e2 b USING (v1, v2) WHERE a.cell_id <> b.cell_id")
 def cell_adjacency(spark: SparkSession, d: str) -> DataFrame:
-    return G.cell_adjacency(cells2(spark))
+    return G.cell_adjacency(cells2(spark, d))
 
 
 @query(f"WITH {E2}, n AS (SELECT DISTINCT a.cell_id, b.cell_id AS n FROM e2 a JOIN e2 b USING (v1, v2) WHERE a.cell_id <> b.cell_id) SELECT cell_id, array_to_string(list_resize(list_sort(list(n)), 4, -1), ',') AS neighbours FROM n GROUP BY cell_id")
 def cell_connectivity(spark: SparkSession, d: str) -> DataFrame:
     """Neighbours padded with -1."""
-    return G.padded_neighbours(cells2(spark)).select("cell_id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
+    return G.padded_neighbours(cells2(spark, d)).select("cell_id", F.array_join(F.col("neighbours").cast("array<string>"), ",").alias("neighbours"))
 
 
 @query(f"WITH {E2} SELECT DISTINCT min(cell_id) AS cell_id FROM e2 GROUP BY v1, v2 HAVING count(*) = 1")
 def border_cells(spark: SparkSession, d: str) -> DataFrame:
-    return G.border_cells(cells2(spark))
+    return G.border_cells(cells2(spark, d))
 
 
 @query(f"""
@@ -116,33 +134,33 @@ def border_cells(spark: SparkSession, d: str) -> DataFrame:
     FROM q JOIN m USING (cell_id)
 """)
 def wall_normals(spark: SparkSession, d: str) -> DataFrame:
-    n = G.wall_normals(points2(spark), cells2(spark))
+    n = G.wall_normals(points2(spark, d), cells2(spark, d))
     return n.select("cell_id", "k", r("nx", "nx"), r("ny", "ny"))
 
 
 @query(f"WITH {C2} SELECT DISTINCT cell_id, 1 AS sign FROM c2")
 def coherent_normals(spark: SparkSession, d: str) -> DataFrame:
     """Normals of a mesh whose every third cell is turned round agree again."""
-    c = cells2(spark).filter(F.col("cell_id") >= 0)
+    c = cells2(spark, d).filter(F.col("cell_id") >= 0)
     turned = c.withColumn("nodes", F.when(F.col("cell_id") % 3 == 1, F.reverse("nodes")).otherwise(F.col("nodes")))
-    n = G.coherent_normals(turned, G.normals(points2(spark), turned))
+    n = G.coherent_normals(turned, G.normals(points2(spark, d), turned))
     first = n.filter("cell_id = 0").select(F.signum("nz").alias("s0"))
     return n.crossJoin(F.broadcast(first)).select("cell_id", (F.signum("nz") * F.col("s0")).cast("int").alias("sign"))
 
 
-@query(f"WITH {P2} SELECT point_id FROM p2 WHERE x = -1 AND y = 2 AND z = 0")
+@query(f"WITH {P2} SELECT point_id FROM p2 WHERE x = -1 AND y = 2.75 AND z = 0")
 def find_point(spark: SparkSession, d: str) -> DataFrame:
-    return G.find_point(points2(spark), -1.0, 2.0, 0.0)
+    return G.find_point(points2(spark, d), -1.0, 2.75, 0.0)
 
 
 @query(f"WITH {C2} SELECT DISTINCT cell_id FROM c2")
 def find_cell(spark: SparkSession, d: str) -> DataFrame:
-    return G.find_cells(cells2(spark), G.QUAD)
+    return G.find_cells(cells2(spark, d), G.QUAD)
 
 
 @query(f"WITH {C2} SELECT DISTINCT cell_id FROM c2 WHERE node = 40")
 def find_point_in_cell(spark: SparkSession, d: str) -> DataFrame:
-    return G.cells_of_node(cells2(spark), 40)
+    return G.cells_of_node(cells2(spark, d), 40)
 
 
 @query("""
@@ -159,14 +177,24 @@ def element_types(spark: SparkSession, d: str) -> DataFrame:
 
 SENSORS = [(0.03, 0.11, 0.0), (5.5, -1.2, 0.0), (7.9, 1.9, 0.0)]
 
+#: Customers as sensors, some of them beside the mesh.
+CUSTOMERS = "s AS (SELECT c_custkey AS sensor, c_custkey * 37 % 1000 / 1000.0::DOUBLE * n / 60 - 2 AS sx, c_acctbal / 2000 - 2 AS sy FROM customer CROSS JOIN (SELECT count(*) AS n FROM part))"
+
+
+def sensors_of(spark: SparkSession, d: str) -> DataFrame:
+    n = table(spark, d, "part").count()
+    c = table(spark, d, "customer")
+    return c.select(F.col("c_custkey").alias("sensor"), (F.col("c_custkey") * 37 % 1000 / 1000 * n / 60 - 2).alias("x"), (F.col("c_acctbal") / 2000 - 2).alias("y"), F.lit(0.0).alias("z"))
+
 
 @query(f"""
-    WITH {P2}, s(sensor, sx, sy) AS (VALUES (0, 0.03, 0.11), (1, 5.5, -1.2), (2, 7.9, 1.9)),
-         n AS (SELECT sensor, point_id, (x - sx) ** 2 + (y - sy) ** 2 AS d2 FROM p2 CROSS JOIN s)
-    SELECT sensor, point_id, round(d2, 9) + 0.0 AS d2 FROM n QUALIFY row_number() OVER (PARTITION BY sensor ORDER BY d2, point_id) = 1
+    WITH {P2}, {CUSTOMERS}, n AS (SELECT sensor, point_id, (x - sx) ** 2 + (y - sy) ** 2 AS d2 FROM p2 CROSS JOIN s)
+    SELECT sensor, point_id, round(d2, 7) + 0.0 AS d2 FROM n QUALIFY row_number() OVER (PARTITION BY sensor ORDER BY round(d2, 9), point_id) = 1
 """)
 def nearest_sensor(spark: SparkSession, d: str) -> DataFrame:
-    return G.nearest_points(points2(spark), SENSORS).select("sensor", "point_id", r("d2", "d2", 9))
+    """The nearest point to every customer's place, by a grid."""
+    exact = points2(spark, d).withColumns({a: F.round(a, 9) for a in "xy"})
+    return G.nearest_on_grid(exact, sensors_of(spark, d)).select("sensor", "point_id", r("d2", "d2", 7))
 
 
 PLACES = G.sensor_places([0.0, 5.0, -1.0, 1.0], 6, 3)
@@ -179,19 +207,19 @@ PLACES = G.sensor_places([0.0, 5.0, -1.0, 1.0], 6, 3)
 """)
 def random_sensors(spark: SparkSession, d: str) -> DataFrame:
     """The nearest points to six random places."""
-    return G.random_sensors(points2(spark), [0.0, 5.0, -1.0, 1.0], 6, 3).select("sensor", "point_id", r("d2", "d2", 9))
+    return G.random_sensors(points2(spark, d), [0.0, 5.0, -1.0, 1.0], 6, 3).select("sensor", "point_id", r("d2", "d2", 9))
 
 
 @query(f"WITH {P2} SELECT point_id, round(x, 9) + 0.0 AS a, round(y, 9) + 0.0 AS b, CAST(0 AS DOUBLE) AS c FROM p2")
 def reshape_vectors(spark: SparkSession, d: str) -> DataFrame:
     """Two components padded to three."""
-    v = G.pad_vectors(points2(spark), ("x", "y"))
+    v = G.pad_vectors(points2(spark, d), ("x", "y"))
     return v.select("point_id", *(r(F.element_at("vector", k + 1), n, 9) for k, n in enumerate("abc")))
 
 
 @query(f"WITH {E2}, b AS (SELECT min(cell_id) AS cell_id FROM e2 GROUP BY v1, v2 HAVING count(*) = 1) SELECT DISTINCT cell_id FROM c2 WHERE cell_id NOT IN (SELECT cell_id FROM b)")
 def interior_cells(spark: SparkSession, d: str) -> DataFrame:
-    return G.interior_cells(cells2(spark))
+    return G.interior_cells(cells2(spark, d))
 
 
 @query(f"""
@@ -201,7 +229,7 @@ def interior_cells(spark: SparkSession, d: str) -> DataFrame:
 """)
 def sensor_fields(spark: SparkSession, d: str) -> DataFrame:
     """What three sensors read: fields of vectors are left out."""
-    p = points2(spark)
+    p = points2(spark, d)
     f = lambda name, comp, v: p.select("point_id", F.lit(name).alias("field"), F.lit(comp).alias("comp"), F.lit(0).alias("t"), v.cast("double").alias("v"))
     fields = f("p", 0, F.col("point_id") * 2).unionByName(f("u", 0, F.col("x"))).unionByName(f("u", 1, F.col("y")))
     return G.at_sensors(fields, G.nearest_points(p, SENSORS))

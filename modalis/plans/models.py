@@ -286,69 +286,77 @@ def interpolator(spark: SparkSession, d: str) -> DataFrame:
     return S.adjust_field(c, {"a": 0.5, "b": -0.2}).select("i", r("adjusted", "adjusted"))
 
 
-WAVE = "g AS (SELECT CAST(i AS INTEGER) AS i, CAST(n AS INTEGER) AS n, sin(0.1 * i - 0.05 * n) AS u FROM (SELECT unnest(range(40)) AS i) CROSS JOIN (SELECT unnest(range(20)) AS n))"
+#: The embeddings as a field over a grid: components along x, vectors in order along time or y.
+GRID = f"{EMB}, v AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS n FROM embeddings), g AS (SELECT e.j AS i, v.n AS n, e.v AS u FROM emb e JOIN v ON e.i = v.vec_id)"
+LAST = 63
 
 
-def wave(spark: SparkSession) -> DataFrame:
-    g = spark.range(800).select((F.col("id") % 40).cast("int").alias("i"), F.floor(F.col("id") / 40).cast("int").alias("n"))
-    return g.withColumn("u", F.sin(0.1 * F.col("i") - 0.05 * F.col("n")))
+def field(spark: SparkSession, d: str) -> DataFrame:
+    """i, n, u. Vectors are numbered from 0 without gaps, as they come."""
+    return rows_of(spark, d).select(F.col("row_id").cast("int").alias("n"), F.posexplode("x").alias("i", "u")).select("i", "n", "u")
 
 
-@query(f"""
-    WITH {WAVE}
-    SELECT i, n, round((lead(u) OVER t - lag(u) OVER t) / 0.02 + u * (lead(u) OVER x - lag(u) OVER x) / 0.2 - 0.3 * (lead(u) OVER x - 2 * u + lag(u) OVER x) / 0.01, 6) + 0.0 AS residual
-    FROM g WINDOW t AS (PARTITION BY i ORDER BY n), x AS (PARTITION BY n ORDER BY i) QUALIFY residual IS NOT NULL
-""")
+BURGERS = "(lead(u) OVER t - lag(u) OVER t) / 0.02 + u * (lead(u) OVER x - lag(u) OVER x) / 0.2 - 0.3 * (lead(u) OVER x - 2 * u + lag(u) OVER x) / 0.01"
+
+
+@query(f"WITH {GRID} SELECT i, n, round({BURGERS}, 5) + 0.0 AS residual FROM g WINDOW t AS (PARTITION BY i ORDER BY n), x AS (PARTITION BY n ORDER BY i) QUALIFY residual IS NOT NULL")
 def pinn_burgers_residual(spark: SparkSession, d: str) -> DataFrame:
-    return S.burgers_residual(wave(spark), 0.1, 0.01, 0.3).filter("residual is not null").select("i", "n", r("residual", "residual"))
+    return S.burgers_residual(field(spark, d), 0.1, 0.01, 0.3).filter("residual is not null").select("i", "n", r("residual", "residual", 5))
 
 
 @query(f"""
-    WITH {WAVE}, r AS (SELECT i, n, u, (lead(u) OVER t - lag(u) OVER t) / 0.02 + u * (lead(u) OVER x - lag(u) OVER x) / 0.2 - 0.3 * (lead(u) OVER x - 2 * u + lag(u) OVER x) / 0.01 AS residual
-        FROM g WINDOW t AS (PARTITION BY i ORDER BY n), x AS (PARTITION BY n ORDER BY i)),
-        l AS (SELECT avg(residual ** 2) AS equation, avg(CASE WHEN n = 0 THEN (u - 0.1 * i) ** 2 END) AS start, avg(CASE WHEN i = 0 OR i = 39 THEN u ** 2 END) AS wall FROM r)
-    SELECT round(equation, 6) + 0.0 AS equation, round(start, 6) + 0.0 AS start, round(wall, 6) + 0.0 AS wall, round(equation + start + wall, 6) + 0.0 AS loss FROM l
+    WITH {GRID}, r AS (SELECT i, n, u, {BURGERS} AS residual FROM g WINDOW t AS (PARTITION BY i ORDER BY n), x AS (PARTITION BY n ORDER BY i)),
+        l AS (SELECT avg(residual ** 2) AS equation, avg(CASE WHEN n = 0 THEN (u - 0.1 * i) ** 2 END) AS start, avg(CASE WHEN i = 0 OR i = {LAST} THEN u ** 2 END) AS wall FROM r)
+    SELECT round(equation, 4) + 0.0 AS equation, round(start, 6) + 0.0 AS start, round(wall, 6) + 0.0 AS wall, round(equation + start + wall, 4) + 0.0 AS loss FROM l
 """)
 def pinn_loss(spark: SparkSession, d: str) -> DataFrame:
     """What a field is off an equation, an initial and a boundary condition."""
-    r_ = S.burgers_residual(wave(spark), 0.1, 0.01, 0.3)
-    conditions = {"start": (F.col("n") == 0, 0.1 * F.col("i")), "wall": ((F.col("i") == 0) | (F.col("i") == 39), F.lit(0.0))}
-    return S.physics_loss(r_, "residual", "u", conditions).select(*(r(n, n) for n in ("equation", "start", "wall", "loss")))
+    r_ = S.burgers_residual(field(spark, d), 0.1, 0.01, 0.3)
+    conditions = {"start": (F.col("n") == 0, 0.1 * F.col("i")), "wall": ((F.col("i") == 0) | (F.col("i") == LAST), F.lit(0.0))}
+    return S.physics_loss(r_, "residual", "u", conditions).select(r("equation", "equation", 4), r("start", "start"), r("wall", "wall"), r("loss", "loss", 4))
 
 
-@query("""
-    WITH g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 0.01::DOUBLE * i * i AS u, -0.02::DOUBLE * i * j AS v FROM (SELECT unnest(range(1, 19)) AS i) CROSS JOIN (SELECT unnest(range(1, 14)) AS j))
-    SELECT i, j, CAST(0 AS DOUBLE) AS continuity, round(0.2::DOUBLE * u * i - 0.04 + 0.5, 6) + 0.0 AS momentum_x, round(-0.2::DOUBLE * u * j - 0.2::DOUBLE * v * i, 6) + 0.0 AS momentum_y FROM g
-""")
-def pinn_incompressible_residual(spark: SparkSession, d: str) -> DataFrame:
-    """Of u = x^2, v = -2 x y, p = x / 2, whose differences are exact."""
-    g = spark.range(300).select(F.floor(F.col("id") / 15).cast("int").alias("i"), (F.col("id") % 15).cast("int").alias("j"))
-    x, y = 0.1 * F.col("i"), 0.1 * F.col("j")
-    s = S.incompressible_residual(g.withColumns({"u": x * x, "v": -2 * x * y, "p": 0.5 * x}), 0.1, 0.1, 50.0)
-    s = s.filter("momentum_x is not null and momentum_y is not null and continuity is not null")
-    return s.select("i", "j", r("continuity", "continuity"), r("momentum_x", "momentum_x"), r("momentum_y", "momentum_y"))
+def difference(f: str, g: str) -> str:
+    return f"(lead({f}) OVER x - lag({f}) OVER x) / 0.2 + (lead({g}) OVER y - lag({g}) OVER y) / 0.2"
 
 
-FLOW = """g AS (SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, 1.2 + 0.1 * sin(0.3 * i) AS rho, 0.7 + 0.05 * j AS u, 0.1 * cos(0.2 * i + 0.1 * j) AS v, 0.9 + 0.01 * i * j AS p
-        FROM (SELECT unnest(range(20)) AS i) CROSS JOIN (SELECT unnest(range(15)) AS j)),
-     e AS (SELECT *, p / 0.4 + 0.5 * rho * (u * u + v * v) + p AS h FROM g)"""
+def second(f: str) -> str:
+    return f"(lead({f}) OVER x - 2 * {f} + lag({f}) OVER x) / 0.01 + (lead({f}) OVER y - 2 * {f} + lag({f}) OVER y) / 0.01"
 
 
-def difference(f: str, g: str) -> str:
-    return f"(lead({f}) OVER x - lag({f}) OVER x) / 0.2 + (lead({g}) OVER y - lag({g}) OVER y) / 0.2"
+def first(f: str, axis: str) -> str:
+    return f"(lead({f}) OVER {axis} - lag({f}) OVER {axis}) / 0.2"
+
+
+AXES = "WINDOW x AS (PARTITION BY j ORDER BY i), y AS (PARTITION BY i ORDER BY j)"
+
+
+@query(f"""
+    WITH {GRID}, f AS (SELECT i, n AS j, u, u * u - 0.3 AS v, 0.5 * u + 0.1 * i AS p FROM g),
+         d AS (SELECT i, j, {first("u", "x")} + {first("v", "y")} AS continuity, u * ({first("u", "x")}) + v * ({first("u", "y")}) + {first("p", "x")} - ({second("u")}) / 50 AS momentum_x,
+                   u * ({first("v", "x")}) + v * ({first("v", "y")}) + {first("p", "y")} - ({second("v")}) / 50 AS momentum_y FROM f {AXES})
+    SELECT i, j, round(continuity, 5) + 0.0 AS continuity, round(momentum_x, 5) + 0.0 AS momentum_x, round(momentum_y, 5) + 0.0 AS momentum_y FROM d WHERE continuity IS NOT NULL AND momentum_x IS NOT NULL AND momentum_y IS NOT NULL
+""")
+def pinn_incompressible_residual(spark: SparkSession, d: str) -> DataFrame:
+    """Of a flow whose velocities and pressure are made from the embeddings."""
+    u = F.col("u")
+    g = field(spark, d).select("i", F.col("n").alias("j"), "u", (u * u - 0.3).alias("v"), (0.5 * u + 0.1 * F.col("i")).alias("p"))
+    s = S.incompressible_residual(g, 0.1, 0.1, 50.0)
+    s = s.filter("momentum_x is not null and momentum_y is not null and continuity is not null")
+    return s.select("i", "j", *(r(n, n, 5) for n in ("continuity", "momentum_x", "momentum_y")))
 
 
 @query(f"""
-    WITH {FLOW}, d AS (SELECT i, j, {difference("rho * u", "rho * v")} AS mass, {difference("rho * u * u + p", "rho * u * v")} AS mx, {difference("rho * u * v", "rho * v * v + p")} AS my, {difference("h * u", "h * v")} AS energy
-        FROM e WINDOW x AS (PARTITION BY j ORDER BY i), y AS (PARTITION BY i ORDER BY j))
-    SELECT i, j, round(mass, 6) + 0.0 AS mass, round(mx, 6) + 0.0 AS momentum_x, round(my, 6) + 0.0 AS momentum_y, round(energy, 6) + 0.0 AS energy FROM d WHERE mass IS NOT NULL
+    WITH {GRID}, f AS (SELECT i, n AS j, 1.2 + 0.1 * u AS rho, 0.7 + u AS u, u * u - 0.2 AS v, 0.9 + 0.3 * u AS p FROM g), e AS (SELECT *, p / 0.4::DOUBLE + 0.5 * rho * (u * u + v * v) + p AS h FROM f),
+         d AS (SELECT i, j, {difference("rho * u", "rho * v")} AS mass, {difference("rho * u * u + p", "rho * u * v")} AS mx, {difference("rho * u * v", "rho * v * v + p")} AS my, {difference("h * u", "h * v")} AS energy FROM e {AXES})
+    SELECT i, j, round(mass, 5) + 0.0 AS mass, round(mx, 5) + 0.0 AS momentum_x, round(my, 5) + 0.0 AS momentum_y, round(energy, 5) + 0.0 AS energy FROM d WHERE mass IS NOT NULL
 """)
 def pinn_euler_residual(spark: SparkSession, d: str) -> DataFrame:
-    """Of a flow that is no solution."""
-    g = spark.range(300).select(F.floor(F.col("id") / 15).cast("int").alias("i"), (F.col("id") % 15).cast("int").alias("j"))
-    flow = {"rho": 1.2 + 0.1 * F.sin(0.3 * F.col("i")), "u": 0.7 + 0.05 * F.col("j"), "v": 0.1 * F.cos(0.2 * F.col("i") + 0.1 * F.col("j")), "p": 0.9 + 0.01 * F.col("i") * F.col("j")}
-    s = S.euler_residual(g.withColumns(flow), 0.1, 0.1)
-    return s.filter("mass is not null").select("i", "j", *(r(n, n) for n in ("mass", "momentum_x", "momentum_y", "energy")))
+    """Of a compressible flow made from the embeddings, which is no solution."""
+    u = F.col("u")
+    g = field(spark, d).select("i", F.col("n").alias("j"), (1.2 + 0.1 * u).alias("rho"), (0.7 + u).alias("u"), (u * u - 0.2).alias("v"), (0.9 + 0.3 * u).alias("p"))
+    s = S.euler_residual(g, 0.1, 0.1)
+    return s.filter("mass is not null").select("i", "j", *(r(n, n, 5) for n in ("mass", "momentum_x", "momentum_y", "energy")))
 
 
 @query("SELECT p_partkey AS i, round(p_size / 10.0::DOUBLE * sqrt(1.1::DOUBLE), 6) + 0.0 AS adjusted FROM part")
@@ -359,9 +367,10 @@ def nonlinear_interpolator(spark: SparkSession, d: str) -> DataFrame:
     return S.adjust_field_nonlinear(c, [(lambda v: v * v, lambda v: 2 * v, 1.1 * now)], tolerance=1e-9).select("i", r("adjusted", "adjusted"))
 
 
-@query("SELECT CAST(k AS INTEGER) AS k, round(sqrt(x) * (1 - x) * (0.2 * (1 - x) ** 2 + 0.6 * x * (1 - x) + 0.25 * x * x) + 0.002 * x, 9) + 0.0 AS y FROM (SELECT k, k / 100 AS x FROM (SELECT unnest(range(101)) AS k))")
+@query("SELECT p_partkey AS k, round(sqrt(x) * (1 - x) * (0.2 * (1 - x) ** 2 + 0.6 * x * (1 - x) + 0.25 * x * x) + 0.002 * x, 9) + 0.0 AS y FROM (SELECT p_partkey, p_size / 50.0::DOUBLE AS x FROM part)")
 def airfoil_shape(spark: SparkSession, d: str) -> DataFrame:
-    t = spark.range(101).select(F.col("id").cast("int").alias("k"), (F.col("id") / 100).alias("x"))
+    """The surface's height at each part's size, as a share of the largest."""
+    t = table(spark, d, "part").select(F.col("p_partkey").alias("k"), (F.col("p_size") / 50).alias("x"))
     return t.select("k", r(S.airfoil(F.col("x"), [0.2, 0.3, 0.25], 0.002), "y", 9))
 
 

@@ -10,9 +10,10 @@ from ..operators import signal as G
 from .base import EMB, long_of, query, r, rows_of, table
 
 
-@query("SELECT CAST(i AS INTEGER) AS i, round(0.54 - 0.46 * cos(2 * pi() * i / 63), 9) + 0.0 AS w FROM (SELECT unnest(range(64)) AS i)")
+@query(f"WITH {EMB} SELECT i, j, round((0.54 - 0.46 * cos(2 * pi() * j / 63)) * v, 7) + 0.0 AS v FROM emb")
 def hammwin(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(64).select(F.col("id").cast("int").alias("i"), r(C.hamming("id", 64), "w", 9))
+    """Every vector under the window."""
+    return long_of(spark, d).select("i", "j", r(C.hamming("j", 64) * F.col("v"), "v", 7))
 
 
 def series(spark: SparkSession, d: str) -> DataFrame:

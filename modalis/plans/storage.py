@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from ..functions import matrix as M
 from ..operators import linalg as L
-from ..operators import mesh as G
 from ..operators import modal, surrogates
 from ..operators import tables as T
 from ..sources import layout
@@ -16,6 +15,7 @@ from ..streaming import append, sketch
 from .base import EMB, FLAGS, STATUS, entries, flag_rows, long_of, query, r, rows_of, scratch, status_rows, table
 from .data import fields_of
 from .decompositions import RECONSTRUCTED, SPOD_MODES, two_blocks
+from .geometry import C2, P2, cells2, points2
 from .models import given_weights, layer_sql
 
 
@@ -44,12 +44,13 @@ def append_dataset(spark: SparkSession, d: str) -> DataFrame:
     return layout.Dataset.load(spark, path).fields.groupBy("part").agg(F.count("*").alias("n"), r(F.sum("v"), "s", 4))
 
 
-@query("SELECT 'time' AS axis, 0 AS idim, CAST(p AS INTEGER) AS pos, round(p * 0.2::DOUBLE, 9) + 0.0 AS value FROM (SELECT unnest(range(32)) AS p)")
+@query("SELECT 'price' AS axis, 1 AS idim, CAST(p_partkey AS INTEGER) AS pos, p_retailprice AS value FROM part")
 def load_variables(spark: SparkSession, d: str) -> DataFrame:
-    """One axis of a saved dataset with two."""
+    """One axis of a saved dataset with two: the parts' prices."""
     path, ds = scratch(spark), dataset_of(spark, d)
-    layout.Dataset(ds.points, ds.axes.unionByName(ds.axes.withColumn("axis", F.lit("angle"))), ds.fields).save(path)
-    return layout.Dataset.load(spark, path, variables=["time"]).axes.select("axis", "idim", "pos", r("value", "value", 9))
+    prices = table(spark, d, "part").select(F.lit("price").alias("axis"), F.lit(1).alias("idim"), F.col("p_partkey").cast("int").alias("pos"), F.col("p_retailprice").alias("value"))
+    layout.Dataset(ds.points, ds.axes.unionByName(prices), ds.fields).save(path)
+    return layout.Dataset.load(spark, path, variables=["price"]).axes.select("axis", "idim", "pos", "value")
 
 
 @query(f"""
@@ -71,17 +72,14 @@ def save_unique_points(spark: SparkSession, d: str) -> DataFrame:
     return layout.Dataset.load(spark, path).points.select("point_id", "x")
 
 
-@query("""
-    WITH c AS (SELECT CAST(c AS BIGINT) AS cell_id, CAST((c // 16) * 17 + c % 16 AS INTEGER) AS first FROM (SELECT unnest(range(480)) AS c))
-    SELECT cell_id, first, round(first // 17 * 0.3::DOUBLE - 1, 9) + 0.0 AS x, round(first % 17 * 0.25::DOUBLE - 2, 9) + 0.0 AS y FROM c
-""")
+@query(f"WITH {P2}, {C2} SELECT cell_id, CAST(node AS INTEGER) AS first, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y, h FROM c2 JOIN p2 ON node = point_id WHERE k = 0")
 def save_load_mesh(spark: SparkSession, d: str) -> DataFrame:
-    """Cells with the places of their first nodes."""
+    """Cells with the places of their first nodes, of the mesh of the parts."""
     path = scratch(spark)
-    layout.save_mesh(G.struct2d_points(spark, 31, 17, (-1.0, 8.0), (-2.0, 2.0)), G.struct2d_cells(spark, 31, 17), path)
+    layout.save_mesh(points2(spark, d), cells2(spark, d), path)
     points, cells = layout.load_mesh(spark, path)
     c = cells.select("cell_id", F.element_at("nodes", 1).alias("first"))
-    return c.join(points, F.col("first") == F.col("point_id")).select("cell_id", "first", r("x", "x", 9), r("y", "y", 9))
+    return c.join(points, F.col("first") == F.col("point_id")).select("cell_id", "first", r("x", "x", 9), r("y", "y", 9), "h")
 
 
 @query(f"WITH {STATUS} SELECT i, CAST(j AS INTEGER) AS j, round((a * p + b * q) * CASE j WHEN 0 THEN p ELSE q END, 5) + 0.0 AS v FROM st CROSS JOIN ei CROSS JOIN (SELECT unnest([0, 1]) AS j)")
