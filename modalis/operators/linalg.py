@@ -30,7 +30,7 @@ def checked_width(rows: DataFrame) -> int:
     """The number of columns, if factors of columns x columns fit the driver."""
     n = width(rows)
     if n > DRIVER_COLUMNS:
-        raise ValueError(f"{n} columns; reduce them first, for example by randomized_svd")
+        raise ValueError(f"{n} columns; reduce them first by randomized_svd, or see wide.panel_qr")
     return n
 
 
@@ -158,8 +158,7 @@ def cross_gram(rows: DataFrame, other: str = "y") -> np.ndarray:
 
 def times(rows: DataFrame, b: np.ndarray) -> DataFrame:
     """X B for a small B, which goes out with the tasks."""
-    if max(b.shape) > DRIVER_COLUMNS:
-        raise ValueError("the right factor is not small")
+    checked_size(b.size)
     shared = rows.sparkSession.sparkContext.broadcast(np.ascontiguousarray(b))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,7 +233,10 @@ def tsqr(rows: DataFrame) -> np.ndarray:
     def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         return np.linalg.qr(np.vstack([a.reshape(-1, n), b.reshape(-1, n)]), mode="r")
 
-    r = np.linalg.qr(np.vstack([x.reshape(-1, n) for x in merged(rows.select("x"), factor, merge)]), mode="r")
+    found = merged(rows.select("x"), factor, merge)
+    if not found:
+        return np.zeros((n, n))
+    r = np.linalg.qr(np.vstack([x.reshape(-1, n) for x in found]), mode="r")
     return r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
 
 
@@ -313,13 +315,25 @@ def normal_equations(df: DataFrame, terms: list[str], y: str) -> tuple[np.ndarra
     return g, np.array([sums[f"r{a}"] for a in range(k)])
 
 
+def stacked(df: DataFrame, terms: list[str], y: str, more: np.ndarray | None = None) -> np.ndarray:
+    """R of the columns ``terms`` and ``y``, with rows ``more`` below: what least squares need, without a squared condition
+    number. Rows with a null are left out."""
+    rows = df.select(F.array(*terms, y).cast("array<double>").alias("x")).filter(F.forall("x", lambda v: v.isNotNull()))
+    r = tsqr(of_width(rows, len(terms) + 1))
+    return r if more is None else np.linalg.qr(np.vstack([r, more]), mode="r")
+
+
+def solved(r: np.ndarray) -> np.ndarray:
+    return np.linalg.lstsq(r[:-1, :-1], r[:-1, -1], rcond=1e-13)[0]
+
+
 def least_squares(df: DataFrame, terms: list[str], y: str) -> np.ndarray:
-    return np.linalg.solve(*normal_equations(df, terms, y))
+    return solved(stacked(df, terms, y))
 
 
 def ridge_regression(df: DataFrame, terms: list[str], y: str, weight: float) -> np.ndarray:
-    g, r = normal_equations(df, terms, y)
-    return np.linalg.solve(g + weight * np.eye(len(g)), r)
+    k = len(terms)
+    return solved(stacked(df, terms, y, np.hstack([np.sqrt(weight) * np.eye(k), np.zeros((k, 1))])))
 
 
 def vandermonde(values: np.ndarray, powers: np.ndarray) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import matrix as M
 from ..operators import gappy as P
 from ..operators import linalg as L
-from ..operators import manifold, modal, tiles
+from ..operators import manifold, modal, tiles, wide
 from .base import EMB, FLAGS, MONTH, MONTHS, STATUS, entries, flag_rows, month_cells, month_rows, query, r, rows_of, squared, status_rows, vectors_as_columns
 
 
@@ -411,3 +411,27 @@ def zero_fraction(spark: SparkSession, d: str) -> DataFrame:
     """An exact share of entries is set to 0."""
     v = rows_of(spark, d).select(F.col("row_id").alias("i"), F.element_at("x", 1).alias("v"))
     return P.zero_fraction(v, 15).agg(F.count("*").alias("n"), F.count(F.when(F.col("v") == 0, 1)).alias("zeros"))
+
+
+@query(f"WITH {MONTH} SELECT a.j AS i, b.j, round(sum(a.v * b.v) / 1000, 4) + 0.0 AS v FROM x a JOIN x b USING (i) GROUP BY a.j, b.j")
+def panel_factor(spark: SparkSession, d: str) -> DataFrame:
+    """R'R of a factorisation by panels of 20 columns is X'X."""
+    _, r_ = wide.panel_qr(month_rows(spark, d), 20)
+    e = wide.factor_entries(r_)
+    both = e.select("i", F.col("j").alias("a"), F.col("v").alias("va")).join(e, "i")
+    return both.groupBy("a", "j").agg(F.sum(F.col("va") * F.col("v")).alias("v")).select(F.col("a").alias("i"), "j", r(F.col("v") / 1000, "v", 4))
+
+
+@query(f"WITH {EMB} SELECT DISTINCT a.j AS i, b.j, CASE WHEN a.j = b.j THEN 1.0::DOUBLE ELSE 0 END AS v FROM emb a JOIN emb b USING (i)")
+def panel_basis(spark: SparkSession, d: str) -> DataFrame:
+    """Q'Q of such a factorisation is the identity, where columns are independent."""
+    q, _ = wide.panel_qr(M.of_width(rows_of(spark, d), 64), 20)
+    g = L.as_table(q, L.gram(q))
+    return g.select(F.col("i").cast("int").alias("i"), "j", r("v", "v", 8))
+
+
+@query(f"WITH {EMB}, v AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS n FROM embeddings) SELECT e.j AS i, v.n AS j, round(e.v, 5) + 0.0 AS v FROM emb e JOIN v ON e.i = v.vec_id")
+def wide_factors(spark: SparkSession, d: str) -> DataFrame:
+    """The embeddings as columns, more than rows: singular factors by sketching give them back."""
+    u, s, vt = L.randomized_svd(vectors_as_columns(spark, d), 64, 1, 3)
+    return L.times(u, s[:, None] * vt).select(F.col("row_id").cast("int").alias("i"), F.posexplode("x").alias("j", "v")).select("i", "j", r("v", "v", 5))
