@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import mesh as G
-from .base import query, r, table
+from ..operators import partition as P
+from .base import query, r, scratch, table
 
 #: Parts are the points of a grid of NY columns (or of N3 layers' rows and columns), as many rows as there are parts; their
 #: sizes are heights.
@@ -233,3 +234,42 @@ def sensor_fields(spark: SparkSession, d: str) -> DataFrame:
     f = lambda name, comp, v: p.select("point_id", F.lit(name).alias("field"), F.lit(comp).alias("comp"), F.lit(0).alias("t"), v.cast("double").alias("v"))
     fields = f("p", 0, F.col("point_id") * 2).unionByName(f("u", 0, F.col("x"))).unionByName(f("u", 1, F.col("y")))
     return G.at_sensors(fields, G.nearest_points(p, SENSORS))
+
+
+#: Parts of the mesh: runs of a curve of four bits an axis through the cells' centres.
+BOUNDS = [60, 120, 200]
+PARTS = f"""ce AS (SELECT cell_id, avg(x) AS x, avg(y) AS y FROM c2 JOIN p2 ON node = point_id GROUP BY cell_id), bo AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM p2),
+     q AS (SELECT cell_id, CAST(floor((x - lx) / (hx - lx) * 15) AS INTEGER) AS qx, CAST(floor((y - ly) / (hy - ly) * 15) AS INTEGER) AS qy FROM ce CROSS JOIN bo),
+     ky AS (SELECT cell_id, {" + ".join(f"(((qx >> {b}) & 1) << {2 * b}) + (((qy >> {b}) & 1) << {2 * b + 1})" for b in range(4))} AS key FROM q),
+     pa AS (SELECT cell_id, {" + ".join(f"CAST(key >= {b} AS INTEGER)" for b in BOUNDS)} AS part FROM ky),
+     ad AS (SELECT DISTINCT a.cell_id, b.cell_id AS n FROM e2 a JOIN e2 b USING (v1, v2) WHERE a.cell_id <> b.cell_id)"""
+
+
+def divided(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return P.divided(points2(spark, d), cells2(spark, d), BOUNDS, bits=4)
+
+
+@query(f"""
+    WITH {P2}, {E2}, {PARTS}, h AS (SELECT DISTINCT x.part, n AS cell_id FROM ad JOIN pa x USING (cell_id) JOIN pa y ON y.cell_id = n WHERE x.part <> y.part),
+         m AS (SELECT part, cell_id, true AS own FROM pa UNION ALL SELECT part, cell_id, false FROM h)
+    SELECT CAST(part AS INTEGER) AS part, count(DISTINCT CASE WHEN own THEN cell_id END) AS cells, count(DISTINCT CASE WHEN NOT own THEN cell_id END) AS halo, count(DISTINCT node) AS points FROM m JOIN c2 USING (cell_id) GROUP BY part
+""")
+def mesh_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Own cells, halo cells and points of each part, written and read back."""
+    path = scratch(spark)
+    P.save(*divided(spark, d), path)
+    cells, points = P.load(spark, path)
+    c = cells.groupBy("part").agg(F.count(F.when(F.col("own"), 1)).alias("cells"), F.count(F.when(~F.col("own"), 1)).alias("halo"))
+    return c.join(points.groupBy("part").agg(F.count("*").alias("points")), "part")
+
+
+@query(f"WITH {P2}, {E2}, {PARTS} SELECT CAST(x.part AS INTEGER) AS part, ad.cell_id AS cell_id, n AS neighbour, x.part = y.part AS own FROM ad JOIN pa x USING (cell_id) JOIN pa y ON y.cell_id = n")
+def part_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    """Neighbours of every cell from its part alone."""
+    return P.neighbours(*divided(spark, d))
+
+
+@query(f"WITH {P2}, {E2}, {PARTS} SELECT CAST(part AS INTEGER) AS part, cell_id, round(x, 9) + 0.0 AS x, round(y, 9) + 0.0 AS y FROM ce JOIN pa USING (cell_id)")
+def part_centres(spark: SparkSession, d: str) -> DataFrame:
+    """Centres of every cell from its part alone."""
+    return P.centres(*divided(spark, d)).select("part", "cell_id", r("x", "x", 9), r("y", "y", 9))
