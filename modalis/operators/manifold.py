@@ -4,6 +4,7 @@ snapshots on the driver; of many, neighbours come from tiles, paths from joins,
 from __future__ import annotations
 
 import hashlib
+import heapq
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -78,7 +79,16 @@ def isomap(rows: DataFrame, dims: int, size: int, component: int = 1) -> tuple[n
 
 def neighbour_edges(rows: DataFrame, size: int, block: int = tiles.BLOCK) -> DataFrame:
     """i, j, d: the graph of the ``size`` nearest other snapshots, either way round."""
-    near = cut(tiles.nearest(rows, size, block))
+    return either_way(tiles.nearest(rows, size, block))
+
+
+def vector_edges(vectors: DataFrame, size: int) -> DataFrame:
+    """The same graph for vectors as rows (i from 0 without gaps, x)."""
+    return either_way(tiles.nearest_vectors(vectors, size))
+
+
+def either_way(near: DataFrame) -> DataFrame:
+    near = cut(near)
     one = near.select("i", F.explode("near").alias("x")).select("i", F.col("x.j").alias("j"), F.col("x.d").alias("d"))
     both = one.unionByName(one.select(F.col("j").alias("i"), F.col("i").alias("j"), "d"))
     return both.groupBy("i", "j").agg(F.min("d").alias("d"))
@@ -101,8 +111,8 @@ def paths_from(edges: DataFrame, sources: DataFrame) -> DataFrame:
 
 def landmark_numbers(n: int, landmarks: int | None, seed: int = 0) -> list[int]:
     """Which of ``n`` snapshots are landmarks: those that come first by a hash; all of them if no number is given."""
-    by = sorted(range(n), key=lambda j: (hashlib.md5(f"{seed}:{j}".encode()).hexdigest(), j))
-    return sorted(by[:landmarks])
+    order = lambda j: (hashlib.md5(f"{seed}:{j}".encode()).hexdigest(), j)
+    return list(range(n)) if landmarks is None else sorted(heapq.nsmallest(landmarks, range(n), key=order))
 
 
 def landmark_isomap(rows: DataFrame, dims: int, size: int, landmarks: int | None = None, component: int = 1, block: int = tiles.BLOCK, seed: int = 0) -> tuple[DataFrame, float, DataFrame]:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from ..functions import matrix as M
 from ..functions.columns import rounded
 from ..functions.lineage import scratch
+from ..operators.tables import ranked
 
-__all__ = ["EMB", "FLAGS", "MONTH", "MONTHS", "ORACLE_SQL", "QUERIES", "STATUS", "entries", "flag_rows", "long_of", "month_cells", "month_rows", "query", "r", "rows_of", "scratch", "squared", "status_rows", "table", "vectors_as_columns"]
+__all__ = ["EMB", "FLAGS", "MONTH", "MONTHS", "ORACLE_SQL", "QUERIES", "STATUS", "entries", "flag_rows", "long_of", "month_cells", "month_rows", "numbered_vectors", "query", "r", "rows_of", "scratch", "squared", "status_rows", "table", "vectors_as_columns"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -51,6 +52,15 @@ def vectors_as_columns(spark: SparkSession, d: str) -> DataFrame:
     return M.of_width(M.to_rows(long.select(F.col("i").cast("long").alias("i"), "j", "v")), n)
 
 
+def numbered_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """i, x: the embeddings by their place in order of vec_id, as rows."""
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("x"))
+    b = v.agg(F.min("vec_id").alias("low"), F.max("vec_id").alias("high"), F.count("*").alias("n")).first()
+    if b["n"] and b["high"] - b["low"] + 1 == b["n"]:
+        return v.select((F.col("vec_id") - b["low"]).cast("long").alias("i"), "x")
+    return ranked(v, "vec_id", None, b["n"]).select(F.col("rank").cast("long").alias("i"), "x")
+
+
 EMB = "emb AS (SELECT vec_id AS i, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS j, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings)"
 
 MONTHS = 83

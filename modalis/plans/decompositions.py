@@ -10,7 +10,7 @@ from ..functions import matrix as M
 from ..operators import gappy as P
 from ..operators import linalg as L
 from ..operators import manifold, modal, tiles, wide
-from .base import EMB, FLAGS, MONTH, MONTHS, STATUS, entries, flag_rows, month_cells, month_rows, query, r, rows_of, squared, status_rows, vectors_as_columns
+from .base import EMB, FLAGS, MONTH, MONTHS, STATUS, entries, flag_rows, month_cells, month_rows, numbered_vectors, query, r, rows_of, squared, status_rows, vectors_as_columns
 
 
 def numbered(spark: SparkSession, names: list[str], *columns: np.ndarray) -> DataFrame:
@@ -380,7 +380,7 @@ def landmark_paths(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {PLACES} SELECT CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(d, 5) + 0.0 AS d FROM e")
 def neighbour_graph(spark: SparkSession, d: str) -> DataFrame:
     """The graph of the five nearest vectors of each, either way round."""
-    return manifold.neighbour_edges(vectors_as_columns(spark, d), 5, 128).select("i", "j", r("d", "d", 5))
+    return manifold.vector_edges(numbered_vectors(spark, d), 5).select("i", "j", r("d", "d", 5))
 
 
 @query(f"WITH RECURSIVE {EMB}, {paths("emb", 4)} SELECT CAST(i AS INTEGER) AS j1, CAST(j AS INTEGER) AS j2, round(d, 5) + 0.0 AS d FROM g WHERE k = 7 AND i < j")

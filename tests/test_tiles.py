@@ -106,3 +106,42 @@ def test_paths_of_a_chain_and_of_no_edges(spark):
     got = {(r.node, r.source): r.d for r in manifold.paths_from(edges, sources).collect()}
     assert got == {(n, s): float(abs(n - s)) for n in range(21) for s in (0, 7)}
     assert [tuple(r) for r in manifold.paths_from(edges.limit(0), sources).sort("node").collect()] == [(0, 0, 0.0), (7, 7, 0.0)]
+
+
+@pytest.mark.parametrize(("n", "block"), [(300, 64), (300, 1000), (5, 2), (1, 8)])
+def test_nearest_vectors_with_ties_and_odd_ones(spark, n, block):
+    x = np.random.default_rng(5).integers(0, 3, (n, 4)).astype(float) + 1e6
+    x[2 * n // 3 :] = x[: n - 2 * n // 3]
+    if n > 9:
+        x[7], x[8, 1] = np.nan, np.inf
+    rows = spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "i bigint, x array<double>").repartition(3)
+    got = {r.i: [(n.d, n.j) for n in r.near] for r in tiles.nearest_vectors(rows, 5, block).collect()}
+    with np.errstate(invalid="ignore"):
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    want = {}
+    for i in range(n):
+        order = [j for j in np.lexsort((np.arange(n), d[i])) if j != i][:5]
+        want[i] = [(d[i, j], j) for j in order]
+    assert {i: [j for _, j in v] for i, v in got.items()} == {i: [j for _, j in v] for i, v in want.items() if n > 1}
+    assert all(np.allclose(got[i], want[i], equal_nan=True) for i in got)
+
+
+def test_vectors_go_out_a_bounded_number_of_times(spark):
+    """Blocks grow with the vectors, so that what is shuffled grows with them and not with their square."""
+    rows = spark.range(4000).select("id", F.array(*(F.rand(k).cast("float") for k in range(4))).alias("x")).toDF("i", "x")
+    plan = tiles.nearest_vectors(rows, 2)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert tiles.LEAST_BLOCKS * tiles.VECTORS >= 100_000 and rows.count() == tiles.nearest_vectors(rows, 2).count()
+
+
+@pytest.mark.parametrize(("block", "share"), [(40, None), (16, 4096)])
+def test_rows_of_a_tile_are_shared_by_tasks(spark, monkeypatch, block, share):
+    """Columns of one block are compared where their rows are, and many rows of several blocks by several tasks."""
+    if share:
+        monkeypatch.setattr(tiles, "TILE_BYTES", share)
+    x = np.random.default_rng(6).integers(0, 9, (900, 40)).astype(float)
+    near = tiles.nearest(table_of(spark, x, 6), 3, block)
+    sent = re.findall(r"hashpartitioning\(([^)]*)\)", near._jdf.queryExecution().executedPlan().toString())
+    assert any("first" in s for s in sent) and (any("part" in s for s in sent) if share else not any("part" in s for s in sent))
+    want = brute(x, 3)
+    assert {r.i: [n.j for n in r.near] for r in near.collect()} == {i: [j for _, j in v] for i, v in want.items()}
