@@ -371,9 +371,9 @@ PLACES = f"""v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) - 1 A
 """)
 def landmark_paths(spark: SparkSession, d: str) -> DataFrame:
     """Lengths of the shortest paths from a few vectors to all others, over the graph of the five nearest of each."""
-    x = vectors_as_columns(spark, d)
-    edges = manifold.neighbour_edges(x, 5, 128)
-    sources = spark.createDataFrame([(j,) for j in manifold.landmark_numbers(M.width(x), LANDMARKS)], "source long")
+    x = numbered_vectors(spark, d)
+    edges = manifold.vector_edges(x, 5)
+    sources = spark.createDataFrame([(j,) for j in manifold.landmark_numbers(x.count(), LANDMARKS)], "source long")
     return manifold.paths_from(edges, sources).select("node", "source", r("d", "d", 5))
 
 
