@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from modalis.functions import columns as C
 from modalis.functions import matrix as M
-from modalis.operators import gappy, linalg, manifold, mesh, modal, signal, surrogates, tables
+from modalis.operators import gappy, linalg, manifold, mesh, modal, signal, stats, surrogates, tables
 from modalis.streaming import sketch
 
 SMALL = np.array([[1, 2, 3], [4, 5, 9], [2, 2, 2], [0, 1, 5]], float)
@@ -360,3 +360,42 @@ def test_many_partitions_merge_in_levels(spark, monkeypatch):
     a = np.random.default_rng(9).normal(size=(60, 3))
     r = linalg.tsqr(rows(spark, a, 9))
     assert np.allclose(r.T @ r, a.T @ a)
+
+
+@pytest.mark.parametrize("kind", ["spread", "ties", "heavy", "odd"])
+def test_exact_percentiles_by_passes(spark, monkeypatch, kind):
+    monkeypatch.setattr(stats, "GATHERED", 30)
+    monkeypatch.setattr(stats, "ACCURACY", 100)
+    rng = np.random.default_rng(3)
+    x = {"spread": rng.exponential(size=3000), "ties": rng.integers(0, 9, 3000) / 4, "heavy": np.concatenate([np.zeros(2850), rng.normal(size=150)]), "odd": np.concatenate([rng.normal(size=2000), [np.inf, -np.inf] * 9])}[kind]
+    df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "v double").repartition(4)
+    at = [0.0, 0.31, 0.5, 0.95, 0.99, 1.0]
+    want = df.agg(F.percentile("v", at).alias("q")).first()["q"]
+    assert np.allclose(stats.percentiles(df, F.col("v"), at), want, rtol=1e-14)
+    assert stats.percentiles(df.limit(0), F.col("v"), at) == [None] * 6
+
+
+def test_metrics_gather_no_distinct_errors(spark):
+    df = spark.range(500).select(F.col("id").cast("double").alias("y"), F.lit(0.5).alias("p"))
+    m = stats.regression_metrics(df)
+    assert "percentile" not in m._jdf.queryExecution().optimizedPlan().toString()
+    assert np.isclose(m.first()["ae_95"], np.quantile(np.abs(np.arange(500) - 0.5), 0.95))
+
+
+def test_a_diagonal_is_made_by_many_tasks(spark):
+    v = spark.range(300).select(F.col("id").alias("i"), (F.col("id") + 1.0).alias("v")).coalesce(1)
+    a = linalg.build_diagonal(v, 300)
+    assert len({r.p for r in a.select(F.spark_partition_id().alias("p")).distinct().collect()}) > 1
+    assert a.count() == 90_000 and a.filter("v <> 0").count() == 300 and a.filter("i = j and v <> i + 1").count() == 0
+
+
+def test_sketches_have_one_worker_a_task(spark, monkeypatch):
+    """Factors of X W are taken where X W is made: no plan has one Python stage on top of another."""
+    plans, merged = [], linalg.merged
+    monkeypatch.setattr(linalg, "merged", lambda df, *a: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), merged(df, *a))[1])
+    x = np.random.default_rng(4).normal(size=(60, 5))
+    df = rows(spark, x)
+    w = np.random.default_rng(5).normal(size=(5, 3))
+    assert np.allclose(linalg.tsqr_of(df, w), linalg.tsqr(linalg.times(df, w)))
+    assert np.allclose(linalg.tsqr_of(df, w).T @ linalg.tsqr_of(df, w), (x @ w).T @ (x @ w))
+    assert "MapInArrow" not in plans[0] and "MapInArrow" in plans[1]
