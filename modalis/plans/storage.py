@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import matrix as M
+from ..functions.lineage import cut
 from ..operators import linalg as L
 from ..operators import modal, surrogates
 from ..operators import tables as T
@@ -169,16 +170,20 @@ def qr_streaming(spark: SparkSession, d: str) -> DataFrame:
 @query(COLUMNS)
 def qr_stream_query(spark: SparkSession, d: str) -> DataFrame:
     """The same as a structured stream over files, one block a micro-batch, with empty ones before, between and behind; the last
-    version is read back."""
+    version is read back. A block is as many files as there are tasks: the stream takes all that has come since its last run."""
     path = scratch(spark)
-    write = lambda df: df.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    none = flag_rows(spark, d).select((-1 - F.col("row_id")).alias("row_id"), "x")
+    rows = cut(flag_rows(spark, d))
+
+    def write(df: DataFrame) -> None:
+        df.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema("row_id bigint, x array<double>").parquet(f"{path}/in").filter("row_id >= 0")
+        sketch.run(stream, f"{path}/out", f"{path}/state", 3, 1, 3)
+
+    none = rows.select((-1 - F.col("row_id")).alias("row_id"), "x")
     for first, n in ((1, 2), (3, 1)):
         write(none)
-        write(flag_rows(spark, d).select("row_id", F.slice("x", first, n).alias("x")))
+        write(rows.select("row_id", F.slice("x", first, n).alias("x")))
     write(none)
-    stream = spark.readStream.schema("row_id bigint, x array<double>").option("maxFilesPerTrigger", 1).parquet(f"{path}/in").filter("row_id >= 0")
-    sketch.run(stream, f"{path}/out", f"{path}/state", 3, 1, 3)
     last = sketch.latest(spark, f"{path}/out")
     return entries(L.times(last.q, last.b), 4)
 
@@ -189,14 +194,13 @@ def qr_stream_query(spark: SparkSession, d: str) -> DataFrame:
 """)
 def append_stream(spark: SparkSession, d: str) -> DataFrame:
     """Instants that arrive one after another; then nothing; then corrections of the first one, which are late. The last batch is
-    run twice."""
+    run twice. A micro-batch is all files that have come since the last one, as many as there were tasks."""
     path = scratch(spark)
-    field = M.to_long(flag_rows(spark, d)).select(F.col("i").alias("row_id"), F.col("j").alias("t"), "v")
+    field = M.to_long(cut(flag_rows(spark, d))).select(F.col("i").alias("row_id"), F.col("j").alias("t"), "v")
     late = field.filter("t = 0 and row_id % 2 = 0").withColumn("v", F.col("v") + 1)
     for part in (field.filter("t = 0"), field.filter("t = 1"), field.filter("t = 2"), field.filter("t = 9"), late):
-        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
-    stream = spark.readStream.schema(append.VALUES).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
-    append.run(stream, f"{path}/out", f"{path}/state")
+        part.write.mode("append").parquet(f"{path}/in")
+        append.run(spark.readStream.schema(append.VALUES).parquet(f"{path}/in"), f"{path}/out", f"{path}/state")
     append.take(late, append.batches(spark, f"{path}/out")[-1], f"{path}/out")
     return append.read(spark, f"{path}/out").select(F.col("row_id").alias("i"), F.col("t").alias("j"), r("v", "v", 4))
 

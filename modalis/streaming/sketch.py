@@ -57,12 +57,7 @@ def advance(rows: DataFrame, w: np.ndarray, b: np.ndarray | None, blocks: int) -
         y = L.block(batch) @ shared.value
         return y if first else y + L.block(batch, "y")
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), L.list_array(sketched(batch))], names=["row_id", "x"])
-
-    inverse = np.linalg.pinv(L.tsqr(rows.mapInArrow(made, "row_id bigint, x array<double>")), rcond=1e-12)
+    inverse = np.linalg.pinv(L.tsqr(rows, sketched, r), rcond=1e-12)
     factor = rows.sparkSession.sparkContext.broadcast(inverse)
 
     def products(batch: pa.RecordBatch) -> np.ndarray:

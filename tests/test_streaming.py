@@ -82,3 +82,24 @@ def test_appended_instants(spark, tmp_path):
     append.take(values(spark, (9, 9, 9.0)), 4, path)
     (tmp_path / "field/batch=000000000004/manifest/_SUCCESS").unlink()
     assert append.read(spark, path).filter(F.col("t") == 9).count() == 0
+
+
+def test_arriving_blocks_are_many_files(spark, monkeypatch):
+    """No block of the stream queries is written or read by one task; each file set is one micro-batch."""
+    from modalis.plans import storage
+
+    parts, taken = [], []
+    keep, take = append.run, append.take
+
+    def run(stream, path, checkpoint):
+        parts.append(stream.sparkSession.read.parquet(path.removesuffix("/out") + "/in").rdd.getNumPartitions())
+        keep(stream, path, checkpoint)
+
+    monkeypatch.setattr(append, "run", run)
+    monkeypatch.setattr(append, "take", lambda b, n, p: (taken.append(n), take(b, n, p)))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert storage.append_stream(spark, "/root/testdata/sf0.001").count() == 600
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert parts[0] > 1 and taken == [0, 1, 2, 3, 4, 4]
