@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,6 +21,10 @@ ENSIGHT_TYPES = {2: "tria3", 3: "quad4", 4: "tetra4", 5: "hexa8", 6: "penta6"}
 MESH_KINDS = {"STRUCT2D": 1, "STRUCT3D": 2, "UNSTRUCT": 3}
 #: Places in a cell of the grid on which nearest points are searched, about.
 PER_CELL = 4
+#: Looks of sensors into cells that one task takes, about, and that are broadcast at most.
+LOOKS, FEW_LOOKS = 100_000, 100_000
+#: Edges between parts of a mesh that the driver joins at most.
+FEW_PAIRS = 50_000
 
 
 def mapped(values: dict, key: Column) -> Column:
@@ -127,9 +132,14 @@ def edge_to_cells(cells: DataFrame) -> DataFrame:
     return e.unionByName(e.select(F.col("v2").alias("v1"), F.col("v1").alias("v2"), "cell_id"))
 
 
+def edge_owners(cells: DataFrame) -> DataFrame:
+    """a, b, n: the least and the greatest cell of each edge, and how many it has."""
+    return edges(cells).groupBy("v1", "v2").agg(F.min("cell_id").alias("a"), F.max("cell_id").alias("b"), F.countDistinct("cell_id").alias("n")).select("a", "b", "n")
+
+
 def cell_adjacency(cells: DataFrame) -> DataFrame:
     """cell_id, neighbour over edges that exactly two cells share."""
-    pairs = edges(cells).groupBy("v1", "v2").agg(F.min("cell_id").alias("a"), F.max("cell_id").alias("b"), F.countDistinct("cell_id").alias("n")).filter("n = 2")
+    pairs = edge_owners(cells).filter("n = 2")
     return pairs.select(F.explode(F.array(F.struct(F.col("a").alias("cell_id"), F.col("b").alias("neighbour")), F.struct(F.col("b").alias("cell_id"), F.col("a").alias("neighbour")))).alias("p")).select("p.*").distinct()
 
 
@@ -169,42 +179,80 @@ def wall_normals(points: DataFrame, cells: DataFrame) -> DataFrame:
     return n.select("cell_id", F.col("k").cast("int"), *((sign * x / size).alias(a) for a, x in zip(("nx", "ny", "nz"), raw, strict=True)))
 
 
-def agreeing_signs(cells: DataFrame, area: DataFrame) -> DataFrame:
-    """cell_id, root, sign: signs that make normals agree with those of the root of their connected part.
-
-    Each part hooks on to the neighbouring part with the least root, and chains of hooks are shortened by
-    doubling: rounds grow with the logarithm of the mesh, not with its width.
+def joined(pairs: Iterable[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Nodes of a small graph, the least node of each one's part, and the sign between the two."""
+    near: dict[int, list[tuple[int, int]]] = {}
+    for a, b, s in pairs:
+        near.setdefault(a, []).append((b, s))
+        near.setdefault(b, []).append((a, s))
+    root: dict[int, tuple[int, int]] = {}
+    for first in sorted(near):
+        if first not in root:
+            root[first], open_ = (first, 1), [first]
+            while open_:
+                a = open_.pop()
+                for b, s in sorted(near[a]):
+                    if b not in root:
+                        root[b] = (first, root[a][1] * s)
+                        open_.append(b)
+    return [(k, r, s) for k, (r, s) in root.items() if k != r]
+
+
+def agreeing_signs(owners: DataFrame, area: DataFrame) -> DataFrame:
+    """cell_id, root, sign: signs that make normals agree with those of the root of their connected part. ``owners``: of edges.
+
+    Each node hooks on to the neighbour that comes first by a hash, if that comes before itself; chains of hooks are short
+    then. What hangs together becomes one node, and only edges between those are left for the next round: a round has a
+    fraction of the last one's, so that all rounds cost little more than the first. At most FEW_PAIRS edges are left to the driver.
     """
     n = area.select("cell_id", "nx", "ny", "nz")
-    pairs = cell_adjacency(cells).join(n, "cell_id").join(n.toDF("neighbour", "mx", "my", "mz"), "neighbour")
+    pairs = owners.filter("n = 2").select("a", "b").distinct().join(n.toDF("a", "nx", "ny", "nz"), "a").join(n.toDF("b", "mx", "my", "mz"), "b")
     inner = C.dot((F.col("nx"), F.col("ny"), F.col("nz")), (F.col("mx"), F.col("my"), F.col("mz")))
-    pairs = cut(pairs.select("cell_id", "neighbour", F.when(inner < 0, -1).otherwise(1).alias("s")))
-    state = cells.select("cell_id", F.col("cell_id").alias("root"), F.lit(1).alias("sign"))
+    pairs = cut(pairs.select("a", "b", F.when(inner < 0, -1).otherwise(1).alias("s")))
+    hooks: list[DataFrame] = []
     while True:
-        a, b = state.toDF("cell_id", "ra", "sa"), state.toDF("neighbour", "rb", "sb")
-        e = pairs.join(a, "cell_id").join(b, "neighbour").filter("rb < ra")
-        hook = cut(e.groupBy("ra").agg(F.min(F.struct("rb", (F.col("s") * F.col("sa") * F.col("sb")).alias("s"))).alias("m")).select("ra", "m.rb", "m.s"))
-        if hook.isEmpty():
-            return state
+        rest = pairs.limit(FEW_PAIRS + 1).toArrow()
+        if rest.num_rows <= FEW_PAIRS:
+            if rest.num_rows:
+                hooks.append(cut(pairs.sparkSession.createDataFrame(joined(zip(*(rest.column(c).to_pylist() for c in "abs"), strict=True)), "ra bigint, rb bigint, s int")))
+            break
+        at = lambda x: F.struct(F.xxhash64(x, F.lit(len(hooks))).alias("h"), F.col(x).alias("k"))  # noqa: B023, E731
+        two = pairs.select("s", at("a").alias("a"), at("b").alias("b")).select("s", F.least("a", "b").alias("to"), F.greatest("a", "b")["k"].alias("ra"))
+        hook = cut(two.groupBy("ra").agg(F.min(F.struct("to", "s")).alias("m")).select("ra", F.col("m.to.k").alias("rb"), F.col("m.s").alias("s")))
         while True:
-            on = hook.toDF("rb", "up", "t")
-            longer = hook.join(on, "rb", "left")
-            if longer.filter("up is not null").isEmpty():
+            longer = hook.join(hook.toDF("rb", "up", "t"), "rb", "left")
+            hook = cut(longer.select("ra", F.coalesce("up", "rb").alias("rb"), (F.col("s") * F.coalesce("t", F.lit(1))).alias("s"), F.col("up").isNotNull().alias("on")))
+            on, hook = hook.filter("on"), hook.drop("on")
+            if on.isEmpty():
                 break
-            hook = cut(longer.select("ra", F.coalesce("up", "rb").alias("rb"), (F.col("s") * F.coalesce("t", F.lit(1))).alias("s")))
-        moved = state.join(hook.withColumnRenamed("ra", "root"), "root", "left")
-        state = cut(moved.select("cell_id", F.coalesce("rb", "root").alias("root"), (F.col("sign") * F.coalesce("s", F.lit(1))).alias("sign")))
+        hooks.append(hook)
+        for x, r, t in (("a", "ra", "ta"), ("b", "rb", "tb")):
+            pairs = pairs.join(hook.toDF(x, r, t), x, "left").withColumns({x: F.coalesce(r, x), "s": F.col("s") * F.coalesce(t, F.lit(1))}).drop(r, t)
+        pairs = pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "s")
+        pairs = cut(pairs.groupBy("a", "b").agg(F.min("s").alias("s")))
+    last = None
+    for hook in reversed(hooks):  # roots of the last round for those of every round before it
+        if last is not None:
+            hook = hook.join(last.toDF("rb", "up", "t"), "rb", "left").select("ra", F.coalesce("up", "rb").alias("rb"), (F.col("s") * F.coalesce("t", F.lit(1))).alias("s"))
+            hook = hook.unionByName(last.join(hook.select("ra"), "ra", "left_anti"))
+        last = cut(hook)
+    cells = area.select("cell_id")
+    if last is None:
+        return cells.select("cell_id", F.col("cell_id").alias("root"), F.lit(1).alias("sign"))
+    return cells.join(last.toDF("cell_id", "rb", "s"), "cell_id", "left").select("cell_id", F.coalesce("rb", "cell_id").alias("root"), F.coalesce("s", F.lit(1)).alias("sign"))
 
 
 def coherent_normals(cells: DataFrame, area: DataFrame) -> DataFrame:
     """cell_id, nx, ny, nz with signs that agree across shared edges with the least border cell's; parts that
     it doesn't reach stay. Then the border is turned if it stands against the inside."""
-    border = border_cells(cells)
-    signs = agreeing_signs(cells, area)
-    start = signs.join(border, "cell_id").agg(F.min(F.struct("cell_id", "root", "sign")).alias("m")).first()["m"]
+    area = cut(area)
+    owners = cut(edge_owners(cells))
+    border = owners.filter("n = 1").select(F.col("a").alias("cell_id")).distinct().withColumn("b", F.lit(True))
+    n = area.join(agreeing_signs(owners, area), "cell_id").join(border, "cell_id", "left").withColumn("b", F.coalesce("b", F.lit(False)))
+    n = cut(n)
+    start = n.filter("b").agg(F.min(F.struct("cell_id", "root", "sign")).alias("m")).first()["m"]
     turn = F.when(F.col("root") == start["root"], F.col("sign") * start["sign"]).otherwise(1)
-    n = area.join(signs.select("cell_id", turn.alias("turn")), "cell_id").select("cell_id", *((F.col(a) * F.col("turn")).alias(a) for a in ("nx", "ny", "nz")))
-    n = n.join(border.withColumn("b", F.lit(True)), "cell_id", "left").withColumn("b", F.coalesce("b", F.lit(False)))
+    n = n.select("cell_id", "b", *((F.col(a) * turn).alias(a) for a in ("nx", "ny", "nz")))
     m = {r["b"]: np.array([r["x"], r["y"], r["z"]]) for r in n.groupBy("b").agg(F.avg("nx").alias("x"), F.avg("ny").alias("y"), F.avg("nz").alias("z")).collect()}
     against = len(m) == 2 and float(m[True] @ m[False]) < 0
     sign = F.when(F.col("b"), -1.0 if against else 1.0).otherwise(1.0)
@@ -232,13 +280,15 @@ def nearest_points(points: DataFrame, sensors: list[tuple[float, float, float]])
     return p.withColumn("d2", d2).groupBy("sensor").agg(F.min(F.struct("d2", "point_id")).alias("m")).select("sensor", "m.point_id", "m.d2")
 
 
-def nearest_on_grid(points: DataFrame, sensors: DataFrame) -> DataFrame:
+def nearest_on_grid(points: DataFrame, sensors: DataFrame, digits: int | None = None) -> DataFrame:
     """sensor, point_id, d2: the nearest point to each sensor (sensor, x, y, z), the first of equals, for any number of both.
 
     Points and sensors fall into the cells of a grid, about PER_CELL places each. A sensor, or the place within the points'
     bounds that is nearest to it, looks into its own cell and those around it; it is done when nothing outside of them
     can be nearer than what it found. Those that aren't look again on a grid of twice the width, and at last all
-    points are around them. Points at one place count as its first, so that a crowd at a place is one row."""
+    points are around them. Points at one place count as its first, so that a crowd at a place is one row. With ``digits``
+    squared distances that are equal when rounded to them count as equal. Cells are dealt to as many tasks as keep about LOOKS
+    looks in one."""
     p = cut(points.filter("x is not null and y is not null and z is not null").groupBy("x", "y", "z").agg(F.min("point_id").alias("point_id")))
     b = p.agg(F.count("*").alias("n"), *(f(a).alias(f"{n}{a}") for a in "xyz" for f, n in ((F.min, "low"), (F.max, "high")))).first()
     found = "sensor bigint, point_id bigint, d2 double"
@@ -248,7 +298,9 @@ def nearest_on_grid(points: DataFrame, sensors: DataFrame) -> DataFrame:
     spans = [b[f"high{a}"] - b[f"low{a}"] for a in axes]
     h = max((np.prod(spans) * PER_CELL / b["n"]) ** (1 / len(axes)), max(spans) / 2**20) if axes else 1.0
     kind = dict(points.dtypes)["point_id"]
-    state = sensors.filter("x is not null and y is not null and z is not null").select("sensor", *(F.col(a).cast("double").alias(f"s{a}") for a in "xyz"), F.lit(None).cast(f"struct<d2:double,point_id:{kind}>").alias("best"))
+    state = sensors.filter("x is not null and y is not null and z is not null").select("sensor", *(F.col(a).cast("double").alias(f"s{a}") for a in "xyz"), F.lit(None).cast(f"struct<key:double,point_id:{kind},d2:double>").alias("best"))
+    state = cut(state)
+    step = 0.0 if digits is None else 10.0**-digits
     out = None
     while True:
         inside = {a: F.least(F.greatest(F.col(f"s{a}"), F.lit(b[f"low{a}"])), F.lit(b[f"high{a}"])) for a in "xyz"}
@@ -260,9 +312,17 @@ def nearest_on_grid(points: DataFrame, sensors: DataFrame) -> DataFrame:
         looks = state.withColumn("o", F.explode(around)).select("sensor", "sx", "sy", "sz", *((cell(inside[a], a) + F.col("o")[a]).alias(f"c{a}") for a in axes), F.lit(0).alias("c"))
         near = p.select("point_id", "x", "y", "z", *(cell(F.col(a), a).alias(f"c{a}") for a in axes), F.lit(0).alias("c"))
         d2 = sum(((F.col(a) - F.col(f"s{a}")) ** 2 for a in "xyz"), F.lit(0.0))
-        met = near.join(few(looks), [*(f"c{a}" for a in axes), "c"]).groupBy("sensor").agg(F.min(F.struct(d2.alias("d2"), F.col("point_id"))).alias("now"))
+        by = [*(f"c{a}" for a in axes), "c"]
+        n = state.count() * 3 ** len(axes)
+        if n > FEW_LOOKS:
+            tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LOOKS))
+            near, looks = near.repartition(tasks, *by), looks.repartition(tasks, *by)
+        else:
+            looks = F.broadcast(looks)
+        key = (d2 if digits is None else F.round(d2, digits)).alias("key")
+        met = near.join(looks, by).groupBy("sensor").agg(F.min(F.struct(key, F.col("point_id"), d2.alias("d2"))).alias("now"))
         last = not axes or h >= max(spans)
-        whole = F.lit(True) if last else F.coalesce(F.col("best.d2") < away + (h + margin) ** 2 * (1 - 1e-12), F.lit(False))
+        whole = F.lit(True) if last else F.coalesce(F.col("best.key") + step < away + (h + margin) ** 2 * (1 - 1e-12), F.lit(False))
         state = state.join(met, "sensor", "left").withColumn("best", F.least("best", "now")).drop("now")
         state = cut(state.withColumn("whole", whole))
         done = state.filter("whole").select("sensor", "best.point_id", "best.d2")

@@ -61,3 +61,21 @@ def test_no_points_no_sensors_and_gaps(spark):
     assert G.nearest_on_grid(p.limit(0), s).count() == 0 and G.nearest_on_grid(p, s.limit(0)).count() == 0
     odd = p.unionByName(spark.createDataFrame([(0, None, 1.0, 1.0)], p.schema))
     assert {(r.sensor, r.point_id, r.d2) for r in G.nearest_on_grid(odd, s).collect()} == {(0, 0, 0.0), (1, 0, 0.0)}
+
+
+def test_rounded_distances_are_ties(spark):
+    """Of points whose squared distances are equal to nine places the first counts, though another is nearer by a rounding."""
+    points = np.array([[1.0 + 1e-12, 0, 0], [-1.0, 0, 0], [0, 1.0 - 1e-12, 0], [5, 5, 0]])
+    sensor = table_of(spark, "sensor", np.zeros((1, 3)))
+    assert [r.point_id for r in G.nearest_on_grid(table_of(spark, "point_id", points), sensor, 9).collect()] == [0]
+    assert [r.point_id for r in G.nearest_on_grid(table_of(spark, "point_id", points), sensor).collect()] == [2]
+
+
+def test_looks_of_many_sensors_go_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(G, "LOOKS", 500)
+    monkeypatch.setattr(G, "FEW_LOOKS", 1000)
+    made, repartition = [], type(spark.range(0)).repartition
+    monkeypatch.setattr(type(spark.range(0)), "repartition", lambda df, n, *c: (made.append(n), repartition(df, n, *c))[1])
+    r = np.random.default_rng(8)
+    check(spark, r.uniform(-1, 1, (500, 3)), r.uniform(-1, 1, (400, 3)))
+    assert max(made) >= 400 * 27 // 500

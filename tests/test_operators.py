@@ -399,3 +399,18 @@ def test_sketches_have_one_worker_a_task(spark, monkeypatch):
     assert np.allclose(linalg.tsqr_of(df, w), linalg.tsqr(linalg.times(df, w)))
     assert np.allclose(linalg.tsqr_of(df, w).T @ linalg.tsqr_of(df, w), (x @ w).T @ (x @ w))
     assert "MapInArrow" not in plans[0] and "MapInArrow" in plans[1]
+
+
+def test_signs_agree_by_few_rounds(spark, monkeypatch):
+    """A long mesh, of two parts, with every third cell turned: rounds shrink instead of following its length."""
+    cuts, keep = [], mesh.cut
+    monkeypatch.setattr(mesh, "cut", lambda df, *a: (cuts.append(1), keep(df, *a))[1])
+    monkeypatch.setattr(mesh, "FEW_PAIRS", 300)
+    p = mesh.struct2d_points(spark, 400, 3, (0.0, 1.0), (0.0, 1.0))
+    c = mesh.struct2d_cells(spark, 400, 3).filter("cell_id < 300 or cell_id > 303").withColumn("nodes", F.when(F.col("cell_id") % 3 == 1, F.reverse("nodes")).otherwise(F.col("nodes")))
+    signs = mesh.agreeing_signs(mesh.edge_owners(c), mesh.normals(p, c)).join(mesh.normals(p, c), "cell_id").collect()
+    parts = {}
+    for r in signs:
+        parts.setdefault(r.root, set()).add(np.sign(r.nz) * r.sign)
+    assert len(signs) == 794 and len(parts) == 2 and all(len(v) == 1 for v in parts.values())
+    assert {r.root for r in signs if r.cell_id < 300} != {r.root for r in signs if r.cell_id > 303} and len(cuts) < 40
