@@ -11,6 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Entries that one task adds up and puts into rows, about.
+CELLS_A_TASK = 2**19
+
+
 def to_long(rows: DataFrame) -> DataFrame:
     return rows.select(F.col("row_id").alias("i"), F.posexplode("x").alias("j", "v"))
 
@@ -20,10 +24,22 @@ def to_rows(long: DataFrame) -> DataFrame:
     return long.groupBy(F.col("i").alias("row_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda s: s["v"]).alias("x"))
 
 
+def added_up(long: DataFrame) -> DataFrame:
+    """i, j, v: entries at the same place add up, before they meet where they can. A task holds its cells for that, so there
+    are to be as many tasks as the entries need. What an aggregate sends goes to as many tasks as the session says or fewer;
+    of more entries than these hold, those of a row that one task had add up first, then those of a row."""
+    conf, parallel = long.sparkSession.conf, long.sparkSession.sparkContext.defaultParallelism
+    tasks = -(-long.count() // CELLS_A_TASK)
+    if tasks <= min(int(conf.get("spark.sql.shuffle.partitions")), parallel):
+        return long.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    some = long.select("i", "j", "v", F.spark_partition_id().alias("had")).repartition(tasks, "i", "had").groupBy("i", "j", "had").agg(F.sum("v").alias("v"))
+    return some.select("i", "j", "v").repartition(tasks, "i").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def dense_rows(long: DataFrame, columns: int) -> DataFrame:
-    """Rows of ``columns`` entries; absent ones are 0. Entries at the same place add up, before the shuffle
-    where they can. A row is put together from its entries in order and the gaps between them."""
-    cells = long.groupBy("i", "j").agg(F.sum("v").alias("v"))
+    """Rows of ``columns`` entries; absent ones are 0. Entries at the same place add up. A row is put together from its
+    entries in order and the gaps between them."""
+    cells = added_up(long)
     held = cells.groupBy(F.col("i").alias("row_id")).agg(F.array_sort(F.collect_list(F.struct("j", "v"))).alias("__e"))
     before = lambda k: F.when(k == 0, F.lit(-1)).otherwise(F.get(F.col("__e"), k - 1)["j"])
     parts = F.flatten(F.transform("__e", lambda e, k: F.concat(F.array_repeat(F.lit(0.0), (e["j"] - before(k) - 1).cast("int")), F.array(e["v"]))))

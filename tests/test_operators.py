@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -321,6 +323,27 @@ def test_known_widths_follow_their_columns(spark):
     assert dense(M.dense_rows(M.to_long(r).filter("v <> 2"), 4)).tolist() == [[1, 0, 3, 0], [4, 5, 9, 0], [0, 1, 5, 0]]
 
 
+def test_dense_rows_go_to_as_many_tasks_as_their_cells_need(spark, monkeypatch):
+    """A task's cells stay few however many there are, also of a row that most entries belong to; the rows are the same."""
+    rng = np.random.default_rng(9)
+    i, j, v = rng.integers(0, 300, 6000), rng.integers(0, 7, 6000), rng.integers(1, 50, 6000).astype(float)
+    i[3000:5500], j[3500:5500] = 11, 3
+    long = spark.createDataFrame([(int(a), int(b), float(c)) for a, b, c in zip(i, j, v, strict=True)], "i bigint, j int, v double").repartition(5)
+    want = np.zeros((300, 7))
+    np.add.at(want, (i, j), v)
+    few = M.dense_rows(long, 7)
+    monkeypatch.setattr(M, "CELLS_A_TASK", 200)
+    many = M.dense_rows(long, 7)
+    assert many.rdd.getNumPartitions() == 30 > few.rdd.getNumPartitions()
+    ids = np.unique(i)
+    assert dense(few).tolist() == dense(many).tolist() == want[ids].tolist() and many.count() == len(ids)
+    cells = M.added_up(long).groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    assert cells <= 2 * M.CELLS_A_TASK
+    sent = {re.sub(r"#\w+", "", x) for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", many._jdf.queryExecution().executedPlan().toString())}
+    assert sent == {"i, had, 30", "i, 30"}  # what a task had of a row is dealt apart from the rest of it
+    assert M.dense_rows(long.limit(0), 7).count() == 0
+
+
 def test_models_learn():
     x = np.random.default_rng(8).uniform(-1, 1, (300, 2))
     y = np.sin(x[:, 0]) + x[:, 1] ** 2
