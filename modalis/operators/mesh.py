@@ -288,7 +288,8 @@ def nearest_on_grid(points: DataFrame, sensors: DataFrame, digits: int | None =
     can be nearer than what it found. Those that aren't look again on a grid of twice the width, and at last all
     points are around them. Points at one place count as its first, so that a crowd at a place is one row. With ``digits``
     squared distances that are equal when rounded to them count as equal. Cells are dealt to as many tasks as keep about LOOKS
-    looks in one."""
+    looks in one; more than FEW_LOOKS are never broadcast, though the planner, which takes the size of the sensors' file for
+    theirs, would have the driver hold them all."""
     p = cut(points.filter("x is not null and y is not null and z is not null").groupBy("x", "y", "z").agg(F.min("point_id").alias("point_id")))
     b = p.agg(F.count("*").alias("n"), *(f(a).alias(f"{n}{a}") for a in "xyz" for f, n in ((F.min, "low"), (F.max, "high")))).first()
     found = "sensor bigint, point_id bigint, d2 double"
@@ -316,7 +317,7 @@ def nearest_on_grid(points: DataFrame, sensors: DataFrame, digits: int | None =
         n = state.count() * 3 ** len(axes)
         if n > FEW_LOOKS:
             tasks = max(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // LOOKS))
-            near, looks = near.repartition(tasks, *by), looks.repartition(tasks, *by)
+            near, looks = near.repartition(tasks, *by), looks.repartition(tasks, *by).hint("merge")
         else:
             looks = F.broadcast(looks)
         key = (d2 if digits is None else F.round(d2, digits)).alias("key")

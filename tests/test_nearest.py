@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import duckdb
 import numpy as np
 import pytest
 
+from modalis import registry
 from modalis.operators import mesh as G
 
 
@@ -79,3 +81,28 @@ def test_looks_of_many_sensors_go_to_many_tasks(spark, monkeypatch):
     r = np.random.default_rng(8)
     check(spark, r.uniform(-1, 1, (500, 3)), r.uniform(-1, 1, (400, 3)))
     assert max(made) >= 400 * 27 // 500
+
+
+def test_looks_of_many_sensors_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Sensors of a small file, whose size the planner takes for that of their looks."""
+    monkeypatch.setattr(G, "FEW_LOOKS", 1000)
+    plans, keep = [], G.cut
+    monkeypatch.setattr(G, "cut", lambda df, *a: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(df, *a))[1])
+    r = np.random.default_rng(9)
+    for name, n in (("point_id", 500), ("sensor", 400)):
+        table_of(spark, name, r.uniform(-1, 1, (n, 3))).write.parquet(f"{tmp_path}/{name}")
+    G.nearest_on_grid(*(spark.read.parquet(f"{tmp_path}/{name}") for name in ("point_id", "sensor")))
+    looks = [p for p in plans if "REPARTITION_BY_NUM" in p]
+    assert looks and not any("BroadcastExchange" in p for p in looks)
+
+
+def test_keys_with_gaps_and_customers_without_a_balance(spark, tmp_path):
+    """Parts lie where their keys say, not where their number does."""
+    spark.range(300).selectExpr("id * 7 + id div 100 * 1000 AS p_partkey", "cast(id % 50 + 1 AS int) AS p_size").write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(400).selectExpr("id * 3 AS c_custkey", "CASE WHEN id % 90 <> 5 THEN pmod(xxhash64(id), 1100000) / 100.0D - 1000 END AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
+    c = duckdb.connect()
+    for name in ("part", "customer"):
+        c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = c.sql(registry.ORACLE_SQL["nearest_sensor"]).fetchall()
+    got = registry.QUERIES["nearest_sensor"](spark, str(tmp_path)).select("sensor", "point_id", "d2").collect()
+    assert len(want) == 400 and sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
