@@ -437,3 +437,15 @@ def test_signs_agree_by_few_rounds(spark, monkeypatch):
         parts.setdefault(r.root, set()).add(np.sign(r.nz) * r.sign)
     assert len(signs) == 794 and len(parts) == 2 and all(len(v) == 1 for v in parts.values())
     assert {r.root for r in signs if r.cell_id < 300} != {r.root for r in signs if r.cell_id > 303} and len(cuts) < 40
+
+
+def test_a_diagonal_is_made_by_tiles_of_few_columns(spark):
+    """Indices have gaps; a task has all of its rows for the columns of one tile, and each row and column comes once."""
+    v = spark.range(1500).select((F.col("id") * 7 + 3).alias("i"), F.when(F.col("id") != 5, F.col("id") + 1.0).alias("v"))
+    a = linalg.build_diagonal(v, 1500).withColumn("task", F.spark_partition_id())
+    got = a.groupBy("task").agg(F.countDistinct("j").alias("j"), F.countDistinct("i").alias("i"), F.count("*").alias("n")).collect()
+    assert max(r.j for r in got) < 2 * linalg.TILE and all(r.n == r.i * r.j for r in got)
+    assert a.count() == a.select("i", "j").distinct().count() == 1500**2 and a.filter("v <> 0").count() == 1499
+    assert a.filter("i = j").join(v.toDF("i", "w"), "i").filter("v <=> w").count() == 1500
+    assert a.filter("(i - 3) % 7 <> 0 or (j - 3) % 7 <> 0").isEmpty() and a.filter("i <> j and v <=> 0").count() == 1500 * 1499
+    assert linalg.build_diagonal(v.limit(0), 0).count() == 0
